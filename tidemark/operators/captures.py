@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +17,8 @@ def target_time(ts14: Column | str) -> Column:
     """Requested time; the two sentinels become times before and after every capture."""
     value = F.col(ts14) if isinstance(ts14, str) else ts14
     return (
-        F.when(value == EARLIEST_TS14, F.lit(datetime(1000, 1, 1)).cast("timestamp_ntz"))
-        .when(value == LATEST_TS14, F.lit(datetime(9999, 12, 31)).cast("timestamp_ntz"))
+        F.when(value == EARLIEST_TS14, F.lit("1000-01-01 00:00:00").cast("timestamp_ntz"))
+        .when(value == LATEST_TS14, F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
         .otherwise(from_ts14(value))
     )
 

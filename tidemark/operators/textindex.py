@@ -48,12 +48,12 @@ def shingles(text: Column | str, size: int = SHINGLE_WORDS) -> Column:
 
 
 def fingerprints(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, band, value): MinHash over word shingles, banded.
+    """(doc, band, value): MinHash over word shingles, banded. A text without words has no fingerprint.
 
     The minimum of every hash is an aggregate over exploded shingles, so a long text is spread over
     its partial sums and nothing larger than one text is ever in memory.
     """
-    hashed = df.select(doc_id, F.explode(shingles(text)).alias("_s"))
+    hashed = df.select(doc_id, F.explode(shingles(text)).alias("_s")).where(F.col("_s") != "")
     digests = [F.md5(F.concat(F.lit(seed), F.col("_s")).cast("binary")).alias(f"_d{s}") for s, seed in enumerate(SEEDS)]
     hashed = hashed.select(doc_id, *digests)
     minima = [

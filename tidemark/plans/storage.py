@@ -1 +1,319 @@
-"""Pending."""
+"""Stored-file queries."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import storage_paths as sp
+from tidemark.operators import curation, filters, histograms, tracking
+from tidemark.plans.registry import query
+from tidemark.plans.tables import Tables
+
+_STREAM = "CASE WHEN file_path LIKE '/heritrix/output/dc%' THEN 'domain' ELSE 'frequent' END"
+
+
+def _files(t: Tables):
+    return tracking.parse_paths(t.tracked_file)
+
+
+@query(
+    "path_parts",
+    "F9",
+    f"""
+    SELECT file_path, split_part(file_path, '/', 4) AS job, split_part(file_path, '/', 5) AS launch_id, split_part(file_path, '/', 6) AS folder,
+     CASE WHEN l_returnflag = 'R' THEN 'crawl-logs' ELSE 'warcs' END AS kind, {_STREAM} AS stream, split_part(file_path, '/', 7) AS file_name,
+     CASE WHEN l_linenumber % 3 = 2 THEN 'bypm' ELSE 'npld' END AS basis FROM tracked_file
+    """,
+)
+def path_parts(t: Tables):
+    return _files(t).select(
+        "file_path", "job", "launch_id", "folder", "kind", "stream", "file_name", sp.legal_basis("file_path").alias("basis")
+    )
+
+
+_ARCHIVE = """
+    SELECT l_orderkey, l_linenumber, 'ARC-NPLD-20220914115528646-' || lpad(CAST(l_partkey AS VARCHAR), 5, '0') || '-' || l_suppkey
+      || '~worker-' || l_linenumber || '~8443.warc.gz' AS name, l_partkey, l_suppkey FROM lineitem
+"""
+
+
+@query(
+    "archive_names",
+    "F10",
+    f"""
+    SELECT name, 'ARC-NPLD' AS prefix, '20220914115528646' AS ts17, l_partkey AS serial, l_suppkey AS pid, 'worker-' || l_linenumber AS host, 8443 AS port
+    FROM ({_ARCHIVE})
+    """,
+)
+def archive_names(t: Tables):
+    names = t.lineitem.selectExpr(
+        "concat('ARC-NPLD-20220914115528646-', lpad(l_partkey, 5, '0'), '-', l_suppkey, '~worker-', l_linenumber, '~8443.warc.gz') AS name"
+    )
+    return names.select(
+        "name",
+        sp.archive_prefix("name").alias("prefix"),
+        sp.archive_ts17("name").alias("ts17"),
+        sp.archive_serial("name").alias("serial"),
+        sp.archive_pid("name").alias("pid"),
+        sp.archive_host("name").alias("host"),
+        sp.archive_port("name").alias("port"),
+    )
+
+
+@query(
+    "recent_years",
+    "P6",
+    "SELECT id, updated_at FROM document WHERE year(updated_at) >= 1998",
+)
+def recent_years(t: Tables):
+    return filters.years_back(t.document, "updated_at", datetime(2001, 6, 1), 3).select("id", "updated_at")
+
+
+@query(
+    "tracked_file_search",
+    "P7",
+    f"""
+    SELECT file_path, service FROM tracked_file WHERE l_returnflag = 'R' AND {_STREAM} = 'frequent' AND service = 'h3' AND size % 3 <> 0
+    """,
+)
+def tracked_file_search(t: Tables):
+    marked = _files(t).withColumn(
+        "log_analysis", F.when(F.col("size") % 3 == 0, F.array(F.lit("done"))).otherwise(F.lit(None).cast("array<string>"))
+    )
+    return filters.tracked_files(
+        marked, kind="crawl-logs", stream="frequent", service="h3", unmarked="log_analysis"
+    ).select("file_path", "service")
+
+
+@query(
+    "indexed_file_search",
+    "P7",
+    """
+    SELECT file_path, service FROM tracked_file WHERE size % 3 = 0 AND starts_with(file_path, '/heritrix/output/frequent-npld/')
+    """,
+)
+def indexed_file_search(t: Tables):
+    marked = _files(t).withColumn("cdx_index", F.when(F.col("size") % 3 == 0, F.array(F.lit("main"))))
+    return filters.tracked_files(
+        marked, path_prefix="/heritrix/output/frequent-npld/", has_value=("cdx_index", "main")
+    ).select("file_path", "service")
+
+
+@query(
+    "files_ready_to_move",
+    "P8",
+    """
+    SELECT file_path, modified_at FROM tracked_file WHERE modified_at >= TIMESTAMP '1999-03-08' AND modified_at < TIMESTAMP '1999-03-11'
+     AND (file_path LIKE '%.warc.gz' OR file_path LIKE '%/crawl.log.cp%')
+    """,
+)
+def files_ready_to_move(t: Tables):
+    return filters.ready_to_move(t.tracked_file, "file_path", "modified_at", datetime(1999, 3, 10)).select(
+        "file_path", "modified_at"
+    )
+
+
+@query(
+    "unprocessed_files",
+    "J5",
+    """
+    SELECT file_path, service FROM tracked_file f WHERE NOT EXISTS (
+      SELECT 1 FROM tracked_file m WHERE m.l_orderkey % 2 = 0 AND m.file_path = f.file_path)
+    """,
+)
+def unprocessed_files(t: Tables):
+    marks = t.tracked_file.where("l_orderkey % 2 = 0")
+    return tracking.unprocessed(t.tracked_file, marks, "file_path").select("file_path", "service")
+
+
+_COMPARE = """
+    WITH s AS (SELECT file_path, max(size) AS size FROM tracked_file WHERE l_orderkey % 10 <> 1 GROUP BY 1),
+    d AS (SELECT file_path, max(CASE WHEN size % 10 = 1 THEN size + 1 ELSE size END) AS size FROM tracked_file WHERE l_orderkey % 10 <> 2 GROUP BY 1),
+    j AS (SELECT coalesce(s.file_path, d.file_path) AS file_path, CASE WHEN d.file_path IS NULL THEN 'missing' WHEN s.file_path IS NULL THEN 'extra'
+      WHEN s.size = d.size THEN 'match' ELSE 'differ' END AS result FROM s FULL JOIN d ON s.file_path = d.file_path)
+"""
+
+
+def _two_stores(t: Tables):
+    source = t.tracked_file.where("l_orderkey % 10 <> 1")
+    target = t.tracked_file.where("l_orderkey % 10 <> 2").withColumn(
+        "size", F.expr("CASE WHEN size % 10 = 1 THEN size + 1 ELSE size END")
+    )
+    return source, target
+
+
+@query("store_comparison", "J6", _COMPARE + "SELECT file_path, result FROM j")
+def store_comparison(t: Tables):
+    return tracking.compare_stores(*_two_stores(t), "file_path", "size", one_way=False)
+
+
+@query("files_to_move", "J6 B8", _COMPARE + "SELECT file_path FROM j WHERE result = 'match'")
+def files_to_move(t: Tables):
+    checked = tracking.compare_stores(*_two_stores(t), "file_path", "size")
+    return checked.where("result = 'match'").select("file_path")
+
+
+@query(
+    "storage_reconciliation",
+    "J14",
+    """
+    WITH l AS (SELECT file_path, service AS store FROM tracked_file UNION ALL SELECT file_path, 'cloud' FROM tracked_file WHERE size % 10 <> 0),
+    c AS (SELECT file_path, count(*) FILTER (store = 'h020') AS h020_copies, count(*) FILTER (store = 'h3') AS h3_copies,
+      count(*) FILTER (store = 'cloud') AS cloud_copies, count(*) AS copies FROM l GROUP BY 1)
+    SELECT *, CAST(h020_copies > 0 AS INTEGER) + CAST(h3_copies > 0 AS INTEGER) + CAST(cloud_copies > 0 AS INTEGER) AS stores FROM c
+    """,
+)
+def storage_reconciliation(t: Tables):
+    files = t.tracked_file
+    return tracking.reconcile(
+        {"h020": files.where("service = 'h020'"), "h3": files.where("service = 'h3'"), "cloud": files.where("size % 10 <> 0")},
+        "file_path",
+    )
+
+
+@query(
+    "file_locations",
+    "J15",
+    """
+    WITH n AS (SELECT DISTINCT split_part(file_path, '/', 7) AS file_name FROM tracked_file),
+    l AS (SELECT split_part(file_path, '/', 7) AS file_name, min(CASE WHEN service = 'h3' THEN 'https://h3.example.org' || file_path
+      ELSE 'https://default.example.org' || file_path END) AS location FROM tracked_file WHERE l_orderkey % 5 <> 0 GROUP BY 1)
+    SELECT n.file_name, l.location FROM n LEFT JOIN l USING (file_name)
+    """,
+)
+def file_locations(t: Tables):
+    files = t.tracked_file.withColumn("file_name", sp.file_name("file_path"))
+    located = files.where("l_orderkey % 5 <> 0").withColumn(
+        "access_url", F.expr("CASE WHEN service = 'h3' THEN concat('https://h3.example.org', file_path) END")
+    )
+    return tracking.locate_files(
+        files.select("file_name").distinct(), located, "file_name", "file_path", "access_url", "https://default.example.org"
+    )
+
+
+@query(
+    "holdings_summary",
+    "A9",
+    f"""
+    WITH f AS (SELECT service, {_STREAM} AS stream, CASE WHEN l_returnflag = 'R' THEN 'crawl-logs' ELSE 'warcs' END AS kind,
+      CAST(year(modified_at) AS INTEGER) AS year, size FROM tracked_file)
+    SELECT service, stream, kind, year, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes,
+     CAST(grouping(service) + grouping(stream) + grouping(kind) + grouping(year) AS INTEGER) AS level
+    FROM f GROUP BY ROLLUP (service, stream, kind, year)
+    """,
+)
+def holdings_summary(t: Tables):
+    files = _files(t).withColumn("year", F.year("modified_at"))
+    return histograms.holdings(files, ["service", "stream", "kind", "year"], "size")
+
+
+@query(
+    "log_growth",
+    "A10",
+    """
+    WITH e AS (SELECT * FROM (VALUES ('dc2023'), ('frequent-npld'), ('frequent-bypm'), ('dc2024')) t(job)),
+    l AS (SELECT split_part(file_path, '/', 4) AS job, max(size) AS log_size_bytes, max(modified_at) AS log_touched, count(*) AS logs
+      FROM tracked_file WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT e.job, l.log_size_bytes, l.log_touched, l.logs, l.logs IS NOT NULL AS present FROM e LEFT JOIN l USING (job)
+    """,
+)
+def log_growth(t: Tables):
+    expected = t.spark.createDataFrame([("dc2023",), ("frequent-npld",), ("frequent-bypm",), ("dc2024",)], "job string")
+    return tracking.log_growth(t.tracked_file, expected, "file_path", "size", "modified_at")
+
+
+@query(
+    "newest_batches",
+    "W7",
+    f"""
+    WITH f AS (SELECT *, {_STREAM} AS stream, CAST(year(modified_at) AS INTEGER) AS year FROM tracked_file)
+    SELECT file_path, service, stream, year, CAST(floor((row_number() OVER (PARTITION BY stream, year ORDER BY modified_at DESC, l_orderkey, l_linenumber, file_path, service, size) - 1) / 100) AS BIGINT) AS batch FROM f
+    """,
+)
+def newest_batches(t: Tables):
+    files = _files(t).withColumn("year", F.year("modified_at")).withColumn(
+        "_tie", F.struct("l_orderkey", "l_linenumber", "file_path", "service", "size")
+    )
+    out = tracking.newest_batches(files, ["stream", "year"], "modified_at", "_tie", 100)
+    return out.select("file_path", "service", "stream", "year", "batch")
+
+
+@query(
+    "checkpoint_gaps",
+    "W8",
+    """
+    WITH c AS (SELECT DISTINCT split_part(file_path, '/', 4) AS job, split_part(file_path, '/', 5) AS launch_id, l_orderkey AS cp
+      FROM tracked_file WHERE l_returnflag = 'R'),
+    g AS (SELECT job, launch_id, cp, lead(cp) OVER (PARTITION BY job, launch_id ORDER BY cp) AS nxt FROM c)
+    SELECT job, launch_id, cp + 1 AS first_missing, nxt - 1 AS last_missing, nxt - cp - 1 AS missing FROM g WHERE nxt > cp + 1
+    """,
+)
+def checkpoint_gaps(t: Tables):
+    return tracking.checkpoint_gaps(t.tracked_file, "file_path")
+
+
+@query(
+    "newest_files",
+    "L2",
+    "SELECT file_path, modified_at FROM tracked_file ORDER BY modified_at DESC, file_path LIMIT 100",
+)
+def newest_files(t: Tables):
+    return filters.latest_rows(t.tracked_file, 100, "modified_at", "file_path").select("file_path", "modified_at")
+
+
+@query(
+    "collection_union",
+    "U1 K8",
+    """
+    SELECT 'fc2023' AS collection, file_path, size, CAST(NULL AS VARCHAR) AS service FROM tracked_file WHERE l_linenumber % 3 = 1
+    UNION ALL SELECT 'dc2023', file_path, size, service FROM tracked_file WHERE l_linenumber % 3 = 0
+    """,
+)
+def collection_union(t: Tables):
+    """The alias is a view over the union; readers use its name only."""
+    from tidemark.sinks.publish import create_alias
+
+    one = t.tracked_file.where("l_linenumber % 3 = 1").select("file_path", "size")
+    two = t.tracked_file.where("l_linenumber % 3 = 0").select("file_path", "size", "service")
+    create_alias(t.spark, "captures_all", {"fc2023": one, "dc2023": two})
+    return t.spark.table("captures_all").select("collection", "file_path", "size", "service")
+
+
+@query(
+    "stream_union",
+    "U2",
+    f"SELECT file_path, {_STREAM} AS stream FROM tracked_file WHERE l_linenumber % 3 <> 2",
+)
+def stream_union(t: Tables):
+    files = _files(t).where(F.col("stream").isin("frequent", "domain", "webrecorder"))
+    return files.where("job <> 'frequent-bypm'").select("file_path", "stream")
+
+
+@query(
+    "listing_round_trip",
+    "S14 K1",
+    "SELECT count(*) AS lines, count(DISTINCT file_path) AS paths, CAST(sum(size) AS BIGINT) AS bytes FROM tracked_file",
+)
+def listing_round_trip(t: Tables):
+    from tidemark.session import shared_dir
+    from tidemark.sinks.exports import write_jsonl
+
+    folder = shared_dir(t.spark, "listing")
+    write_jsonl(t.tracked_file.select("file_path", "service", "size", "modified_at"), folder)
+    back = t.spark.read.schema("file_path string, service string, size bigint, modified_at timestamp_ntz").json(folder)
+    return back.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("file_path").alias("paths"), F.sum("size").alias("bytes")
+    )
+
+
+@query(
+    "feed_union",
+    "U3",
+    "SELECT target_id, title, basis FROM curated_base",
+)
+def feed_union(t: Tables):
+    base = t.curated_base
+    feeds = {b: base.where(F.col("basis") == b).select("target_id", "title") for b in ("npld", "bypm")}
+    return curation.union_feeds(feeds)
