@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import url_host, url_scheme
+from tidemark.functions.urls import let, url_host, url_scheme
 
 # Markup patterns, valid in Java and RE2 syntax, applied in this order.
 COMMENTS = r"(?s)<!--.*?-->"
@@ -50,20 +50,24 @@ def outlinks(html: Column | str, url: Column | str, max_links: int = MAX_OUTLINK
     """Absolute anchor targets: the first ``max_links`` links, relative ones resolved against the page."""
     url = _col(url)
     links = F.slice(F.regexp_extract_all(_col(html), F.lit(HREF), F.lit(1)), 1, max_links)
-    scheme = url_scheme(url)
     root = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     base = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    base = F.when(base.endswith("/"), base).otherwise(F.concat(root, F.lit("/")))
+    page = F.struct(
+        url_scheme(url).alias("scheme"),
+        root.alias("root"),
+        F.when(base.endswith("/"), base).otherwise(F.concat(root, F.lit("/"))).alias("base"),
+    )
 
-    def absolute(link: Column) -> Column:
+    def absolute(link: Column, at: Column) -> Column:
         return (
             F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
-            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, link))
-            .otherwise(F.concat(base, link))
+            .when(link.startswith("//"), F.concat(at["scheme"], F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(at["root"], link))
+            .otherwise(F.concat(at["base"], link))
         )
 
-    return F.filter(F.transform(links, absolute), lambda link: link.rlike(r"(?i)^https?://"))
+    resolved = let(page, lambda at: F.transform(links, lambda link: absolute(link, at)))
+    return F.filter(resolved, lambda link: link.rlike(r"(?i)^https?://"))
 
 
 def outlink_hosts(html: Column | str, url: Column | str, max_links: int = MAX_OUTLINKS) -> Column:

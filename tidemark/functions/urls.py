@@ -6,19 +6,20 @@ the path and query: ``http://www.example.co.uk/a?b=1`` has the key ``uk,co,examp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# URL layout and the session parameters that do not identify a resource.
-# The same patterns are valid in Java and RE2 syntax.
-URL_PARTS = r"^(?:([a-z][a-z0-9+.\-]*)://)?(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?"
-FRAGMENT = r"#.*$"
-USERINFO = r"^([a-z][a-z0-9+.\-]*://)[^/?#@]*@"
-WWW = r"^(https?://)www[0-9]*\."
-PATH_SESSION = r";jsessionid=[0-9a-z]{32}"
-QUERY_SESSION = r"([?&])(?:(?:jsessionid|phpsessid|sid)=[0-9a-z]{32}|aspsessionid[a-z]{8}=[a-z]{24})(?:&|$)"
-QUERY_CF_SESSION = r"([?&])cfid=[0-9]+&cftoken=[0-9a-z\-]+(?:&|$)"
-EMPTY_QUERY = r"[?&]+$"
+# The lead of a web URL, and the session parameters that do not identify a resource.
+# A leading scheme, userinfo and ``www[n].`` go in one step, all session forms in another.
+SCHEME = r"^[a-z][a-z0-9+.\-]*://"
+LEAD = r"^(https?://)(?:[^/?#@]*@)?(?:www[0-9]*\.)?"
+SESSION = (
+    r";jsessionid=[0-9a-z]{32}"
+    r"|([?&])(?:(?:jsessionid|phpsessid|sid)=[0-9a-z]{32}|aspsessionid[a-z]{8}=[a-z]{24}"
+    r"|cfid=[0-9]+&cftoken=[0-9a-z\-]+)(?:&|$)"
+)
 
 # Second-level labels under which names are registered (a short list; pass your own).
 SECOND_LEVEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "sch.uk", "nhs.uk")
@@ -30,48 +31,59 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row; inside a lambda an expression would be computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_url(url: Column | str) -> Column:
     """Lower case, no userinfo, no ``www[n].``, no session ids, no empty query, no fragment."""
-    out = F.regexp_replace(F.lower(F.trim(_col(url))), FRAGMENT, "")
-    out = F.regexp_replace(out, USERINFO, "$1")
-    out = F.regexp_replace(out, WWW, "$1")
-    out = F.regexp_replace(out, PATH_SESSION, "")
-    out = F.regexp_replace(out, QUERY_SESSION, "$1")
-    out = F.regexp_replace(out, QUERY_CF_SESSION, "$1")
-    return F.regexp_replace(out, EMPTY_QUERY, "")
+    out = F.substring_index(F.lower(F.trim(_col(url))), "#", 1)
+    out = F.regexp_replace(out, LEAD, "$1")
+    out = F.regexp_replace(out, SESSION, "$1")
+    return F.rtrim(out, F.lit("?&"))
+
+
+def _without_scheme(url: Column) -> Column:
+    return F.regexp_replace(url, SCHEME, "")
+
+
+def _host_and_port(url: Column) -> Column:
+    """``host[:port]`` of a lower-case URL, userinfo dropped."""
+    return F.substring_index(F.regexp_extract(_without_scheme(url), r"^[^/?#]*", 0), "@", -1)
 
 
 def url_scheme(url: Column | str) -> Column:
-    return F.regexp_extract(F.lower(_col(url)), URL_PARTS, 1)
+    return F.regexp_extract(F.lower(_col(url)), r"^([a-z][a-z0-9+.\-]*)://", 1)
 
 
 def url_host(url: Column | str) -> Column:
-    return F.regexp_extract(F.lower(_col(url)), URL_PARTS, 2)
+    return F.substring_index(_host_and_port(F.lower(_col(url))), ":", 1)
+
+
+def _port(scheme: Column, host_and_port: Column) -> Column:
+    stated = F.regexp_extract(host_and_port, r":([0-9]+)$", 1)
+    own = F.when(scheme == "http", "80").when(scheme == "https", "443").otherwise("0")
+    return F.when(stated != "", stated).otherwise(own)
 
 
 def url_port(url: Column | str) -> Column:
     """Stated port, else the scheme's own; 0 when neither is known."""
-    url = _col(url)
-    stated = F.regexp_extract(F.lower(url), URL_PARTS, 3)
-    scheme = url_scheme(url)
-    return (
-        F.when(stated != "", stated.cast("int"))
-        .when(scheme == "http", F.lit(80))
-        .when(scheme == "https", F.lit(443))
-        .otherwise(F.lit(0))
-    )
+    return _port(url_scheme(url), _host_and_port(F.lower(_col(url)))).cast("int")
 
 
 def url_path(url: Column | str) -> Column:
     """Path with the case kept; the root path for a bare host."""
-    path = F.regexp_extract(_col(url), "(?i)" + URL_PARTS, 4)
+    path = F.regexp_extract(_col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*://)?+[^/?#]*(/[^?#]*)", 1)
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
 def url_server(url: Column | str) -> Column:
     """``scheme://host:port``, the unit a download quota applies to."""
-    url = _col(url)
-    return F.concat(url_scheme(url), F.lit("://"), url_host(url), F.lit(":"), url_port(url).cast("string"))
+    lowered = F.lower(_col(url))
+    where = _host_and_port(lowered)
+    scheme = url_scheme(lowered)
+    return F.concat(scheme, F.lit("://"), F.substring_index(where, ":", 1), F.lit(":"), _port(scheme, where))
 
 
 def reversed_host(host: Column | str) -> Column:
@@ -83,21 +95,32 @@ def host_key(host: Column | str) -> Column:
     return F.concat(reversed_host(F.regexp_replace(F.lower(_col(host)), r"^www[0-9]*\.", "")), F.lit(")"))
 
 
-def surt_authority(url: Column | str) -> Column:
-    """The authority part of the key; a port other than the scheme's own is kept."""
-    url = canonical_url(url)
-    port = url_port(url)
-    own = ((url_scheme(url) == "http") & (port == 80)) | ((url_scheme(url) == "https") & (port == 443)) | (port == 0)
+def _key_authority(scheme: Column, host_and_port: Column) -> Column:
+    port = F.regexp_extract(host_and_port, r":([0-9]+)$", 1)
+    own = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     return F.concat(
-        reversed_host(url_host(url)), F.when(own, F.lit("")).otherwise(F.concat(F.lit(":"), port.cast("string")))
+        reversed_host(F.substring_index(host_and_port, ":", 1)),
+        F.when(own, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
     )
 
 
+def surt_authority(url: Column | str) -> Column:
+    """The authority part of the key; a port other than the scheme's own is kept."""
+    canonical = canonical_url(url)
+    return _key_authority(url_scheme(canonical), _host_and_port(canonical))
+
+
 def surt_key(url: Column | str) -> Column:
     """Key of the URL's canonical form."""
     canonical = canonical_url(url)
+    rest = _without_scheme(canonical)
+    where = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    tail = F.substr(rest, F.length(where) + 1)
     return F.concat(
-        surt_authority(url), F.lit(")"), url_path(canonical), F.regexp_extract(canonical, URL_PARTS, 5)
+        _key_authority(url_scheme(canonical), F.substring_index(where, "@", -1)),
+        F.lit(")"),
+        F.when(F.startswith(tail, F.lit("/")), F.lit("")).otherwise(F.lit("/")),
+        tail,
     )
 
 
@@ -113,10 +136,13 @@ def key_prefixes(key: Column | str) -> Column:
 
     ``uk,co,x)/a/b`` gives ``uk,``, ``uk,co,``, ``uk,co,x)``, ``uk,co,x)/``, ``uk,co,x)/a/`` and the key.
     """
-    pieces = F.split(_col(key), r"(?<=[,)/?])")
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), ""))
+    grown = F.aggregate(
+        F.split(_col(key), r"(?<=[,)/?])"),
+        F.array(F.lit("")),
+        lambda seen, piece: F.array_append(seen, F.concat(F.element_at(seen, -1), piece)),
     )
+    # the text after a closing boundary is empty and repeats the last prefix
+    return F.array_distinct(F.slice(grown, 2, 1_000_000))
 
 
 def prefix_line_key(line: Column | str) -> Column:

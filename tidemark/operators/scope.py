@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import path_segments
+from tidemark.functions.urls import let, path_segments
 
 ACCEPT, REJECT = "ACCEPT", "REJECT"
 
@@ -100,13 +100,14 @@ def too_many_hops(hop_path: Column | str, max_hops: int = MAX_HOPS) -> Column:
 def repeats_segment(url: Column | str, max_repetitions: int = MAX_REPETITIONS) -> Column:
     """A path segment occurs more than ``max_repetitions`` times in a row (the open last segment does not count)."""
     # the lead-in of the path is empty and the text after the last slash is not a closed segment
-    parts = path_segments(url)
-    closed = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
     run = max_repetitions + 1
-    starts = F.when(
-        F.size(closed) >= run, F.sequence(F.lit(1), F.size(closed) - max_repetitions)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.exists(starts, lambda i: F.size(F.array_distinct(F.slice(closed, i, F.lit(run)))) == 1)
+
+    def has_run(parts: Column) -> Column:
+        last = F.size(parts) - run
+        starts = F.when(last >= 2, F.sequence(F.lit(2), last)).otherwise(F.array().cast("array<int>"))
+        return F.exists(starts, lambda i: F.size(F.array_distinct(F.slice(parts, i, F.lit(run)))) == 1)
+
+    return let(path_segments(url), has_run)
 
 
 def path_too_deep(url: Column | str, max_depth: int = MAX_PATH_DEPTH) -> Column:
@@ -127,12 +128,17 @@ class Rule:
     decision: str
 
 
-def decide(rules: Sequence[Rule], start: str = REJECT) -> tuple[Column, Column]:
-    """(decision, name of the deciding rule): the last rule that applies wins, ``start`` if none does."""
-    backwards = list(reversed(rules))
-    decision = F.coalesce(*[F.when(r.applies, F.lit(r.decision)) for r in backwards], F.lit(start))
-    rule = F.coalesce(*[F.when(r.applies, F.lit(r.name)) for r in backwards], F.lit("start"))
-    return decision, rule
+def decide(rules: Sequence[Rule], start: str = REJECT) -> Column:
+    """Struct (decision, rule): the last rule that applies wins, ``start`` if none does.
+
+    One expression for both, tried from the last rule backwards, so a rule is only evaluated where no
+    later one has decided.
+    """
+
+    def verdict(decision: str, rule: str) -> Column:
+        return F.struct(F.lit(decision).alias("decision"), F.lit(rule).alias("rule"))
+
+    return F.coalesce(*[F.when(r.applies, verdict(r.decision, r.name)) for r in reversed(rules)], verdict(start, "start"))
 
 
 def standard_rules(

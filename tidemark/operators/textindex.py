@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.urls import let
 from tidemark.session import use_checkpoints
 
 WORD = r"[\p{L}\p{N}]+"
@@ -40,11 +41,15 @@ def documents_with_all(df: DataFrame, doc_id: str, text: str, terms: list[str])
 
 def shingles(text: Column | str, size: int = SHINGLE_WORDS) -> Column:
     """Distinct runs of ``size`` words; a shorter text is one shingle."""
-    found = words(text)
-    several = F.transform(
-        F.sequence(F.lit(1), F.size(found) - (size - 1)), lambda i: F.array_join(F.slice(found, i, F.lit(size)), " ")
-    )
-    return F.array_distinct(F.when(F.size(found) > size, several).otherwise(F.array(F.array_join(found, " "))))
+
+    def runs(found: Column) -> Column:
+        several = F.transform(
+            F.sequence(F.lit(1), F.size(found) - (size - 1)),
+            lambda i: F.concat_ws(" ", *[F.element_at(found, i + k) for k in range(size)]),
+        )
+        return F.when(F.size(found) > size, several).otherwise(F.array(F.array_join(found, " ")))
+
+    return F.array_distinct(let(words(text), runs))
 
 
 def fingerprints(df: DataFrame, doc_id: str, text: str) -> DataFrame:

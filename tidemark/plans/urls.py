@@ -163,8 +163,10 @@ def scope_decisions_of(t: Tables):
     keyed = t.url_case.withColumn("urlkey", urls.surt_key("url"))
     keyed = prefixes.flag_covered(keyed, "urlkey", t.scope_accept, "surt_prefix", "in_scope")
     keyed = prefixes.flag_covered(keyed, "urlkey", t.scope_exclude, "surt_prefix", "shut")
-    decision, rule = scope.decide(scope.standard_rules("url", "hop_path", F.col("in_scope"), F.col("shut")))
-    return keyed.select("event_id", "ts", "url", "hop_path", decision.alias("decision"), rule.alias("rule"))
+    verdict = scope.decide(scope.standard_rules("url", "hop_path", F.col("in_scope"), F.col("shut")))
+    return keyed.select("event_id", "ts", "url", "hop_path", verdict.alias("verdict")).select(
+        "event_id", "ts", "url", "hop_path", "verdict.*"
+    )
 
 
 @query(
@@ -346,8 +348,8 @@ def country_accept(t: Tables):
     clients = t.events.selectExpr("event_id", "concat('192.0.2.', user_id % 256) AS ip")
     blocks = t.spark.createDataFrame([("GB", "192.0.2.0/25"), ("FR", "192.0.2.128/25")], "country string, nets string")
     found = network.lookup_ranges(clients, "ip", network.cidr_ranges(blocks, "nets", ["country"]), ["country"])
-    decision, _ = scope.decide([scope.Rule("in_country", F.col("country") == "GB", scope.ACCEPT)])
-    return found.select("event_id", (F.coalesce(F.col("country") == "GB", F.lit(False))).alias("in_country"), decision.alias("decision"))
+    verdict = scope.decide([scope.Rule("in_country", F.col("country") == "GB", scope.ACCEPT)])
+    return found.select("event_id", (F.coalesce(F.col("country") == "GB", F.lit(False))).alias("in_country"), verdict["decision"].alias("decision"))
 
 
 @query(

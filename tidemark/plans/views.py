@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from tidemark.functions import content, urls
+from tidemark.functions import content
 from tidemark.operators import scope
 
 # Columns of the derived inputs; the same text runs on both engines.
@@ -85,23 +85,28 @@ _q = text_literal
 # --- expression builders for the check SQL ---------------------------------------------------
 
 
+# One pattern per canonicalisation rule, in rule order.
+URL_PARTS = r"^(?:([a-z][a-z0-9+.\-]*)://)?(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?"
+CANONICAL_STEPS = (
+    (r"#.*$", ""),
+    (r"^(https?://)[^/?#@]*@", r"\1"),
+    (r"^(https?://)www[0-9]*\.", r"\1"),
+    (r";jsessionid=[0-9a-z]{32}", ""),
+    (r"([?&])(?:(?:jsessionid|phpsessid|sid)=[0-9a-z]{32}|aspsessionid[a-z]{8}=[a-z]{24})(?:&|$)", r"\1"),
+    (r"([?&])cfid=[0-9]+&cftoken=[0-9a-z\-]+(?:&|$)", r"\1"),
+    (r"[?&]+$", ""),
+)
+
+
 def canonical(url: str) -> str:
     out = f"lower(trim({url}))"
-    for pattern, replacement in (
-        (urls.FRAGMENT, ""),
-        (urls.USERINFO, r"\1"),
-        (urls.WWW, r"\1"),
-        (urls.PATH_SESSION, ""),
-        (urls.QUERY_SESSION, r"\1"),
-        (urls.QUERY_CF_SESSION, r"\1"),
-        (urls.EMPTY_QUERY, ""),
-    ):
+    for pattern, replacement in CANONICAL_STEPS:
         out = f"regexp_replace({out}, {_q(pattern)}, {_q(replacement)}, 'g')"
     return out
 
 
 def host(url: str) -> str:
-    return f"regexp_extract(lower({url}), {_q(urls.URL_PARTS)}, 2)"
+    return f"regexp_extract(lower({url}), {_q(URL_PARTS)}, 2)"
 
 
 def reverse_host(name: str) -> str:
@@ -111,10 +116,10 @@ def reverse_host(name: str) -> str:
 def surt(url: str) -> str:
     """For URLs without a port."""
     c = canonical(url)
-    path = f"regexp_extract({c}, {_q(urls.URL_PARTS)}, 4)"
+    path = f"regexp_extract({c}, {_q(URL_PARTS)}, 4)"
     return (
         f"({reverse_host(host(c))} || ')' || (CASE WHEN {path} = '' THEN '/' ELSE {path} END)"
-        f" || regexp_extract({c}, {_q(urls.URL_PARTS)}, 5))"
+        f" || regexp_extract({c}, {_q(URL_PARTS)}, 5))"
     )
 
 
