@@ -28,7 +28,7 @@ def duration_ms(start_plus_duration: Column | str) -> Column:
 
 def annotation_list(text: Column | str) -> Column:
     """Comma-separated annotations as an array; empty text gives an empty array."""
-    parts = F.transform(F.split(_col(text), ","), F.trim)
+    parts = F.transform(F.split(_col(text), ","), lambda a: F.trim(a))
     return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda a: (a != "") & (a != "-"))
 
 

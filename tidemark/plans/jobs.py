@@ -1 +1,259 @@
-"""Pending."""
+"""Whole jobs on the test tables."""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from tidemark import jobs
+from tidemark.plans.curated import _FOUND, _index, _INDEXED, _found, _watched
+from tidemark.plans.registry import query
+from tidemark.plans.tables import Tables
+
+from tidemark.plans.views import covers, host, page_text, surt, text_literal, ts14
+from tidemark.functions import content
+from tidemark.session import shared_dir
+from tidemark.sinks import publish
+
+
+@query(
+    "track_files",
+    "B1 S5 W1 K5",
+    f"""
+    WITH l AS (SELECT file_path, size, modified_at, l_returnflag, l_linenumber, l_orderkey FROM tracked_file WHERE service = 'h3'),
+    old AS (SELECT file_path, max(size) AS size, max(modified_at) AS modified_at FROM l WHERE l_orderkey % 2 = 0 GROUP BY 1),
+    new AS (SELECT DISTINCT file_path, size + 1 AS size, modified_at FROM l WHERE l_orderkey % 3 = 0 AND starts_with(file_path, '/heritrix/output/frequent'))
+    SELECT coalesce(n.file_path, o.file_path) AS file_path, 'h3' AS service, CAST(CASE WHEN n.file_path IS NULL THEN 0 ELSE 1 END AS INTEGER) AS version,
+      max(coalesce(n.size, o.size)) AS size, max(coalesce(n.modified_at, o.modified_at)) AS modified_at
+    FROM old o FULL JOIN new n ON n.file_path = o.file_path GROUP BY 1, 2, 3
+    """,
+)
+def track_files(t: Tables):
+    h3 = t.tracked_file.where("service = 'h3'")
+    old = h3.where("l_orderkey % 2 = 0").groupBy("file_path", "service").agg(
+        F.max("size").alias("size"), F.max("modified_at").alias("modified_at")
+    ).select(
+        "file_path", "service", F.lit("warcs").alias("kind"), F.lit("x").alias("stream"), "size", "modified_at", F.lit(0).alias("seen_at")
+    )
+    lines = h3.where("l_orderkey % 3 = 0").select(
+        F.concat(
+            F.lit("-rw-r--r-- 3 a b "), (F.col("size") + 1).cast("string"), F.lit(" "),
+            F.date_format(F.col("modified_at").cast("timestamp"), "yyyy-MM-dd HH:mm"), F.lit(" "), "file_path",
+        ).alias("value")
+    )
+    merged = jobs.track_files(lines, old, "h3", F.lit(1), under="/heritrix/output/frequent")
+    # the same run again changes nothing
+    again = jobs.track_files(lines, merged, "h3", F.lit(1), under="/heritrix/output/frequent")
+    return again.select("file_path", "service", F.col("seen_at").alias("version"), "size", "modified_at")
+
+
+_INDEX_BATCH = """
+    WITH files AS (SELECT host, '/heritrix/output/frequent-npld/20240101000000/warcs/' || host || '.warc.gz' AS file_path, max(ts) AS modified_at FROM crawl_log GROUP BY 1),
+    batch AS (SELECT host, file_path FROM files WHERE host NOT IN ('h1.example.co.uk', 'h2.example.co.uk') ORDER BY modified_at DESC, file_path LIMIT 5)
+"""
+
+
+@query(
+    "capture_index_batch",
+    "B2 P7 J5 W7 J8",
+    _INDEX_BATCH
+    + """SELECT c.event_id, c.urlkey, c.ts14, b.file_path, c.mimetype AS mime, CASE WHEN row_number() OVER w = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN row_number() OVER w > 1 THEN first_value(event_id) OVER w END AS refers_to
+    FROM captures c JOIN batch b USING (host) WINDOW w AS (PARTITION BY c.urlkey, c.content_digest ORDER BY c.ts, c.event_id)""",
+)
+def capture_index_batch(t: Tables):
+    where = F.concat(F.lit("/heritrix/output/frequent-npld/20240101000000/warcs/"), "host", F.lit(".warc.gz"))
+    records = t.crawl_log.withColumn("file_path", where)
+    files = records.groupBy("file_path").agg(F.max("ts").alias("modified_at")).withColumn("stream", F.lit("frequent"))
+    marks = files.where(F.col("file_path").rlike("/h[12][.]example"))
+    run = jobs.capture_index(files, marks, records, "frequent", datetime(2024, 2, 1), 5)
+    return run.rows.select("event_id", "urlkey", "ts14", "file_path", "mime", "record_type", "refers_to")
+
+
+@query(
+    "fulltext_index",
+    "B3 P9 F15 F18 J9 U1",
+    f"""
+    WITH p AS (SELECT * FROM page_record WHERE record_type = 'response' AND status_code = 200),
+    acc AS (SELECT DISTINCT p.page_id FROM p JOIN surt_prefixes s ON s.decision = 'accept' AND {covers('s.surt_prefix', 'p.urlkey')}),
+    col AS (SELECT p.page_id, array_to_string(list_sort(list_distinct(list(s.decision))), '|') AS collection FROM p JOIN surt_prefixes s ON {covers('s.surt_prefix', 'p.urlkey')} GROUP BY 1)
+    SELECT p.page_id, md5({page_text('html')}) AS text_md5, sha1(html) AS digest,
+      array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, {text_literal(content.ELEMENT)}, 1), lambda e: lower(e)))), ',') AS elements,
+      {host('url')} AS link_hosts, col.collection, CASE WHEN acc.page_id IS NULL THEN 'reading room' ELSE 'open' END AS access_terms
+    FROM p LEFT JOIN acc USING (page_id) LEFT JOIN col USING (page_id)
+    """,
+)
+def fulltext_index(t: Tables):
+    listed = t.surt_prefixes
+    scopes = listed.select("surt_prefix", F.col("decision").alias("collection"), F.lit("s").alias("subject"))
+    rows = jobs.fulltext_index(t.page_record, scopes, listed.where("decision = 'accept'"), "pages-2024")
+    return rows.select("page_id", F.md5(F.encode("text", "utf-8")).alias("text_md5"), "digest", "elements", "link_hosts", "collection", "access_terms")
+
+
+_DAILY_FOUND = _FOUND.replace("row_number() OVER (PARTITION BY k.url ORDER", "row_number() OVER (PARTITION BY CAST(k.ts AS DATE), k.url ORDER").replace(
+    "{ts14('ts')}", ts14("ts")
+)
+
+
+@query(
+    "log_analysis_days",
+    "B4 B14 J19",
+    _DAILY_FOUND
+    + " SELECT document_url, target_id, wayback_timestamp, strptime(left(wayback_timestamp, 8), '%Y%m%d')::DATE AS day FROM found"
+    " WHERE left(wayback_timestamp, 8) BETWEEN '20240105' AND '20240108'",
+)
+def log_analysis_days(t: Tables):
+    """Back-fill of four days; the second day is run twice and must not double."""
+    folder = shared_dir(t.spark, "found-by-day")
+    events = t.crawl_log.withColumns(
+        {"landing_page_url": F.expr("concat('http://', host, '/p/', event_id % 7)"), "source": F.col("hop_path")}
+    )
+
+    def run(day: date):
+        return jobs.analyse_logs(events, _watched(t), day, "frequent-npld")
+
+    jobs.back_fill(t.spark, run, date(2024, 1, 5), date(2024, 1, 8), folder)
+    jobs.back_fill(t.spark, run, date(2024, 1, 6), date(2024, 1, 6), folder)
+    return t.spark.read.parquet(folder).select("document_url", "target_id", "wayback_timestamp", "day")
+
+
+@query(
+    "process_documents",
+    "B5 L3 J4 F12 T14",
+    _INDEXED
+    + """, batch AS (SELECT * FROM found ORDER BY wayback_timestamp DESC, document_url LIMIT 100)
+    SELECT b.document_url, b.wayback_timestamp, b.target_id, CASE WHEN NOT EXISTS (SELECT 1 FROM idx WHERE idx.document_url = b.document_url AND idx.wayback_timestamp = b.wayback_timestamp) THEN 'NEW'
+      WHEN b.target_id IS NOT NULL THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, 'https://archive.example.org/access/resolve/' || b.wayback_timestamp || '/' || b.document_url AS access_url
+    FROM batch b""",
+)
+def process_documents(t: Tables):
+    out = jobs.process_documents(
+        _found(t), _index(t), 100, "https://archive.example.org/access/resolve/", F.col("target_id").isNotNull()
+    )
+    return out.select("document_url", "wayback_timestamp", "target_id", "status", "access_url")
+
+
+_VALID = "regexp_matches(url, '^https?://[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+(:[0-9]+)?([/?#].*)?$')"
+
+
+@query(
+    "curated_export_counts",
+    "B6 K7 K9 A8 K1 K2 K3 K11 P23",
+    f"""
+    WITH c AS (SELECT *, {surt('url')} AS k FROM curated WHERE {_VALID}), live AS (SELECT * FROM c WHERE frequency <> 'NEVERCRAWL' AND (end_date IS NULL OR end_date >= TIMESTAMP '2024-01-10'))
+    SELECT 'feed_npld' AS output, count(*) AS rows FROM live WHERE basis = 'npld' UNION ALL SELECT 'feed_bypm', count(*) FROM live WHERE basis = 'bypm'
+    UNION ALL SELECT 'never_crawl', count(DISTINCT k) FROM c WHERE frequency = 'NEVERCRAWL' UNION ALL SELECT 'allows', count(DISTINCT k) FROM c WHERE open_access
+    UNION ALL SELECT 'blocks', count(DISTINCT k) FROM c WHERE frequency = 'NEVERCRAWL' UNION ALL SELECT 'annotations', count(*) FROM (SELECT DISTINCT k, collection_id FROM c)
+    UNION ALL SELECT 'collections', CAST(sum(ceil(n / 1000.0)) AS BIGINT) FROM (SELECT count(*) AS n FROM c GROUP BY collection_id)
+    """,
+)
+def curated_export_counts(t: Tables):
+    root = shared_dir(t.spark, "curated-export")
+    jobs.export_curated(t.curated, datetime(2024, 1, 10), root)
+    return publish.current_version(t.spark, root).select("output", "rows")
+
+
+@query(
+    "verified_transfer",
+    "B8 P8 J6",
+    """
+    WITH s AS (SELECT file_path, max(size) AS size FROM tracked_file WHERE l_orderkey % 10 <> 1 AND modified_at >= TIMESTAMP '1999-03-01' - INTERVAL '2 days' AND modified_at < TIMESTAMP '1999-03-02'
+      AND (file_path LIKE '%.warc.gz' OR file_path LIKE '%/crawl.log.cp%') GROUP BY 1),
+    d AS (SELECT file_path, max(CASE WHEN size % 10 = 1 THEN size + 1 ELSE size END) AS size FROM tracked_file WHERE l_orderkey % 10 <> 2 GROUP BY 1)
+    SELECT file_path, CASE WHEN d.size IS NULL THEN 'missing' WHEN d.size = s.size THEN 'match' ELSE 'differ' END AS result FROM s LEFT JOIN d USING (file_path)
+    """,
+)
+def verified_transfer(t: Tables):
+    source = t.tracked_file.where("l_orderkey % 10 <> 1")
+    target = t.tracked_file.where("l_orderkey % 10 <> 2").withColumn("size", F.expr("CASE WHEN size % 10 = 1 THEN size + 1 ELSE size END"))
+    return jobs.verified_transfer(source, target, datetime(1999, 3, 1))
+
+
+@query(
+    "storage_report",
+    "B9 J14 A9",
+    """
+    WITH l AS (SELECT file_path, service AS store FROM tracked_file UNION ALL SELECT file_path, 'cloud' FROM tracked_file WHERE size % 10 <> 0),
+    c AS (SELECT file_path, count(*) FILTER (store = 'h020') > 0 AS h020, count(*) FILTER (store = 'h3') > 0 AS h3, count(*) FILTER (store = 'cloud') > 0 AS cloud, count(*) AS copies FROM l GROUP BY 1)
+    SELECT copies, CAST(h020 AS INTEGER) + CAST(h3 AS INTEGER) + CAST(cloud AS INTEGER) AS stores, h020, h3, cloud, count(*) AS files FROM c GROUP BY 1, 2, 3, 4, 5
+    """,
+)
+def storage_report(t: Tables):
+    files = t.tracked_file
+    return jobs.storage_report(
+        {"h020": files.where("service = 'h020'"), "h3": files.where("service = 'h3'"), "cloud": files.where("size % 10 <> 0")}
+    )
+
+
+@query(
+    "take_down",
+    "B11 P10 J13 A16",
+    """
+    WITH d AS (SELECT * FROM captures WHERE ts14 >= '20240110000000' AND (starts_with(urlkey, 'uk,co,example,h3)') OR urlkey = 'uk,co,example,h4)/p/1'))
+    SELECT content_digest, mimetype, status_code, count(*) AS captures, count(DISTINCT urlkey) AS urls, min(ts) AS first_ts, max(ts) AS last_ts,
+      (SELECT count(*) FROM captures) - (SELECT count(*) FROM d) AS remaining FROM d GROUP BY 1, 2, 3
+    """,
+)
+def take_down(t: Tables):
+    listed = t.spark.createDataFrame([("uk,co,example,h3)",), ("uk,co,example,h4)/p/1",)], "surt_prefix string")
+    run = jobs.take_down(t.captures, listed, "20240110000000")
+    return run.profile.withColumn("remaining", run.remaining.select(F.count(F.lit(1))).scalar())
+
+
+@query(
+    "complaint_follow_up",
+    "B12 P5 P10 J3 W2",
+    """
+    WITH h AS (SELECT host, count(*) AS hits FROM crawl_log WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' AND regexp_matches(url, '/p/4[0-9]$') GROUP BY 1),
+    l AS (SELECT host, count(*) AS n FROM crawl_log WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1)
+    SELECT h.host, h.hits, '+uk,co,example,' || split_part(h.host, '.', 1) || ')' AS exclusion, coalesce(l.n, 0) AS fetches_since FROM h LEFT JOIN l USING (host)
+    """,
+)
+def complaint_follow_up(t: Tables):
+    return jobs.complaint_follow_up(
+        t.crawl_log, "/p/4[0-9]$", datetime(2024, 1, 5), datetime(2024, 1, 6), datetime(2024, 1, 30, 12)
+    )
+
+
+@query(
+    "archive_moves",
+    "B13 F9 F10",
+    """
+    WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y%m%d') || '101010123' AS ts17 FROM lineitem),
+    l AS (SELECT DISTINCT strftime(date_trunc('month', o_orderdate), '%Y%m%d') || '120000' AS launch_id FROM orders),
+    n AS (SELECT '/loose/ARC-' || ts17 || '-' || l_orderkey || '-' || l_linenumber || '~w~8443.warc.gz' AS file_path, left(ts17, 14) AS at FROM f)
+    SELECT file_path, concat_ws('/', '/heritrix/output', 'frequent-npld', (SELECT max(launch_id) FROM l WHERE l.launch_id <= n.at), 'warcs', substr(file_path, 8)) AS target_path FROM n
+    """,
+)
+def archive_moves(t: Tables):
+    files = t.lineitem.select(
+        F.concat(
+            F.lit("/loose/ARC-"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyyMMdd"), F.lit("101010123-"), "l_orderkey", F.lit("-"), "l_linenumber",
+            F.lit("~w~8443.warc.gz"),
+        ).alias("file_path")
+    ).distinct()
+    launches = t.orders.select(
+        F.concat(F.date_format(F.date_trunc("month", F.col("o_orderdate")), "yyyyMMdd"), F.lit("120000")).alias("launch_id")
+    ).distinct()
+    return jobs.archive_moves(files, launches, "file_path", "frequent-npld", "/heritrix/output")
+
+
+@query(
+    "tidy_report",
+    "B13 A10 W8",
+    f"""
+    WITH c AS (SELECT DISTINCT split_part(file_path, '/', 4) AS job, l_orderkey AS cp FROM tracked_file WHERE l_returnflag = 'R'),
+    g AS (SELECT job, cp, lead(cp) OVER (PARTITION BY job ORDER BY cp) AS nxt FROM c),
+    s AS (SELECT job, count(*) AS gaps, CAST(sum(nxt - cp - 1) AS BIGINT) AS missing FROM g WHERE nxt > cp + 1 GROUP BY 1),
+    l AS (SELECT split_part(file_path, '/', 4) AS job, count(*) AS logs FROM tracked_file WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT l.job, l.logs, s.gaps, s.missing FROM l LEFT JOIN s USING (job)
+    """,
+)
+def tidy_report(t: Tables):
+    jobs_seen = t.tracked_file.where("l_returnflag = 'R'").select(F.split_part("file_path", F.lit("/"), F.lit(4)).alias("job")).distinct()
+    growth, gaps = jobs.tidy_report(t.tracked_file, jobs_seen)
+    lost = gaps.groupBy("job").agg(F.count(F.lit(1)).alias("gaps"), F.sum("missing").alias("missing"))
+    return growth.join(lost, "job", "left").select("job", "logs", "gaps", "missing")
+
+

@@ -22,7 +22,7 @@ class Query:
 
 _QUERIES: dict[str, Query] = {}
 
-MODULES = ("activity", "urls", "captures", "storage", "curated", "texts", "streams", "jobs")
+MODULES = ("activity", "urls", "captures", "storage", "curated", "texts", "inputs", "streams", "jobs")
 
 
 def query(name: str, row: str, sql: str | None = None):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
-from tidemark.operators import documents, prefixes, quota, scope
+from tidemark.operators import documents, prefixes, scope
 from tidemark.plans.curated import _FOUND, _watched
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
@@ -226,17 +226,9 @@ def stream_recrawl_gate(t: Tables):
     """,
 )
 def stream_quota_gate(t: Tables):
-    out, checkpoint = _folders(t, "quota-gate", "out", "checkpoint")
-    gates.use_rocksdb(t.spark)
+    out, state, checkpoint = _folders(t, "quota-gate", "out", "state", "checkpoint")
     events = _stream(t, "crawl_log").select(
-        "event_id",
-        "host",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("url").like("%/p/0").alias("launched"),
-        quota.success_bytes("status_code", "size").alias("counted_bytes"),
-        scope.bypasses_quota("hop_path").alias("bypass"),
+        "event_id", "host", "ts", "status_code", "size", "hop_path", F.col("url").like("%/p/0").alias("launched")
     )
-    intake.append_to(gates.quota_gate(events, 500 * 1024), out, checkpoint, available_now=True).awaitTermination()
-    return t.spark.read.parquet(out)
-
-
+    gates.quota_gate(events, 500, out, state, checkpoint, available_now=True, bucket_seconds=21_600).awaitTermination()
+    return t.spark.read.parquet(out).select("event_id", "host", "used_bytes", "capped")

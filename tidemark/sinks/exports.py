@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import upsert_days
+from tidemark.sources.topics import TIME_FORMATS
 
 
 def write_jsonl(df: DataFrame, folder: str) -> None:
-    df.write.mode("overwrite").json(folder)
+    df.write.mode("overwrite").options(**TIME_FORMATS).json(folder)
 
 
 def prefix_lines(df: DataFrame, column: str) -> DataFrame:

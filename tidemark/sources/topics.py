@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 from tidemark.functions.urls import surt_authority
 
 PARTITIONS = 16
+# times keep their microseconds in messages
+TIME_FORMATS = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+}
 
 
 def read_options(brokers: str, topic: str, from_start: bool = True, max_offsets: int | None = None) -> dict[str, str]:
@@ -40,7 +45,7 @@ def read_topic(spark: SparkSession, options: dict[str, str], schema: T.StructTyp
 def parse_messages(raw: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """JSON messages as columns; text that does not parse is kept in ``_corrupt``."""
     text = F.col(value).cast("string")
-    parsed = F.from_json(text, schema)
+    parsed = F.from_json(text, schema, TIME_FORMATS)
     rest = [c for c in raw.columns if c != value]
     return (
         raw.withColumn("_m", parsed)
@@ -58,7 +63,7 @@ def _all_null(struct: str, schema: T.StructType) -> Column:
 
 def messages(df: DataFrame, key: Column, columns: list[str]) -> DataFrame:
     """``key`` and JSON ``value`` ready for a topic writer."""
-    return df.select(key.cast("string").alias("key"), F.to_json(F.struct(*columns)).alias("value"))
+    return df.select(key.cast("string").alias("key"), F.to_json(F.struct(*columns), TIME_FORMATS).alias("value"))
 
 
 def authority_messages(df: DataFrame, url: str, columns: list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Stateful gates: recrawl gate and download quota. State is one small value per key (RocksDB state store).
+"""Stateful gates: recrawl gate and download quota.
 
-A topic delivers the events of one key in time order; rows of one chunk are sorted once more. A
-chunk is one Arrow batch, so a key with very many events never has to fit in memory.
+The recrawl gate decides each event from the last one it let through, which no aggregate can express; its state
+is one time per URL (RocksDB state store). A topic delivers the events of one URL in time order;
+rows of one chunk are sorted once more. A chunk is one Arrow batch, so a URL with very many
+events never has to fit in memory.
 """
 
 from __future__ import annotations
@@ -11,7 +13,12 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from tidemark.operators.quota import running_quota, success_bytes
+from tidemark.operators.scope import bypasses_quota
+from tidemark.streaming.intake import each_batch, write_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -72,41 +79,45 @@ def recrawl_gate(events: DataFrame, interval_seconds: int, delay: str = "1 hour"
     )
 
 
-class QuotaGate(StatefulProcessor):
-    """Adds up successful bytes per server; a launch starts again from zero."""
-
-    def __init__(self, max_bytes: int):
-        self.max_bytes = max_bytes
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", "bytes bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.used.get()
-        used = int(state[0]) if state is not None else 0
-        for chunk in rows:
-            chunk = chunk.sort_values(["ts", "event_id"])
-            before, capped = [], []
-            for launched, counted, bypass in zip(chunk["launched"], chunk["counted_bytes"], chunk["bypass"]):
-                used = 0 if launched else used
-                before.append(used)
-                capped.append(bool(self.max_bytes >= 0 and used >= self.max_bytes and not bypass))
-                used += int(counted)
-            yield pd.DataFrame(
-                {"event_id": chunk["event_id"], "host": key[0], "used_bytes": before, "capped": capped}
-            )
-        self.used.update((used,))
-
-    def close(self) -> None:
-        pass
-
+def quota_gate(
+    stream: DataFrame, max_kb: int, output: str, state: str, checkpoint: str, available_now: bool = False,
+    bucket_seconds: int = 3600,
+) -> StreamingQuery:
+    """Running quota over a stream with ``event_id``, ``host``, ``ts``, ``status_code``, ``size``, ``hop_path``, ``launched``.
+
+    A batch is worked off with the batch operator, which splits a busy server by time bucket; the bytes each
+    server has used since its last launch are carried from batch to batch in a small table, one version
+    per batch, so repeating a batch gives the same result. Expects a server's events in time order over batches.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = running_quota(
+            batch, "host", "ts", "event_id", "status_code", "size", "hop_path", "launched", max_kb=-1,
+            bucket_seconds=bucket_seconds,
+        ).persist()
+        carried = spark.createDataFrame([], "host string, used bigint")
+        if batch_id > 0:
+            carried = spark.read.parquet(f"{state}/version={batch_id - 1}")
+        # only rows before the batch's first launch of a server go on from the carried bytes
+        total = F.when(F.col("launch_no") == 0, F.coalesce("used", F.lit(0))).otherwise(F.lit(0)) + F.col("used_bytes")
+        judged = rows.join(carried, "host", "left").withColumn("used_bytes", total)
+        full = F.lit(False) if max_kb < 0 else F.col("used_bytes") >= F.lit(max_kb * 1024)
+        write_batch(
+            judged.select("event_id", "host", "used_bytes", (full & ~bypasses_quota("hop_path")).alias("capped")),
+            output,
+            batch_id,
+        )
+        per_launch = rows.groupBy("host", "launch_no").agg(F.sum(success_bytes("status_code", "size")).alias("_sum"))
+        newest = per_launch.groupBy("host").agg(F.max_by(F.struct("launch_no", "_sum"), F.col("launch_no")).alias("_l"))
+        after = newest.join(carried, "host", "full_outer").select(
+            "host",
+            (
+                F.coalesce(F.col("_l")["_sum"], F.lit(0))
+                + F.when(F.coalesce(F.col("_l")["launch_no"], F.lit(0)) == 0, F.coalesce("used", F.lit(0))).otherwise(F.lit(0))
+            ).alias("used"),
+        )
+        after.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        rows.unpersist()
 
-def quota_gate(events: DataFrame, max_bytes: int) -> DataFrame:
-    """(event_id, host, used_bytes, capped) for a stream with ``event_id``, ``host``, ``ts``, ``launched``,
-    ``counted_bytes`` and ``bypass``; ``max_bytes`` below zero switches the quota off."""
-    return events.groupBy("host").transformWithStateInPandas(
-        QuotaGate(max_bytes),
-        outputStructType="event_id bigint, host string, used_bytes bigint, capped boolean",
-        outputMode="append",
-        timeMode="None",
-    )
+    return each_batch(stream, work, checkpoint, available_now)
