@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Layout of crawl output folders and of archive file names.
-OUTPUT_PATH = r"^(.*/output)/([^/]+)/([0-9]{14})/(warcs|viral|logs)/([^/]+)$"
+# Layout of crawl output paths (.../output/<job>/<launch>/<folder>/<file>) and of archive file names.
+OUTPUT_FOLDERS = ("warcs", "viral", "logs")
+LAUNCH_ID = r"^[0-9]{14}$"
 ARCHIVE_NAME = r"^(.+?)-([0-9]{17})-([0-9]+)-([0-9]+)~([^~]+)~([0-9]+)\.warc\.gz$"
 CHECKPOINT_LOG = r"crawl\.log\.cp([0-9]+)"
 
@@ -19,16 +20,30 @@ def _part(text: Column | str, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(_col(text), pattern, group), F.lit(""))
 
 
+def _segment(path: Column | str, from_end: int) -> Column:
+    return F.split_part(_col(path), F.lit("/"), F.lit(-from_end))
+
+
+def _is_output(path: Column | str) -> Column:
+    return (
+        (_segment(path, 5) == "output")
+        & _segment(path, 2).isin(*OUTPUT_FOLDERS)
+        & _segment(path, 3).rlike(LAUNCH_ID)
+        & (_segment(path, 1) != "")
+    )
+
+
 def job_name(path: Column | str) -> Column:
-    return _part(path, OUTPUT_PATH, 2)
+    """Null, like the other parts, where the path is not a crawl output path."""
+    return F.when(_is_output(path), _segment(path, 4))
 
 
 def launch_id(path: Column | str) -> Column:
-    return _part(path, OUTPUT_PATH, 3)
+    return F.when(_is_output(path), _segment(path, 3))
 
 
 def folder(path: Column | str) -> Column:
-    return _part(path, OUTPUT_PATH, 4)
+    return F.when(_is_output(path), _segment(path, 2))
 
 
 def file_name(path: Column | str) -> Column:

@@ -111,17 +111,22 @@ def surt_authority(url: Column | str) -> Column:
 
 
 def surt_key(url: Column | str) -> Column:
-    """Key of the URL's canonical form."""
+    """Key of the URL's canonical form; empty for a missing URL.
+
+    Never null on purpose: for a key that may be null, Spark repeats the whole expression in a null test before
+    every join on it.
+    """
     canonical = canonical_url(url)
     rest = _without_scheme(canonical)
     where = F.regexp_extract(rest, r"^[^/?#]*", 0)
     tail = F.substr(rest, F.length(where) + 1)
-    return F.concat(
+    key = F.concat(
         _key_authority(url_scheme(canonical), F.substring_index(where, "@", -1)),
         F.lit(")"),
         F.when(F.startswith(tail, F.lit("/")), F.lit("")).otherwise(F.lit("/")),
         tail,
     )
+    return F.coalesce(key, F.lit(""))
 
 
 def registered_domain(host: Column | str, suffixes: tuple[str, ...] = SECOND_LEVEL_SUFFIXES) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,15 @@ from tidemark.session import use_checkpoints
 
 WORD = r"[\p{L}\p{N}]+"
 SHINGLE_WORDS = 3
-# Fixed values of the fingerprint: 4 seeds, each md5 gives 4 hashes of 8 hex digits; 8 bands of 2 hashes.
-SEEDS = ("a", "b", "c", "d")
-HASHES_PER_SEED = 4
+# Fixed values of the fingerprint: 8 bands of 2 hashes; hash i of a shingle is (A[i] * x + B[i]) mod PRIME,
+# where x is the number in the first 8 hex digits of its md5. A and B follow from i by md5 as well.
+BANDS = 8
 ROWS_PER_BAND = 2
+PRIME = 4_294_967_311
+
+
+def hash_factors(i: int) -> tuple[int, int]:
+    return tuple(int(hashlib.md5(f"{name}{i}".encode()).hexdigest()[:7], 16) | 1 for name in "ab")
 
 
 def words(text: Column | str) -> Column:
@@ -55,28 +62,27 @@ def shingles(text: Column | str, size: int = SHINGLE_WORDS) -> Column:
 def fingerprints(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, band, value): MinHash over word shingles, banded. A text without words has no fingerprint.
 
-    The minimum of every hash is an aggregate over exploded shingles, so a long text is spread over
-    its partial sums and nothing larger than one text is ever in memory.
+    The minimum of every hash is an aggregate over exploded shingles: minima of whole numbers combine in
+    each task's hash table before the shuffle, and nothing larger than one text is ever in memory.
     """
-    hashed = df.select(doc_id, F.explode(shingles(text)).alias("_s")).where(F.col("_s") != "")
-    digests = [F.md5(F.concat(F.lit(seed), F.col("_s")).cast("binary")).alias(f"_d{s}") for s, seed in enumerate(SEEDS)]
-    hashed = hashed.select(doc_id, *digests)
-    minima = [
-        F.min(F.substring(f"_d{s}", 1 + 8 * h, 8)).alias(f"_h{s * HASHES_PER_SEED + h}")
-        for s in range(len(SEEDS))
-        for h in range(HASHES_PER_SEED)
-    ]
-    signed = hashed.groupBy(doc_id).agg(*minima)
-    total = len(SEEDS) * HASHES_PER_SEED
+    shingled = df.select(doc_id, F.explode(shingles(text)).alias("_s")).where(F.col("_s") != "")
+    numbered = shingled.select(
+        doc_id, F.conv(F.substring(F.md5(F.col("_s").cast("binary")), 1, 8), 16, 10).cast("bigint").alias("_x")
+    )
+    minima = []
+    for i in range(BANDS * ROWS_PER_BAND):
+        a, b = hash_factors(i)
+        minima.append(F.min((F.col("_x") * a + b) % PRIME).alias(f"_h{i}"))
     bands = F.array(
         *[
             F.struct(
                 F.lit(b).alias("band"),
-                F.concat(*[F.col(f"_h{b * ROWS_PER_BAND + r}") for r in range(ROWS_PER_BAND)]).alias("value"),
+                F.concat_ws("-", *[F.col(f"_h{b * ROWS_PER_BAND + r}") for r in range(ROWS_PER_BAND)]).alias("value"),
             )
-            for b in range(total // ROWS_PER_BAND)
+            for b in range(BANDS)
         ]
     )
+    signed = numbered.groupBy(doc_id).agg(*minima)
     return signed.select(doc_id, F.explode(bands).alias("_b")).select(doc_id, "_b.band", "_b.value")
 
 

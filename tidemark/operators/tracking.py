@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.storage_paths import checkpoint_number, folder, job_name, launch_id
-from tidemark.operators.ordered import running_total
+from tidemark.operators.ordered import nearest_value, running_total
 
 
 def parse_paths(df: DataFrame, path: str = "file_path") -> DataFrame:
@@ -79,41 +79,27 @@ def next_batch(df: DataFrame, modified: str, tie_break: str, batch_size: int) ->
     return df.orderBy(F.col(modified).desc(), F.col(tie_break)).limit(batch_size)
 
 
-def checkpoint_gaps(files: DataFrame, path: str) -> DataFrame:
+def checkpoint_gaps(files: DataFrame, path: str, block: int = 10_000) -> DataFrame:
     """Runs of missing checkpoint logs per job and launch: the first and last missing number.
 
-    Works on distinct checkpoint numbers: consecutive numbers are matched by an equality join, and
-    only the ends of unbroken runs go on to be paired up.
+    Each distinct checkpoint number takes the next one of its launch, found in blocks of numbers.
     """
     logs = (
         files.select(job_name(path).alias("job"), launch_id(path).alias("launch_id"), checkpoint_number(path).alias("cp"))
         .where("cp is not null")
         .distinct()
+        .withColumn("_at", F.timestamp_seconds("cp").cast("timestamp_ntz"))
     )
-    following = logs.select("job", "launch_id", (F.col("cp") - 1).alias("cp"))
-    preceding = logs.select("job", "launch_id", (F.col("cp") + 1).alias("cp"))
-    run_ends = logs.join(following, ["job", "launch_id", "cp"], "left_anti").withColumn("_kind", F.lit("end"))
-    run_starts = logs.join(preceding, ["job", "launch_id", "cp"], "left_anti").withColumn("_kind", F.lit("start"))
-    # the n-th run's end and the n+1-th run's start enclose the n-th gap
-    numbered = _number_runs(run_ends).withColumn("_gap", F.col("_no")).select("job", "launch_id", "_gap", F.col("cp").alias("_end"))
-    begun = _number_runs(run_starts).withColumn("_gap", F.col("_no") - 1).select(
-        "job", "launch_id", "_gap", F.col("cp").alias("_start")
-    )
-    return numbered.join(begun, ["job", "launch_id", "_gap"]).select(
+    following = nearest_value(logs, ["job", "launch_id"], ["_at"], F.col("cp"), "_next", after=True, bucket_seconds=block)
+    return following.where(F.col("_next") > F.col("cp") + 1).select(
         "job",
         "launch_id",
-        (F.col("_end") + 1).alias("first_missing"),
-        (F.col("_start") - 1).alias("last_missing"),
-        (F.col("_start") - F.col("_end") - 1).alias("missing"),
+        (F.col("cp") + 1).alias("first_missing"),
+        (F.col("_next") - 1).alias("last_missing"),
+        (F.col("_next") - F.col("cp") - 1).alias("missing"),
     )
 
 
-def _number_runs(df: DataFrame) -> DataFrame:
-    """Rank of each run within its launch; counted in blocks of checkpoint numbers."""
-    at = df.withColumn("_t", F.timestamp_seconds("cp").cast("timestamp_ntz"))
-    return running_total(at, ["job", "launch_id"], ["_t"], F.lit(1), "_no", bucket_seconds=10_000).drop("_t")
-
-
 def log_growth(files: DataFrame, expected: DataFrame, path: str, size: str, modified: str) -> DataFrame:
     """Size and last touch per expected job; jobs without any log have nulls and ``present`` false."""
     logs = files.where((folder(path) == "logs")).groupBy(job_name(path).alias("job")).agg(
@@ -128,14 +114,3 @@ def locate_files(names: DataFrame, locations: DataFrame, name: str, path: str, a
         F.min(F.coalesce(F.col(access_url), F.concat(F.lit(default_prefix), F.col(path)))).alias("location")
     )
     return names.join(known, name, "left")
-
-
-def archive_move_plan(files: DataFrame, path: str, output_root: str, job: str) -> DataFrame:
-    """Target path for archive files found outside their job folder: by the launch that was running when they were written."""
-    from tidemark.functions import storage_paths as p
-
-    name = p.file_name(path)
-    return files.select(
-        F.col(path),
-        F.concat(F.lit(output_root), F.lit("/"), F.lit(job), F.lit("/"), F.col("launch_id"), F.lit("/warcs/"), name).alias("target_path"),
-    )

@@ -128,14 +128,18 @@ def documents_with_terms(t: Tables):
 
 
 _BANDS = " UNION ALL ".join(
-    f"SELECT doc_id, {b} AS band, h{2 * b} || h{2 * b + 1} AS value FROM m" for b in range(8)
+    f"SELECT doc_id, {b} AS band, h{2 * b} || '-' || h{2 * b + 1} AS value FROM m" for b in range(textindex.BANDS)
+)
+_MINIMA = ", ".join(
+    "min((x * {} + {}) % {}) AS h{}".format(*textindex.hash_factors(i), textindex.PRIME, i)
+    for i in range(textindex.BANDS * textindex.ROWS_PER_BAND)
 )
 _PRINTS = f"""
     WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) > 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])
       ELSE [array_to_string(w, ' ')] END) AS s FROM w) WHERE s <> ''),
-    d AS (SELECT doc_id, md5('a' || s) AS a, md5('b' || s) AS b, md5('c' || s) AS c, md5('d' || s) AS d FROM s),
-    m AS (SELECT doc_id, {', '.join(f"min(substr({seed}, {1 + 8 * h}, 8)) AS h{4 * i + h}" for i, seed in enumerate('abcd') for h in range(4))} FROM d GROUP BY 1),
+    d AS (SELECT doc_id, CAST('0x' || left(md5(s), 8) AS BIGINT) AS x FROM s),
+    m AS (SELECT doc_id, {_MINIMA} FROM d GROUP BY 1),
     prints AS ({_BANDS})
 """
 

@@ -45,12 +45,14 @@ def read_crawl_log(spark: SparkSession, glob: str, crawl_name: str) -> DataFrame
 def parse_lines(lines: DataFrame, crawl_name: str) -> DataFrame:
     """The 27 event fields and ``_corrupt``, which holds a line that is no log line (its fields are null)."""
     parts = F.split(F.trim("value"), r"\s+", len(LINE_FIELDS))
+    # split and parsed once: columns with several uses stay in a projection of their own
     cut = lines.where(F.trim("value") != "").select("value", parts.alias("_p"))
+    cut = cut.withColumn("_info", cf.extra_info(F.get("_p", F.lit(len(LINE_FIELDS) - 1))))
     field = {name: cf.dash_to_null(F.get("_p", F.lit(i))) for i, name in enumerate(LINE_FIELDS)}
     when = F.try_to_timestamp(field["timestamp"]).cast("timestamp_ntz")
     status = field["status_code"].try_cast("bigint")
     good = (F.size("_p") >= len(LINE_FIELDS) - 1) & when.isNotNull() & status.isNotNull() & field["url"].isNotNull()
-    info = cf.extra_info(field["extra_info"])
+    info = F.col("_info")
     # a dash in the hop path stands for none
     values = {
         "timestamp": when,
