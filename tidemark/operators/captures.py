@@ -57,8 +57,7 @@ def closest_capture(
         )
     )
     order = ["_at", "_kind", "_tie"]
-    both = nearest_value(line, [key], order, F.col("_capture"), "_before", bucket_seconds=bucket_seconds)
-    both = nearest_value(both, [key], order, F.col("_capture"), "_after", after=True, bucket_seconds=bucket_seconds)
+    both = nearest_value(line, [key], order, F.col("_capture"), "_before", "_after", bucket_seconds)
     asked = both.where(F.col("_kind") == 1)
     gap_before = epoch_micros("_at") - epoch_micros(F.col("_before.ts"))
     gap_after = epoch_micros(F.col("_after.ts")) - epoch_micros("_at")

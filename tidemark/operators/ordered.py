@@ -70,32 +70,41 @@ def nearest_value(
     keys: Sequence[str],
     order: Sequence[str],
     value: Column,
-    out: str,
-    after: bool = False,
+    before: str | None = None,
+    after: str | None = None,
     bucket_seconds: int = HOUR,
 ) -> DataFrame:
-    """Add ``out``: the closest non-null ``value`` on an earlier row of the key (a later one with ``after``).
+    """Add ``before`` and/or ``after``: the closest non-null ``value`` on an earlier and on a later row of the key.
 
     Wrap a value that may itself be null in a struct. ``order`` starts with the time column and must
-    be a total order within a key.
+    be a total order within a key. Both directions share one shuffle of the rows.
     """
     keys, order = list(keys), list(order)
     rows = _bucketed(df, order[0], bucket_seconds).withColumn("_value", value)
     position = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    pick, direction = (F.min_by, F.col("_bucket").desc()) if after else (F.max_by, F.col("_bucket"))
-    along_key = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+    along_key, in_bucket, last_of_bucket = {}, {}, {}
+    for name, later in ((before, False), (after, True)):
+        if name is None:
+            continue
+        sides = [F.col(c).desc() if later else F.col(c) for c in ("_bucket", *order)]
+        along_key[name] = Window.partitionBy(*keys).orderBy(sides[0]).rowsBetween(Window.unboundedPreceding, -1)
+        in_bucket[name] = Window.partitionBy(*keys, "_bucket").orderBy(*sides[1:]).rowsBetween(Window.unboundedPreceding, -1)
+        last_of_bucket[name] = (F.min_by if later else F.max_by)("_value", position).alias(f"_edge_{name}")
     carried = (
         rows.groupBy(*keys, "_bucket")
-        .agg(pick("_value", position).alias("_bucket_value"))
-        .select(*keys, "_bucket", F.last("_bucket_value", ignorenulls=True).over(along_key).alias("_carried"))
-    )
-    sorting = [F.col(c).desc() if after else F.col(c) for c in order]
-    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(*sorting).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        join_null_safe(rows, carried, [*keys, "_bucket"])
-        .withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(in_bucket), F.col("_carried")))
-        .drop("_bucket", "_value", "_carried")
+        .agg(*last_of_bucket.values())
+        .select(
+            *keys,
+            "_bucket",
+            *[F.last(f"_edge_{n}", ignorenulls=True).over(w).alias(f"_carried_{n}") for n, w in along_key.items()],
+        )
     )
+    out = join_null_safe(rows, carried, [*keys, "_bucket"])
+    for name, window in in_bucket.items():
+        out = out.withColumn(
+            name, F.coalesce(F.last("_value", ignorenulls=True).over(window), F.col(f"_carried_{name}"))
+        )
+    return out.drop("_bucket", "_value", *[f"_carried_{n}" for n in in_bucket])
 
 
 def trailing_sum(

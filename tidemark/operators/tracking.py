@@ -90,7 +90,7 @@ def checkpoint_gaps(files: DataFrame, path: str, block: int = 10_000) -> DataFra
         .distinct()
         .withColumn("_at", F.timestamp_seconds("cp").cast("timestamp_ntz"))
     )
-    following = nearest_value(logs, ["job", "launch_id"], ["_at"], F.col("cp"), "_next", after=True, bucket_seconds=block)
+    following = nearest_value(logs, ["job", "launch_id"], ["_at"], F.col("cp"), after="_next", bucket_seconds=block)
     return following.where(F.col("_next") > F.col("cp") + 1).select(
         "job",
         "launch_id",
