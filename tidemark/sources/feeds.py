@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.urls import prefix_line_key, surt_key
 
-FEED_SCHEMA = T.StructType.fromDDL(
+FEED_SCHEMA = (
     "id bigint, title string, seeds array<string>,"
     " schedules array<struct<frequency: string, start: timestamp_ntz, end: timestamp_ntz>>,"
     " scope string, depth string, ignore_robots boolean, watched boolean, basis string, hidden boolean"
@@ -21,9 +20,8 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_feed(lines: DataFrame) -> DataFrame:
-    schema = T.StructType([*FEED_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return lines.where(F.trim("value") != "").select(F.from_json("value", schema, options).alias("_r")).select("_r.*")
+    return lines.where(F.trim("value") != "").select(F.from_json("value", f"{FEED_SCHEMA}, _corrupt string", options).alias("_r")).select("_r.*")
 
 
 def feed_seeds(feed: DataFrame) -> DataFrame:
