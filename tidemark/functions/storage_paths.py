@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Layout of crawl output paths (.../output/<job>/<launch>/<folder>/<file>) and of archive file names.
 OUTPUT_FOLDERS = ("warcs", "viral", "logs")
 LAUNCH_ID = r"^[0-9]{14}$"
+DOMAIN_JOB = r"^dc[0-9]{4}"
 ARCHIVE_NAME = r"^(.+?)-([0-9]{17})-([0-9]+)-([0-9]+)~([^~]+)~([0-9]+)\.warc\.gz$"
 CHECKPOINT_LOG = r"crawl\.log\.cp([0-9]+)"
 
@@ -20,64 +21,77 @@ def _part(text: Column | str, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(_col(text), pattern, group), F.lit(""))
 
 
-def _segment(path: Column | str, from_end: int) -> Column:
-    return F.split_part(_col(path), F.lit("/"), F.lit(-from_end))
+def _segment(path: Column, from_end: int) -> Column:
+    return F.substring_index(F.substring_index(path, "/", -from_end), "/", 1)
 
 
-def _is_output(path: Column | str) -> Column:
-    return (
-        (_segment(path, 5) == "output")
-        & _segment(path, 2).isin(*OUTPUT_FOLDERS)
-        & _segment(path, 3).rlike(LAUNCH_ID)
-        & (_segment(path, 1) != "")
+def path_parts(path: Column | str) -> Column:
+    """Struct (job, launch_id, folder, kind, stream, basis, file_name) of a storage path.
+
+    All but the file name, kind and stream are null where the path is not a crawl output path. Our rules: kind is
+    ``warcs``, ``viral``, ``crawl-logs``, ``logs`` or ``other``; stream follows the job name (``frequent*``,
+    ``dc<year>`` = domain, ``webrecorder*``); basis is the text after the job's dash, and domain crawls
+    run under legal deposit.
+    """
+    path = _col(path)
+    name, folder_, launch, job = (_segment(path, i) for i in (1, 2, 3, 4))
+    is_output = (
+        path.contains("/output/") & (_segment(path, 5) == "output") & folder_.isin(*OUTPUT_FOLDERS)
+        & launch.rlike(LAUNCH_ID) & (name != "")
+    )
+    is_domain = job.rlike(DOMAIN_JOB)
+    kind = (
+        F.when(~is_output, F.lit("other"))
+        .when(folder_ == "viral", F.lit("viral"))
+        .when(folder_ == "warcs", F.when(name.endswith(".warc.gz"), F.lit("warcs")).otherwise(F.lit("other")))
+        .when(name.startswith("crawl.log"), F.lit("crawl-logs"))
+        .otherwise(F.lit("logs"))
+    )
+    stream_ = (
+        F.when(~is_output, F.lit("other"))
+        .when(job.startswith("frequent"), F.lit("frequent"))
+        .when(is_domain, F.lit("domain"))
+        .when(job.startswith("webrecorder"), F.lit("webrecorder"))
+        .otherwise(F.lit("other"))
+    )
+    basis = F.when(is_domain, F.lit("npld")).otherwise(F.nullif(F.regexp_extract(job, r"-([a-z]+)$", 1), F.lit("")))
+    return F.struct(
+        F.when(is_output, job).alias("job"),
+        F.when(is_output, launch).alias("launch_id"),
+        F.when(is_output, folder_).alias("folder"),
+        kind.alias("kind"),
+        stream_.alias("stream"),
+        F.when(is_output, basis).alias("basis"),
+        name.alias("file_name"),
     )
 
 
 def job_name(path: Column | str) -> Column:
-    """Null, like the other parts, where the path is not a crawl output path."""
-    return F.when(_is_output(path), _segment(path, 4))
+    return path_parts(path)["job"]
 
 
 def launch_id(path: Column | str) -> Column:
-    return F.when(_is_output(path), _segment(path, 3))
+    return path_parts(path)["launch_id"]
 
 
 def folder(path: Column | str) -> Column:
-    return F.when(_is_output(path), _segment(path, 2))
-
-
-def file_name(path: Column | str) -> Column:
-    return F.substring_index(_col(path), "/", -1)
+    return path_parts(path)["folder"]
 
 
 def file_kind(path: Column | str) -> Column:
-    """``warcs``, ``viral``, ``crawl-logs``, ``logs`` or ``other`` (naming is ours apart from the first two folders)."""
-    name = file_name(path)
-    where = folder(path)
-    return (
-        F.when((where == "logs") & name.startswith("crawl.log"), F.lit("crawl-logs"))
-        .when(where == "logs", F.lit("logs"))
-        .when((where == "viral"), F.lit("viral"))
-        .when((where == "warcs") & name.endswith(".warc.gz"), F.lit("warcs"))
-        .otherwise(F.lit("other"))
-    )
+    return path_parts(path)["kind"]
 
 
 def stream(path: Column | str) -> Column:
-    """Capture stream from the job name (our rule): ``frequent*``, ``dc<year>`` = domain, ``webrecorder*``."""
-    job = job_name(path)
-    return (
-        F.when(job.startswith("frequent"), F.lit("frequent"))
-        .when(job.rlike(r"^dc[0-9]{4}"), F.lit("domain"))
-        .when(job.startswith("webrecorder"), F.lit("webrecorder"))
-        .otherwise(F.lit("other"))
-    )
+    return path_parts(path)["stream"]
 
 
 def legal_basis(path: Column | str) -> Column:
-    """Text after the first dash of the job name; domain crawls run under legal deposit."""
-    job = job_name(path)
-    return F.when(job.rlike(r"^dc[0-9]{4}"), F.lit("npld")).otherwise(_part(job, r"-([a-z]+)$", 1))
+    return path_parts(path)["basis"]
+
+
+def file_name(path: Column | str) -> Column:
+    return F.substring_index(_col(path), "/", -1)
 
 
 def archive_prefix(name: Column | str) -> Column:

@@ -35,7 +35,8 @@ def prefix_hits(
         .distinct()
         .select(
             key,
-            F.pmod(F.xxhash64(key), F.lit(salts)).alias("_salt"),
+            # never null, so that no null test of the key's whole expression is pushed down to the scan
+            F.coalesce(F.pmod(F.xxhash64(key), F.lit(salts)), F.lit(0)).alias("_salt"),
             F.explode(key_prefixes(key)).alias("_form"),
         )
     )

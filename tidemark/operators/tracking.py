@@ -7,24 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.storage_paths import checkpoint_number, folder, job_name, launch_id
+from tidemark.functions.storage_paths import checkpoint_number, path_parts
 from tidemark.operators.ordered import nearest_value, running_total
 
 
 def parse_paths(df: DataFrame, path: str = "file_path") -> DataFrame:
-    """Add job, launch, folder, kind, stream and file name from the storage path."""
-    from tidemark.functions import storage_paths as p
-
-    return df.withColumns(
-        {
-            "job": p.job_name(path),
-            "launch_id": p.launch_id(path),
-            "folder": p.folder(path),
-            "kind": p.file_kind(path),
-            "stream": p.stream(path),
-            "file_name": p.file_name(path),
-        }
-    )
+    """Add job, launch, folder, kind, stream, legal basis and file name from the storage path."""
+    return df.withColumn("_parts", path_parts(path)).select(*df.columns, "_parts.*")
 
 
 def compare_stores(source: DataFrame, target: DataFrame, path: str, checksum: str, one_way: bool = True) -> DataFrame:
@@ -85,8 +74,9 @@ def checkpoint_gaps(files: DataFrame, path: str, block: int = 10_000) -> DataFra
     Each distinct checkpoint number takes the next one of its launch, found in blocks of numbers.
     """
     logs = (
-        files.select(job_name(path).alias("job"), launch_id(path).alias("launch_id"), checkpoint_number(path).alias("cp"))
+        files.select(path_parts(path).alias("_parts"), checkpoint_number(path).alias("cp"))
         .where("cp is not null")
+        .select("_parts.job", "_parts.launch_id", "cp")
         .distinct()
         .withColumn("_at", F.timestamp_seconds("cp").cast("timestamp_ntz"))
     )
@@ -102,7 +92,8 @@ def checkpoint_gaps(files: DataFrame, path: str, block: int = 10_000) -> DataFra
 
 def log_growth(files: DataFrame, expected: DataFrame, path: str, size: str, modified: str) -> DataFrame:
     """Size and last touch per expected job; jobs without any log have nulls and ``present`` false."""
-    logs = files.where((folder(path) == "logs")).groupBy(job_name(path).alias("job")).agg(
+    parsed = files.select(path_parts(path).alias("_parts"), size, modified)
+    logs = parsed.where(F.col("_parts.folder") == "logs").groupBy(F.col("_parts.job").alias("job")).agg(
         F.max(size).alias("log_size_bytes"), F.max(modified).alias("log_touched"), F.count(F.lit(1)).alias("logs")
     )
     return expected.join(logs, "job", "left").withColumn("present", F.col("logs").isNotNull())

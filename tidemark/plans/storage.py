@@ -29,7 +29,7 @@ def _files(t: Tables):
 )
 def path_parts(t: Tables):
     return _files(t).select(
-        "file_path", "job", "launch_id", "folder", "kind", "stream", "file_name", sp.legal_basis("file_path").alias("basis")
+        "file_path", "job", "launch_id", "folder", "kind", "stream", "file_name", "basis"
     )
 
 

@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 from tidemark.functions.crawl_fields import dash_to_null
 from tidemark.sources.topics import TIME_FORMATS
 
-# Fixed value: a line of a recursive listing (permissions, copies, owner, group, size, time, path).
-LISTING_LINE = r"^([-dl][rwxsStT-]{9}\+?)\s+(\d+|-)\s+(\S+)\s+(\S+)\s+(\d+)\s+(\d{4}-\d{2}-\d{2} \d{2}:\d{2})\s(.+)$"
+# Fixed value: a file's line in a recursive listing (permissions, copies, owner, group, size, date, time, path).
+FILE_LINE = r"^[-l][rwxsStT-]{9}[+]?\s+\S+\s+\S+\s+\S+\s+[0-9]+\s+[0-9]{4}-[0-9]{2}-[0-9]{2}\s+[0-9]{2}:[0-9]{2}\s.+$"
+LISTING_FIELDS = 8
 
 # The 11 fields of a capture index line.
 INDEX_FIELDS = ("urlkey", "ts14", "url", "mime", "status", "digest", "redirect", "meta", "length", "offset", "filename")
+INDEX_LINE = r"^[^ ]+(?: [^ ]+){10} *$"
 
 OBJECT_SCHEMA = "key string, size bigint, last_modified timestamp_ntz, storage_class string"
 
@@ -28,14 +30,16 @@ def parse_listing(lines: DataFrame) -> DataFrame:
     A file that is missing from a listing may still exist, as a listing may be cut short: never take
     absence for deletion.
     """
-    part = [F.regexp_extract("value", LISTING_LINE, i) for i in range(8)]
-    return lines.where(F.col("value").rlike(LISTING_LINE) & ~F.col("value").startswith("d")).select(
-        part[1].alias("permissions"),
-        F.when(part[2] != "-", part[2].try_cast("int")).alias("replication"),
-        part[3].alias("owner"),
-        part[4].alias("group"),
-        part[5].cast("bigint").alias("size"),
-        F.try_to_timestamp(part[6], F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz").alias("modified_at"),
+    # one pattern decides, one split cuts; the path is the last field and may hold spaces
+    cut = lines.where(F.col("value").rlike(FILE_LINE)).select(F.split("value", r"\s+", LISTING_FIELDS).alias("_p"))
+    part = [F.get("_p", F.lit(i)) for i in range(LISTING_FIELDS)]
+    return cut.select(
+        part[0].alias("permissions"),
+        part[1].try_cast("int").alias("replication"),
+        part[2].alias("owner"),
+        part[3].alias("group"),
+        part[4].cast("bigint").alias("size"),
+        F.concat_ws(" ", part[5], part[6]).try_cast("timestamp_ntz").alias("modified_at"),
         part[7].alias("file_path"),
     )
 
@@ -51,7 +55,7 @@ def read_capture_index(spark: SparkSession, glob: str) -> DataFrame:
 
 def parse_index_lines(lines: DataFrame) -> DataFrame:
     """Capture index rows; ``-`` is null. Header and malformed lines (not 11 fields) are left out."""
-    cut = lines.select(F.split(F.trim("value"), " ").alias("_p")).where(F.size("_p") == len(INDEX_FIELDS))
+    cut = lines.where(F.col("value").rlike(INDEX_LINE)).select(F.split(F.trim("value"), " ").alias("_p"))
     numbers = {"length", "offset", "status"}
     columns = []
     for i, name in enumerate(INDEX_FIELDS):
