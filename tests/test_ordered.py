@@ -129,3 +129,30 @@ def test_store_classes_are_disjoint_and_complete(spark):
     full = {r["path"]: r["result"] for r in tracking.compare_stores(a, b, "path", "sum", one_way=False).collect()}
     assert full == {"p1": "missing", "p2": "match", "p3": "differ", "p4": "extra"}
     assert {r["path"] for r in tracking.compare_stores(a, b, "path", "sum").collect()} == {"p1", "p2", "p3"}
+
+
+def test_taxonomy_with_two_paths_and_a_loop(spark):
+    import pytest
+
+    from tidemark.operators.curation import taxonomy_ancestors
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", None)], "child string, parent string")
+    got = sorted(tuple(r) for r in taxonomy_ancestors(edges, "child", "parent").collect())
+    assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("b", "b", 0), ("b", "c", 1), ("c", "c", 0), ("d", "d", 0)]
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")
+    with pytest.raises(ValueError):
+        taxonomy_ancestors(loop, "child", "parent", max_levels=3)
+
+
+def test_collection_pages_hold_every_member_once(spark):
+    import json
+
+    from tidemark.operators.curation import collection_pages
+
+    df = spark.range(0, 250_000, 997).selectExpr("id AS target_id", "id % 2 AS collection_id", "concat('t', id) AS title")
+    pages = collection_pages(df, "collection_id", "target_id", ["target_id", "title"], page_size=20).collect()
+    assert all(r["n"] <= 20 for r in pages)
+    for c in (0, 1):
+        mine = sorted((r["page"], [m["target_id"] for m in json.loads(r["members"])]) for r in pages if r["collection_id"] == c)
+        listed = [i for _, ids in mine for i in ids]
+        assert listed == sorted(i for i in range(0, 250_000, 997) if i % 2 == c)

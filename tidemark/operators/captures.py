@@ -129,9 +129,11 @@ def fetch_history(captures: DataFrame, key: str, ts: str, capture_id: str, lengt
     return captures.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= length)
 
 
-def content_changes(captures: DataFrame, key: str, ts: str, capture_id: str, digest: str) -> DataFrame:
+def content_changes(
+    captures: DataFrame, key: str, ts: str, capture_id: str, digest: str, bucket_seconds: int = 86_400
+) -> DataFrame:
     """Each capture with the digest of the one before it and whether the content changed (null for the first)."""
-    out = nearest_value(captures, [key], [ts, capture_id], F.struct(F.col(digest).alias("d")), "_before")
+    out = nearest_value(captures, [key], [ts, capture_id], F.struct(F.col(digest).alias("d")), "_before", bucket_seconds=bucket_seconds)
     return (
         out.withColumn("previous_digest", F.col("_before")["d"])
         .withColumn(

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.schedules import is_due
-from tidemark.functions.urls import registered_domain, surt_key, url_host
+from tidemark.functions.urls import surt_key, url_host
 from tidemark.operators.prefixes import not_covered
+from tidemark.session import use_checkpoints
 
 # Document review states by code.
 DOCUMENT_STATUS = ((0, "New"), (1, "Saved"), (2, "Submitted"), (3, "Ignored"), (4, "Deleted"))
@@ -110,20 +111,28 @@ def scope_list(seeds: DataFrame, key: str) -> DataFrame:
 
 
 def taxonomy_ancestors(edges: DataFrame, child: str, parent: str, max_levels: int = 20) -> DataFrame:
-    """(node, ancestor, depth) for every node; depth 0 is the node itself. Loops stop at ``max_levels``."""
-    named = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent"))
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-            SELECT child, child, 0 FROM (SELECT child FROM {{edges}} UNION SELECT parent FROM {{edges}} WHERE parent IS NOT NULL)
-            UNION ALL
-            SELECT u.node, e.parent, u.depth + 1 FROM up u JOIN {{edges}} e ON u.ancestor = e.child
-            WHERE e.parent IS NOT NULL AND u.depth < {int(max_levels)}
+    """(node, ancestor, depth) for every node; depth 0 is the node itself, the least depth counts.
+
+    One equality join per level, checkpointed, until no node has a parent further up. A hierarchy deeper than
+    ``max_levels`` (or a loop in it) is an error.
+    """
+    use_checkpoints(edges.sparkSession)
+    links = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("parent IS NOT NULL").distinct().checkpoint()
+    # every edge's child is a node, also one without a parent
+    nodes = edges.select(F.col(child).alias("node")).union(links.select("parent")).distinct()
+    found = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    level = links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+    for depth in range(1, max_levels + 1):
+        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
+        level = (
+            level.join(links, F.col("ancestor") == F.col("child"))
+            .select("node", F.col("parent").alias("ancestor"))
+            .distinct()
+            .checkpoint()
         )
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor
-        """,
-        edges=named,
-    )
+        if level.isEmpty():
+            return found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    raise ValueError(f"the hierarchy has a loop or more than {max_levels} levels")
 
 
 # Our rules; the tool that holds the original ones is not public.
@@ -173,7 +182,3 @@ def collection_pages(members: DataFrame, collection: str, order: str, columns: S
             F.count(F.lit(1)).alias("n"),
         )
     )
-
-
-def unknown_domains(df: DataFrame, url: str) -> Column:
-    return registered_domain(url_host(url))

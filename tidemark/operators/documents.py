@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.crawl_fields import mime_type
 from tidemark.functions.times import to_ts14
 from tidemark.functions.urls import access_url, document_filename, surt_key
 from tidemark.operators.prefixes import covered, longest_prefix
@@ -102,7 +101,3 @@ def presence_audit(wanted: DataFrame, stages: list[tuple[str, DataFrame]], key:
         out = out.join(mark, key, "left").withColumn(f"in_{name}", F.coalesce(f"in_{name}", F.lit(False)))
     gap = F.coalesce(*[F.when(~F.col(f"in_{name}"), F.lit(name)) for name, _ in stages], F.lit("none"))
     return out.withColumn("first_gap", gap)
-
-
-def link_document_type(content_type: Column | str) -> Column:
-    return mime_type(content_type)

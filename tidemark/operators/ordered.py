@@ -3,7 +3,8 @@
 A plain window puts every row of a key into one task. One server or URL may hold a large share
 of all events, so the work is split by (key, time bucket): the window runs inside a bucket, one
 small summary row per bucket is carried along the key, and both are put together by an equi join.
-A task then holds at most one bucket of a key; choose ``bucket_seconds`` so that this is small.
+A task then holds at most one bucket of a key; choose ``bucket_seconds`` so that a busy key's bucket is
+small, and not so short that most buckets of a quiet key hold a single row.
 """
 
 from __future__ import annotations

@@ -36,10 +36,9 @@ def write_access_list(rules: DataFrame, prefix: str, access: str, folder: str) -
 
 
 def write_days(df: DataFrame, ts: str, folder: str) -> None:
-    """Parquet by day. Rows are spread over tasks by day and a salt, so one busy day is written by several."""
+    """Parquet by day. Rebalancing splits a busy day over as many tasks as its size asks for and joins small days."""
     days = df.withColumn("day", F.to_date(ts))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(4))
-    days.repartition("day", salt).write.mode("overwrite").partitionBy("day").parquet(folder)
+    days.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(folder)
 
 
 def upsert_into_days(df: DataFrame, day: str, keys: Sequence[str], version: Sequence[str], columns: Sequence[str], folder: str) -> None:
