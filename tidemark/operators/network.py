@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IPV4 = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
+# Fixed value: four numbers of at most three digits.
+IPV4 = r"^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}$"
 
 
 def _col(value: Column | str) -> Column:
@@ -17,11 +18,11 @@ def _col(value: Column | str) -> Column:
 def ip_number(ip: Column | str) -> Column:
     """IPv4 text as a number; null when it is no address."""
     ip = F.trim(_col(ip))
-    parts = [F.regexp_extract(ip, IPV4, i).try_cast("bigint") for i in (1, 2, 3, 4)]
-    valid = F.lit(True)
+    parts = [F.substring_index(F.substring_index(ip, ".", i), ".", -1).try_cast("bigint") for i in (1, 2, 3, 4)]
+    in_range = ip.rlike(IPV4)
     for part in parts:
-        valid = valid & (part <= 255)
-    return F.when(valid, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
+        in_range = in_range & (part <= 255)
+    return F.when(in_range, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
 
 
 def cidr_ranges(df: DataFrame, lists: str, keep: Sequence[str]) -> DataFrame:
@@ -40,12 +41,11 @@ def lookup_ranges(df: DataFrame, ip: str, ranges: DataFrame, keep: Sequence[str]
     Equal widths: the range with the smallest ``keep`` values. Ranges are cut into /16 blocks and met
     by equality on the block; each distinct address is looked up once.
     """
-    blocks = ranges.withColumn(
-        "_block", F.explode(F.sequence(F.floor(F.col("lo") / 65536), F.floor(F.col("hi") / 65536)))
-    )
+    blocks = ranges.withColumn("_block", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
+    # text that is no address gets a number outside every range
     addresses = (
-        df.select(ip).distinct().withColumn("_n", ip_number(ip)).where("_n is not null")
-        .withColumn("_block", F.floor(F.col("_n") / 65536))
+        df.select(ip).distinct().withColumn("_n", F.coalesce(ip_number(ip), F.lit(-1)))
+        .withColumn("_block", F.shiftright("_n", 16))
     )
     best = (
         addresses.join(blocks, "_block")

@@ -47,7 +47,7 @@ def documents_with_all(df: DataFrame, doc_id: str, text: str, terms: list[str])
 
 
 def shingles(text: Column | str, size: int = SHINGLE_WORDS) -> Column:
-    """Distinct runs of ``size`` words; a shorter text is one shingle."""
+    """Runs of ``size`` words, repeats kept; a shorter text is one shingle."""
 
     def runs(found: Column) -> Column:
         several = F.transform(
@@ -56,12 +56,13 @@ def shingles(text: Column | str, size: int = SHINGLE_WORDS) -> Column:
         )
         return F.when(F.size(found) > size, several).otherwise(F.array(F.array_join(found, " ")))
 
-    return F.array_distinct(let(words(text), runs))
+    return let(words(text), runs)
 
 
 def fingerprints(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, band, value): MinHash over word shingles, banded. A text without words has no fingerprint.
 
+    A repeated shingle does not change a minimum, so repeats are not looked for.
     The minimum of every hash is an aggregate over exploded shingles: minima of whole numbers combine in
     each task's hash table before the shuffle, and nothing larger than one text is ever in memory.
     """
