@@ -80,8 +80,8 @@ def rolling_summary(
 ) -> StreamingQuery:
     """Keep a small table of totals per dimension value over the last window.
 
-    A batch leaves one partial row per minute and value; the summary is added up from the partials,
-    so raw events are read once. The window ends at the newest event seen.
+    Raw events are read once: a batch adds its rows per minute and value to the minutes the batch before it left, and
+    leaves those inside the window, one version per batch. The window ends at the newest event seen.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -100,11 +100,15 @@ def rolling_summary(
         part = long.groupBy("minute", "dimension", "value").agg(
             F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")
         )
-        write_batch(part, partials, batch_id)
-        known = spark.read.parquet(partials)
-        newest = known.select(F.max("minute")).scalar()
-        recent = known.where(F.col("minute") > from_epoch_seconds(epoch_seconds(newest) - window_seconds))
-        totals = recent.groupBy("dimension", "value").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        if batch_id > 0:
+            part = part.unionByName(spark.read.parquet(f"{partials}/version={batch_id - 1}"))
+        known = part.groupBy("minute", "dimension", "value").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        newest = part.select(F.max("minute")).scalar()
+        kept = known.where(F.col("minute") > from_epoch_seconds(epoch_seconds(newest) - window_seconds))
+        kept.write.mode("overwrite").parquet(f"{partials}/version={batch_id}")
+        totals = spark.read.parquet(f"{partials}/version={batch_id}").groupBy("dimension", "value").agg(
+            F.sum("n").alias("n"), F.sum("bytes").alias("bytes")
+        )
         totals.write.mode("overwrite").parquet(f"{summary}/version={batch_id}")
 
     return each_batch(stream, work, checkpoint, available_now)
