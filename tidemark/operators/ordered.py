@@ -17,22 +17,18 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import epoch_seconds
 
 HOUR = 3600
+# bucket of rows without a time: before all others
+NO_TIME = -(2**62)
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi join on columns that may be null; the right side's key columns are dropped."""
-    renamed = right.select(
-        *[F.col(c).alias(f"_r_{c}") for c in on], *[F.col(c) for c in right.columns if c not in on]
-    )
-    condition = None
-    for c in on:
-        same = left[c].eqNullSafe(renamed[f"_r_{c}"])
-        condition = same if condition is None else condition & same
-    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
-
+def by_bucket(df: DataFrame, keys: Sequence[str], time: str, bucket_seconds: int) -> DataFrame:
+    """Add ``_key`` (all keys in one struct) and ``_bucket``; neither is ever null.
 
-def _bucketed(df: DataFrame, time: str, bucket_seconds: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(epoch_seconds(time) / bucket_seconds))
+    Grouping, windows and the join back all use these two columns, so rows are shuffled once. A struct with null
+    fields equals itself, which a null key column would not.
+    """
+    bucket = F.floor(epoch_seconds(time) / bucket_seconds)
+    return df.withColumn("_key", F.struct(*keys)).withColumn("_bucket", F.coalesce(bucket, F.lit(NO_TIME)))
 
 
 def running_total(
@@ -48,21 +44,20 @@ def running_total(
 
     ``order`` starts with the time column and must be a total order within a key.
     """
-    keys, order = list(keys), list(order)
-    rows = _bucketed(df, order[0], bucket_seconds).withColumn("_value", F.coalesce(value, F.lit(0)))
-    along_key = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = by_bucket(df, keys, order[0], bucket_seconds).withColumn("_value", F.coalesce(value, F.lit(0)))
+    along_key = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.groupBy(*keys, "_bucket")
+        rows.groupBy("_key", "_bucket")
         .agg(F.sum("_value").alias("_bucket_sum"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_bucket_sum").over(along_key), F.lit(0)).alias("_carried"))
+        .select("_key", "_bucket", F.coalesce(F.sum("_bucket_sum").over(along_key), F.lit(0)).alias("_carried"))
     )
-    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
+    in_bucket = Window.partitionBy("_key", "_bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if include_row else -1
     )
     return (
-        join_null_safe(rows, carried, [*keys, "_bucket"])
+        rows.join(carried, ["_key", "_bucket"], "left")
         .withColumn(out, F.col("_carried") + F.coalesce(F.sum("_value").over(in_bucket), F.lit(0)))
-        .drop("_bucket", "_value", "_carried")
+        .select(*df.columns, out)
     )
 
 
@@ -80,32 +75,32 @@ def nearest_value(
     Wrap a value that may itself be null in a struct. ``order`` starts with the time column and must
     be a total order within a key. Both directions share one shuffle of the rows.
     """
-    keys, order = list(keys), list(order)
-    rows = _bucketed(df, order[0], bucket_seconds).withColumn("_value", value)
+    order = list(order)
+    rows = by_bucket(df, keys, order[0], bucket_seconds).withColumn("_value", value)
     position = F.when(F.col("_value").isNotNull(), F.struct(*order))
     along_key, in_bucket, last_of_bucket = {}, {}, {}
     for name, later in ((before, False), (after, True)):
         if name is None:
             continue
         sides = [F.col(c).desc() if later else F.col(c) for c in ("_bucket", *order)]
-        along_key[name] = Window.partitionBy(*keys).orderBy(sides[0]).rowsBetween(Window.unboundedPreceding, -1)
-        in_bucket[name] = Window.partitionBy(*keys, "_bucket").orderBy(*sides[1:]).rowsBetween(Window.unboundedPreceding, -1)
+        along_key[name] = Window.partitionBy("_key").orderBy(sides[0]).rowsBetween(Window.unboundedPreceding, -1)
+        in_bucket[name] = Window.partitionBy("_key", "_bucket").orderBy(*sides[1:]).rowsBetween(Window.unboundedPreceding, -1)
         last_of_bucket[name] = (F.min_by if later else F.max_by)("_value", position).alias(f"_edge_{name}")
     carried = (
-        rows.groupBy(*keys, "_bucket")
+        rows.groupBy("_key", "_bucket")
         .agg(*last_of_bucket.values())
         .select(
-            *keys,
+            "_key",
             "_bucket",
             *[F.last(f"_edge_{n}", ignorenulls=True).over(w).alias(f"_carried_{n}") for n, w in along_key.items()],
         )
     )
-    out = join_null_safe(rows, carried, [*keys, "_bucket"])
+    out = rows.join(carried, ["_key", "_bucket"], "left")
     for name, window in in_bucket.items():
         out = out.withColumn(
             name, F.coalesce(F.last("_value", ignorenulls=True).over(window), F.col(f"_carried_{name}"))
         )
-    return out.drop("_bucket", "_value", *[f"_carried_{n}" for n in in_bucket])
+    return out.select(*df.columns, *in_bucket)
 
 
 def trailing_sum(

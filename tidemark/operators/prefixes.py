@@ -42,11 +42,12 @@ def prefix_hits(
     )
     forms = (
         prefixes.where(F.col(prefix) != "")
+        .distinct()
         .withColumn("_form", F.explode(_boundary_forms(F.col(prefix))))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
-    # a key without a closing boundary may meet one list entry through two of its forms
-    return exploded.join(forms, ["_form", "_salt"]).drop("_form", "_salt").distinct()
+    # a key has one character after a prefix, so it meets a list entry through one of its forms at most
+    return exploded.join(forms, ["_form", "_salt"]).drop("_form", "_salt")
 
 
 def longest_prefix(

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import epoch_seconds
-from tidemark.operators.ordered import join_null_safe
+from tidemark.operators.ordered import by_bucket
 from tidemark.operators.scope import bypasses_quota
 
 # Default quotas in KB; -1 switches a quota off.
@@ -46,34 +45,33 @@ def running_quota(
     any launch saw. Sum, launch count and that greatest total are all taken within (server, time bucket) in
     one pass, and one summary row per bucket carries them along the server.
     """
-    rows = df.withColumns(
+    rows = by_bucket(df, [server], ts, bucket_seconds).withColumns(
         {
-            "_bucket": F.floor(epoch_seconds(ts) / bucket_seconds),
             "_bytes": success_bytes(status, size),
             "_launch": F.coalesce(F.col(is_launch).cast("int"), F.lit(0)),
         }
     )
-    so_far = Window.partitionBy(server, "_bucket").orderBy(ts, row_id).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("_key", "_bucket").orderBy(ts, row_id).rowsBetween(Window.unboundedPreceding, 0)
     inside = (
         rows.withColumn("_sum", F.sum("_bytes").over(so_far) - F.col("_bytes"))
         .withColumn("_launches", F.sum("_launch").over(so_far))
         .withColumn("_base", F.max(F.when(F.col("_launch") == 1, F.col("_sum"))).over(so_far))
     )
-    earlier = Window.partitionBy(server).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        inside.groupBy(server, "_bucket")
+        inside.groupBy("_key", "_bucket")
         .agg(F.sum("_bytes").alias("_b"), F.sum("_launch").alias("_n"), F.max("_base").alias("_m"))
         .withColumn("_sum0", F.coalesce(F.sum("_b").over(earlier), F.lit(0)))
         .withColumn("_launches0", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .withColumn("_base0", F.coalesce(F.max(F.col("_sum0") + F.col("_m")).over(earlier), F.lit(0)))
-        .select(server, "_bucket", "_sum0", "_launches0", "_base0")
+        .select("_key", "_bucket", "_sum0", "_launches0", "_base0")
     )
     base = F.coalesce(F.col("_sum0") + F.col("_base"), F.col("_base0"))
     used = (
-        join_null_safe(inside, carried, [server, "_bucket"])
+        inside.join(carried, ["_key", "_bucket"], "left")
         .withColumn("launch_no", F.col("_launches0") + F.col("_launches"))
         .withColumn("used_bytes", F.col("_sum0") + F.col("_sum") - base)
-        .drop("_bucket", "_bytes", "_launch", "_sum", "_launches", "_base", "_sum0", "_launches0", "_base0")
+        .select(*df.columns, "launch_no", "used_bytes")
     )
     full = F.lit(False) if max_kb < 0 else F.col("used_bytes") >= F.lit(max_kb * 1024)
     return used.withColumn("capped", full & ~bypasses_quota(hop_path))
