@@ -156,3 +156,11 @@ def test_collection_pages_hold_every_member_once(spark):
         mine = sorted((r["page"], [m["target_id"] for m in json.loads(r["members"])]) for r in pages if r["collection_id"] == c)
         listed = [i for _, ids in mine for i in ids]
         assert listed == sorted(i for i in range(0, 250_000, 997) if i % 2 == c)
+
+
+def test_rank_by_range_equals_a_plain_window(spark):
+    """One key has nearly all rows; ranks run through without gaps over all ranges."""
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 50 = 0 THEN 'cold' ELSE 'hot' END AS key", "md5(cast(id % 700 AS string)) AS name")
+    got = ordered.rank_by_range(df, ["key"], ["name", "id"], "rank")
+    plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("name", "id")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))

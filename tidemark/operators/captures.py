@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import EARLIEST_TS14, LATEST_TS14, epoch_micros, epoch_seconds, from_ts14
-from tidemark.operators.ordered import nearest_value
+from tidemark.operators.ordered import nearest_value, rank_by_range
+from tidemark.operators.prefixes import prefix_hits
 
 YEAR_SECONDS = 31_536_000
 
@@ -154,19 +155,24 @@ def apply_aliases(df: DataFrame, key: str, aliases: DataFrame, old: str, new: st
     return df.join(one, key, "left").withColumn(out, F.coalesce("_new", key)).drop("_new")
 
 
-def scan_from(captures: DataFrame, key: str, ts14: str, prefixes: DataFrame, prefix: str, from_ts14: str, limit: int,
-              capture_id: str) -> DataFrame:
+def scan_from(
+    captures: DataFrame,
+    key: str,
+    ts14: str,
+    prefixes: DataFrame,
+    prefix: str,
+    from_ts14: str,
+    limit: int,
+    capture_id: str,
+) -> DataFrame:
     """Captures under any listed prefix from a time on, at most ``limit`` per prefix (the scan's own cap), in key order.
 
-    14-digit times compare as text. The row limit keeps ``limit`` rows per prefix in every task
-    before any shuffle.
+    14-digit times compare as text. The cap may be millions and one prefix may cover most captures, so rows are
+    ranked by sorted ranges rather than in one window per prefix.
     """
-    from tidemark.operators.prefixes import prefix_hits
-
     recent = captures.where(F.col(ts14) >= from_ts14)
-    hits = prefix_hits(recent, key, prefixes.select(prefix), prefix)
-    order = Window.partitionBy(prefix).orderBy(key, ts14, capture_id)
-    return recent.join(hits, key).withColumn("scan_no", F.row_number().over(order)).where(F.col("scan_no") <= limit)
+    hits = recent.join(prefix_hits(recent, key, prefixes.select(prefix), prefix), key)
+    return rank_by_range(hits, [prefix], [key, ts14, capture_id], "scan_no").where(F.col("scan_no") <= limit)
 
 
 def deletion_profile(captures: DataFrame, by: Sequence[str], ts: str, key: str) -> DataFrame:

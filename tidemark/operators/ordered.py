@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import epoch_seconds
+from tidemark.session import use_checkpoints
 
 HOUR = 3600
 # bucket of rows without a time: before all others
@@ -124,3 +125,26 @@ def trailing_sum(
         .where(F.col("_home") == F.col("_bucket"))
         .drop("_home", "_bucket")
     )
+
+
+def rank_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: 1, 2, ... within a key by any total order, also where one key has very many rows.
+
+    Rows are laid out in sorted ranges, written once to the checkpoint folder so that ranges cannot shift, numbered
+    inside each range, and lifted by the key's row count in the ranges before.
+    """
+    use_checkpoints(df.sparkSession)
+    keys, order = list(keys), list(order)
+    laid_out = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        laid_out.groupBy(*keys, "_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    )
+    in_range = Window.partitionBy(*keys, "_range").orderBy(*order)
+    return (
+        laid_out.join(offsets, [*keys, "_range"])
+        .withColumn(out, F.col("_offset") + F.row_number().over(in_range))
+        .select(*df.columns, out)
+    )

@@ -268,7 +268,7 @@ _SCAN_PREFIXES = "(VALUES ('uk,co,example,h3)/p/1'), ('uk,co,example,h4)'), ('uk
     "P10 L4",
     f"""
     SELECT surt_prefix, event_id, urlkey, ts14, scan_no FROM (
-      SELECT s.surt_prefix, c.event_id, c.urlkey, c.ts14, CAST(row_number() OVER (PARTITION BY s.surt_prefix ORDER BY c.urlkey, c.ts14, c.event_id) AS INTEGER) AS scan_no
+      SELECT s.surt_prefix, c.event_id, c.urlkey, c.ts14, row_number() OVER (PARTITION BY s.surt_prefix ORDER BY c.urlkey, c.ts14, c.event_id) AS scan_no
       FROM captures c JOIN {_SCAN_PREFIXES} ON {covers('s.surt_prefix', 'c.urlkey')} WHERE c.ts14 >= '20240110000000') WHERE scan_no <= 100
     """,
 )
