@@ -4,28 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash_anchors
+from tidemark.llm import contamination, line_dedup, mixing, simhash_anchors
 from tidemark.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
+# Production mix: half of all tokens, at most two epochs of any source.
+MIX_SHARE = 0.5
+MIX_SEED = 42
+MIX_EPOCHS = 2
+MIX_WEIGHTS = {
+    "domain": {"web": 5, "books": 3, "code": 2},
+    "lang": {"en": 6, "de": 2, "fr": 2},
+    "source": {"src0": 2, "src1": 3, "src2": 3},
+}
 
-def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_anchors.near_copies(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+def domain_of_source(source: Column) -> Column:
+    """Domain of a source by the last digits of its name."""
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d{1,9})$", 1)
+    kind = F.when(number != "", number.cast("long") % 3)
+    return F.when(kind == 0, "web").when(kind == 1, "books").when(kind == 2, "code").otherwise("unknown")
+
+
+def op1_token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sized_documents(table(spark, sf_dir, "documents"), domain_of_source(F.col("source")))
+    return mixing.choose(sized, MIX_SHARE, MIX_WEIGHTS, MIX_SEED, max_epochs=MIX_EPOCHS)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    gone = F.sort_array(F.collect_list(F.when(~F.col("keep"), F.col("line_no"))))
+    return decided.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("keep")).alias("n_removed"), gone.alias("removed_lines")
+    )
 
-    return corpus_pipeline.run(spark, sf_dir)
+
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_anchors.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Run]:
-    return {"op7_simhash_anchors": op7_simhash_anchors}
+    return {
+        "op1_token_mix": op1_token_mix,
+        "op2_fuzzy_lines": op2_fuzzy_lines,
+        "op3_benchmark_leaks": op3_benchmark_leaks,
+        "op7_simhash_anchors": op7_simhash_anchors,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
