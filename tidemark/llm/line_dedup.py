@@ -4,12 +4,16 @@ Lines are compared lower-cased and trimmed; a line of blanks is never compared n
 from the first step on. Two lines are linked if the Jaccard similarity of their sets of 5-character shingles is 0.8
 or more (a shorter line is one shingle).
 
-Signature: the least value, under each of 24 hash orders, among the 12-character shingles that begin at a word
-(in a run without blanks: at every 12th character). Each order is the shingle's 64-bit hash, xor a fixed number. 8 bands of 3
-rows reach a pair at similarity 0.8 with probability 0.997. Candidates of a band are compared with the band's
-least line first. Where all are copies of it, that is all. The rest are compared among themselves, and with the copies only
-if, by the triangle inequality of the Jaccard distance, a link to a copy is possible at all: as pairs where a
-band has few rows left, otherwise by one more least line, so that a band's work never grows with the square of its copies.
+Signature: the least value, under each of 36 hash orders, among the 8-character shingles that begin at a word
+(in a run without blanks: at every 8th character). Each order is the shingle's hash, xor a fixed number. 12 bands of 3
+rows reach a pair whose signature shingles are 0.7 similar with probability 0.994, at 0.8 with 0.9996. Two bits of each of 32 rows
+make a sketch; rows of a band whose sketches agree in under half the places (a similarity of about 0.33, where
+0.7 gives 25 of 32) are not compared further.
+
+The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
+compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
+link to a copy is possible at all: as pairs where a band has few rows left, otherwise by one more least line, so that a
+band's work never grows with the square of its copies.
 
 DataFrame functions only; texts are shuffled for candidates alone.
 """
@@ -25,12 +29,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import broadcast_if_small, components, stored
 
 SHINGLE = 5
-SIGNATURE_SHINGLE = 12
+SIGNATURE_SHINGLE = 8
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 12, 3
 SEED = 7
 # Bands that hold more rows than this after a round are thinned by one more round before they are paired.
-PAIRED_ROWS = 64
+PAIRED_ROWS = 4096
+SKETCH_ROWS = 32
+SKETCH_AGREES = 16
 
 
 def compared(line: Column) -> Column:
@@ -45,16 +51,25 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(h, bands): the band keys of each distinct line."""
+    """(h, bands, sketch): the band keys and the sketch of each distinct line."""
     draw = random.Random(SEED)
-    orders = [draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+    orders = [draw.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
     pattern = rf"(?s)(?=([^ ].{{0,{SIGNATURE_SHINGLE - 1}}}))[^ ]{{1,{SIGNATURE_SHINGLE}}} ?"
     hashed = lines.select("h", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("s")).select(
-        "h", F.xxhash64("s").alias("x")
+        "h", F.hash(F.xxhash64("s")).alias("x")
     )
     minima = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(orders)]
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return hashed.groupBy("h").agg(*minima).select("h", F.array(*keys).alias("bands"))
+    places = [F.shiftleft(F.col(f"m{i}").bitwiseAND(3).cast("long"), 2 * i) for i in range(SKETCH_ROWS)]
+    sketch = reduce(Column.bitwiseOR, places)
+    return hashed.groupBy("h").agg(*minima).select("h", F.array(*keys).alias("bands"), sketch.alias("sketch"))
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether enough two-bit places of two sketches are equal."""
+    differ = F.col(a).bitwiseXOR(F.col(b))
+    differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555).cast("long"))
+    return F.bit_count(differ) <= SKETCH_ROWS - SKETCH_AGREES
 
 
 def _shingles(line: Column) -> Column:
@@ -75,31 +90,38 @@ def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def linked_lines(lines: DataFrame) -> DataFrame:
     """(a, b): links that connect all similar lines. ``lines`` has (h, line), one or more rows per distinct line."""
     signed = stored(_signatures(lines), "signatures")
-    rows = signed.select("h", F.explode("bands").alias("key"))
+    rows = signed.select(F.explode("bands").alias("key"), "h", "sketch")
     shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-bands")
-    members = stored(rows.join(broadcast_if_small(shared), "key").select("key", "h", F.lit(True).alias("open")), "members")
+    members = stored(rows.join(broadcast_if_small(shared), "key").withColumn("open", F.lit(True)), "members")
     wanted = broadcast_if_small(stored(members.select("h").distinct(), "candidates"))
     texts = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
     links = []
     while not members.isEmpty():
-        centre = members.where("open").groupBy("key").agg(F.min("h").alias("a"))
-        spokes = stored(members.join(centre, "key").where("h <> a").select("key", "a", F.col("h").alias("b"), "open"), "spokes")
-        scores = _scored(spokes, texts)
+        centre = members.where("open").groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("c"))
+        spokes = stored(
+            members.join(centre, "key").where("h <> c.h").select(
+                "key", F.col("c.h").alias("a"), F.col("h").alias("b"), "open", "sketch", F.col("c.sketch").alias("sketch_a")
+            ),
+            "spokes",
+        )
+        scores = _scored(spokes.where(_alike("sketch", "sketch_a")), texts)
         links.append(scores.where(F.col("score") >= SIMILARITY).select("a", "b"))
-        met = spokes.join(scores, ["a", "b"]).select(
-            "key", F.col("b").alias("h"), (F.col("open") & (F.col("score") < SIMILARITY)).alias("open"), "score"
+        met = spokes.join(scores, ["a", "b"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        met = met.select(
+            "key", F.col("b").alias("h"), "sketch", (F.col("open") & (F.col("score") < SIMILARITY)).alias("open"), "score"
         )
         # Open lines are linked to no centre yet. A line that is linked matters only to open lines it can still reach:
         # by the triangle inequality their scores with the same centre differ by 0.2 at most.
         still = met.where("open").groupBy("key").agg(F.max("score").alias("best"))
         met = met.join(still, "key").where(F.col("open") | (F.col("score") <= F.col("best") + (1 - SIMILARITY) + 1e-9))
-        met = stored(met.select("key", "h", "open"), "members")
+        met = stored(met.select("key", "h", "sketch", "open"), "members")
         sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         few = met.join(sizes.where(F.col("n") <= PAIRED_ROWS), "key", "left_semi")
-        pairs = few.where("open").select("key", F.col("h").alias("a")).join(
-            few.select("key", F.col("h").alias("b"), F.col("open").alias("other_open")), "key"
+        pairs = few.where("open").select("key", F.col("h").alias("a"), F.col("sketch").alias("sketch_a")).join(
+            few.select("key", F.col("h").alias("b"), "sketch", F.col("open").alias("other_open")), "key"
         )
-        scores = _scored(pairs.where("a < b or (a > b and not other_open)").select("a", "b"), texts)
+        pairs = pairs.where("a < b or (a > b and not other_open)").where(_alike("sketch", "sketch_a"))
+        scores = _scored(pairs, texts)
         links.append(scores.where(F.col("score") >= SIMILARITY).select("a", "b"))
         members = met.join(sizes.where(F.col("n") > PAIRED_ROWS), "key", "left_semi")
     if not links:
