@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, stored
+from tidemark.llm.common import broadcast_if_small, fresh, stored
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -114,5 +114,6 @@ def contained_items(
 
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that contain no item; all columns and rows without a doc_id stay."""
-    leaks = stored(contained_items(docs, items, doc_id, text).select(F.col("doc_id").alias("_leak_id")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(leaks), docs[doc_id] == F.col("_leak_id"), "left_anti")
+    leak_id = fresh("leak_id", docs)
+    leaks = stored(contained_items(docs, items, doc_id, text).select(F.col("doc_id").alias(leak_id)).distinct(), "leaks")
+    return docs.join(broadcast_if_small(leaks), docs[doc_id] == F.col(leak_id), "left_anti")

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, components, stored
+from tidemark.llm.common import broadcast_if_small, components, fresh, stored
 
 SHINGLE = 5
 SIGNATURE_SHINGLE = 8
@@ -158,17 +158,17 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A document that loses every line has an empty text; null texts and rows without a doc_id are unchanged. ``n_chars``, where
     there is such a column, is counted anew for changed texts.
     """
+    gone_id, gone_lines = fresh("gone_id", docs), fresh("gone_lines", docs)
     gone = (
         line_decisions(docs, doc_id, text)
         .where(~F.col("keep"))
-        .groupBy(F.col("doc_id").alias("_gone_id"))
-        .agg(F.collect_set("line_no").alias("_gone"))
+        .groupBy(F.col("doc_id").alias(gone_id))
+        .agg(F.collect_set("line_no").alias(gone_lines))
     )
-    left = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    joined = docs.join(gone, F.col(doc_id) == F.col("_gone_id"), "left")
-    changed = F.col("_gone").isNotNull()
-    new = {text: F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text))}
-    out = joined.withColumns(new)
+    left = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(gone_lines, i))
+    joined = docs.join(gone, F.col(doc_id) == F.col(gone_id), "left")
+    changed = F.col(gone_lines).isNotNull()
+    out = joined.withColumn(text, F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(changed, F.length(text).cast(kind)).otherwise(F.col("n_chars")))

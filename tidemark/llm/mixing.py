@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, broadcast_if_small, stored
+from tidemark.llm.common import WORD, broadcast_if_small, fresh, stored
 
 SLICE_DIGITS = 3
 LEVELS = ("domain", "lang", "source")
@@ -157,3 +157,16 @@ def sized_documents(docs: DataFrame, domain: Column, doc_id: str = "doc_id", tex
         .where("tokens > 0")
         .select("doc_id", "leaf.*", "tokens")
     )
+
+
+def mixed(
+    docs: DataFrame, domain: Column, share: float, weights: dict[str, dict[str, int]], seed: int = 42, max_epochs: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source, ...) that are taken, one per epoch, with ``mix_epoch`` from 0 on.
+
+    A column of that name in ``docs`` stays; the new one then gets underscores before its name.
+    """
+    taken_id, epoch = fresh("taken_id", docs), fresh("mix_epoch", docs)
+    taken = choose(sized_documents(docs, domain), share, weights, seed, max_epochs=max_epochs)
+    taken = taken.select(F.col("doc_id").alias(taken_id), F.col("epoch").alias(epoch))
+    return docs.join(taken, docs["doc_id"] == F.col(taken_id)).select(*docs.columns, epoch)

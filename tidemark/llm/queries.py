@@ -4,35 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, line_dedup, mixing, simhash_anchors
+import corpus_pipeline
+from tidemark.llm import contamination, lang_kernel, line_dedup, mixing, production, simhash_anchors
 from tidemark.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
-# Production mix: half of all tokens, at most two epochs of any source.
-MIX_SHARE = 0.5
-MIX_SEED = 42
-MIX_EPOCHS = 2
-MIX_WEIGHTS = {
-    "domain": {"web": 5, "books": 3, "code": 2},
-    "lang": {"en": 6, "de": 2, "fr": 2},
-    "source": {"src0": 2, "src1": 3, "src2": 3},
-}
-
-
-def domain_of_source(source: Column) -> Column:
-    """Domain of a source by the last digits of its name."""
-    number = F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d{1,9})$", 1)
-    kind = F.when(number != "", number.cast("long") % 3)
-    return F.when(kind == 0, "web").when(kind == 1, "books").when(kind == 2, "code").otherwise("unknown")
-
 
 def op1_token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = mixing.sized_documents(table(spark, sf_dir, "documents"), domain_of_source(F.col("source")))
-    return mixing.choose(sized, MIX_SHARE, MIX_WEIGHTS, MIX_SEED, max_epochs=MIX_EPOCHS)
+    sized = mixing.sized_documents(table(spark, sf_dir, "documents"), production.domain_of_source(F.col("source")))
+    return mixing.choose(sized, production.MIX_SHARE, production.MIX_WEIGHTS, production.MIX_SEED, max_epochs=production.MIX_EPOCHS)
 
 
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +36,26 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lang_kernel.held_out(F.col("doc_id"))
+    model = lang_kernel.train(docs.where(~held).select("doc_id", "text", "lang"))
+    answered = lang_kernel.predict(docs.select("doc_id", "text"), model)
+    return answered.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Run]:
     return {
+        "pipeline": pipeline,
         "op1_token_mix": op1_token_mix,
         "op2_fuzzy_lines": op2_fuzzy_lines,
         "op3_benchmark_leaks": op3_benchmark_leaks,
         "op7_simhash_anchors": op7_simhash_anchors,
+        "op10_string_kernel_language": op10_string_kernel_language,
     }
 
 

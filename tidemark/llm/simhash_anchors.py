@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, stored
+from tidemark.llm.common import broadcast_if_small, components, fresh, stored
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -242,7 +242,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose doc_id is the smallest of its component, all columns kept; rows without a doc_id stay."""
-    kept = near_copies(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    with_id = docs.join(kept, docs[doc_id].cast("long") == F.col("_kept_id"), "left_semi")
-    return with_id.unionByName(docs.where(docs[doc_id].isNull()))
+    """The documents whose doc_id is the smallest of its component, all columns kept.
+
+    Rows without a doc_id stay; rows that share a doc_id are one document and stay or go together.
+    """
+    dropped_id = fresh("dropped_id", docs)
+    ids = near_copies(docs, doc_id, text).groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    dropped = stored(ids.where("doc_id <> least").select(F.col("doc_id").alias(dropped_id)), "copies")
+    return docs.join(broadcast_if_small(dropped), docs[doc_id] == F.col(dropped_id), "left_anti")
