@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import contamination, lang_kernel, line_dedup, mixing, production, simhash_anchors
+from tidemark.llm import (
+    contamination,
+    lang_kernel,
+    line_dedup,
+    line_frequency,
+    mixing,
+    production,
+    pu_quality,
+    secret_scan,
+    simhash_anchors,
+)
 from tidemark.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +46,18 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judged(table(spark, sf_dir, "documents"))
+
+
+def op9_confirmed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = lang_kernel.held_out(F.col("doc_id"))
@@ -54,7 +76,10 @@ def queries() -> dict[str, Run]:
         "op1_token_mix": op1_token_mix,
         "op2_fuzzy_lines": op2_fuzzy_lines,
         "op3_benchmark_leaks": op3_benchmark_leaks,
+        "op5_pu_quality": op5_pu_quality,
+        "op6_line_frequency": op6_line_frequency,
         "op7_simhash_anchors": op7_simhash_anchors,
+        "op9_confirmed_secrets": op9_confirmed_secrets,
         "op10_string_kernel_language": op10_string_kernel_language,
     }
 
