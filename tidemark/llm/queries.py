@@ -18,6 +18,7 @@ from tidemark.llm import (
     pu_quality,
     secret_scan,
     simhash_anchors,
+    transcripts,
 )
 from tidemark.llm.common import table
 
@@ -54,6 +55,10 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.recovered(table(spark, sf_dir, "conversations"))
+
+
 def op9_confirmed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Run]:
         "op5_pu_quality": op5_pu_quality,
         "op6_line_frequency": op6_line_frequency,
         "op7_simhash_anchors": op7_simhash_anchors,
+        "op8_transcript_turns": op8_transcript_turns,
         "op9_confirmed_secrets": op9_confirmed_secrets,
         "op10_string_kernel_language": op10_string_kernel_language,
     }
