@@ -16,6 +16,7 @@ from tidemark.llm import (
     mixing,
     production,
     pu_quality,
+    run_index,
     secret_scan,
     simhash_anchors,
     transcripts,
@@ -47,6 +48,10 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Run]:
         "op1_token_mix": op1_token_mix,
         "op2_fuzzy_lines": op2_fuzzy_lines,
         "op3_benchmark_leaks": op3_benchmark_leaks,
+        "op4_run_length_index": op4_run_length_index,
         "op5_pu_quality": op5_pu_quality,
         "op6_line_frequency": op6_line_frequency,
         "op7_simhash_anchors": op7_simhash_anchors,
