@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import shared_dir
 
@@ -17,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Types that fields() knows, by their SQL names.
+_TYPES = {"long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "longs": T.ArrayType(T.LongType())}
+
+
+def fields(listed: str) -> T.StructType:
+    """A struct type from ``name type, ...``; unlike a SQL string it needs no running session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, listed.split(","))])
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import fresh
 
@@ -60,7 +61,7 @@ def presence(text: str | None) -> np.ndarray | None:
     return bits.ravel() if found else None
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed_presence(texts: pd.Series) -> pd.Series:
     rows = (presence(t) for t in texts)
     return pd.Series([None if r is None else np.packbits(r).tobytes() for r in rows], dtype=object)

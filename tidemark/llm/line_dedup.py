@@ -4,11 +4,11 @@ Lines are compared lower-cased and trimmed; a line of blanks is never compared n
 from the first step on. Two lines are linked if the Jaccard similarity of their sets of 5-character shingles is 0.8
 or more (a shorter line is one shingle).
 
-Signature: the least value, under each of 36 hash orders, among the 8-character shingles that begin at a word
-(in a run without blanks: at every 8th character). Each order is the shingle's hash, xor a fixed number. 12 bands of 3
-rows reach a pair whose signature shingles are 0.7 similar with probability 0.994, at 0.8 with 0.9996. Two bits of each of 32 rows
-make a sketch; rows of a band whose sketches agree in under half the places (a similarity of about 0.33, where
-0.7 gives 25 of 32) are not compared further.
+Signature: the least value, under each of 24 hash orders, among the 8-character shingles that begin at a word
+(in a run without blanks: at every 8th character). Each order is the shingle's hash, xor a fixed number. The 24 rows are dealt
+into bands of 4 in three ways, 18 bands in all: of lines whose signature shingles are 0.7 similar 17 rows agree on average, and then some
+band agrees with probability 0.99. Five bits of each row make a sketch; two lines of a band whose sketches agree in fewer than
+9 of 24 places (a similarity of about 0.35) are not compared further.
 
 The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
 compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
@@ -31,12 +31,11 @@ from tidemark.llm.common import broadcast_if_small, components, fresh, stored
 SHINGLE = 5
 SIGNATURE_SHINGLE = 8
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 3
+ROWS, BAND_ROWS, DEALS = 24, 4, 3
 SEED = 7
 # Bands that hold more rows than this after a round are thinned by one more round before they are paired.
 PAIRED_ROWS = 4096
-SKETCH_ROWS = 32
-SKETCH_AGREES = 16
+SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 5, 12, 9
 
 
 def compared(line: Column) -> Column:
@@ -51,25 +50,48 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(h, bands, sketch): the band keys and the sketch of each distinct line."""
+    """(h, m0, m1, ...): the signature of each distinct line."""
     draw = random.Random(SEED)
-    orders = [draw.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
+    orders = [draw.getrandbits(32) - (1 << 31) for _ in range(ROWS)]
     pattern = rf"(?s)(?=([^ ].{{0,{SIGNATURE_SHINGLE - 1}}}))[^ ]{{1,{SIGNATURE_SHINGLE}}} ?"
     hashed = lines.select("h", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("s")).select(
         "h", F.hash(F.xxhash64("s")).alias("x")
     )
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(orders)]
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    places = [F.shiftleft(F.col(f"m{i}").bitwiseAND(3).cast("long"), 2 * i) for i in range(SKETCH_ROWS)]
-    sketch = reduce(Column.bitwiseOR, places)
-    return hashed.groupBy("h").agg(*minima).select("h", F.array(*keys).alias("bands"), sketch.alias("sketch"))
+    return hashed.groupBy("h").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(orders)])
+
+
+def _band_keys() -> Column:
+    """Keys of all bands of a signature: its rows dealt into bands in ``DEALS`` ways."""
+    draw = random.Random(SEED + 1)
+    keys = []
+    for _ in range(DEALS):
+        order = draw.sample(range(ROWS), ROWS)
+        for at in range(0, ROWS, BAND_ROWS):
+            keys.append(F.xxhash64(F.lit(len(keys)), *[f"m{i}" for i in sorted(order[at : at + BAND_ROWS])]))
+    return F.array(*keys)
+
+
+def _sketch() -> Column:
+    """The low bits of all rows of a signature, packed into long numbers."""
+    words = []
+    for first in range(0, ROWS, SKETCH_PLACES):
+        places = [
+            F.shiftleft(F.col(f"m{first + i}").bitwiseAND((1 << SKETCH_BITS) - 1).cast("long"), SKETCH_BITS * i)
+            for i in range(SKETCH_PLACES)
+        ]
+        words.append(reduce(Column.bitwiseOR, places).alias(f"k{first // SKETCH_PLACES}"))
+    return F.struct(*words).alias("sketch")
 
 
 def _alike(a: str, b: str) -> Column:
-    """Whether enough two-bit places of two sketches are equal."""
-    differ = F.col(a).bitwiseXOR(F.col(b))
-    differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555).cast("long"))
-    return F.bit_count(differ) <= SKETCH_ROWS - SKETCH_AGREES
+    """Whether enough places of two sketches are equal."""
+    lowest = F.lit(sum(1 << (SKETCH_BITS * i) for i in range(SKETCH_PLACES))).cast("long")
+    unequal = []
+    for word in range(ROWS // SKETCH_PLACES):
+        differ = F.col(f"{a}.k{word}").bitwiseXOR(F.col(f"{b}.k{word}"))
+        folded = reduce(Column.bitwiseOR, [F.shiftrightunsigned(differ, i) for i in range(1, SKETCH_BITS)], differ)
+        unequal.append(F.bit_count(folded.bitwiseAND(lowest)))
+    return reduce(Column.__add__, unequal) <= ROWS - SKETCH_AGREES
 
 
 def _shingles(line: Column) -> Column:
@@ -90,7 +112,7 @@ def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def linked_lines(lines: DataFrame) -> DataFrame:
     """(a, b): links that connect all similar lines. ``lines`` has (h, line), one or more rows per distinct line."""
     signed = stored(_signatures(lines), "signatures")
-    rows = signed.select(F.explode("bands").alias("key"), "h", "sketch")
+    rows = signed.select(F.explode(_band_keys()).alias("key"), "h", _sketch())
     shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-bands")
     members = stored(rows.join(broadcast_if_small(shared), "key").withColumn("open", F.lit(True)), "members")
     wanted = broadcast_if_small(stored(members.select("h").distinct(), "candidates"))

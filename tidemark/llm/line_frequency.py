@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, stored
+from tidemark.llm.common import WORD, fields, stored
 
 MAX_DOCUMENTS = 20
 MIN_LEFT = 0.3
@@ -27,11 +27,10 @@ MIN_WORDS = 10
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 _WORDS = re.compile(WORD)
-_DIGITS = re.compile(r"\d")
+_DIGITS = re.compile(r"[0-9]")
 
-STATS = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " line_hash array<long>, line_words array<long>"
+STATS = fields(
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash longs, line_words longs"
 )
 
 
@@ -79,9 +78,8 @@ def text_statistics(text: str | None) -> tuple:
 
 @F.pandas_udf(STATS)
 def statistics_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = [field.split()[0] for field in STATS.split(", ") for field in [field.strip()]]
     for texts in batches:
-        yield pd.DataFrame([text_statistics(t) for t in texts], columns=names)
+        yield pd.DataFrame([text_statistics(t) for t in texts], columns=STATS.names)
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import WORD, stored
 
@@ -73,7 +74,7 @@ def describe(text: str | None) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def description(texts: pd.Series) -> pd.Series:
     return pd.Series([describe(t) for t in texts], dtype=object)
 

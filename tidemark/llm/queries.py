@@ -22,6 +22,9 @@ from tidemark.llm import (
     transcripts,
 )
 from tidemark.llm.common import table
+from tidemark.llm.oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -94,7 +97,3 @@ def queries() -> dict[str, Run]:
         "op9_confirmed_secrets": op9_confirmed_secrets,
         "op10_string_kernel_language": op10_string_kernel_language,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

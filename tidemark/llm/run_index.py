@@ -29,6 +29,9 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm.common import fields
 
 LENGTH = 50
 MINIMIZER = 10
@@ -305,7 +308,7 @@ def cut(raw: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int]:
     return b"".join(kept), len(low)
 
 
-@F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+@F.pandas_udf(fields("n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 def _summary(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -334,7 +337,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return found.select("doc_id", "s.*")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _left(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
     rows = zip(texts, starts, stops, strict=True)
     raws = ((("" if t is None else t).encode("utf-8", "surrogatepass"), a, b) for t, a, b in rows)

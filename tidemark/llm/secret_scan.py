@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fields
+
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 BASE_KINDS = KINDS[:3]
 MIN_ASSIGNED, MIN_ACCESS, MIN_HEX = 6, 20, 24
@@ -202,7 +204,9 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-@F.pandas_udf("n_assign long, n_access long, n_hex long, n_confirmed long, base_sha256 string, spans string")
+@F.pandas_udf(
+    fields("n_assign long, n_access long, n_hex long, n_confirmed long, base_sha256 string, spans string")
+)
 def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows = []

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import stored
 
@@ -60,7 +61,7 @@ def observe(text: str | None) -> list[int]:
     return out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def observed(texts: pd.Series) -> pd.Series:
     return pd.Series([observe(t) for t in texts], dtype=object)
 
