@@ -89,7 +89,7 @@ def test_line_frequency(spark):
     for i, t, _, _ in rows + AWKWARD:
         if i is not None:
             assert by_id[i][1:7] == plain_statistics(t), i
-    assert all(by_id[i][8] and by_id[300 + i][7] == 31 for i in range(25))  # the body stays
+    assert all(by_id[300 + i][8] and by_id[300 + i][7] == 31 for i in range(25))  # the body stays
     assert not any(by_id[100 + i][8] for i in range(5))  # depleted
     assert by_id[200][8] and by_id[201][8]  # the limit is one host's
     assert line_frequency.judged(docs.limit(0), host="host").collect() == []
