@@ -149,7 +149,7 @@ def test_fuzzy_lines_of_given_documents(spark, small):
 
 @pytest.mark.parametrize("paired", [4096, 2])
 def test_family_of_similar_lines_and_strangers(spark, monkeypatch, paired):
-    monkeypatch.setattr(line_dedup, "PAIRED_ROWS", paired)  # 2: bands are thinned in rounds
+    monkeypatch.setattr(line_dedup, "PAIRED_ROWS", paired)  # 2: bands are split
     base = "all the lines of this family differ in one number only and are otherwise the same text {} for sure"
     rows = [(i, base.format(i), "en", "s") for i in range(60)] + [(100 + i, f"stranger {i * 7919} has {'xyzuvw'[i % 6] * 9} here", "en", "s") for i in range(20)]
     got = decided(frame(spark, rows))

@@ -8,12 +8,12 @@ Signature: the least value, under each of 24 hash orders, among the 8-character
 (in a run without blanks: at every 8th character). Each order is the shingle's hash, xor a fixed number. The 24 rows are dealt
 into bands of 4 in three ways, 18 bands in all: of lines whose signature shingles are 0.7 similar 17 rows agree on average, and then some
 band agrees with probability 0.99. Five bits of each row make a sketch; two lines of a band whose sketches agree in fewer than
-9 of 24 places (a similarity of about 0.35) are not compared further.
+10 of 24 places (a similarity of about 0.4) are not compared further.
 
 The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
 compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
-link to a copy is possible at all: as pairs where a band has few rows left, otherwise by one more least line, so that a
-band's work never grows with the square of its copies.
+link to a copy is possible at all. They are compared as pairs where a band has few rows left; a band with more is split by every
+further band of its lines, and its parts are treated alike. So a band's work never grows with the square of its rows.
 
 DataFrame functions only; texts are shuffled for candidates alone.
 """
@@ -33,9 +33,9 @@ SIGNATURE_SHINGLE = 8
 SIMILARITY = 0.8
 ROWS, BAND_ROWS, DEALS = 24, 4, 3
 SEED = 7
-# Bands that hold more rows than this after a round are thinned by one more round before they are paired.
-PAIRED_ROWS = 4096
-SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 5, 12, 9
+# Bands that hold more rows than this after their copies are linked are split before rows are paired.
+PAIRED_ROWS = 64
+SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 5, 12, 10
 
 
 def compared(line: Column) -> Column:
@@ -96,11 +96,12 @@ def _alike(a: str, b: str) -> Column:
 
 def _shingles(line: Column) -> Column:
     every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every))
+    every = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
+    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
 
 
 def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``score``, the exact Jaccard similarity of the two lines; stored."""
+    """``pairs`` (a, b) with ``score``, the exact Jaccard similarity of the two lines by 64-bit hashes of all shingles; stored."""
     sides = pairs.select("a", "b").distinct()
     for end in ("a", "b"):
         sides = sides.join(texts.select(F.col("h").alias(end), F.col("line").alias(f"line_{end}")), end)
@@ -114,7 +115,8 @@ def linked_lines(lines: DataFrame) -> DataFrame:
     signed = stored(_signatures(lines), "signatures")
     rows = signed.select(F.explode(_band_keys()).alias("key"), "h", _sketch())
     shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-bands")
-    members = stored(rows.join(broadcast_if_small(shared), "key").withColumn("open", F.lit(True)), "members")
+    members = rows.join(broadcast_if_small(shared), "key").withColumns({"used": F.array("key"), "open": F.lit(True)})
+    members = stored(members, "members")
     wanted = broadcast_if_small(stored(members.select("h").distinct(), "candidates"))
     texts = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
     links = []
@@ -122,7 +124,7 @@ def linked_lines(lines: DataFrame) -> DataFrame:
         centre = members.where("open").groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("c"))
         spokes = stored(
             members.join(centre, "key").where("h <> c.h").select(
-                "key", F.col("c.h").alias("a"), F.col("h").alias("b"), "open", "sketch", F.col("c.sketch").alias("sketch_a")
+                "key", "used", F.col("c.h").alias("a"), F.col("h").alias("b"), "open", "sketch", F.col("c.sketch").alias("sketch_a")
             ),
             "spokes",
         )
@@ -130,13 +132,13 @@ def linked_lines(lines: DataFrame) -> DataFrame:
         links.append(scores.where(F.col("score") >= SIMILARITY).select("a", "b"))
         met = spokes.join(scores, ["a", "b"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         met = met.select(
-            "key", F.col("b").alias("h"), "sketch", (F.col("open") & (F.col("score") < SIMILARITY)).alias("open"), "score"
+            "key", "used", F.col("b").alias("h"), "sketch", (F.col("open") & (F.col("score") < SIMILARITY)).alias("open"), "score"
         )
         # Open lines are linked to no centre yet. A line that is linked matters only to open lines it can still reach:
         # by the triangle inequality their scores with the same centre differ by 0.2 at most.
         still = met.where("open").groupBy("key").agg(F.max("score").alias("best"))
         met = met.join(still, "key").where(F.col("open") | (F.col("score") <= F.col("best") + (1 - SIMILARITY) + 1e-9))
-        met = stored(met.select("key", "h", "sketch", "open"), "members")
+        met = stored(met.drop("score", "best"), "members")
         sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         few = met.join(sizes.where(F.col("n") <= PAIRED_ROWS), "key", "left_semi")
         pairs = few.where("open").select("key", F.col("h").alias("a"), F.col("sketch").alias("sketch_a")).join(
@@ -145,7 +147,18 @@ def linked_lines(lines: DataFrame) -> DataFrame:
         pairs = pairs.where("a < b or (a > b and not other_open)").where(_alike("sketch", "sketch_a"))
         scores = _scored(pairs, texts)
         links.append(scores.where(F.col("score") >= SIMILARITY).select("a", "b"))
-        members = met.join(sizes.where(F.col("n") > PAIRED_ROWS), "key", "left_semi")
+        # the rest: split by one more band
+        many = met.join(sizes.where(F.col("n") > PAIRED_ROWS), "key", "left_semi").join(signed, "h")
+        split = (
+            many.select("h", "sketch", "used", "open", F.explode(_band_keys()).alias("more"))
+            .where(~F.array_contains("used", F.col("more")))
+            .withColumn("used", F.array_sort(F.array_append("used", F.col("more"))))
+            .groupBy(F.xxhash64("used").alias("key"), "used", "h", "sketch")
+            .agg(F.bool_or("open").alias("open"))
+        )
+        split = stored(split, "split")
+        live = split.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("some")).where("n > 1 and some")
+        members = stored(split.join(live, "key", "left_semi"), "members")
     if not links:
         return lines.select(F.col("h").alias("a"), F.col("h").alias("b")).where(F.lit(False))
     return reduce(DataFrame.unionByName, links)
