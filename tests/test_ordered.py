@@ -131,17 +131,36 @@ def test_store_classes_are_disjoint_and_complete(spark):
     assert {r["path"] for r in tracking.compare_stores(a, b, "path", "sum").collect()} == {"p1", "p2", "p3"}
 
 
-def test_taxonomy_with_two_paths_and_a_loop(spark):
-    import pytest
+def test_only_one_present_and_equal_checksum_is_a_match(spark):
+    a = spark.createDataFrame([("none", None), ("half", "x"), ("torn", "x"), ("torn", "y"), ("ok", "x"), ("ok", "x")], "path string, sum string")
+    b = spark.createDataFrame([("none", None), ("half", None), ("half", "x"), ("torn", "y"), ("ok", "x")], "path string, sum string")
+    got = {r["path"]: r["result"] for r in tracking.compare_stores(a, b, "path", "sum").collect()}
+    assert got == {"none": "unknown", "half": "unknown", "torn": "differ", "ok": "match"}
+
+
+def test_revisits_keep_every_row_and_see_earlier_batches(spark):
+    from tidemark.operators.captures import mark_revisits
+
+    schema = "u string, d string, ts int, id int"
+    now = spark.createDataFrame([("a", "x", 5, 1), ("a", "x", 6, 2), ("a", None, 5, 3), ("a", None, 7, 4), (None, "x", 5, 5), ("b", "x", 5, 6)], schema)
+    before = spark.createDataFrame([("a", "x", 3, 9), ("b", "x", 8, 8), ("a", None, 1, 7)], schema)
+    got = {r["id"]: (r["record_type"], r["refers_to"]) for r in mark_revisits(now, ["u", "d"], "ts", "id", before).collect()}
+    one = ("response", None)
+    assert got == {1: ("revisit", 9), 2: ("revisit", 9), 3: one, 4: one, 5: one, 6: one}
 
+
+def test_taxonomy_with_two_paths_and_a_loop(spark):
     from tidemark.operators.curation import taxonomy_ancestors
 
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", None)], "child string, parent string")
     got = sorted(tuple(r) for r in taxonomy_ancestors(edges, "child", "parent").collect())
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("b", "b", 0), ("b", "c", 1), ("c", "c", 0), ("d", "d", 0)]
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")
-    with pytest.raises(ValueError):
-        taxonomy_ancestors(loop, "child", "parent", max_levels=3)
+    assert sorted(tuple(r) for r in taxonomy_ancestors(loop, "child", "parent").collect()) == [
+        ("a", "a", 0), ("a", "b", 1), ("b", "a", 1), ("b", "b", 0),
+    ]
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(25)], "child string, parent string")
+    assert taxonomy_ancestors(chain, "child", "parent").where("node = 'n00'").count() == 26
 
 
 def test_collection_pages_hold_every_member_once(spark):

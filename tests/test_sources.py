@@ -45,7 +45,10 @@ def test_listing(spark):
             "-rw-r--r--   3 access supergr",
         )
     ).collect()
-    assert [(r["size"], r["file_path"], r["modified_at"]) for r in got] == [
+    assert [r["_corrupt"] for r in got if r["file_path"] is None] == [
+        "lsr: DEPRECATED: Please use 'ls -R' instead.", "-rw-r--r--   3 access supergr",
+    ]
+    assert [(r["size"], r["file_path"], r["modified_at"]) for r in got if r["_corrupt"] is None] == [
         (1006632, "/heritrix/output/j/20230101000000/logs/crawl log", datetime(2023, 1, 2, 3, 4))
     ]
 
@@ -56,6 +59,8 @@ def test_capture_index_lines(spark):
         + " - - 681 1024 /heritrix/output/frequent-npld/20230101000000/warcs/ARC-NPLD-20230101000000000-00001-80~host~8443.warc.gz"
     )
     back = listings.parse_index_lines(lines(spark, text, " CDX N b a", "x y"))
+    assert [r["_corrupt"] for r in back.where("urlkey IS NULL").collect()] == ["x y"]
+    back = back.where("_corrupt IS NULL").drop("_corrupt")
     row = back.first()
     assert back.count() == 1 and row["redirect"] is None and row["offset"] == 1024 and row["status"] == 301
     assert listings.index_lines(back).first()["value"] == text

@@ -1,3 +1,4 @@
+import re
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -88,6 +89,25 @@ def test_near_copies_share_a_group(spark):
     assert groups == {1: 1, 2: 1, 3: 1, 4: 4, 6: 6}
 
 
+def test_no_group_without_similarity(spark, small):
+    """Documents that share a band by chance are not linked: every group hangs together by pairs of real overlap."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r["doc_id"]: textindex_words(r["text"]) for r in docs.collect()}
+    groups = {}
+    for r in textindex.near_copy_groups(textindex.fingerprints(docs, "doc_id", "text"), "doc_id").collect():
+        groups.setdefault(r["group"], []).append(r["doc_id"])
+    assert any(len(g) > 1 for g in groups.values())
+    for members in groups.values():
+        for doc in members:
+            others = [texts[o] for o in members if o != doc]
+            assert not others or max(len(texts[doc] & o) / len(texts[doc] | o) for o in others) >= 0.25
+
+
+def textindex_words(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    return {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+
+
 def test_hash_minima_estimate_jaccard(spark):
     """Equal minima are about as frequent as the texts' shingle overlap."""
     a = [f"w{i}" for i in range(400)]

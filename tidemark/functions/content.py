@@ -18,8 +18,6 @@ ELEMENT = r"<([a-zA-Z][a-zA-Z0-9]*)"
 HREF = r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'#]+)"
 POSTCODE = r"\b([A-Z]{1,2}[0-9][A-Z0-9]? [0-9][A-Z]{2})\b"
 
-MAX_TEXT_CHARS = 2_000_000
-MAX_OUTLINKS = 6_000
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -27,14 +25,15 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def html_text(html: Column | str, max_chars: int = MAX_TEXT_CHARS) -> Column:
-    """Visible text of a page, spaces collapsed, cut at the index's own text limit."""
+def html_text(html: Column | str, max_chars: int | None = None) -> Column:
+    """Visible text of a page, spaces collapsed; whole unless the caller gives an index's own text limit."""
     out = _col(html)
     for pattern in (COMMENTS, SCRIPTS, STYLES, TAGS):
         out = F.regexp_replace(out, pattern, " ")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.left(F.trim(F.regexp_replace(out, SPACES, " ")), F.lit(max_chars))
+    out = F.trim(F.regexp_replace(out, SPACES, " "))
+    return out if max_chars is None else F.left(out, F.lit(max_chars))
 
 
 def elements_used(html: Column | str) -> Column:
@@ -46,10 +45,12 @@ def postcodes(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(POSTCODE), F.lit(1))))
 
 
-def outlinks(html: Column | str, url: Column | str, max_links: int = MAX_OUTLINKS) -> Column:
-    """Absolute anchor targets: the first ``max_links`` links, relative ones resolved against the page."""
+def outlinks(html: Column | str, url: Column | str, max_links: int | None = None) -> Column:
+    """Absolute anchor targets, relative ones resolved against the page; the first ``max_links`` if the caller sets a limit."""
     url = _col(url)
-    links = F.slice(F.regexp_extract_all(_col(html), F.lit(HREF), F.lit(1)), 1, max_links)
+    links = F.regexp_extract_all(_col(html), F.lit(HREF), F.lit(1))
+    if max_links is not None:
+        links = F.slice(links, 1, max_links)
     root = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     base = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     page = F.struct(
@@ -70,7 +71,7 @@ def outlinks(html: Column | str, url: Column | str, max_links: int = MAX_OUTLINK
     return F.filter(resolved, lambda link: link.rlike(r"(?i)^https?://"))
 
 
-def outlink_hosts(html: Column | str, url: Column | str, max_links: int = MAX_OUTLINKS) -> Column:
+def outlink_hosts(html: Column | str, url: Column | str, max_links: int | None = None) -> Column:
     return F.array_sort(F.array_distinct(F.transform(outlinks(html, url, max_links), lambda link: url_host(link))))
 
 

@@ -39,7 +39,7 @@ def has_annotation(annotations: Column | str, value: str) -> Column:
 def annotation_value(annotations: Column | str, prefix: str) -> Column:
     """Text after ``prefix`` in the first annotation that starts with it."""
     hit = F.get(F.filter(_col(annotations), lambda a: a.startswith(prefix)), F.lit(0))
-    return F.substring(hit, len(prefix) + 1, 1_000_000)
+    return F.substr(hit, F.lit(len(prefix) + 1))
 
 
 def any_annotation_matches(annotations: Column | str, pattern: str) -> Column:

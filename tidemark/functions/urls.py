@@ -12,19 +12,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The lead of a web URL, and the session parameters that do not identify a resource.
-# A leading scheme, userinfo and ``www[n].`` go in one step, all session forms in another.
+# A leading scheme, userinfo and ``www[n].`` go in one step, all session forms in another (one step each keeps generated code
+# small). No form takes the separator before it, so neighbours are all found, and a form may have others inside it:
+# a second pass finds nothing.
 SCHEME = r"^[a-z][a-z0-9+.\-]*://"
 LEAD = r"^(https?://)(?:[^/?#@]*@)?(?:www[0-9]*\.)?"
+_PATH_SESSION = r";jsessionid=[0-9a-z]{32}"
+_PARAMETER = rf"(?:(?:jsessionid|phpsessid|sid)=[0-9a-z]{{32}}|aspsessionid[a-z]{{8}}=[a-z]{{24}})(?:{_PATH_SESSION})*"
 SESSION = (
-    r";jsessionid=[0-9a-z]{32}"
-    r"|([?&])(?:(?:jsessionid|phpsessid|sid)=[0-9a-z]{32}|aspsessionid[a-z]{8}=[a-z]{24}"
-    r"|cfid=[0-9]+&cftoken=[0-9a-z\-]+)(?:&|$)"
+    rf"{_PATH_SESSION}|(?<=[?&])(?:{_PARAMETER}"
+    rf"|cfid=[0-9]+(?:{_PATH_SESSION})*&(?:{_PARAMETER}&)*cftoken=[0-9a-z\-]+(?:{_PATH_SESSION})*)(?:&|$)"
 )
 
 # Second-level labels under which names are registered (a short list; pass your own).
 SECOND_LEVEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "sch.uk", "nhs.uk")
 
 SURT_BOUNDARIES = ",)/?"
+# a port in the authority part of a key
+KEY_PORT = r"^([^:)]*):[0-9]+\)"
 
 
 def _col(value: Column | str) -> Column:
@@ -40,7 +45,7 @@ def canonical_url(url: Column | str) -> Column:
     """Lower case, no userinfo, no ``www[n].``, no session ids, no empty query, no fragment."""
     out = F.substring_index(F.lower(F.trim(_col(url))), "#", 1)
     out = F.regexp_replace(out, LEAD, "$1")
-    out = F.regexp_replace(out, SESSION, "$1")
+    out = F.regexp_replace(out, SESSION, "")
     return F.rtrim(out, F.lit("?&"))
 
 
@@ -139,15 +144,21 @@ def registered_domain(host: Column | str, suffixes: tuple[str, ...] = SECOND_LEV
 def key_prefixes(key: Column | str) -> Column:
     """Every prefix of a SURT key that ends at a boundary, and the key itself.
 
-    ``uk,co,x)/a/b`` gives ``uk,``, ``uk,co,``, ``uk,co,x)``, ``uk,co,x)/``, ``uk,co,x)/a/`` and the key.
+    ``uk,co,x)/a/b`` gives ``uk,``, ``uk,co,``, ``uk,co,x)``, ``uk,co,x)/``, ``uk,co,x)/a/`` and the key. A key
+    with a port also gives the prefixes of the key without it: a prefix that names no port covers them all.
     """
-    grown = F.aggregate(
-        F.split(_col(key), r"(?<=[,)/?])"),
-        F.array(F.lit("")),
-        lambda seen, piece: F.array_append(seen, F.concat(F.element_at(seen, -1), piece)),
-    )
+
+    def grown(text: Column) -> Column:
+        return F.aggregate(
+            F.split(text, r"(?<=[,)/?])"),
+            F.array(F.lit("")),
+            lambda seen, piece: F.array_append(seen, F.concat(F.element_at(seen, -1), piece)),
+        )
+
+    key = _col(key)
+    both = F.when(key.contains(":"), F.concat(grown(key), grown(F.regexp_replace(key, KEY_PORT, "$1)")))).otherwise(grown(key))
     # the text after a closing boundary is empty and repeats the last prefix
-    return F.array_distinct(F.slice(grown, 2, 1_000_000))
+    return let(both, lambda found: F.array_distinct(F.when(key == "", found).otherwise(F.array_remove(found, ""))))
 
 
 def prefix_line_key(line: Column | str) -> Column:
@@ -157,7 +168,7 @@ def prefix_line_key(line: Column | str) -> Column:
     other line is a host or URL prefix. A bare host covers the host and its subdomains.
     """
     line = F.trim(_col(line))
-    surt = F.regexp_replace(F.lower(F.substring(line, 2, 1_000_000)), r"^https?://\(?|^\(", "")
+    surt = F.regexp_replace(F.lower(F.substr(line, F.lit(2))), r"^https?://\(?|^\(", "")
     bare = F.regexp_replace(F.lower(line), r"^[a-z][a-z0-9+.\-]*://", "")
     is_host = ~bare.rlike(r"[/?]")
     return (

@@ -31,7 +31,7 @@ def track_files(listing_lines: DataFrame, tracked: DataFrame, service: str, seen
 
     Files missing from the listing stay as they are, as a listing may be cut short.
     """
-    files = parse_listing(listing_lines)
+    files = parse_listing(listing_lines).where("file_path IS NOT NULL")
     if under:
         files = files.where(F.col("file_path").startswith(under))
     rows = tracking.parse_paths(files).select(
@@ -50,25 +50,33 @@ class IndexRun:
 
 
 def capture_index(
-    files: DataFrame, marks: DataFrame, records: DataFrame, stream: str, now: datetime, batch_size: int, years: int = 10
+    files: DataFrame,
+    marks: DataFrame,
+    records: DataFrame,
+    stream: str,
+    now: datetime,
+    batch_size: int,
+    years: int = 10,
+    indexed: DataFrame | None = None,
 ) -> IndexRun:
     """Index rows for the newest batch of files of a stream that are not indexed yet, and the marks for them.
 
     ``records`` carries ``file_path`` beside the capture's own columns. A file of any size is read by
-    many tasks; the batch is a list of at most ``batch_size`` file names.
+    many tasks; the batch is a list of at most ``batch_size`` file names. ``indexed`` holds the rows of earlier batches
+    (urlkey, content_digest, ts, event_id), whose captures this batch's may repeat.
     """
     waiting = tracking.unprocessed(
         filters.years_back(files.where(F.col("stream") == stream), "modified_at", now, years), marks, "file_path"
     )
     batch = tracking.next_batch(waiting, "modified_at", "file_path", batch_size).select("file_path")
     # at most batch_size names
-    chosen = records.join(F.broadcast(batch), "file_path", "left_semi")
+    chosen = records.join(batch, "file_path", "left_semi")
     keyed = filters.http_responses(chosen).withColumns({"urlkey": surt_key("url"), "ts14": to_ts14("ts")})
-    rows = capture_ops.mark_revisits(keyed, ["urlkey", "content_digest"], "ts", "event_id")
+    rows = capture_ops.mark_revisits(keyed, ["urlkey", "content_digest"], "ts", "event_id", indexed)
     return IndexRun(
         rows.select(
             "urlkey", "ts14", "url", mime_type("mimetype").alias("mime"), "status_code", "content_digest",
-            "record_type", "refers_to", "size", "event_id", "file_path",
+            "record_type", "refers_to", "size", "event_id", "file_path", "ts",
         ),
         batch.withColumn("marked_for", F.lit(stream)),
     )
@@ -126,8 +134,8 @@ def process_documents(
 
 
 def curated_outputs(targets: DataFrame, now: datetime) -> dict[str, DataFrame]:
-    """The seven exported outputs of the curated data."""
-    keyed = targets.where(F.col("url").rlike(curation.URL_SYNTAX)).withColumn("surt_prefix", surt_key("url"))
+    """The seven exported outputs of the curated data, of every target; bad URLs are reported by the quality checks alone."""
+    keyed = targets.withColumn("surt_prefix", surt_key("url"))
     entry = F.struct(F.col("target_id").alias("id"), "title", F.array("url").alias("seeds"), "frequency", "scope", "depth", "basis")
 
     def lines(feed: DataFrame) -> DataFrame:
@@ -158,10 +166,10 @@ def export_curated(targets: DataFrame, now: datetime, root: str) -> DataFrame:
 # --- transfers and reports -------------------------------------------------------------------
 
 
-def verified_transfer(source: DataFrame, target: DataFrame, day: datetime) -> DataFrame:
-    """Files of the day's window with the result of the comparison; those that match may be removed from the source."""
+def verified_transfer(source: DataFrame, target: DataFrame, day: datetime, checksum: str = "checksum") -> DataFrame:
+    """Files of the day's window with the result of comparing checksums; those that match may be removed from the source."""
     ready = filters.ready_to_move(source, "file_path", "modified_at", day)
-    return tracking.compare_stores(ready, target, "file_path", "size")
+    return tracking.compare_stores(ready, target, "file_path", checksum)
 
 
 def storage_report(stores: dict[str, DataFrame]) -> DataFrame:
@@ -220,13 +228,15 @@ def complaint_follow_up(events: DataFrame, path_pattern: str, start: datetime, e
 def archive_moves(files: DataFrame, launches: DataFrame, path: str, job: str, output_root: str) -> DataFrame:
     """Target path of each loose archive file: the folder of the launch that was running when it was written.
 
+    A file without a target (no time in its name, or older than every launch) has a null path and the reason.
+
     ``launches`` has ``launch_id`` (14 digits). The file's time comes from its name; launches are few and files
     many, so both are laid on one time line and each file takes the last launch before it.
     """
     from tidemark.operators.ordered import nearest_value
 
     name = storage_paths.file_name(path)
-    named = files.select(F.col(path), storage_paths.archive_ts17(name).alias("_ts17")).where("_ts17 IS NOT NULL")
+    named = files.select(F.col(path), storage_paths.archive_ts17(name).alias("_ts17"))
     started = F.try_to_timestamp(F.left("_ts17", F.lit(14)), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
     line = named.select(
         F.lit(job).alias("_job"), started.alias("_at"), F.lit(1).alias("_kind"), F.col(path), F.lit(None).cast("string").alias("launch_id")
@@ -240,9 +250,11 @@ def archive_moves(files: DataFrame, launches: DataFrame, path: str, job: str, ou
         )
     )
     placed = nearest_value(line, ["_job"], ["_at", "_kind", path], F.col("launch_id"), "_launch").where("_kind = 1")
+    target = F.concat(F.lit(f"{output_root}/{job}/"), "_launch", F.lit("/warcs/"), storage_paths.file_name(path))
     return placed.select(
         path,
-        F.concat_ws("/", F.lit(output_root), F.lit(job), "_launch", F.lit("warcs"), storage_paths.file_name(path)).alias("target_path"),
+        F.when(F.col("_at").isNotNull(), target).alias("target_path"),
+        F.when(F.col("_at").isNull(), "no time in the name").when(F.col("_launch").isNull(), "before the first launch").alias("reason"),
     )
 
 

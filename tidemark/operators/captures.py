@@ -108,18 +108,28 @@ def recently_seen(
     )
 
 
-def mark_revisits(captures: DataFrame, keys: Sequence[str], ts: str, capture_id: str) -> DataFrame:
-    """The first capture of each (URL, digest) stays a response; later ones become revisits of it."""
+def mark_revisits(
+    captures: DataFrame, keys: Sequence[str], ts: str, capture_id: str, indexed: DataFrame | None = None
+) -> DataFrame:
+    """The first capture of each (URL, digest) stays a response; later ones become revisits of it.
+
+    ``indexed`` (keys, ts, capture_id) holds captures of earlier batches, which may be the first. Batches may run newest first, so
+    an indexed capture that proves later than one of this batch keeps the type it has. A capture with a missing key part
+    cannot be compared and stays a response.
+    """
     keys = list(keys)
-    first = captures.groupBy(*keys).agg(
-        F.min_by(
-            F.struct(F.col(capture_id).alias("first_id"), F.col(ts).alias("first_ts")), F.struct(ts, capture_id)
-        ).alias("_first")
-    )
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    known = captures.select(*keys, ts, capture_id)
+    if indexed is not None:
+        known = known.unionByName(indexed.select(*keys, ts, capture_id))
+    first = known.where(whole).groupBy(*keys).agg(F.min_by(capture_id, F.struct(ts, capture_id)).alias("_first"))
+    revisit = F.col("_first").isNotNull() & (F.col(capture_id) != F.col("_first"))
     return (
-        captures.join(first, keys)
-        .withColumn("record_type", F.when(F.col(capture_id) == F.col("_first.first_id"), "response").otherwise("revisit"))
-        .withColumn("refers_to", F.when(F.col(capture_id) != F.col("_first.first_id"), F.col("_first.first_id")))
+        captures.join(first, keys, "left")
+        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
+        .withColumn("refers_to", F.when(revisit, F.col("_first")))
         .drop("_first")
     )
 

@@ -110,29 +110,25 @@ def scope_list(seeds: DataFrame, key: str) -> DataFrame:
     return seeds.select(F.concat(F.substring_index(key, ")", 1), F.lit(")")).alias("surt_prefix")).distinct()
 
 
-def taxonomy_ancestors(edges: DataFrame, child: str, parent: str, max_levels: int = 20) -> DataFrame:
+def taxonomy_ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, ancestor, depth) for every node; depth 0 is the node itself, the least depth counts.
 
-    One equality join per level, checkpointed, until no node has a parent further up. A hierarchy deeper than
-    ``max_levels`` (or a loop in it) is an error.
+    One equality join per level, checkpointed, until a level brings no new (node, ancestor) pair; so a hierarchy of any depth is
+    followed, and a loop in it ends by itself.
     """
     use_checkpoints(edges.sparkSession)
     links = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("parent IS NOT NULL").distinct().checkpoint()
     # every edge's child is a node, also one without a parent
     nodes = edges.select(F.col(child).alias("node")).union(links.select("parent")).distinct()
-    found = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    level = links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
-    for depth in range(1, max_levels + 1):
-        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
-        level = (
-            level.join(links, F.col("ancestor") == F.col("child"))
-            .select("node", F.col("parent").alias("ancestor"))
-            .distinct()
-            .checkpoint()
-        )
+    level = nodes.select("node", F.col("node").alias("ancestor")).checkpoint()
+    found, depth = level.withColumn("depth", F.lit(0)), 0
+    while True:
+        depth += 1
+        higher = level.join(links, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
+        level = higher.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").checkpoint()
         if level.isEmpty():
-            return found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-    raise ValueError(f"the hierarchy has a loop or more than {max_levels} levels")
+            return found
+        found = found.unionByName(level.withColumn("depth", F.lit(depth))).checkpoint()
 
 
 # Our rules; the tool that holds the original ones is not public.

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import bucket_start, epoch_seconds, from_epoch_seconds
-
-MAX_BUCKETS = 1_000_000
+from tidemark.session import use_checkpoints
 
 
 def counts_over_time(
@@ -28,24 +27,23 @@ def counts_over_time(
     Without ``start``/``end`` the spine runs over the data's own first and last bucket. ``counted``
     counts only rows where that column is not null.
     """
+    use_checkpoints(df.sparkSession)
     terms = list(terms)
+    # the rows are read once; bounds, terms and zeros come from the counts
     counts = (
         df.groupBy(*terms, bucket_start(ts, seconds).alias("bucket"))
         .agg(F.count(F.col(counted) if counted else F.lit(1)).alias(out))
-        .where(F.col("bucket").isNotNull())
+        .checkpoint()
     )
-    first = F.lit(start).cast("timestamp_ntz") if start else df.select(F.min(ts)).scalar()
-    last = F.lit(end).cast("timestamp_ntz") if end else df.select(F.max(ts)).scalar()
-    lower = epoch_seconds(bucket_start(first, seconds))
-    upper = epoch_seconds(bucket_start(last, seconds))
-    too_long = F.raise_error(F.lit(f"more than {MAX_BUCKETS} time buckets")).cast("array<bigint>")
-    steps = F.when((upper - lower) / seconds > MAX_BUCKETS, too_long).otherwise(
-        F.sequence(lower, upper, F.lit(seconds).cast("bigint"))
+    lower = F.lit(start).cast("timestamp_ntz") if start else counts.select(F.min("bucket")).scalar()
+    upper = F.lit(end).cast("timestamp_ntz") if end else counts.select(F.max("bucket")).scalar()
+    steps = F.sequence(
+        epoch_seconds(bucket_start(lower, seconds)), epoch_seconds(bucket_start(upper, seconds)), F.lit(seconds).cast("bigint")
     )
-    named = df.select(*terms).distinct() if terms else df.sparkSession.range(1).select()
+    named = counts.select(*terms).distinct() if terms else df.sparkSession.range(1).select()
     spine = named.withColumn("_at", F.explode(steps)).withColumn("bucket", from_epoch_seconds(F.col("_at"))).drop("_at")
     on = F.lit(True)
-    right = counts.select(*[F.col(c).alias(f"_c_{c}") for c in [*terms, "bucket"]], out)
+    right = counts.where(F.col("bucket").isNotNull()).select(*[F.col(c).alias(f"_c_{c}") for c in [*terms, "bucket"]], out)
     for c in [*terms, "bucket"]:
         on = on & spine[c].eqNullSafe(right[f"_c_{c}"])
     return spine.join(right, on, "left").select(*terms, "bucket", F.coalesce(F.col(out), F.lit(0)).alias(out))
@@ -59,8 +57,7 @@ def top_terms(df: DataFrame, term: str, n: int, out: str = "n") -> DataFrame:
 def top_terms_over_time(df: DataFrame, term: str, n: int, ts: str, seconds: int, **bounds: datetime) -> DataFrame:
     """Counts over time for the ``n`` most frequent terms only."""
     top = top_terms(df.where(F.col(term).isNotNull()), term, n).select(term)
-    # at most n rows, whatever the data
-    return counts_over_time(df.join(F.broadcast(top), term, "left_semi"), ts, seconds, [term], **bounds)
+    return counts_over_time(df.join(top, term, "left_semi"), ts, seconds, [term], **bounds)
 
 
 def status_totals(df: DataFrame, status: str, names: DataFrame, code: str, name: str, counted: str) -> DataFrame:

@@ -46,7 +46,8 @@ def prefix_hits(
         .withColumn("_form", F.explode(_boundary_forms(F.col(prefix))))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
-    # a key has one character after a prefix, so it meets a list entry through one of its forms at most
+    # a key has one character after a prefix, so it meets a list entry through one of its forms at most; of a key with a
+    # port, forms with it and without it differ from the port on
     return exploded.join(forms, ["_form", "_salt"]).drop("_form", "_salt")
 
 

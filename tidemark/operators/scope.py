@@ -43,16 +43,6 @@ EXCLUDE_PATTERNS = (
     r"https?://[^/]+/.well-known/dat",
 )
 
-# Text of which a URL must hold at least one for any pattern above to match, unless it is longer than the length
-# the list allows. Testing this first saves the patterns on nearly all URLs.
-EXCLUDE_HINTS = (
-    "Keywords=", "checkout", "GetSearchResults.php", "index.php", "camcycle.org", "/cart/add/", "jobs.staffs.ac.uk/",
-    "%20%20%20", "/cms/events/calendar/", "ncl.ac.uk", "/catalog/product_compare/", ".bbc.co.uk/iplayer/",
-    "action=buy_now", "mobile_switch=mobile", "twitter.com/", "replytocom=", "/wp-admin/", "/wp-config.php",
-    "/humans", "/sellers", "well-known/",
-)
-EXCLUDE_LENGTH = 512
-
 # Endings of helper files (scripts, styles, images, audio, video, fonts).
 ASSET_EXTENSIONS = (
     "js|css|bmp|gif|jpe?g|[pm]ng|svg|tiff?|ico|web[pm]|aac|aiff?|m3u|m4[av]|midi?|mp[1234acu]|og[agm]|ra?m?|cda|"
@@ -78,29 +68,9 @@ def full_match_any(patterns: Sequence[str]) -> str:
     return "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")$"
 
 
-def is_excluded(
-    url: Column | str,
-    patterns: Sequence[str] = EXCLUDE_PATTERNS,
-    hints: Sequence[str] | None = None,
-    long_from: int | None = None,
-) -> Column:
-    """Some pattern matches the whole URL.
-
-    ``hints`` and ``long_from`` say which URLs can match at all (see :data:`EXCLUDE_HINTS`); they are known for the
-    standard patterns, other patterns are tried on every URL unless hints are given.
-    """
-    url = _col(url)
-    if not patterns:
-        return F.lit(False)
-    if hints is None and tuple(patterns) == EXCLUDE_PATTERNS:
-        hints, long_from = EXCLUDE_HINTS, EXCLUDE_LENGTH
-    matches = url.rlike(full_match_any(patterns))
-    if hints is None:
-        return matches
-    possible = F.length(url) >= long_from if long_from else F.lit(False)
-    for hint in hints:
-        possible = possible | url.contains(hint)
-    return possible & matches
+def is_excluded(url: Column | str, patterns: Sequence[str] = EXCLUDE_PATTERNS) -> Column:
+    """Some pattern matches the whole URL."""
+    return _col(url).rlike(full_match_any(patterns)) if patterns else F.lit(False)
 
 
 def is_helper_asset(url: Column | str) -> Column:

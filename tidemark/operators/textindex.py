@@ -87,28 +87,37 @@ def fingerprints(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return signed.select(doc_id, F.explode(bands).alias("_b")).select(doc_id, "_b.band", "_b.value")
 
 
-def near_copy_groups(prints: DataFrame, doc_id: str, max_rounds: int = 50) -> DataFrame:
-    """(doc, group): documents that share a band value, directly or through others, have one group, its least id.
+def near_copy_groups(prints: DataFrame, doc_id: str, similarity: float = 0.5) -> DataFrame:
+    """(doc, group): documents that are near-copies, directly or through others, have one group, its least id.
 
-    Labels flow between documents and bands as two grouped minima per round, so a band that a third
-    of all documents share costs one partial minimum per task and never a list of pairs. Every
-    round is checkpointed to the shared folder.
+    The documents of a band are compared with the band's least document only: a band that a third of all documents share
+    gives a row per document, never a list of pairs. A shared band is a candidate; a link needs ``similarity`` of all
+    minima to be equal. Groups then spread over the links by grouped minima, checkpointed per round until nothing changes.
     """
     use_checkpoints(prints.sparkSession)
-    member = prints.select(doc_id, F.concat_ws(":", "band", "value").alias("_band")).distinct().checkpoint()
-    label = member.groupBy(doc_id).agg(F.min(doc_id).alias("group"))
-    for _ in range(max_rounds):
-        band_min = member.join(label, doc_id).groupBy("_band").agg(F.min("group").alias("_g"))
-        lowered = member.join(band_min, "_band").groupBy(doc_id).agg(F.min("_g").alias("group"))
-        # follow the label of the label, which shortens long chains
-        leader = lowered.select(F.col(doc_id).alias("group"), F.col("group").alias("_next"))
-        after = (
-            lowered.join(leader, "group", "left")
-            .select(doc_id, F.coalesce("_next", "group").alias("group"))
-            .checkpoint()
+    member = prints.select(F.col(doc_id).alias("_doc"), F.concat_ws(":", "band", "value").alias("_band"))
+    in_order = F.sort_array(F.collect_list(F.struct("band", "value")))
+    minima = F.flatten(F.transform(in_order, lambda b: F.split(b["value"], "-")))
+    signature = prints.groupBy(F.col(doc_id).alias("_doc")).agg(minima.alias("_minima")).checkpoint()
+    least = member.groupBy("_band").agg(F.min("_doc").alias("_least"))
+    pairs = member.join(least, "_band").where("_doc <> _least").select("_least", "_doc").distinct()
+    sides = pairs.join(signature, "_doc").join(
+        signature.select(F.col("_doc").alias("_least"), F.col("_minima").alias("_other")), "_least"
+    )
+    equal = F.size(F.filter(F.zip_with("_minima", "_other", lambda x, y: x == y), lambda same: same))
+    links = sides.where(equal >= similarity * F.size("_minima")).select("_least", "_doc")
+    edges = links.union(links.select("_doc", "_least")).toDF("_from", "_to").checkpoint()
+    label = signature.select("_doc", F.col("_doc").alias("group")).checkpoint()
+    while True:
+        heard = (
+            edges.join(label.select(F.col("_doc").alias("_to"), "group"), "_to").groupBy("_from").agg(F.min("group").alias("_heard"))
         )
-        old = label.select(doc_id, F.col("group").alias("_old"))
-        if after.join(old, doc_id).where(F.col("group") != F.col("_old")).isEmpty():
-            return after
-        label = after
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        lowered = label.join(heard, label["_doc"] == heard["_from"], "left").select(
+            "_doc", F.col("group").alias("_old"), F.least("group", "_heard").alias("group")
+        )
+        # follow the label of the label, which shortens long chains
+        leader = lowered.select(F.col("_doc").alias("_at"), F.col("group").alias("_next"))
+        after = lowered.join(leader, F.col("group") == F.col("_at")).select("_doc", "_old", F.col("_next").alias("group")).checkpoint()
+        if after.where("group <> _old").isEmpty():
+            return after.select(F.col("_doc").alias(doc_id), "group")
+        label = after.select("_doc", "group")

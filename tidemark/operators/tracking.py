@@ -17,17 +17,25 @@ def parse_paths(df: DataFrame, path: str = "file_path") -> DataFrame:
 
 
 def compare_stores(source: DataFrame, target: DataFrame, path: str, checksum: str, one_way: bool = True) -> DataFrame:
-    """(path, result) with ``match``, ``differ``, ``missing`` (in target), ``extra`` (only in target).
+    """(path, result): ``match``, ``differ``, ``unknown``, ``missing`` (in target), ``extra`` (only in target).
 
-    Each side is first reduced to one checksum per path (the greatest); ``one_way`` leaves out extras.
+    A match clears a file for removal, so it needs one checksum on each side, present and equal. A path with a
+    missing checksum on either side is ``unknown``; copies of a path that disagree are ``differ``. ``one_way`` leaves out extras.
     """
-    left = source.groupBy(path).agg(F.max(checksum).alias("_source"), F.lit(True).alias("_in_source"))
-    right = target.groupBy(path).agg(F.max(checksum).alias("_target"), F.lit(True).alias("_in_target"))
+
+    def sums(side: DataFrame, name: str) -> DataFrame:
+        least, greatest = F.min(checksum), F.max(checksum)
+        return side.groupBy(path).agg(
+            F.when(least == greatest, least).alias(f"_{name}"), F.bool_or(F.col(checksum).isNull()).alias(f"_{name}_open")
+        )
+
+    left, right = sums(source, "source"), sums(target, "target")
     both = left.join(right, path, "left" if one_way else "full_outer")
     result = (
-        F.when(F.col("_in_target").isNull(), "missing")
-        .when(F.col("_in_source").isNull(), "extra")
-        .when(F.col("_source").eqNullSafe(F.col("_target")), "match")
+        F.when(F.col("_target_open").isNull(), "missing")
+        .when(F.col("_source_open").isNull(), "extra")
+        .when(F.col("_source_open") | F.col("_target_open"), "unknown")
+        .when(F.col("_source") == F.col("_target"), "match")
         .otherwise("differ")
     )
     return both.select(path, result.alias("result"))

@@ -83,14 +83,16 @@ def recently_seen(t: Tables):
     "revisit_records",
     "J8",
     """
+    WITH c AS (SELECT event_id, urlkey, ts, CASE WHEN event_id % 11 <> 0 THEN content_digest END AS content_digest FROM captures)
     SELECT event_id, urlkey, content_digest,
-     CASE WHEN row_number() OVER w = 1 THEN 'response' ELSE 'revisit' END AS record_type,
-     CASE WHEN row_number() OVER w > 1 THEN first_value(event_id) OVER w END AS refers_to
-    FROM captures WINDOW w AS (PARTITION BY urlkey, content_digest ORDER BY ts, event_id)
+     CASE WHEN content_digest IS NULL OR row_number() OVER w = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+     CASE WHEN content_digest IS NOT NULL AND row_number() OVER w > 1 THEN first_value(event_id) OVER w END AS refers_to
+    FROM c WINDOW w AS (PARTITION BY urlkey, content_digest ORDER BY ts, event_id)
     """,
 )
 def revisit_records(t: Tables):
-    out = ops.mark_revisits(t.captures, ["urlkey", "content_digest"], "ts", "event_id")
+    some_unknown = t.captures.withColumn("content_digest", F.expr("CASE WHEN event_id % 11 <> 0 THEN content_digest END"))
+    out = ops.mark_revisits(some_unknown, ["urlkey", "content_digest"], "ts", "event_id")
     return out.select("event_id", "urlkey", "content_digest", "record_type", "refers_to")
 
 

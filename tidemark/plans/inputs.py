@@ -76,7 +76,8 @@ def topic_messages(t: Tables):
     "file_listing",
     "S5 F22 F9",
     """
-    SELECT file_path, size, modified_at, 'access' AS owner, split_part(file_path, '/', 4) AS job, CAST(3 AS INTEGER) AS replication FROM tracked_file
+    SELECT file_path, size, modified_at, 'access' AS owner, split_part(file_path, '/', 4) AS job, CAST(3 AS INTEGER) AS replication, NULL AS _corrupt FROM tracked_file
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'lsr: error in ' || r_name FROM region
     """,
 )
 def file_listing(t: Tables):
@@ -87,8 +88,9 @@ def file_listing(t: Tables):
     folders = t.tracked_file.select(
         F.concat(F.lit("drwxr-xr-x   - access supergroup            0 "), stamp, F.lit(" "), F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)).alias("value")
     ).distinct()
-    listed = listings.parse_listing(files.unionByName(folders))
-    return tracking.parse_paths(listed).select("file_path", "size", "modified_at", "owner", "job", "replication")
+    broken = t.region.select(F.concat(F.lit("lsr: error in "), "r_name").alias("value"))
+    listed = listings.parse_listing(files.unionByName(folders).unionByName(broken))
+    return tracking.parse_paths(listed).select("file_path", "size", "modified_at", "owner", "job", "replication", "_corrupt")
 
 
 @query(
@@ -96,7 +98,8 @@ def file_listing(t: Tables):
     "S6 F13",
     f"""
     SELECT urlkey, ts14, url, CASE WHEN event_id % 5 <> 0 THEN mimetype END AS mime, CAST(status_code AS BIGINT) AS status, content_digest AS digest, size AS length,
-      event_id AS "offset", CAST(NULL AS VARCHAR) AS redirect FROM captures
+      event_id AS "offset", CAST(NULL AS VARCHAR) AS redirect, NULL AS _corrupt FROM captures
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'cut off ' || r_name FROM region
     """,
 )
 def capture_index_lines(t: Tables):
@@ -106,8 +109,9 @@ def capture_index_lines(t: Tables):
         F.col("size").alias("length"), F.col("event_id").alias("offset"), F.lit("/output/a.warc.gz").alias("filename"),
     )
     header = t.crawl_log.limit(1).select(F.lit(" CDX N b a m s k r M S V g").alias("value"))
-    back = listings.parse_index_lines(listings.index_lines(rows).unionByName(header))
-    return back.select("urlkey", "ts14", "url", "mime", "status", "digest", "length", "offset", "redirect")
+    broken = t.region.select(F.concat(F.lit("cut off "), "r_name").alias("value"))
+    back = listings.parse_index_lines(listings.index_lines(rows).unionByName(header).unionByName(broken))
+    return back.select("urlkey", "ts14", "url", "mime", "status", "digest", "length", "offset", "redirect", "_corrupt")
 
 
 @query(

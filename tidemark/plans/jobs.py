@@ -50,7 +50,8 @@ def track_files(t: Tables):
 
 _INDEX_BATCH = """
     WITH files AS (SELECT host, '/heritrix/output/frequent-npld/20240101000000/warcs/' || host || '.warc.gz' AS file_path, max(ts) AS modified_at FROM crawl_log GROUP BY 1),
-    batch AS (SELECT host, file_path FROM files WHERE host NOT IN ('h1.example.co.uk', 'h2.example.co.uk') ORDER BY modified_at DESC, file_path LIMIT 5)
+    batch AS (SELECT host, file_path FROM files WHERE host NOT IN ('h1.example.co.uk', 'h2.example.co.uk') ORDER BY modified_at DESC, file_path LIMIT 5),
+    next_batch AS (SELECT host, file_path FROM files WHERE host NOT IN ('h1.example.co.uk', 'h2.example.co.uk') AND host NOT IN (SELECT host FROM batch) ORDER BY modified_at DESC, file_path LIMIT 5)
 """
 
 
@@ -58,17 +59,23 @@ _INDEX_BATCH = """
     "capture_index_batch",
     "B2 P7 J5 W7 J8",
     _INDEX_BATCH
-    + """SELECT c.event_id, c.urlkey, c.ts14, b.file_path, c.mimetype AS mime, CASE WHEN row_number() OVER w = 1 THEN 'response' ELSE 'revisit' END AS record_type,
-      CASE WHEN row_number() OVER w > 1 THEN first_value(event_id) OVER w END AS refers_to
-    FROM captures c JOIN batch b USING (host) WINDOW w AS (PARTITION BY c.urlkey, c.content_digest ORDER BY c.ts, c.event_id)""",
+    + """, both_batches AS (SELECT 1 AS run, * FROM batch UNION ALL SELECT 2, host, file_path FROM next_batch),
+    r AS (SELECT run, c.event_id, c.urlkey, c.ts14, file_path, c.mimetype AS mime,
+      first_value(c.event_id) OVER (PARTITION BY c.urlkey, c.content_digest ORDER BY run, c.ts, c.event_id) AS first_of_one, first_value(c.event_id) OVER (PARTITION BY c.urlkey, c.content_digest ORDER BY c.ts, c.event_id) AS first_of_all
+      FROM captures c JOIN both_batches USING (host)),
+    f AS (SELECT *, CASE WHEN run = 1 THEN first_of_one ELSE first_of_all END AS first_id FROM r)
+    SELECT run, event_id, urlkey, ts14, file_path, mime, CASE WHEN event_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN event_id <> first_id THEN first_id END AS refers_to FROM f""",
 )
 def capture_index_batch(t: Tables):
     where = F.concat(F.lit("/heritrix/output/frequent-npld/20240101000000/warcs/"), "host", F.lit(".warc.gz"))
     records = t.crawl_log.withColumn("file_path", where)
     files = records.groupBy("file_path").agg(F.max("ts").alias("modified_at")).withColumn("stream", F.lit("frequent"))
     marks = files.where(F.col("file_path").rlike("/h[12][.]example"))
-    run = jobs.capture_index(files, marks, records, "frequent", datetime(2024, 2, 1), 5)
-    return run.rows.select("event_id", "urlkey", "ts14", "file_path", "mime", "record_type", "refers_to")
+    first = jobs.capture_index(files, marks, records, "frequent", datetime(2024, 2, 1), 5)
+    marks = marks.select("file_path").unionByName(first.marks.select("file_path"))
+    second = jobs.capture_index(files, marks, records, "frequent", datetime(2024, 2, 1), 5, indexed=first.rows)
+    out = ("event_id", "urlkey", "ts14", "file_path", "mime", "record_type", "refers_to")
+    return first.rows.select(F.lit(1).alias("run"), *out).unionByName(second.rows.select(F.lit(2).alias("run"), *out))
 
 
 @query(
@@ -134,14 +141,11 @@ def process_documents(t: Tables):
     return out.select("document_url", "wayback_timestamp", "target_id", "status", "access_url")
 
 
-_VALID = "regexp_matches(url, '^https?://[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+(:[0-9]+)?([/?#].*)?$')"
-
-
 @query(
     "curated_export_counts",
     "B6 K7 K9 A8 K1 K2 K3 K11 P23",
     f"""
-    WITH c AS (SELECT *, {surt('url')} AS k FROM curated WHERE {_VALID}), live AS (SELECT * FROM c WHERE frequency <> 'NEVERCRAWL' AND (end_date IS NULL OR end_date >= TIMESTAMP '2024-01-10'))
+    WITH c AS (SELECT *, {surt('url')} AS k FROM curated), live AS (SELECT * FROM c WHERE frequency <> 'NEVERCRAWL' AND (end_date IS NULL OR end_date >= TIMESTAMP '2024-01-10'))
     SELECT 'feed_npld' AS output, count(*) AS rows FROM live WHERE basis = 'npld' UNION ALL SELECT 'feed_bypm', count(*) FROM live WHERE basis = 'bypm'
     UNION ALL SELECT 'never_crawl', count(DISTINCT k) FROM c WHERE frequency = 'NEVERCRAWL' UNION ALL SELECT 'allows', count(DISTINCT k) FROM c WHERE open_access
     UNION ALL SELECT 'blocks', count(DISTINCT k) FROM c WHERE frequency = 'NEVERCRAWL' UNION ALL SELECT 'annotations', count(*) FROM (SELECT DISTINCT k, collection_id FROM c)
@@ -158,15 +162,18 @@ def curated_export_counts(t: Tables):
     "verified_transfer",
     "B8 P8 J6",
     """
-    WITH s AS (SELECT file_path, max(size) AS size FROM tracked_file WHERE l_orderkey % 10 <> 1 AND modified_at >= TIMESTAMP '1999-03-01' - INTERVAL '2 days' AND modified_at < TIMESTAMP '1999-03-02'
+    WITH s AS (SELECT file_path, list(DISTINCT md5(file_path || size)) AS sums FROM tracked_file WHERE l_orderkey % 10 <> 1 AND modified_at >= TIMESTAMP '1999-03-01' - INTERVAL '2 days' AND modified_at < TIMESTAMP '1999-03-02'
       AND (file_path LIKE '%.warc.gz' OR file_path LIKE '%/crawl.log.cp%') GROUP BY 1),
-    d AS (SELECT file_path, max(CASE WHEN size % 10 = 1 THEN size + 1 ELSE size END) AS size FROM tracked_file WHERE l_orderkey % 10 <> 2 GROUP BY 1)
-    SELECT file_path, CASE WHEN d.size IS NULL THEN 'missing' WHEN d.size = s.size THEN 'match' ELSE 'differ' END AS result FROM s LEFT JOIN d USING (file_path)
+    d AS (SELECT file_path, list(DISTINCT sum) AS sums, count(*) - count(sum) AS open FROM (SELECT file_path, CASE WHEN l_orderkey % 10 = 4 THEN NULL ELSE md5(file_path || size || CASE WHEN size % 10 = 1 THEN 'x' ELSE '' END) END AS sum
+      FROM tracked_file WHERE l_orderkey % 10 <> 2) GROUP BY 1)
+    SELECT file_path, CASE WHEN d.open IS NULL THEN 'missing' WHEN d.open > 0 THEN 'unknown' WHEN len(s.sums) = 1 AND d.sums = s.sums THEN 'match' ELSE 'differ' END AS result FROM s LEFT JOIN d USING (file_path)
     """,
 )
 def verified_transfer(t: Tables):
-    source = t.tracked_file.where("l_orderkey % 10 <> 1")
-    target = t.tracked_file.where("l_orderkey % 10 <> 2").withColumn("size", F.expr("CASE WHEN size % 10 = 1 THEN size + 1 ELSE size END"))
+    files = t.tracked_file.withColumn("checksum", F.md5(F.concat("file_path", "size").cast("binary")))
+    source = files.where("l_orderkey % 10 <> 1")
+    torn = F.md5(F.concat("file_path", "size", F.expr("CASE WHEN size % 10 = 1 THEN 'x' ELSE '' END")).cast("binary"))
+    target = files.where("l_orderkey % 10 <> 2").withColumn("checksum", F.when(F.col("l_orderkey") % 10 != 4, torn))
     return jobs.verified_transfer(source, target, datetime(1999, 3, 1))
 
 
@@ -223,7 +230,9 @@ def complaint_follow_up(t: Tables):
     WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y%m%d') || '101010123' AS ts17 FROM lineitem),
     l AS (SELECT DISTINCT strftime(date_trunc('month', o_orderdate), '%Y%m%d') || '120000' AS launch_id FROM orders),
     n AS (SELECT '/loose/ARC-' || ts17 || '-' || l_orderkey || '-' || l_linenumber || '~w~8443.warc.gz' AS file_path, left(ts17, 14) AS at FROM f)
-    SELECT file_path, concat_ws('/', '/heritrix/output', 'frequent-npld', (SELECT max(launch_id) FROM l WHERE l.launch_id <= n.at), 'warcs', substr(file_path, 8)) AS target_path FROM n
+    SELECT file_path, '/heritrix/output/frequent-npld/' || launch || '/warcs/' || substr(file_path, 8) AS target_path, CASE WHEN launch IS NULL THEN 'before the first launch' END AS reason
+    FROM (SELECT *, (SELECT max(launch_id) FROM l WHERE l.launch_id <= n.at) AS launch FROM n)
+    UNION ALL SELECT '/loose/' || r_name || '.warc.gz', NULL, 'no time in the name' FROM region
     """,
 )
 def archive_moves(t: Tables):
@@ -232,7 +241,7 @@ def archive_moves(t: Tables):
             F.lit("/loose/ARC-"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyyMMdd"), F.lit("101010123-"), "l_orderkey", F.lit("-"), "l_linenumber",
             F.lit("~w~8443.warc.gz"),
         ).alias("file_path")
-    ).distinct()
+    ).distinct().unionByName(t.region.select(F.concat(F.lit("/loose/"), "r_name", F.lit(".warc.gz")).alias("file_path")))
     launches = t.orders.select(
         F.concat(F.date_format(F.date_trunc("month", F.col("o_orderdate")), "yyyyMMdd"), F.lit("120000")).alias("launch_id")
     ).distinct()

@@ -129,29 +129,34 @@ def unprocessed_files(t: Tables):
 
 
 _COMPARE = """
-    WITH s AS (SELECT file_path, max(size) AS size FROM tracked_file WHERE l_orderkey % 10 <> 1 GROUP BY 1),
-    d AS (SELECT file_path, max(CASE WHEN size % 10 = 1 THEN size + 1 ELSE size END) AS size FROM tracked_file WHERE l_orderkey % 10 <> 2 GROUP BY 1),
-    j AS (SELECT coalesce(s.file_path, d.file_path) AS file_path, CASE WHEN d.file_path IS NULL THEN 'missing' WHEN s.file_path IS NULL THEN 'extra'
-      WHEN s.size = d.size THEN 'match' ELSE 'differ' END AS result FROM s FULL JOIN d ON s.file_path = d.file_path)
+    WITH a AS (SELECT file_path, CASE WHEN l_orderkey % 10 <> 3 THEN md5(file_path || size) END AS checksum FROM tracked_file WHERE l_orderkey % 10 <> 1),
+    b AS (SELECT file_path, CASE WHEN l_orderkey % 20 = 4 THEN NULL WHEN l_orderkey % 10 = 5 THEN md5(file_path || size || 'x') ELSE md5(file_path || size) END AS checksum FROM tracked_file WHERE l_orderkey % 10 <> 2
+      UNION ALL SELECT file_path, 'torn' FROM tracked_file WHERE l_orderkey % 10 = 6),
+    s AS (SELECT file_path, list(DISTINCT checksum) AS sums, count(*) - count(checksum) AS open FROM a GROUP BY 1),
+    d AS (SELECT file_path, list(DISTINCT checksum) AS sums, count(*) - count(checksum) AS open FROM b GROUP BY 1),
+    j AS (SELECT coalesce(s.file_path, d.file_path) AS file_path, CASE WHEN d.file_path IS NULL THEN 'missing' WHEN s.file_path IS NULL THEN 'extra' WHEN s.open + d.open > 0 THEN 'unknown'
+      WHEN len(s.sums) = 1 AND s.sums = d.sums THEN 'match' ELSE 'differ' END AS result FROM s FULL JOIN d ON s.file_path = d.file_path)
 """
 
 
 def _two_stores(t: Tables):
-    source = t.tracked_file.where("l_orderkey % 10 <> 1")
-    target = t.tracked_file.where("l_orderkey % 10 <> 2").withColumn(
-        "size", F.expr("CASE WHEN size % 10 = 1 THEN size + 1 ELSE size END")
-    )
-    return source, target
+    """Two stores in which copies are missing, torn (equal size, other content), doubled with another checksum, or unchecked."""
+    files = t.tracked_file.withColumn("checksum", F.md5(F.concat("file_path", "size").cast("binary")))
+    source = files.where("l_orderkey % 10 <> 1").withColumn("checksum", F.expr("CASE WHEN l_orderkey % 10 <> 3 THEN checksum END"))
+    torn = F.md5(F.concat("file_path", "size", F.lit("x")).cast("binary"))
+    held = F.when(F.col("l_orderkey") % 20 == 4, None).when(F.col("l_orderkey") % 10 == 5, torn).otherwise(F.col("checksum"))
+    target = files.where("l_orderkey % 10 <> 2").withColumn("checksum", held)
+    return source, target.unionByName(files.where("l_orderkey % 10 = 6").withColumn("checksum", F.lit("torn")))
 
 
 @query("store_comparison", "J6", _COMPARE + "SELECT file_path, result FROM j")
 def store_comparison(t: Tables):
-    return tracking.compare_stores(*_two_stores(t), "file_path", "size", one_way=False)
+    return tracking.compare_stores(*_two_stores(t), "file_path", "checksum", one_way=False)
 
 
 @query("files_to_move", "J6 B8", _COMPARE + "SELECT file_path FROM j WHERE result = 'match'")
 def files_to_move(t: Tables):
-    checked = tracking.compare_stores(*_two_stores(t), "file_path", "size")
+    checked = tracking.compare_stores(*_two_stores(t), "file_path", "checksum")
     return checked.where("result = 'match'").select("file_path")
 
 
@@ -267,7 +272,7 @@ def newest_files(t: Tables):
     "collection_union",
     "U1 K8",
     """
-    SELECT 'fc2023' AS collection, file_path, size, CAST(NULL AS VARCHAR) AS service FROM tracked_file WHERE l_linenumber % 3 = 1
+    SELECT 'fc2023' AS collection, file_path, size, CAST(NULL AS VARCHAR) AS service FROM tracked_file WHERE l_linenumber % 3 <> 0
     UNION ALL SELECT 'dc2023', file_path, size, service FROM tracked_file WHERE l_linenumber % 3 = 0
     """,
 )
@@ -275,7 +280,7 @@ def collection_union(t: Tables):
     """The alias is a view over the union; readers use its name only."""
     from tidemark.sinks.publish import create_alias
 
-    one = t.tracked_file.where("l_linenumber % 3 = 1").select("file_path", "size")
+    one = t.tracked_file.where("l_linenumber % 3 <> 0").select("file_path", "size")
     two = t.tracked_file.where("l_linenumber % 3 = 0").select("file_path", "size", "service")
     create_alias(t.spark, "captures_all", {"fc2023": one, "dc2023": two})
     return t.spark.table("captures_all").select("collection", "file_path", "size", "service")
@@ -284,11 +289,10 @@ def collection_union(t: Tables):
 @query(
     "stream_union",
     "U2",
-    f"SELECT file_path, {_STREAM} AS stream FROM tracked_file WHERE l_linenumber % 3 <> 2",
+    f"SELECT file_path, {_STREAM} AS stream FROM tracked_file WHERE {_STREAM} IN ('frequent', 'domain', 'webrecorder')",
 )
 def stream_union(t: Tables):
-    files = _files(t).where(F.col("stream").isin("frequent", "domain", "webrecorder"))
-    return files.where("job <> 'frequent-bypm'").select("file_path", "stream")
+    return _files(t).where(F.col("stream").isin("frequent", "domain", "webrecorder")).select("file_path", "stream")
 
 
 @query(

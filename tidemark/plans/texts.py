@@ -134,6 +134,7 @@ _MINIMA = ", ".join(
     "min((x * {} + {}) % {}) AS h{}".format(*textindex.hash_factors(i), textindex.PRIME, i)
     for i in range(textindex.BANDS * textindex.ROWS_PER_BAND)
 )
+_EQUAL = " + ".join(f"CAST(p.h{i} = q.h{i} AS INTEGER)" for i in range(textindex.BANDS * textindex.ROWS_PER_BAND))
 _PRINTS = f"""
     WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) > 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])
@@ -153,9 +154,12 @@ def text_fingerprints(t: Tables):
     "near_copy_groups",
     "F17",
     _PRINTS.replace("WITH w AS", "WITH RECURSIVE w AS")
-    + """, pairs AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM prints a JOIN prints b USING (band, value)),
+    + f""", least AS (SELECT band, value, min(doc_id) AS x FROM prints GROUP BY 1, 2),
+    star AS (SELECT DISTINCT x, doc_id AS y FROM prints JOIN least USING (band, value)),
+    links AS (SELECT x, y FROM star JOIN m p ON p.doc_id = x JOIN m q ON q.doc_id = y WHERE {_EQUAL} >= 8),
+    pairs AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
     reach AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
-    SELECT x AS doc_id, min(y) AS "group" FROM reach GROUP BY 1""",
+    SELECT m.doc_id, least(m.doc_id, coalesce(min(y), m.doc_id)) AS "group" FROM m LEFT JOIN reach ON x = m.doc_id GROUP BY 1""",
 )
 def near_copy_groups(t: Tables):
     return textindex.near_copy_groups(textindex.fingerprints(t.documents, "doc_id", "text"), "doc_id")

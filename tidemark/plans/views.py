@@ -47,7 +47,8 @@ SELECT event_id, ts, concat(CASE event_id % 3 WHEN 0 THEN 'http://www.' WHEN 1 T
   WHEN 3 THEN '/wp-admin/x.php' WHEN 4 THEN '/img/logo.PNG?v=2'
   WHEN 5 THEN concat('/post?replytocom=',user_id) WHEN 6 THEN concat('/doc/',user_id,'.pdf') WHEN 7 THEN '' WHEN 8 THEN '/?'
   WHEN 9 THEN concat('/s;jsessionid=0123456789abcdef0123456789abcdef?q=',user_id) WHEN 10 THEN concat('/',repeat('y',600))
-  WHEN 11 THEN concat('/blog/',user_id % 7,'/') ELSE concat('/p/',event_id % 50,'?b=2&a=1#top') END) AS url,
+  WHEN 11 THEN concat('/blog/',user_id % 7,'/')
+  WHEN 12 THEN concat('/s?sid=',repeat('a1',16),'&phpsessid=',repeat('b2',16),'&cfid=1&cftoken=2-x&q=',event_id % 3) ELSE concat('/p/',event_id % 50,'?b=2&a=1#top') END) AS url,
  CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'L' WHEN 2 THEN 'LLE' WHEN 3 THEN 'LRRRRR' WHEN 4 THEN 'P' WHEN 5 THEN repeat('L',21) ELSE 'R' END AS hop_path
 FROM {events}
 """
@@ -92,8 +93,10 @@ CANONICAL_STEPS = (
     (r"^(https?://)[^/?#@]*@", r"\1"),
     (r"^(https?://)www[0-9]*\.", r"\1"),
     (r";jsessionid=[0-9a-z]{32}", ""),
-    (r"([?&])(?:(?:jsessionid|phpsessid|sid)=[0-9a-z]{32}|aspsessionid[a-z]{8}=[a-z]{24})(?:&|$)", r"\1"),
-    (r"([?&])cfid=[0-9]+&cftoken=[0-9a-z\-]+(?:&|$)", r"\1"),
+    # a step takes the separator that a neighbouring parameter needs, so it is repeated
+    *[(r"([?&])(?:jsessionid|phpsessid|sid)=[0-9a-z]{32}(?:&|$)", r"\1")] * 3,
+    *[(r"([?&])aspsessionid[a-z]{8}=[a-z]{24}(?:&|$)", r"\1")] * 2,
+    *[(r"([?&])cfid=[0-9]+&cftoken=[0-9a-z\-]+(?:&|$)", r"\1")] * 2,
     (r"[?&]+$", ""),
 )
 
@@ -128,10 +131,16 @@ def ts14(ts: str) -> str:
 
 
 def covers(prefix: str, key: str) -> str:
-    return (
-        f"(starts_with({key}, {prefix}) AND (right({prefix}, 1) IN (',', ')', '/', '?') OR {key} = {prefix}"
-        f" OR substr({key}, length({prefix}) + 1, 1) IN (',', ')', '/', '?')))"
-    )
+    """A prefix covers the key itself or the key without its port."""
+
+    def one(key: str) -> str:
+        return (
+            f"(starts_with({key}, {prefix}) AND (right({prefix}, 1) IN (',', ')', '/', '?') OR {key} = {prefix}"
+            f" OR substr({key}, length({prefix}) + 1, 1) IN (',', ')', '/', '?')))"
+        )
+
+    portless = f"regexp_replace({key}, '^([^:)]*):[0-9]+[)]', '\\1)')"
+    return f"({one(key)} OR (contains({key}, ':') AND {one(portless)}))"
 
 
 def page_text(html: str) -> str:
@@ -140,7 +149,7 @@ def page_text(html: str) -> str:
         out = f"regexp_replace({out}, {_q(pattern)}, ' ', 'g')"
     for entity, char in content.ENTITIES:
         out = f"replace({out}, {_q(entity)}, {_q(char)})"
-    return f"left(trim(regexp_replace({out}, {_q(content.SPACES)}, ' ', 'g')), {content.MAX_TEXT_CHARS})"
+    return f"trim(regexp_replace({out}, {_q(content.SPACES)}, ' ', 'g'))"
 
 
 def excluded(url: str) -> str:

@@ -11,11 +11,13 @@ from tidemark.sources.topics import TIME_FORMATS
 
 # Fixed value: a file's line in a recursive listing (permissions, copies, owner, group, size, date, time, path).
 FILE_LINE = r"^[-l][rwxsStT-]{9}[+]?\s+\S+\s+\S+\s+\S+\s+[0-9]+\s+[0-9]{4}-[0-9]{2}-[0-9]{2}\s+[0-9]{2}:[0-9]{2}\s.+$"
+FOLDER_LINE = r"^d[rwxsStT-]{9}[+]?\s"
 LISTING_FIELDS = 8
 
 # The 11 fields of a capture index line.
 INDEX_FIELDS = ("urlkey", "ts14", "url", "mime", "status", "digest", "redirect", "meta", "length", "offset", "filename")
 INDEX_LINE = r"^[^ ]+(?: [^ ]+){10} *$"
+INDEX_HEADER = r"^ ?CDX "
 
 OBJECT_SCHEMA = "key string, size bigint, last_modified timestamp_ntz, storage_class string"
 
@@ -25,13 +27,16 @@ def read_listing(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def parse_listing(lines: DataFrame) -> DataFrame:
-    """One row per file; folders and lines of another form (errors of a partial listing) are left out.
+    """One row per file; folders are left out. Lines of another form (errors of a partial listing) come back in ``_corrupt``.
 
     A file that is missing from a listing may still exist, as a listing may be cut short: never take
     absence for deletion.
     """
     # one pattern decides, one split cuts; the path is the last field and may hold spaces
-    cut = lines.where(F.col("value").rlike(FILE_LINE)).select(F.split("value", r"\s+", LISTING_FIELDS).alias("_p"))
+    good = F.col("value").rlike(FILE_LINE)
+    cut = lines.where((F.trim("value") != "") & ~F.col("value").rlike(FOLDER_LINE)).select(
+        F.when(good, F.split("value", r"\s+", LISTING_FIELDS)).alias("_p"), F.when(~good, F.col("value")).alias("_corrupt")
+    )
     part = [F.get("_p", F.lit(i)) for i in range(LISTING_FIELDS)]
     return cut.select(
         part[0].alias("permissions"),
@@ -41,6 +46,7 @@ def parse_listing(lines: DataFrame) -> DataFrame:
         part[4].cast("bigint").alias("size"),
         F.concat_ws(" ", part[5], part[6]).try_cast("timestamp_ntz").alias("modified_at"),
         part[7].alias("file_path"),
+        "_corrupt",
     )
 
 
@@ -54,14 +60,17 @@ def read_capture_index(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def parse_index_lines(lines: DataFrame) -> DataFrame:
-    """Capture index rows; ``-`` is null. Header and malformed lines (not 11 fields) are left out."""
-    cut = lines.where(F.col("value").rlike(INDEX_LINE)).select(F.split(F.trim("value"), " ").alias("_p"))
+    """Capture index rows; ``-`` is null. Header lines are left out; malformed lines (not 11 fields) come back in ``_corrupt``."""
+    good = F.col("value").rlike(INDEX_LINE)
+    cut = lines.where((F.trim("value") != "") & ~F.col("value").rlike(INDEX_HEADER)).select(
+        F.when(good, F.split(F.trim("value"), " ")).alias("_p"), F.when(~good, F.col("value")).alias("_corrupt")
+    )
     numbers = {"length", "offset", "status"}
     columns = []
     for i, name in enumerate(INDEX_FIELDS):
         value = dash_to_null(F.get("_p", F.lit(i)))
         columns.append((value.try_cast("bigint") if name in numbers else value).alias(name))
-    return cut.select(*columns)
+    return cut.select(*columns, "_corrupt")
 
 
 def index_lines(df: DataFrame) -> DataFrame:

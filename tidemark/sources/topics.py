@@ -20,13 +20,18 @@ TIME_FORMATS = {
 }
 
 
-def read_options(brokers: str, topic: str, from_start: bool = True, max_offsets: int | None = None) -> dict[str, str]:
-    """Options of a topic reader; ``from_start`` seeks to the beginning on the first run."""
+def read_options(
+    brokers: str, topic: str, from_start: bool = True, max_offsets: int | None = None, fail_on_data_loss: bool = True
+) -> dict[str, str]:
+    """Options of a topic reader; ``from_start`` seeks to the beginning on the first run.
+
+    Offsets that retention has removed fail the query, unless the caller accepts their loss.
+    """
     options = {
         "kafka.bootstrap.servers": brokers,
         "subscribe": topic,
         "startingOffsets": "earliest" if from_start else "latest",
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if max_offsets:
         options["maxOffsetsPerTrigger"] = str(max_offsets)
