@@ -36,7 +36,11 @@ from tidemark.llm.common import fields
 LENGTH = 50
 MINIMIZER = 10
 SPAN = LENGTH - MINIMIZER + 1
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
+PACKED_AT_ONCE = 64 << 20
+PACKING_LEVEL = 9
+# Buckets per shuffle partition: a task works on one bucket after the other.
+BUCKETS_PER_TASK = 8
 SORTED_AT_ONCE = 500_000
 _PLACE_BITS = np.uint64(24)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -100,7 +104,7 @@ def _same(content: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([a.nbytes for a in arrays], dtype="<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=PACKING_LEVEL).compress(sizes + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -110,68 +114,91 @@ def _unpack(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return [np.frombuffer(raw[end - size : end], dtype=kind) for end, size, kind in zip(ends, sizes, kinds, strict=True)]
 
 
-KINDS = ("u1", "u1", "u1", "<i8", "<i4", "<u4", "<u4", "<u4")
-
-
-def _packed_rows(texts: list[bytes], ids: list[int], tags: list[int], offsets: list[int], buckets: int) -> Iterator[dict]:
-    """Pieces of some texts, packed per bucket with the documents and places where they occur."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    stops = np.cumsum([len(t) for t in texts])
-    if len(data) < LENGTH:
-        return
-    starts, sizes, place, hashes = _pieces(data, stops)
-    bucket = (hashes % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    starts, sizes, place, bucket = starts[order], sizes[order], place[order], bucket[order]
-    owner = np.searchsorted(stops, starts, side="right")
-    at = starts - (stops - np.diff(np.r_[0, stops]))[owner] + np.array(offsets)[owner]
-    ids_of, tags_of = np.array(ids, dtype="<i8"), np.array(tags, dtype="<i4")
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        part = slice(low, high)
-        content = data[_ragged(starts[part], sizes[part])]
-        one, number = _same(content, sizes[part])
-        which = owner[part]
-        docs, doc = np.unique(which, return_inverse=True)
-        blob = _pack(
-            data[_ragged(starts[part][one], sizes[part][one])], sizes[part][one].astype("u1"), place[part][one].astype("u1"),
-            ids_of[docs], tags_of[docs], number.astype("<u4"), doc.astype("<u4"), at[part].astype("<u4"),
-        )
-        yield {"bucket": int(bucket[low]), "pieces": blob}
+# content, size and place of the minimizer of each different piece; ids and tags of documents; then for each occurrence the piece,
+# the document and the place in it, as steps from the one before
+KINDS = ("u1", "u1", "u1", "<i8", "<i4", "<i4", "<i4", "<i4")
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values.astype("<i8"), prepend=0).astype("<i4")
+
+
+class _Packer:
+    """Collects the pieces of some texts per bucket and packs them when enough are held."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.held: dict[int, list] = {}
+        self.size = 0
+
+    def add(self, texts: list[bytes], ids: list[int], tags: list[int], offsets: list[int]) -> None:
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        stops = np.cumsum([len(t) for t in texts])
+        starts, sizes, place, hashes = _pieces(data, stops)
+        bucket = (hashes % _U(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        starts, sizes, place, bucket = starts[order], sizes[order], place[order], bucket[order]
+        owner = np.searchsorted(stops, starts, side="right")
+        at = starts - (stops - np.diff(np.r_[0, stops]))[owner] + np.array(offsets)[owner]
+        ids_of, tags_of = np.array(ids, dtype="<i8"), np.array(tags, dtype="<i4")
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            part = slice(low, high)
+            content = data[_ragged(starts[part], sizes[part])]
+            which = owner[part]
+            row = (content, sizes[part], place[part].astype("u1"), ids_of[which], tags_of[which], at[part])
+            self.held.setdefault(int(bucket[low]), []).append(row)
+            self.size += len(content)
+
+    def rows(self) -> pd.DataFrame:
+        out = []
+        for bucket, parts in self.held.items():
+            content, sizes, place, ids, tags, at = (np.concatenate(columns) for columns in zip(*parts, strict=True))
+            one, number = _same(content, sizes)
+            # different pieces in the order in which they first occur, so that steps are small
+            order = np.argsort(one)
+            rank = np.empty(len(one), dtype=np.int64)
+            rank[order] = np.arange(len(one))
+            one, number = one[order], rank[number]
+            docs = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+            doc = np.zeros(len(ids), dtype=np.int64)
+            doc[docs[1:]] = 1
+            starts = np.cumsum(sizes) - sizes
+            blob = _pack(
+                content[_ragged(starts[one], sizes[one])], sizes[one].astype("u1"), place[one],
+                ids[docs], tags[docs], _steps(number), _steps(np.cumsum(doc)), _steps(at),
+            )
+            out.append((bucket, blob))
+        self.held, self.size = {}, 0
+        return pd.DataFrame(out, columns=["bucket", "pieces"])
 
 
 def _packer(buckets: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts: list[bytes] = []
-        ids: list[int] = []
-        tags: list[int] = []
-        offsets: list[int] = []
+        packer = _Packer(buckets)
+        cuts: list[tuple[bytes, int, int, int]] = []
         held = 0
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame(list(_packed_rows(texts, ids, tags, offsets, buckets)), columns=["bucket", "pieces"])
-            for part in (texts, ids, tags, offsets):
-                part.clear()
-            return out
+        def take() -> None:
+            nonlocal cuts, held
+            if cuts:
+                packer.add(*map(list, zip(*cuts, strict=True)))
+            cuts, held = [], 0
 
         for batch in batches:
             for doc_id, tag, text in zip(batch["doc_id"], batch["tag"], batch["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 # a long text is cut so that every string lies whole in one cut
-                for offset in range(0, max(1, len(raw) - LENGTH + 1), BYTES_AT_ONCE):
-                    cut = raw[offset : offset + BYTES_AT_ONCE + LENGTH - 1]
-                    if len(cut) < LENGTH:
-                        continue
-                    texts.append(cut)
-                    ids.append(doc_id)
-                    tags.append(tag)
-                    offsets.append(offset)
-                    held += len(cut)
+                for offset in range(0, len(raw) - LENGTH + 1, BYTES_AT_ONCE):
+                    cuts.append((raw[offset : offset + BYTES_AT_ONCE + LENGTH - 1], doc_id, tag, offset))
+                    held += len(cuts[-1][0])
                     if held >= BYTES_AT_ONCE:
-                        yield flush()
-                        held = 0
-        if texts:
-            yield flush()
+                        take()
+                        if packer.size >= PACKED_AT_ONCE:
+                            yield packer.rows()
+        take()
+        if packer.held:
+            yield packer.rows()
 
     return pack
 
@@ -204,9 +231,9 @@ def _marks_of_bucket(blobs: list[bytes]) -> pd.DataFrame:
     pieces_before = np.cumsum([0, *[len(p[1]) for p in parts]])
     docs_before = np.cumsum([0, *[len(p[3]) for p in parts]])
     content, sizes, place, ids, tags = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    piece = np.concatenate([p[5].astype(np.int64) + n for p, n in zip(parts, pieces_before, strict=False)])
-    doc = np.concatenate([p[6].astype(np.int64) + n for p, n in zip(parts, docs_before, strict=False)])
-    at = np.concatenate([p[7] for p in parts]).astype(np.int64)
+    piece = np.concatenate([np.cumsum(p[5], dtype=np.int64) + n for p, n in zip(parts, pieces_before, strict=False)])
+    doc = np.concatenate([np.cumsum(p[6], dtype=np.int64) + n for p, n in zip(parts, docs_before, strict=False)])
+    at = np.concatenate([np.cumsum(p[7], dtype=np.int64) for p in parts])
     sizes = sizes.astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     of = ids[doc]
@@ -285,13 +312,14 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tag, start, stop): ranges of bytes to remove; they overlap. ``tag`` is a hash of the text the range is of."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = tasks * BUCKETS_PER_TASK
     read = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("tag"), F.col(text).alias("text")
     )
     packed = read.mapInPandas(_packer(buckets), "bucket long, pieces binary")
     return (
-        packed.repartition(buckets, "bucket")
+        packed.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInPandas(_marks, "doc_id long, tag long, start long, stop long")
     )
