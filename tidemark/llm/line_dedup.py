@@ -8,7 +8,7 @@ Signature: the least value, under each of 24 hash orders, among the 8-character
 (in a run without blanks: at every 8th character). Each order is the shingle's hash, xor a fixed number. The 24 rows are dealt
 into bands of 4 in three ways, 18 bands in all: of lines whose signature shingles are 0.7 similar 17 rows agree on average, and then some
 band agrees with probability 0.99. Five bits of each row make a sketch; two lines of a band whose sketches agree in fewer than
-10 of 24 places (a similarity of about 0.4) are not compared further.
+12 of 24 places (a similarity of about 0.5) are not compared further.
 
 The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
 compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
@@ -35,7 +35,7 @@ ROWS, BAND_ROWS, DEALS = 24, 4, 3
 SEED = 7
 # Bands that hold more rows than this after their copies are linked are split before rows are paired.
 PAIRED_ROWS = 64
-SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 5, 12, 10
+SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 5, 12, 12
 
 
 def compared(line: Column) -> Column:
