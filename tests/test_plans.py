@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import network, ordered, prefixes
+from tidemark.operators import histograms, network, ordered, prefixes
 from tidemark.plans.registry import all_queries, runner
 from tidemark.plans.tables import TABLE_NAMES, Tables
 
@@ -76,8 +76,24 @@ def test_day_filter_prunes_partitions(spark, small, tmp_path):
 
 
 def test_scan_reads_only_needed_columns(spark, small):
-    plan = plan_of(runner(all_queries()["status_histogram"])(spark, small))
-    assert "html" not in plan and "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan
+    plan = plan_of(runner(all_queries()["top_status_codes"])(spark, small))
+    assert "html" not in plan and "ReadSchema: struct<event_type:string>" in plan
+
+
+def test_counts_over_time_read_the_rows_once(spark, small):
+    """Bounds, terms and zeros come from the written counts: the events are read for these alone, by one stage."""
+    reads = spark.sparkContext.accumulator(0)
+    rows = spark.read.parquet(f"{small}/events.parquet")
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    watched = rows.select("ts", "event_type").mapInPandas(seen, "ts timestamp_ntz, event_type string")
+    out = histograms.counts_over_time(watched, "ts", 3600, ["event_type"])
+    assert out.count() > 0 and "FileScan" not in plan_of(out)
+    assert reads.value == rows.count()
 
 
 def test_hot_key_is_spread_over_tasks(spark):
