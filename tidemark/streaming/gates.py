@@ -1,9 +1,9 @@
 """Stateful gates: recrawl gate and download quota.
 
 The recrawl gate decides each event from the last one it let through, which no aggregate can express; its state
-is one time per URL (RocksDB state store). A topic delivers the events of one URL in time order;
-rows of one chunk are sorted once more. A chunk is one Arrow batch, so a URL with very many
-events never has to fit in memory.
+is one time per URL (RocksDB state store). The rows of a URL in a micro-batch are put in time order first, so verdicts do not
+depend on how they arrive in chunks; what is held are their ids and times. A row that comes late, behind an event let
+through, is a recent repeat.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,20 +39,20 @@ class RecrawlGate(StatefulProcessor):
         self.last = handle.getValueState("last", "ts timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat([chunk[["event_id", "ts"]] for chunk in rows]).sort_values(["ts", "event_id"], ignore_index=True)
+        times = batch["ts"]
         gap = timedelta(seconds=self.interval_seconds)
         state = self.last.get()
         last = pd.Timestamp(state[0]) if state is not None else None
-        before = last
-        for chunk in rows:
-            chunk = chunk.sort_values(["ts", "event_id"])
-            passed = []
-            for ts in chunk["ts"]:
-                ok = last is None or ts - last >= gap
-                if ok:
-                    last = ts
-                passed.append(ok)
-            yield pd.DataFrame({"event_id": chunk["event_id"], "urlkey": key[0], "passed": passed})
-        if last is not None and last != before:
+        passed = np.zeros(len(batch), dtype=bool)
+        # from one event let through straight to the next
+        at = 0 if last is None else int(times.searchsorted(last + gap))
+        while at < len(batch):
+            passed[at] = True
+            last = times[at]
+            at = int(times.searchsorted(last + gap)) if self.interval_seconds else at + 1
+        yield pd.DataFrame({"event_id": batch["event_id"], "urlkey": key[0], "passed": passed})
+        if passed.any():
             self.last.update((last.to_pydatetime(),))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -65,10 +66,14 @@ class RecrawlGate(StatefulProcessor):
         pass
 
 
-def recrawl_gate(events: DataFrame, interval_seconds: int, delay: str = "1 hour") -> DataFrame:
-    """(event_id, urlkey, passed) for a stream with ``event_id``, ``urlkey``, ``ts`` (zoned)."""
+def recrawl_gate(events: DataFrame, interval_seconds: int) -> DataFrame:
+    """(event_id, urlkey, passed) for a stream with ``event_id``, ``urlkey``, ``ts`` (zoned).
+
+    The watermark is as far behind as the gate's own memory, so only rows late by more than that whole interval get no verdict;
+    a URL is forgotten one interval after that.
+    """
     return (
-        events.withWatermark("ts", delay)
+        events.withWatermark("ts", f"{interval_seconds} seconds")
         .groupBy("urlkey")
         .transformWithStateInPandas(
             RecrawlGate(interval_seconds),
