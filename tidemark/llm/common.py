@@ -28,7 +28,10 @@ def fields(listed: str) -> T.StructType:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage and survives lost executors.
+
+    Results may still read these tables after an operator has returned, so they stay until the folder is cleared like any checkpoints.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)

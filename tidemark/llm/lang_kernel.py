@@ -103,9 +103,10 @@ def train(labelled: DataFrame, seed: int = 11) -> Model:
     draw = F.xxhash64(F.lit(seed), "doc_id", "text")
     # Spark keeps the least rows of each language per task before it shuffles them; only numbers move
     by_draw = Window.partitionBy("lang").orderBy("draw")
-    ranked = labelled.where(F.col("lang").isin(names)).select("lang", draw.alias("draw"))
+    ranked = labelled.where(F.col("lang").isin(names)).select("lang", draw.alias("draw")).distinct()
     chosen = ranked.withColumn("rank", F.row_number().over(by_draw)).where(F.col("rank") <= PER_LANGUAGE).select("draw").collect()
     picked = labelled.withColumn("draw", draw).where(F.col("draw").isin([row["draw"] for row in chosen]))
+    picked = picked.groupBy("draw", "lang").agg(F.first("text").alias("text"))  # repeated rows teach once
     rows = picked.select("draw", "lang", packed_presence("text").alias("bits")).where("bits is not null").collect()
     rows = sorted({(row["draw"], row["lang"]): bytes(row["bits"]) for row in rows if row["lang"] in names}.items())
     if not rows:

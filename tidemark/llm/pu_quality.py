@@ -156,12 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ids = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), draw.alias("draw"))
     trusted = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias("doc_id")).distinct()
     # two top-k passes over narrow rows, then the texts of the chosen rows alone
-    positive = ids.select("doc_id", "draw").join(trusted, "doc_id", "left_semi").orderBy("draw", "doc_id").limit(POSITIVES)
-    unlabelled = ids.select("doc_id", F.xxhash64("draw").alias("draw")).orderBy("draw", "doc_id").limit(UNLABELLED)
+    narrow = ids.select("doc_id", "draw").distinct()
+    positive = narrow.join(trusted, "doc_id", "left_semi").orderBy("draw", "doc_id").limit(POSITIVES)
+    unlabelled = narrow.select("doc_id", F.xxhash64("draw").alias("draw")).orderBy("draw", "doc_id").limit(UNLABELLED)
     chosen = stored(
         positive.select("doc_id", F.lit(1).alias("side")).unionByName(unlabelled.select("doc_id", F.lit(0).alias("side"))), "sample"
     )
-    rows = ids.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("side", description("text").alias("x")).collect()
+    described = ids.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("side", "doc_id", description("text").alias("x"))
+    # rows that share an id teach once, so that the driver gets no more than the sample
+    rows = described.groupBy("side", "doc_id").agg(F.min("x").alias("x")).select("side", "x").collect()
     raw = np.array([row["x"] for row in rows], dtype=np.float64).reshape(-1, len(FEATURES))
     side = np.array([row["side"] for row in rows], dtype=int)
     order = np.lexsort((*raw.T[::-1], side))  # rows arrive in any order
