@@ -37,10 +37,10 @@ LENGTH = 50
 MINIMIZER = 10
 SPAN = LENGTH - MINIMIZER + 1
 BYTES_AT_ONCE = 2 << 20
-PACKED_AT_ONCE = 64 << 20
-PACKING_LEVEL = 9
+PACKED_AT_ONCE = 128 << 20
+PACKING_LEVEL = 6
 # Buckets per shuffle partition: a task works on one bucket after the other.
-BUCKETS_PER_TASK = 8
+BUCKETS_PER_TASK = 3
 SORTED_AT_ONCE = 500_000
 _PLACE_BITS = np.uint64(24)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -59,6 +59,28 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return ten ^ (ten >> _U(29))
 
 
+def _powers(n: int) -> np.uint64:
+    return _U(_FACTOR**n % 2**64)
+
+
+def _window_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``LENGTH`` bytes from each position on, from those of 2, 4, ... 32 bytes."""
+    done, size = {1: (data.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)}, 1
+    while 2 * size <= LENGTH:
+        done[2 * size] = done[size][:-size] * _powers(size) + done[size][size:]
+        if not LENGTH & size:
+            del done[size]
+        size *= 2
+    out, at = None, 0
+    n = len(data) - LENGTH + 1
+    for size in sorted(done, reverse=True):
+        if LENGTH & size:
+            part = done[size][at : at + n]
+            out = part.copy() if out is None else out * _powers(size) + part
+            at += size
+    return out
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
     done = 1
@@ -210,6 +232,16 @@ def _repeated_windows(
     order = np.argsort(docs, kind="stable")
     at = _ragged(starts[order], windows[order])
     piece = np.repeat(order, windows[order])
+    # a suffix whose hash no other has is alone in its context: it needs no place in the index
+    sizes = windows[order] + LENGTH - 1
+    hashes = _window_hashes(content[_ragged(starts[order], sizes)])[_ragged(np.cumsum(sizes) - sizes, windows[order])]
+    ordered = np.sort(hashes)
+    several = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(several):
+        return piece[:0], at[:0]
+    place = np.minimum(np.searchsorted(several, hashes), len(several) - 1)
+    shared = several[place] == hashes
+    at, piece = at[shared], piece[shared]
     suffixes = np.lib.stride_tricks.sliding_window_view(content, LENGTH)[at].reshape(-1).view(f"S{LENGTH}")
     rank = np.argsort(suffixes, kind="stable")
     ordered = suffixes[rank]
@@ -238,7 +270,9 @@ def _marks_of_bucket(blobs: list[bytes]) -> pd.DataFrame:
     starts = np.cumsum(sizes) - sizes
     of = ids[doc]
     # minimizers that only one document has
-    key = _hashes(content)[starts + place] if len(content) >= MINIMIZER else np.zeros(0, _U)
+    minimizer = np.lib.stride_tricks.sliding_window_view(content, MINIMIZER)[starts + place]
+    key = np.ascontiguousarray(minimizer[:, :8]).view("<u8").ravel() * _U(_FACTOR)
+    key += np.ascontiguousarray(minimizer[:, 8:]).view("<u2").ravel()
     _, group = np.unique(key, return_inverse=True)
     low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
     np.minimum.at(low, group[piece], of)
