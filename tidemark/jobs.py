@@ -113,11 +113,12 @@ def fulltext_index(records: DataFrame, scopes: DataFrame, allowed: DataFrame, co
 # --- documents -------------------------------------------------------------------------------
 
 
-def analyse_logs(events: DataFrame, feed: DataFrame, day: date, job: str) -> DataFrame:
-    """Documents found in one day of crawl logs."""
+def analyse_logs(events: DataFrame, feed: DataFrame, day: date, job: str, earlier: DataFrame | None = None) -> DataFrame:
+    """Documents found in one day of crawl logs that ``earlier`` findings (``document_url``) do not hold yet."""
     start = F.lit(datetime(day.year, day.month, day.day)).cast("timestamp_ntz")
     today = events.where((F.col("ts") >= start) & (F.col("ts") < start + F.expr("interval 1 day")))
-    return documents.find_documents(today, feed, "surt_prefix", "target_id", job)
+    found = documents.find_documents(today, feed, "surt_prefix", "target_id", job)
+    return found if earlier is None else found.join(earlier.select("document_url").distinct(), "document_url", "left_anti")
 
 
 def process_documents(

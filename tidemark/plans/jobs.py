@@ -80,7 +80,7 @@ def capture_index_batch(t: Tables):
 
 @query(
     "fulltext_index",
-    "B3 P9 F15 F18 J9 U1",
+    "B3 P9 F15 F18 J9",
     f"""
     WITH p AS (SELECT * FROM page_record WHERE record_type = 'response' AND status_code = 200),
     acc AS (SELECT DISTINCT p.page_id FROM p JOIN surt_prefixes s ON s.decision = 'accept' AND {covers('s.surt_prefix', 'p.urlkey')}),
@@ -108,17 +108,19 @@ _DAILY_FOUND = _FOUND.replace("row_number() OVER (PARTITION BY k.url ORDER", "ro
     "B4 B14 J19",
     _DAILY_FOUND
     + " SELECT document_url, target_id, wayback_timestamp, strptime(left(wayback_timestamp, 8), '%Y%m%d')::DATE AS day FROM found"
-    " WHERE left(wayback_timestamp, 8) BETWEEN '20240105' AND '20240108'",
+    " WHERE left(wayback_timestamp, 8) BETWEEN '20240105' AND '20240108' QUALIFY row_number() OVER (PARTITION BY document_url ORDER BY wayback_timestamp) = 1",
 )
 def log_analysis_days(t: Tables):
-    """Back-fill of four days; the second day is run twice and must not double."""
+    """Back-fill of four days; the second day is run twice and must not double, nor may a URL be found on two days."""
     folder = shared_dir(t.spark, "found-by-day")
     events = t.crawl_log.withColumns(
         {"landing_page_url": F.expr("concat('http://', host, '/p/', event_id % 7)"), "source": F.col("hop_path")}
     )
 
     def run(day: date):
-        return jobs.analyse_logs(events, _watched(t), day, "frequent-npld")
+        before = [f"{folder}/day={date(2024, 1, d).isoformat()}" for d in range(5, day.day)]
+        earlier = t.spark.read.parquet(*before) if before else None
+        return jobs.analyse_logs(events, _watched(t), day, "frequent-npld", earlier)
 
     jobs.back_fill(t.spark, run, date(2024, 1, 5), date(2024, 1, 8), folder)
     jobs.back_fill(t.spark, run, date(2024, 1, 6), date(2024, 1, 6), folder)
@@ -179,7 +181,7 @@ def verified_transfer(t: Tables):
 
 @query(
     "storage_report",
-    "B9 J14 A9",
+    "B9 J14",
     """
     WITH l AS (SELECT file_path, service AS store FROM tracked_file UNION ALL SELECT file_path, 'cloud' FROM tracked_file WHERE size % 10 <> 0),
     c AS (SELECT file_path, count(*) FILTER (store = 'h020') > 0 AS h020, count(*) FILTER (store = 'h3') > 0 AS h3, count(*) FILTER (store = 'cloud') > 0 AS cloud, count(*) AS copies FROM l GROUP BY 1)
@@ -195,7 +197,7 @@ def storage_report(t: Tables):
 
 @query(
     "take_down",
-    "B11 P10 J13 A16",
+    "B11 J13 A16",
     """
     WITH d AS (SELECT * FROM captures WHERE ts14 >= '20240110000000' AND (starts_with(urlkey, 'uk,co,example,h3)') OR urlkey = 'uk,co,example,h4)/p/1'))
     SELECT content_digest, mimetype, status_code, count(*) AS captures, count(DISTINCT urlkey) AS urls, min(ts) AS first_ts, max(ts) AS last_ts,
@@ -210,7 +212,7 @@ def take_down(t: Tables):
 
 @query(
     "complaint_follow_up",
-    "B12 P5 P10 J3 W2",
+    "B12 P5",
     """
     WITH h AS (SELECT host, count(*) AS hits FROM crawl_log WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' AND regexp_matches(url, '/p/4[0-9]$') GROUP BY 1),
     l AS (SELECT host, count(*) AS n FROM crawl_log WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1)
