@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 ROWS, BAND_ROWS, DEALS = 24, 4, 3
 SEED = 7
 # Bands that hold more rows than this after their copies are linked are split before rows are paired.
-PAIRED_ROWS = 64
+PAIRED_ROWS = 512
 SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 5, 12, 12
 
 
