@@ -37,11 +37,11 @@ LENGTH = 50
 MINIMIZER = 10
 SPAN = LENGTH - MINIMIZER + 1
 BYTES_AT_ONCE = 2 << 20
-PACKED_AT_ONCE = 128 << 20
+PACKED_AT_ONCE = 64 << 20
 PACKING_LEVEL = 6
 # Buckets per shuffle partition: a task works on one bucket after the other.
-BUCKETS_PER_TASK = 3
-SORTED_AT_ONCE = 500_000
+BUCKETS_PER_TASK = 4
+SORTED_AT_ONCE = 250_000
 _PLACE_BITS = np.uint64(24)
 _FACTOR = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -266,6 +266,8 @@ def _marks_of_bucket(blobs: list[bytes]) -> pd.DataFrame:
     piece = np.concatenate([np.cumsum(p[5], dtype=np.int64) + n for p, n in zip(parts, pieces_before, strict=False)])
     doc = np.concatenate([np.cumsum(p[6], dtype=np.int64) + n for p, n in zip(parts, docs_before, strict=False)])
     at = np.concatenate([np.cumsum(p[7], dtype=np.int64) for p in parts])
+    parts.clear()
+    blobs.clear()
     sizes = sizes.astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     of = ids[doc]
@@ -337,7 +339,6 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for bucket, blob in zip(batch["bucket"], batch["pieces"], strict=True):
             if bucket != now and blobs:
                 yield _marks_of_bucket(blobs)
-                blobs = []
             now = bucket
             blobs.append(blob)
     if blobs:
@@ -370,12 +371,20 @@ def cut(raw: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int]:
     return b"".join(kept), len(low)
 
 
+@F.pandas_udf(T.BinaryType())
+def _packed_text(texts: pd.Series) -> pd.Series:
+    """Texts as compressed UTF-8, for the way to their ranges."""
+    packer = zstandard.ZstdCompressor(level=PACKING_LEVEL)
+    return pd.Series([packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+
 @F.pandas_udf(fields("n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 def _summary(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         rows = []
-        for text, starts, stops in zip(*batch, strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
+        for packed, starts, stops in zip(*batch, strict=True):
+            raw = unpack(packed)
             left, spans = cut(raw, starts, stops) if starts is not None and len(starts) else (raw, 0)
             rows.append((len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest()))
         yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -385,7 +394,9 @@ def _with_ranges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     marks = repeated_ranges(docs, doc_id, text).groupBy("doc_id", "tag").agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
     )
-    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.hash(F.col(text)).cast("long").alias("tag"))
+    read = docs.select(
+        F.col(doc_id).alias("doc_id"), _packed_text(F.col(text)).alias("packed"), F.hash(F.col(text)).cast("long").alias("tag")
+    )
     return read.join(marks, ["doc_id", "tag"], "left")
 
 
@@ -395,17 +406,17 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A null text is empty. Rows without a doc_id are not compared and lose nothing. Rows that share a doc_id do not take from
     each other; each is answered by its own text. Texts under 50 bytes lose nothing. Other columns are not read.
     """
-    found = _with_ranges(docs, doc_id, text).select("doc_id", _summary("text", "starts", "stops").alias("s"))
+    found = _with_ranges(docs, doc_id, text).select("doc_id", _summary("packed", "starts", "stops").alias("s"))
     return found.select("doc_id", "s.*")
 
 
 @F.pandas_udf(T.BinaryType())
-def _left(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-    rows = zip(texts, starts, stops, strict=True)
-    raws = ((("" if t is None else t).encode("utf-8", "surrogatepass"), a, b) for t, a, b in rows)
+def _left(packed: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    unpack = zstandard.ZstdDecompressor().decompress
+    raws = ((unpack(p), a, b) for p, a, b in zip(packed, starts, stops, strict=True))
     return pd.Series([cut(raw, a, b)[0] if a is not None and len(a) else raw for raw, a, b in raws], dtype=object)
 
 
 def remaining_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kept): the bytes that stay of every row. They need not be valid UTF-8, as ranges are of bytes."""
-    return _with_ranges(docs, doc_id, text).select("doc_id", _left("text", "starts", "stops").alias("kept"))
+    return _with_ranges(docs, doc_id, text).select("doc_id", _left("packed", "starts", "stops").alias("kept"))
