@@ -168,3 +168,15 @@ def test_awkward_rows_of_lines(spark):
     twice = frame(spark, [(1, "one line here\n\nsecond line there", "en", "s"), (2, "ONE line here \nnew words follow", "en", "s"), (3, "second line there", "en", "s")])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.deduplicated(twice).collect()}
     assert got == {1: ("one line here\n\nsecond line there", 32), 2: ("new words follow", 16), 3: ("", 0)}
+
+
+def test_short_numbered_and_unspaced_lines(spark):
+    """Lines whose words or eight-character pieces mostly differ although their shingles are 0.8 similar."""
+    texts = [f"{word} per page {i}" for word in ("items", "entries", "results shown") for i in range(8)]
+    draw = np.random.default_rng(5)
+    for _ in range(30):
+        run = "".join(chr(0x4E00 + c) for c in draw.integers(0, 3000, 60))
+        texts += [run, "x" + run]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    want, links = lines_removed([(i, t) for i, t, _, _ in rows])
+    assert links >= 50 and decided(frame(spark, rows)) == want
