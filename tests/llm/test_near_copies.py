@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from helpers import AWKWARD, WORD, frame, given, groups_of
 from tidemark.llm import line_dedup, simhash_anchors
@@ -180,3 +181,18 @@ def test_short_numbered_and_unspaced_lines(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
     want, links = lines_removed([(i, t) for i, t, _, _ in rows])
     assert links >= 50 and decided(frame(spark, rows)) == want
+
+
+def test_twins_in_one_hot_band(spark, monkeypatch):
+    """Pairs of near-copies that share no band but one that all lines have."""
+    monkeypatch.setattr(line_dedup, "PAIRED_ROWS", 8)
+    monkeypatch.setattr(line_dedup, "_band_keys", lambda: F.array(F.lit(1).cast("long")))
+    draw = np.random.default_rng(6)
+    own = lambda: "".join(map(chr, draw.integers(97, 123, 6)))
+    texts = []
+    for _ in range(40):
+        line = f"please note that this page with number {own()} was moved to the new place {own()} today"
+        texts += [line, line + " " + own()]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    want, links = lines_removed([(i, t) for i, t, _, _ in rows])
+    assert links >= 40 and decided(frame(spark, rows)) == want

@@ -12,8 +12,9 @@ band agrees with probability over 0.99. Five bits of each row make a sketch; two
 
 The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
 compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
-link to a copy is possible at all. They are compared as pairs where a band has few rows left; a band with more is split by every
-further band of its lines, and its parts are treated alike. So a band's work never grows with the square of its rows.
+link to a copy is possible at all; a line whose score was not computed excludes nothing. All pairs of what is left are met, whatever the
+size of the band: its rows are dealt into tiles, and a task joins two tiles, never a whole band. A pair whose sketches are
+not alike leaves no row.
 
 DataFrame functions only; texts are shuffled for candidates alone.
 """
@@ -32,7 +33,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BAND_ROWS, DEALS = 24, 4, 3
 SEED = 7
-# Bands that hold more rows than this after their copies are linked are split before rows are paired.
+# Rows of a tile, on average: bands that hold more after their copies are linked are dealt into several tiles.
 PAIRED_ROWS = 512
 SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 5, 12, 12
 
@@ -121,53 +122,38 @@ def linked_lines(lines: DataFrame) -> DataFrame:
     signed = stored(_signatures(lines), "signatures")
     rows = signed.select(F.explode(_band_keys()).alias("key"), "h", _sketch())
     shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-bands")
-    members = rows.join(broadcast_if_small(shared), "key").withColumns({"used": F.array("key"), "open": F.lit(True)})
-    members = stored(members, "members")
+    members = stored(rows.join(broadcast_if_small(shared), "key"), "members")
     wanted = broadcast_if_small(stored(members.select("h").distinct(), "candidates"))
     texts = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
-    links = []
-    while not members.isEmpty():
-        centre = members.where("open").groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("c"))
-        spokes = stored(
-            members.join(centre, "key").where("h <> c.h").select(
-                "key", "used", F.col("c.h").alias("a"), F.col("h").alias("b"), "open", "sketch", F.col("c.sketch").alias("sketch_a")
-            ),
-            "spokes",
-        )
-        scores = _scored(spokes.where(_alike("sketch", "sketch_a")), texts)
-        links.append(scores.where(F.col("score") >= SIMILARITY).select("a", "b"))
-        met = spokes.join(scores, ["a", "b"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        met = met.select(
-            "key", "used", F.col("b").alias("h"), "sketch", (F.col("open") & (F.col("score") < SIMILARITY)).alias("open"), "score"
-        )
-        # Open lines are linked to no centre yet. A line that is linked matters only to open lines it can still reach:
-        # by the triangle inequality their scores with the same centre differ by 0.2 at most.
-        still = met.where("open").groupBy("key").agg(F.max("score").alias("best"))
-        met = met.join(still, "key").where(F.col("open") | (F.col("score") <= F.col("best") + (1 - SIMILARITY) + 1e-9))
-        met = stored(met.drop("score", "best"), "members")
-        sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        few = met.join(sizes.where(F.col("n") <= PAIRED_ROWS), "key", "left_semi")
-        pairs = few.where("open").select("key", F.col("h").alias("a"), F.col("sketch").alias("sketch_a")).join(
-            few.select("key", F.col("h").alias("b"), "sketch", F.col("open").alias("other_open")), "key"
-        )
-        pairs = pairs.where("a < b or (a > b and not other_open)").where(_alike("sketch", "sketch_a"))
-        scores = _scored(pairs, texts)
-        links.append(scores.where(F.col("score") >= SIMILARITY).select("a", "b"))
-        # the rest: split by one more band
-        many = met.join(sizes.where(F.col("n") > PAIRED_ROWS), "key", "left_semi").join(signed, "h")
-        split = (
-            many.select("h", "sketch", "used", "open", F.explode(_band_keys()).alias("more"))
-            .where(~F.array_contains("used", F.col("more")))
-            .withColumn("used", F.array_sort(F.array_append("used", F.col("more"))))
-            .groupBy(F.xxhash64("used").alias("key"), "used", "h", "sketch")
-            .agg(F.bool_or("open").alias("open"))
-        )
-        split = stored(split, "split")
-        live = split.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("some")).where("n > 1 and some")
-        members = stored(split.join(live, "key", "left_semi"), "members")
-    if not links:
-        return lines.select(F.col("h").alias("a"), F.col("h").alias("b")).where(F.lit(False))
-    return reduce(DataFrame.unionByName, links)
+    centre = members.groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("c"))
+    spokes = stored(
+        members.join(centre, "key").where("h <> c.h").select(
+            "key", F.col("c.h").alias("a"), F.col("h").alias("b"), "sketch", F.col("c.sketch").alias("sketch_a")
+        ),
+        "spokes",
+    )
+    scores = _scored(spokes.where(_alike("sketch", "sketch_a")), texts)
+    linked = F.col("score") >= SIMILARITY
+    to_centre = scores.where(linked).select("a", "b")
+    met = spokes.join(scores, ["a", "b"], "left").select(
+        "key", F.col("b").alias("h"), "sketch", (~F.coalesce(linked, F.lit(False))).alias("open"), "score"
+    )
+    # Open lines are not linked to the centre. A line that is linked matters only to open lines it can still reach: by the
+    # triangle inequality their scores with the centre differ by 0.2 at most. A score that was not computed may be any.
+    still = met.where("open").groupBy("key").agg(F.max(F.coalesce("score", F.lit(1.0))).alias("best"))
+    met = met.join(still, "key").where(F.col("open") | (F.col("score") <= F.col("best") + (1 - SIMILARITY) + 1e-9))
+    met = stored(met.drop("score", "best"), "met")
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tiles = F.ceil(F.col("n") / PAIRED_ROWS).cast("int")
+    dealt = met.join(sizes, "key").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("key", "h"), tiles).cast("int")})
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    left = dealt.where("open").select(
+        "key", F.col("h").alias("a"), F.col("sketch").alias("sketch_a"), F.col("tile").alias("tile_a"), F.explode(every).alias("tile_b")
+    )
+    right = dealt.select("key", F.col("h").alias("b"), "sketch", F.col("open").alias("other_open"), F.col("tile").alias("tile_b"), F.explode(every).alias("tile_a"))
+    pairs = left.join(right, ["key", "tile_a", "tile_b"]).where("a < b or (a > b and not other_open)")
+    scores = _scored(pairs.where(_alike("sketch", "sketch_a")), texts)
+    return to_centre.unionByName(scores.where(linked).select("a", "b"))
 
 
 def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
