@@ -150,3 +150,16 @@ def test_awkward_transcripts(spark):
     )
     assert len(got[2, None]["roles"]) == 1
     assert transcripts.recovered(df.limit(0)).collect() == []
+
+
+def test_untaught_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    strange = [
+        "Это обычный русский текст, которому никто не учил, и он достаточно длинный. " * 3, "這是一個中文的句子,沒有人教過這種語言",
+        "これは誰も教えていない言語で書かれた普通の文です", "Zażółć gęślą jaźń, to jest zwykły polski tekst o niczym szczególnym. " * 3, "x y z q w k j v",
+    ]
+    more = frame(spark, [(10**9 + i, t, None, "s") for i, t in enumerate(strange)])
+    kept = {r["doc_id"] for r in lang_kernel.recognised(docs.unionByName(more)).select("doc_id").collect()}
+    assert not any(i >= 10**9 for i in kept)
+    clean = [r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))]
+    assert len(set(clean) - kept) <= 0.002 * len(clean)

@@ -9,6 +9,11 @@ Training uses a bounded sample of labelled texts (``PER_LANGUAGE`` of each langu
 languages with the most rows). The sample's texts become bits on the executors; only the bits reach the driver.
 ``LANDMARKS`` of them, the same number for each language, span the Nyström map; ridge regression with labels +1 and -1 is
 solved in the map. Scoring is two matrix products per batch of texts: with the landmarks, and with the weights.
+
+A ridge value says which taught language is nearest, not whether the text is in it. That is told by familiarity: the mean, over
+the buckets of a text's 3-grams, of the share of a language's training texts that have the bucket. Each language has a floor, learnt from
+the sample: halfway between what nearly all of its own texts reach (each left out of the shares it is held against) and what
+texts of the other languages have in the middle, or what random buckets have if no other language is taught.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ LANDMARKS = 64
 RIDGE = 1e-3
 TEXTS_AT_ONCE = 256
 CHARS_AT_ONCE = 1 << 20
+FAMILIAR_ORDER = 3
+OWN_QUANTILE = 0.01
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
@@ -73,13 +80,41 @@ def _normalised(rows: np.ndarray) -> np.ndarray:
     return (blocks / np.sqrt(sizes * len(ORDERS))).reshape(len(rows), -1)
 
 
+def _familiar_bits(rows: np.ndarray) -> np.ndarray:
+    return rows.reshape(len(rows), len(ORDERS), BUCKETS)[:, ORDERS.index(FAMILIAR_ORDER)].astype(np.float32)
+
+
+def _familiarity(rows: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """(rows, languages): the mean share of a text's 3-gram buckets."""
+    bits = _familiar_bits(rows)
+    return bits @ shares.T / np.maximum(bits.sum(axis=1, keepdims=True), 1)
+
+
+def _profiles(packed: np.ndarray, of: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, floors) of the training texts ``packed``, of the languages ``of``. A language of one text has no floor."""
+    part = lambda k: np.unpackbits(packed[of == k], axis=1)
+    shares = np.array([_familiar_bits(part(k)).mean(axis=0) for k in range(languages)])
+    floors = np.zeros(languages)
+    others = [_familiarity(part(k), shares) for k in range(languages)]
+    for k in range(languages):
+        n = len(others[k])
+        if n > 1:
+            # each bit of a text counts its own text once among n
+            own = (others[k][:, k] * n - 1) / (n - 1)
+            strange = np.concatenate([other[:, k] for j, other in enumerate(others) if j != k] or [shares[k].mean(keepdims=True)])
+            floors[k] = min(np.quantile(own, OWN_QUANTILE), (np.quantile(own, OWN_QUANTILE) + np.median(strange)) / 2)
+    return shares, floors
+
+
 @dataclass
 class Model:
-    """``languages`` in the order of the columns of ``weights``; landmarks are kept as bits."""
+    """``languages`` in the order of the columns of ``weights``; landmarks are kept as bits; shares and floors of familiarity."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    shares: np.ndarray
+    floors: np.ndarray
 
     def scorer(self):
         """A function of a batch of presence rows: (rows, languages) of regression values."""
@@ -109,8 +144,9 @@ def train(labelled: DataFrame, seed: int = 11) -> Model:
     picked = picked.groupBy("draw", "lang").agg(F.first("text").alias("text"))  # repeated rows teach once
     rows = picked.select("draw", "lang", packed_presence("text").alias("bits")).where("bits is not null").collect()
     rows = sorted({(row["draw"], row["lang"]): bytes(row["bits"]) for row in rows if row["lang"] in names}.items())
+    names = sorted({lang for (_, lang), _ in rows})  # those with a letter in some text
     if not rows:
-        return Model([], np.zeros((0, 0), np.uint8), np.zeros((0, 0), np.float32))
+        return Model([], np.zeros((0, 0), np.uint8), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0))
     packed = np.array([np.frombuffer(bits, dtype=np.uint8) for _, bits in rows])
     of = np.array([names.index(lang) for (_, lang), _ in rows])
     each = max(1, LANDMARKS // len(names))
@@ -127,34 +163,37 @@ def train(labelled: DataFrame, seed: int = 11) -> Model:
     share = (1.0 / np.bincount(of, minlength=len(names)))[of][:, None]
     solved = np.linalg.solve(mapped.T @ (mapped * share) + RIDGE * np.eye(mapped.shape[1]), mapped.T @ (target * share))
     weights = np.vstack([to_map @ solved[:-1], solved[-1:]]).astype(np.float32)
-    return Model(names, landmarks, weights)
+    return Model(names, landmarks, weights, *_profiles(packed, of, len(names)))
 
 
 def classifier(spark: SparkSession, model: Model):
-    """A column function of a text: struct (lang, score).
+    """A column function of a text: struct (lang, score, familiar).
 
     ``und`` with score 0 where the text is null or has no letter, or the model knows no language. The score is (1 + v) / 2 for the
-    winning regression value v, held to 0..1. Ties go to the first name. Rows are independent of each other.
+    winning regression value v, held to 0..1. Ties go to the first name. ``familiar`` tells whether the text's familiarity reaches the
+    floor of the winning language; it is false for ``und``. Rows are independent of each other.
     """
-    shared = spark.sparkContext.broadcast((model.languages, model.landmarks, model.weights))
+    shared = spark.sparkContext.broadcast((model.languages, model.landmarks, model.weights, model.shares, model.floors))
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, familiar boolean")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fitted = Model(*shared.value)
         score = fitted.scorer()
         for texts in batches:
             names = np.full(len(texts), UNKNOWN, dtype=object)
-            scores = np.zeros(len(texts))
+            scores, familiar = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
             for at in range(0, len(texts), TEXTS_AT_ONCE) if fitted.languages else ():
                 rows = [presence(t) for t in texts.iloc[at : at + TEXTS_AT_ONCE]]
                 there = np.array([i for i, row in enumerate(rows) if row is not None], dtype=int)
                 if not len(there):
                     continue
-                values = score(np.array([rows[i] for i in there]))
+                bits = np.array([rows[i] for i in there])
+                values, known = score(bits), _familiarity(bits, fitted.shares)
                 best = values.argmax(axis=1)
                 names[at + there] = np.array(fitted.languages, dtype=object)[best]
                 scores[at + there] = np.clip((1 + values.max(axis=1)) / 2, 0, 1)
-            yield pd.DataFrame({"lang": names, "score": scores})
+                familiar[at + there] = known[np.arange(len(there)), best] >= fitted.floors[best]
+            yield pd.DataFrame({"lang": names, "score": scores, "familiar": familiar})
 
     return classify
 
@@ -173,12 +212,13 @@ def held_out(doc_id: Column) -> Column:
 def recognised(docs: DataFrame, min_score: float = 0.2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents in a language that the corpus' own labels teach, all columns kept.
 
-    Rejected are texts without a letter, null texts, and texts that no language claims with ``min_score``. A corpus without
+    Rejected are texts without a letter, null texts, texts that no language claims with ``min_score``, and texts that are less familiar
+    than the floor of the language that claims them. A corpus without
     labels teaches nothing, so all its documents go.
     """
     labelled = docs.where(~held_out(F.col(doc_id)))
     model = train(labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")))
     answer = fresh("answer", docs)
     scored = docs.withColumn(answer, classifier(docs.sparkSession, model)(F.col(text)))
-    accepted = (F.col(f"{answer}.lang") != UNKNOWN) & (F.col(f"{answer}.score") >= min_score)
+    accepted = (F.col(f"{answer}.lang") != UNKNOWN) & (F.col(f"{answer}.score") >= min_score) & F.col(f"{answer}.familiar")
     return scored.where(accepted).select(*docs.columns)
