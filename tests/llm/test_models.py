@@ -163,3 +163,18 @@ def test_untaught_languages_are_rejected(spark):
     assert not any(i >= 10**9 for i in kept)
     clean = [r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))]
     assert len(set(clean) - kept) <= 0.002 * len(clean)
+
+
+def test_language_of_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    held = {}
+    for r in docs.collect():
+        if r["lang"] and r["text"] and fold(r["doc_id"], 4) == 2:
+            held.setdefault(r["lang"], []).append(r["text"])
+    long = [(i, ("\n".join(texts) * 100)[:2_000_000], lang, "s") for i, (lang, texts) in enumerate(sorted(held.items()))]
+    model = lang_kernel.train(docs.where(~lang_kernel.held_out(docs["doc_id"])))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in lang_kernel.predict(frame(spark, long), model).collect()}
+    assert all(got[i][0] == lang and got[i][1] > 0.8 for i, _, lang, _ in long)
+    taught = lang_kernel.train(frame(spark, long))  # texts of many windows teach as well
+    rows = lang_kernel.predict(frame(spark, long), taught).collect()
+    assert [r["lang_pred"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [lang for _, _, lang, _ in long]

@@ -3,7 +3,8 @@
 A text is the set of its character n-grams of 1 to 4 characters, lower-cased, with every run of non-letters as one blank.
 Each set is kept as a bit per bucket of a fixed hash, ``BUCKETS`` for each n. The kernel of two texts is the mean over n of
 ``|A and B| / sqrt(|A| |B|)``, squared: a blended spectrum with presence in place of counts. It is a matrix product of the
-normalised presence rows.
+normalised presence rows. A text of more than ``WINDOW`` characters is cut into equal windows, so that a long text does not fill the
+buckets; its kernel with another text is the mean of its windows', and each of its windows may teach.
 
 Training uses a bounded sample of labelled texts (``PER_LANGUAGE`` of each language, the least by a hash of their id; ``MAX_LANGUAGES``
 languages with the most rows). The sample's texts become bits on the executors; only the bits reach the driver.
@@ -18,6 +19,7 @@ texts of the other languages have in the middle, or what random buckets have if
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +40,7 @@ LANDMARKS = 64
 RIDGE = 1e-3
 TEXTS_AT_ONCE = 256
 CHARS_AT_ONCE = 1 << 20
+WINDOW = 4096
 FAMILIAR_ORDER = 3
 OWN_QUANTILE = 0.01
 UNKNOWN = "und"
@@ -68,6 +71,14 @@ def presence(text: str | None) -> np.ndarray | None:
     return bits.ravel() if found else None
 
 
+def windows(text: str | None) -> Iterator[str]:
+    """The whole text in the least number of equal pieces of at most ``WINDOW`` characters; the last may be shorter."""
+    if text:
+        size = -(-len(text) // -(-len(text) // WINDOW))
+        for at in range(0, len(text), size):
+            yield text[at : at + size]
+
+
 @F.pandas_udf(T.BinaryType())
 def packed_presence(texts: pd.Series) -> pd.Series:
     rows = (presence(t) for t in texts)
@@ -128,19 +139,31 @@ class Model:
 
 
 def train(labelled: DataFrame, seed: int = 11) -> Model:
-    """Fit on ``labelled`` (doc_id, text, lang); rows without language or letter are left out.
+    """Fit on windows of ``labelled`` (doc_id, text, lang); rows without language or letter are left out.
 
     A table without any labelled text gives a model without languages, which answers ``und``.
     """
     labelled = labelled.where("lang is not null and text is not null")
     top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     names = sorted(row["lang"] for row in top.collect())
-    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
+    of_text = F.xxhash64(F.lit(seed), "doc_id", "text")
+    pieces = F.ceil(F.length("text") / WINDOW).cast("int")
+    places = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    size = F.ceil(F.length("text") / F.greatest(pieces, F.lit(1))).cast("int")
+    draw = lambda base, i: F.when(i == 0, base).otherwise(F.xxhash64(base, i))
     # Spark keeps the least rows of each language per task before it shuffles them; only numbers move
     by_draw = Window.partitionBy("lang").orderBy("draw")
-    ranked = labelled.where(F.col("lang").isin(names)).select("lang", draw.alias("draw")).distinct()
+    known = labelled.where(F.col("lang").isin(names))
+    listed = known.select("lang", of_text.alias("base"), F.explode(places).alias("i"))
+    ranked = listed.select("lang", draw(F.col("base"), F.col("i")).alias("draw")).distinct()
     chosen = ranked.withColumn("rank", F.row_number().over(by_draw)).where(F.col("rank") <= PER_LANGUAGE).select("draw").collect()
-    picked = labelled.withColumn("draw", draw).where(F.col("draw").isin([row["draw"] for row in chosen]))
+    wanted = [row["draw"] for row in chosen]
+    cut = known.select("lang", "text", size.alias("size"), of_text.alias("base"), places.alias("places"))
+    taken = F.filter("places", lambda i: draw(F.col("base"), i).isin(wanted))
+    taken = F.transform(
+        taken, lambda i: F.struct(draw(F.col("base"), i).alias("draw"), F.substring("text", i * F.col("size") + 1, F.col("size")).alias("text"))
+    )
+    picked = cut.select("lang", F.explode(taken).alias("w")).select("lang", "w.draw", "w.text")
     picked = picked.groupBy("draw", "lang").agg(F.first("text").alias("text"))  # repeated rows teach once
     rows = picked.select("draw", "lang", packed_presence("text").alias("bits")).where("bits is not null").collect()
     rows = sorted({(row["draw"], row["lang"]): bytes(row["bits"]) for row in rows if row["lang"] in names}.items())
@@ -182,17 +205,21 @@ def classifier(spark: SparkSession, model: Model):
         for texts in batches:
             names = np.full(len(texts), UNKNOWN, dtype=object)
             scores, familiar = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-            for at in range(0, len(texts), TEXTS_AT_ONCE) if fitted.languages else ():
-                rows = [presence(t) for t in texts.iloc[at : at + TEXTS_AT_ONCE]]
-                there = np.array([i for i, row in enumerate(rows) if row is not None], dtype=int)
-                if not len(there):
-                    continue
-                bits = np.array([rows[i] for i in there])
-                values, known = score(bits), _familiarity(bits, fitted.shares)
+            values = np.zeros((len(texts), len(fitted.languages)))
+            known, count = values.copy(), np.zeros(len(texts))
+            rows = ((i, row) for i, t in enumerate(texts) for row in map(presence, windows(t)) if row is not None)
+            while fitted.languages and (block := list(itertools.islice(rows, TEXTS_AT_ONCE))):
+                of, bits = np.array([i for i, _ in block]), np.array([row for _, row in block])
+                np.add.at(values, of, score(bits))
+                np.add.at(known, of, _familiarity(bits, fitted.shares))
+                np.add.at(count, of, 1)
+            there = np.flatnonzero(count)
+            if len(there):
+                values, known = values[there] / count[there, None], known[there] / count[there, None]
                 best = values.argmax(axis=1)
-                names[at + there] = np.array(fitted.languages, dtype=object)[best]
-                scores[at + there] = np.clip((1 + values.max(axis=1)) / 2, 0, 1)
-                familiar[at + there] = known[np.arange(len(there)), best] >= fitted.floors[best]
+                names[there] = np.array(fitted.languages, dtype=object)[best]
+                scores[there] = np.clip((1 + values.max(axis=1)) / 2, 0, 1)
+                familiar[there] = known[np.arange(len(there)), best] >= fitted.floors[best]
             yield pd.DataFrame({"lang": names, "score": scores, "familiar": familiar})
 
     return classify
