@@ -135,6 +135,20 @@ def test_structural_secrets():
     assert kinds("eyJ4IjoxfQ.eyJ4IjoxfQ.x") == []
 
 
+def test_wrapped_keys_and_token_headers():
+    number = lambda n: der(2, bytes(range(1, n + 1)))
+    rsa = base64.b64encode(der(0x30, der(2, b"\0") + number(120) + number(3) + number(100))).decode()
+    lines = [rsa[i : i + 64] for i in range(0, len(rsa), 64)]
+    for gap in ("\n\t\t", "\n" + " " * 8, "\\n", "\\r\\n", '\\n" +\n    "', '"\n  "', '",\n "', "\n> ", "\r\n\t"):
+        body = gap.join(lines)
+        assert kinds(f"-----BEGIN RSA PRIVATE KEY-----{gap}{body}{gap}-----END RSA PRIVATE KEY-----") == [("der", body)], gap
+    assert [k for k, _ in kinds(f"{rsa}\n\n{rsa}")] == ["der", "der"]
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head in (b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b'\n{"alg": "HS256"}'):
+        token = f"{part(head)}.{part(b'{ }')}.c2ln"
+        assert kinds(f"cookie {token}") == [("jwt", token)]
+
+
 BASE = (
     re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     re.compile("AKIA[A-Z0-9]+"),

@@ -8,7 +8,7 @@ base64 or hex characters that, once decoded, have the structure of a key:
           algorithm identifier
     ssh   length-prefixed fields that fill the data exactly, the first a known key type; or the private key container
 
-A run that only looks random is not reported. Texts are mapped to one byte per code point, so that long runs are found by a byte
+The lines of a wrapped key may be indented, quoted or ended by escapes. A run that only looks random is not reported. Texts are mapped to one byte per code point, so that long runs are found by a byte
 search and offsets count code points. Each text is scanned by itself in the task that reads it.
 """
 
@@ -43,13 +43,19 @@ _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_SIGNED = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# a header of 10 bytes at least, tried wherever a brace may begin in it
+_SIGNED = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
+_BRACE = re.compile(rb"^|e[wy]")
+# what may stand between the lines of a wrapped key: line ends as escapes, quotes with a sign, marks of quoted mail
+_ESCAPED = ((b"\\n", b" \n"), (b"\\r", b"  "), (b"\\t", b"  "))
+_QUOTED = re.compile(rb"""["'][ \t]*[+,.]?[ \t]*\r?\n[ \t]*["']|\r?\n(?=[ \t]*>)[ \t>]+""")
+_WRAPPED = re.compile(rb"x{%d,}(?:(?:[ \t]*\r?\n)+[ \t]*x+)*={0,2}" % MIN_RUN)
 _RUN = re.compile(rb"x{%d,}(?: {0,4}\r?\n {0,4}x+)*={0,2}" % MIN_RUN)
 
 
 def _mark(members: bytes) -> bytes:
     """Translation of members to ``x``; blanks, line ends and ``=`` stay, all else becomes a point."""
-    return bytes(120 if b in members else b if b in b" \r\n=" else 46 for b in range(256))
+    return bytes(120 if b in members else b if b in b" \t\r\n=" else 46 for b in range(256))
 
 
 _HEX = bytes(120 if b in b"0123456789abcdef" else 46 for b in range(256))
@@ -181,24 +187,38 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     marked = points.translate(_HEX)
     if b"x" * MIN_HEX in marked:
         found += [(m.start(), 2, m.end()) for m in _HEX_RUN.finditer(marked)]
-    if b"eyJ" in points:
-        found += [(m.start(), 3, m.end()) for m in _SIGNED.finditer(points) if is_signed_token(m[0])]
+    past = 0
+    for m in _SIGNED.finditer(points):
+        for brace in _BRACE.finditer(m[1]):
+            start = m.start() + brace.start()
+            if start >= past and is_signed_token(points[start : m.end(2)]):
+                found.append((start, 3, past := m.end(2)))
+                break
     keys: dict[int, tuple[int, int, int]] = {}
+    plain = points
+    for escape, blank in _ESCAPED:
+        plain = plain.replace(escape, blank)
+    plain = _QUOTED.sub(lambda m: b" " * (len(m[0]) - m[0].count(b"\n")) + b"\n", plain) if b"\n" in plain else plain
     for alphabet, wrapped in _ALPHABETS:
-        marked = points.translate(alphabet)
+        source = plain if wrapped else points
+        marked = source.translate(alphabet)
         if b"x" * MIN_RUN not in marked:
             continue
-        for m in _RUN.finditer(marked):
+        at = 0
+        while m := (_WRAPPED if wrapped else _RUN).search(marked, at):
             start, end = m.span()
             line_end = start + re.search(rb"[\r\n]|$", marked[start:end]).start()
+            at = max(line_end, _RUN.match(marked, start).end())
             stops = [line_end]
             if wrapped and line_end < end:
-                stops = [end, _declared_end(points[start:end], marked[start:end]) + start, line_end]
+                stops = [end, _declared_end(source[start:end], marked[start:end]) + start, at, line_end]
             for stop in stops:
-                forms = decoded(points[start:stop])
+                stop = start + len(source[start:stop].rstrip())
+                forms = decoded(source[start:stop])
                 kind = 4 if any(map(is_der_key, forms)) else 5 if any(map(is_ssh_key, forms)) else None
                 if kind:
                     keys.setdefault(start, (start, kind, stop))
+                    at = max(at, stop)
                     break
     found += keys.values()
     return sorted(found)
