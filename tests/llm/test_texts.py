@@ -102,6 +102,15 @@ def test_statistics_of_given_documents(spark, small):
         assert tuple(r)[1:7] == plain_statistics(texts[r["doc_id"]])
 
 
+def test_texts_without_frequent_lines(spark):
+    many = line_frequency.MAX_DOCUMENTS + 1
+    rows = [(i, f"own words of {chr(97 + i)}\n\nAll rights reserved {10 + i}", "en", "s1") for i in range(many)]
+    rows += [(100, "All rights reserved 11\nmore", "en", "s2"), (101, None, "en", "s1"), (None, "All rights  reserved 15", "en", "s1")]
+    got = {r["doc_id"]: r["text"] for r in line_frequency.without_frequent_lines(frame(spark, rows)).collect()}
+    want = {i: f"own words of {chr(97 + i)}\n" for i in range(many)}
+    assert got == want | {100: "All rights reserved 11\nmore", 101: None, None: ""}
+
+
 def der(tag, body):
     size = len(body)
     head = bytes([size]) if size < 128 else bytes([0x80 | (size.bit_length() + 7) // 8]) + size.to_bytes((size.bit_length() + 7) // 8, "big")

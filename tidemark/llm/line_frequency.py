@@ -18,6 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import WORD, fields, stored
 
@@ -69,19 +70,65 @@ def text_statistics(text: str | None) -> tuple:
             continue
         again += line in seen
         seen.add(line)
-        plain = _DIGITS.sub("0", " ".join(in_line).lower())
-        hashes.append(xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63))
+        hashes.append(line_hash(in_line))
         sizes.append(len(in_line))
     symbols = sum(map(text.count, SYMBOLS))
     return len(words), sum(map(len, words)), symbols, again, _repeat_words(words), hashes, sizes
 
 
+def line_hash(in_line: list[str]) -> int:
+    """Hash of a normalised line, from its words."""
+    plain = _DIGITS.sub("0", " ".join(in_line).lower())
+    return xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 @F.pandas_udf(STATS)
 def statistics_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([text_statistics(t) for t in texts], columns=STATS.names)
 
 
+def _frequent(lines: DataFrame) -> DataFrame:
+    """(host, no_host, h) of the lines in more than ``MAX_DOCUMENTS`` distinct documents of a host."""
+    return (
+        lines.where("doc_id is not null")
+        .select("host", "no_host", "h", "doc_id")
+        .distinct()
+        .groupBy("host", "no_host", "h")
+        .agg(F.count(F.lit(1)).alias("documents"))
+        .where(F.col("documents") > MAX_DOCUMENTS)
+    )
+
+
+@F.pandas_udf(T.StringType())
+def _left(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    def of(text: str | None, hashes) -> str | None:
+        if text is None or hashes is None:
+            return text
+        drop = set(map(int, hashes))
+        return "\n".join(x for x in text.split("\n") if not (found := _WORDS.findall(x)) or line_hash(found) not in drop)
+
+    return pd.Series([of(*pair) for pair in zip(texts, gone, strict=True)], dtype=object)
+
+
+def without_frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """(doc_id, text) for every input row, without the lines that :func:`judged` takes for boilerplate of the row's host.
+
+    Lines without a word stay, null texts stay null. Rows of one host with equal texts lose the same lines, so the lines are joined back by
+    host and a 64-bit hash of the text.
+    """
+    named = docs.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(host).isNull().alias("no_host"),
+        F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"),
+    )
+    lines = stored(
+        named.select("doc_id", "host", "no_host", "text_hash", F.explode(statistics_of("text")["line_hash"]).alias("h")), "text-lines"
+    )
+    on = ["host", "no_host", "text_hash"]
+    gone = lines.join(_frequent(lines), ["host", "no_host", "h"]).groupBy(*on).agg(F.collect_set("h").alias("gone"))
+    return named.join(gone, on, "left").select("doc_id", _left("text", "gone").alias("text"))
+
+
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per input row: doc_id, base statistics, base_failed, n_words_left, kept.
 
@@ -94,15 +141,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: st
     lines = stats.select(
         "row", "doc_id", "host", "no_host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("line")
     ).select("row", "doc_id", "host", "no_host", F.col("line.line_hash").alias("h"), F.col("line.line_words").alias("n"))
-    frequent = (
-        lines.where("doc_id is not null")
-        .select("host", "no_host", "h", "doc_id")
-        .distinct()
-        .groupBy("host", "no_host", "h")
-        .agg(F.count(F.lit(1)).alias("documents"))
-        .where(F.col("documents") > MAX_DOCUMENTS)
-    )
-    removed = lines.join(frequent, ["host", "no_host", "h"]).groupBy("row").agg(F.sum("n").alias("removed"))
+    removed = lines.join(_frequent(lines), ["host", "no_host", "h"]).groupBy("row").agg(F.sum("n").alias("removed"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
