@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import contamination, line_frequency, production
+from tidemark.llm import contamination, fill_middle, line_frequency, prefix_trie, production
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,5 +80,49 @@ SELECT *, NOT base_failed AND n_words_left >= {line_frequency.MIN_WORDS} AND n_w
 """
 
 
+# One step of crc32 for each bit of each byte of the decimal id.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda acc, b: list_reduce(list_concat([xor(acc, b)], list_transform(range(8), lambda k: 0::BIGINT)),
+        lambda r, k: xor(r >> 1, (r & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+OP11 = f"""
+WITH placed AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM conversations WHERE conv_id IS NOT NULL),
+  said AS (SELECT conv_id, place, sha256(concat(length(role), ':', role, text)) AS said, length(text) AS chars FROM placed),
+  ids AS (SELECT conv_id, {_CRC} % {prefix_trie.SHARED_TURNS} AS h, conv_id - conv_id % {prefix_trie.SHARED_BY} AS base FROM (SELECT DISTINCT conv_id FROM placed)),
+  ordered AS (
+    SELECT i.conv_id, 0 AS part, place, said, chars FROM ids i JOIN said s ON s.conv_id = i.base WHERE place <= h
+    UNION ALL SELECT i.conv_id, 1, place, said, chars FROM ids i JOIN said s ON s.conv_id = i.conv_id WHERE place > h),
+  turns AS (SELECT conv_id, chars, row_number() OVER w AS depth, sha256(string_agg(said, '') OVER (w ROWS UNBOUNDED PRECEDING)) AS node
+    FROM ordered WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)),
+  paths AS (SELECT conv_id, 0 AS depth, '' AS node, 0 AS chars FROM ids UNION ALL SELECT conv_id, depth, node, chars FROM turns),
+  sized AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS n FROM paths),
+  nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars, count(*) FILTER (depth < n) AS longer,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256 FROM sized GROUP BY node, depth),
+  parents AS (SELECT x.node, p.node AS parent FROM nodes x JOIN paths p ON p.conv_id = x.conv_id AND p.depth = x.depth - 1),
+  children AS (SELECT parent AS node, count(*) AS n_children FROM parents GROUP BY parent),
+  above AS (SELECT p.node, sum(CASE WHEN x.longer = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved_tokens
+    FROM nodes x JOIN paths p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY p.node)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN above USING (node) LEFT JOIN parents USING (node) LEFT JOIN nodes q ON q.node = parents.parent LEFT JOIN children c ON c.node = x.node
+"""
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+    sha256(concat('{fill_middle.SEED}:', doc_id)) AS x FROM documents),
+  h AS (SELECT *, len(u) AS n, CAST(concat('0x', substr(x, 1, 8)) AS BIGINT) AS h1, CAST(concat('0x', substr(x, 9, 8)) AS BIGINT) AS h2,
+    CAST(concat('0x', substr(x, 17, 8)) AS BIGINT) AS h3, CAST(concat('0x', substr(x, 25, 8)) AS BIGINT) AS h4 FROM d),
+  f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= {fill_middle.CHANGED_OF_100} THEN 'plain' WHEN h4 % 100 < {fill_middle.SPM_OF_100} THEN 'spm' ELSE 'psm' END AS form FROM h),
+  c AS (SELECT *, array_to_string(list_slice(u, 1, low), '') AS a, array_to_string(list_slice(u, low + 1, high), '') AS b, array_to_string(list_slice(u, high + 1, n), '') AS c FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', a, '<S>', c, '<M>', b) ELSE concat('<S>', c, '<P>', a, '<M>', b) END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_token_mix": OP1, "op3_benchmark_leaks": OP3, "op6_line_frequency": OP6}
+    return {
+        "op1_token_mix": OP1, "op3_benchmark_leaks": OP3, "op6_line_frequency": OP6, "op11_conversation_trie": OP11, "op13_fill_middle": OP13,
+    }

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark.llm import (
     contamination,
+    fill_middle,
     lang_kernel,
     line_dedup,
     line_frequency,
     mixing,
+    prefix_trie,
     production,
     pu_quality,
     run_index,
     secret_scan,
     simhash_anchors,
+    toxicity,
     transcripts,
 )
 from tidemark.llm.common import table
@@ -79,6 +82,21 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_beginnings(table(spark, sf_dir, "conversations"))
+
+
+def op12_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transformed(table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (text, "restored_sha256"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -96,4 +114,7 @@ def queries() -> dict[str, Run]:
         "op8_transcript_turns": op8_transcript_turns,
         "op9_confirmed_secrets": op9_confirmed_secrets,
         "op10_string_kernel_language": op10_string_kernel_language,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_ftrl_toxicity": op12_ftrl_toxicity,
+        "op13_fill_middle": op13_fill_middle,
     }
