@@ -8,19 +8,20 @@ base64 or hex characters that, once decoded, have the structure of a key:
           algorithm identifier
     ssh   length-prefixed fields that fill the data exactly, the first a known key type; or the private key container
 
-The lines of a wrapped key may be indented, quoted or ended by escapes. A run that only looks random is not reported. Texts are mapped to one byte per code point, so that long runs are found by a byte
+The lines of a wrapped key may be indented, quoted or ended by escapes; each wrapped body is decoded once, and every line that begins in
+it is looked at as the start of a key. A run that only looks random is not reported. Texts are mapped to one byte per code point, so that long runs are found by a byte
 search and offsets count code points. Each text is scanned by itself in the task that reads it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ _BRACE = re.compile(rb"^|e[wy]")
 _ESCAPED = ((b"\\n", b" \n"), (b"\\r", b"  "), (b"\\t", b"  "))
 _QUOTED = re.compile(rb"""["'][ \t]*[+,.]?[ \t]*\r?\n[ \t]*["']|\r?\n(?=[ \t]*>)[ \t>]+""")
 _WRAPPED = re.compile(rb"x{%d,}(?:(?:[ \t]*\r?\n)+[ \t]*x+)*={0,2}" % MIN_RUN)
-_RUN = re.compile(rb"x{%d,}(?: {0,4}\r?\n {0,4}x+)*={0,2}" % MIN_RUN)
+_RUN = re.compile(rb"x{%d,}={0,2}" % MIN_RUN)
 
 
 def _mark(members: bytes) -> bytes:
@@ -62,24 +63,12 @@ _HEX = bytes(120 if b in b"0123456789abcdef" else 46 for b in range(256))
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 # keys in the plain alphabet may be wrapped over lines, those in the alphabet for addresses may not
 _ALPHABETS = ((_mark(_LETTERS + b"+/"), True), (_mark(_LETTERS + b"-_"), False))
+# how a key begins in hex: a SEQUENCE, the length of a key type, the container's name
+_HEADS_HEX = re.compile(rb"(?i)30|000000|6f70656e")
+_OTHERS = re.compile(rb"[^0-9A-Fa-f]")
 _HEX_RUN = re.compile(rb"x{%d,}" % MIN_HEX)
 
 
-def decoded(run: bytes) -> list[bytes]:
-    """What a run of base64 or hex characters may stand for; blanks and line ends inside are skipped."""
-    plain = b"".join(run.split())
-    out = []
-    if len(plain) % 2 == 0 and re.fullmatch(rb"[0-9A-Fa-f]+", plain):
-        out.append(bytes.fromhex(plain.decode()))
-    bare = plain.rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
-    if len(bare) % 4 != 1:
-        try:
-            out.append(base64.b64decode(bare + b"=" * (-len(bare) % 4), validate=True))
-        except binascii.Error:
-            pass
-    return out
-
-
 def _der_items(data: bytes, at: int, stop: int) -> list[tuple[int, int, int]] | None:
     """(tag, start, stop) of the values that fill ``data[at:stop]`` exactly; None where lengths do not fit."""
     items = []
@@ -101,10 +90,19 @@ def _der_items(data: bytes, at: int, stop: int) -> list[tuple[int, int, int]] |
     return items
 
 
-def is_der_key(data: bytes) -> bool:
-    if not data or data[0] != 0x30:
-        return False
-    outer = _der_items(data, 0, len(data))
+def _declared(data: bytes, at: int) -> int:
+    """Bytes of the ASN.1 SEQUENCE that begins at ``at``, its head included; 0 where none does."""
+    if data[at : at + 1] != b"\x30" or at + 2 > len(data):
+        return 0
+    more = data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0
+    if more > 4:
+        return 0
+    return 2 + more + (int.from_bytes(data[at + 2 : at + 2 + more], "big") if more else data[at + 1])
+
+
+def is_der_key(data: bytes, at: int, stop: int) -> bool:
+    """Whether ``data[at:stop]`` is one SEQUENCE that begins like a key and whose lengths fill it."""
+    outer = _der_items(data, at, stop) if data[at : at + 1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
     inner = _der_items(data, outer[0][1], outer[0][2])
@@ -121,26 +119,26 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(SSH_CONTAINER):
-        at = len(SSH_CONTAINER)
-        for _ in range(3):  # cipher, key derivation, its options
-            size = int.from_bytes(data[at : at + 4], "big")
-            at += 4 + size
-        return at + 4 <= len(data)
-    fields, at = [], 0
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
-        if len(fields) == 1 and fields[0] not in SSH_TYPES:
-            return False
-        at += 4 + size
-    return at == len(data) and len(fields) > 1
+def ssh_key_end(data: bytes, at: int, stops: list[int]) -> int | None:
+    """The first of ``stops`` that an SSH key or private key container at ``at`` can end at; None if there is none."""
+    container = data.startswith(SSH_CONTAINER, at)
+    place, fields, ends = at + len(SSH_CONTAINER) * container, 0, set()
+    while place + 4 <= max(stops):
+        size = int.from_bytes(data[place : place + 4], "big")
+        if not container and fields == 0 and data[place + 4 : place + 4 + size] not in SSH_TYPES:
+            return None
+        if container and fields == 3:  # after cipher, key derivation and its options
+            return next((stop for stop in stops if place + 4 <= stop), None)
+        place, fields = place + 4 + size, fields + 1
+        if fields > 1:
+            ends.add(place)
+    return None if container else next((stop for stop in stops if stop in ends), None)
 
 
 def is_signed_token(token: bytes) -> bool:
+    head = base64.urlsafe_b64decode(token[:16] + b"=" * (-len(token[:16]) % 4)) if b"." not in token[:16] else b""
+    if re.match(rb"\s*\{\s*[^\s\"]", head):  # a long run is not decoded for each brace in it
+        return False
     for place, part in enumerate(token.split(b".")[:2]):
         if len(part) % 4 == 1:
             return False
@@ -153,24 +151,60 @@ def is_signed_token(token: bytes) -> bool:
     return True
 
 
-def _declared_end(run: bytes, marked: bytes) -> int:
-    """Where a wrapped base64 run ends by the length that its first bytes declare; the run may go on into other text."""
-    places = [i for i, c in enumerate(marked) if c == 120]
-    head = base64.b64decode(run[:8]) if len(places) >= 8 and places[7] == 7 else b""
-    if not head or head[0] != 0x30:
-        return len(run)
-    more = head[1] & 0x7F if head[1] & 0x80 else 0
-    if more > 4:
-        return len(run)
-    size = int.from_bytes(head[2 : 2 + more], "big") if more else head[1]
-    total = 2 + more + size
-    chars = (total * 8 + 5) // 6
-    if chars > len(places):
-        return len(run)
-    end = places[chars - 1] + 1
-    while end < len(marked) and marked[end : end + 1] == b"=":
-        end += 1
-    return end
+class _Body:
+    """A run of base64 or hex characters, over one line or several; decoded once for each way its characters may pair up."""
+
+    def __init__(self, source: bytes, marked: bytes, start: int, end: int):
+        self.marked, self.end = marked, end
+        # places of the characters in the text, blanks and line ends left out
+        self.places = np.flatnonzero(np.frombuffer(marked, np.uint8, end - start, start) == 120) + start
+        self.chars = np.frombuffer(source, np.uint8)[self.places].tobytes().replace(b"-", b"+").replace(b"_", b"/")
+        self.opens = np.flatnonzero(np.diff(self.places, prepend=-2) > 1)  # characters that begin a line
+        self.views: dict[tuple[int, int], bytes] = {}
+
+    def _view(self, per_char: int, first: int) -> bytes:
+        """The bytes of all characters from ``first`` on; ``per_char`` is 6 (base64) or 4 bits (hex)."""
+        if (per_char, first) not in self.views:
+            chars = self.chars[first:]
+            if per_char == 4:
+                chars = _OTHERS.sub(b"0", chars[: len(chars) // 2 * 2])
+                self.views[per_char, first] = bytes.fromhex(chars.decode())
+            else:
+                chars = chars[: len(chars) - (len(chars) % 4 == 1)]
+                self.views[per_char, first] = base64.b64decode(chars + b"=" * (-len(chars) % 4))
+        return self.views[per_char, first]
+
+    def keys(self) -> Iterator[tuple[int, int, int]]:
+        """(start, kind, end) of the keys that begin a line, one after the other."""
+        past, line_ends = 0, [*self.opens[1:].tolist(), len(self.chars)]
+        for open_, line_end in zip(self.opens.tolist(), line_ends, strict=True):
+            if open_ >= past and line_end - open_ >= MIN_RUN and (found := self._key(open_, line_end)):
+                kind, past = found
+                end = int(self.places[past - 1]) + 1
+                while end < self.end and self.marked[end : end + 1] == b"=":
+                    end += 1
+                yield int(self.places[open_]), kind, end
+
+    def _key(self, first: int, line_end: int) -> tuple[int, int] | None:
+        """(kind, character after the last) of the key that begins at a character."""
+        for bits, group, size in ((4, 2, 1), (6, 4, 3)):
+            if bits == 4 and not _HEADS_HEX.match(self.chars, first):
+                continue
+            data, at = self._view(bits, first % group), first // group * size
+            total = _declared(data, at)
+            stop = first + -(-total * 8 // bits)
+            if total and stop <= len(self.chars) and self._plain(bits, first, stop) and is_der_key(data, at, at + total):
+                return 4, stop
+            # an SSH key does not say its length: it ends with the body or with the line
+            ends = [e for e in (len(self.chars), line_end) if (e - first) % 4 != 1 and (bits == 6 or (e - first) % 2 == 0)]
+            stops = [at + (e - first) * bits // 8 for e in ends]
+            stop = ssh_key_end(data, at, stops) if ends else None
+            if stop is not None and self._plain(bits, first, ends[stops.index(stop)]):
+                return 5, ends[stops.index(stop)]
+        return None
+
+    def _plain(self, bits: int, first: int, stop: int) -> bool:
+        return bits == 6 or not _OTHERS.search(self.chars, first, stop)
 
 
 def spans_of(text: str | None) -> list[tuple[int, int, int]]:
@@ -194,32 +228,19 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
             if start >= past and is_signed_token(points[start : m.end(2)]):
                 found.append((start, 3, past := m.end(2)))
                 break
-    keys: dict[int, tuple[int, int, int]] = {}
     plain = points
     for escape, blank in _ESCAPED:
         plain = plain.replace(escape, blank)
     plain = _QUOTED.sub(lambda m: b" " * (len(m[0]) - m[0].count(b"\n")) + b"\n", plain) if b"\n" in plain else plain
+    keys: dict[int, tuple[int, int, int]] = {}
     for alphabet, wrapped in _ALPHABETS:
         source = plain if wrapped else points
         marked = source.translate(alphabet)
         if b"x" * MIN_RUN not in marked:
             continue
-        at = 0
-        while m := (_WRAPPED if wrapped else _RUN).search(marked, at):
-            start, end = m.span()
-            line_end = start + re.search(rb"[\r\n]|$", marked[start:end]).start()
-            at = max(line_end, _RUN.match(marked, start).end())
-            stops = [line_end]
-            if wrapped and line_end < end:
-                stops = [end, _declared_end(source[start:end], marked[start:end]) + start, at, line_end]
-            for stop in stops:
-                stop = start + len(source[start:stop].rstrip())
-                forms = decoded(source[start:stop])
-                kind = 4 if any(map(is_der_key, forms)) else 5 if any(map(is_ssh_key, forms)) else None
-                if kind:
-                    keys.setdefault(start, (start, kind, stop))
-                    at = max(at, stop)
-                    break
+        for m in (_WRAPPED if wrapped else _RUN).finditer(marked):
+            for key in _Body(source, marked, *m.span()).keys():
+                keys.setdefault(key[0], key)
     found += keys.values()
     return sorted(found)
 
