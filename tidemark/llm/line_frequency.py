@@ -1,6 +1,6 @@
 """Quality rules by line frequency: lines that many documents of one host share are removed, depleted documents rejected.
 
-A line is normalised (lower-cased, digits as 0, blanks run together) and hashed. Per host and hash the distinct documents are counted;
+A line is normalised (lower-cased, each number as 0, blanks run together) and hashed. Per host and hash the distinct documents are counted;
 above ``MAX_DOCUMENTS`` the line is boilerplate of that host. A document is depleted if less than ``MIN_LEFT`` of its
 words, or fewer than ``MIN_WORDS``, are left once such lines are removed.
 
@@ -28,7 +28,7 @@ MIN_WORDS = 10
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 _WORDS = re.compile(WORD)
-_DIGITS = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9]+")
 
 STATS = fields(
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash longs, line_words longs"

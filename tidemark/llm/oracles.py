@@ -68,7 +68,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all
   lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
   worded AS (SELECT doc_id, source, line, regexp_extract_all(line, '{_WORD}') AS lw FROM lines WHERE regexp_matches(line, '{_WORD}')),
   dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id),
-  plain AS (SELECT doc_id, source, len(lw) AS n, regexp_replace(lower(array_to_string(lw, ' ')), '[0-9]', '0', 'g') AS h FROM worded),
+  plain AS (SELECT doc_id, source, len(lw) AS n, regexp_replace(lower(array_to_string(lw, ' ')), '[0-9]+', '0', 'g') AS h FROM worded),
   frequent AS (SELECT source, h FROM plain GROUP BY ALL HAVING count(DISTINCT doc_id) > {line_frequency.MAX_DOCUMENTS}),
   removed AS (SELECT doc_id, sum(n) AS removed FROM plain p JOIN frequent f ON p.h = f.h AND p.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
   base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
