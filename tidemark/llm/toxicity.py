@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import stored
 
-SAMPLE, TEXT_CHARS, SAMPLE_CHARS = 12_000, 200_000, 30_000_000
+SAMPLE, TEXT_CHARS, SAMPLE_CHARS = 8000, 200_000, 20_000_000
 PASSES, LEAST_TEXTS = 3, 3
 # Rates alpha / (beta + root of a feature's squared gradients), L1 and L2 bounds.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
