@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import EARLIEST_TS14, LATEST_TS14, epoch_micros, epoch_seconds, from_ts14
 from tidemark.operators.ordered import nearest_value, rank_by_range
 from tidemark.operators.prefixes import prefix_hits
+from tidemark.session import use_checkpoints
 
 YEAR_SECONDS = 31_536_000
 
@@ -159,10 +160,46 @@ def drop_listed(captures: DataFrame, deletions: DataFrame, identity: Sequence[st
     return captures.join(deletions.select(*identity).distinct(), list(identity), "left_anti")
 
 
+def resolved_aliases(aliases: DataFrame, old: str, new: str) -> DataFrame:
+    """(old, final, steps): where each aliased key lives after all its aliases, and how many there were.
+
+    A key with several aliases takes the least. Rounds of pointer doubling: each joins a key's target with that target's own target, so a
+    chain of n aliases takes log2(n) rounds. A loop has no end: its keys, and those that lead into it, go to the least key of the loop, and
+    their ``steps`` is null. Aliases of a key to itself and nulls are left out.
+    """
+    use_checkpoints(aliases.sparkSession)
+    # nulls go after the checkpoint: a null test of a computed key would repeat its whole expression
+    one = aliases.groupBy(F.col(old).alias("key")).agg(F.min(F.when(F.col(new) != F.col(old), F.col(new))).alias("to")).checkpoint()
+    one = one.where("key is not null and to is not null")
+    # "least" is the least key among the targets passed, so that it covers a loop once all its keys have been passed
+    state = one.select("key", "to", F.lit(1).cast("long").alias("steps"), F.col("to").alias("least"), F.lit(False).alias("ended"))
+    edges, reach = state.count(), 1
+    while reach < 2 * edges:
+        onward = state.select(F.col("key").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("least").alias("further"))
+        met = state.join(onward, "to", "left")
+        state = met.select(
+            "key",
+            F.coalesce("next", "to").alias("to"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.least("least", F.coalesce("further", "least")).alias("least"),
+            F.col("next").isNull().alias("ended"),
+        ).checkpoint()
+        reach *= 2
+        if state.where(~F.col("ended")).isEmpty():
+            break
+    # a target that has a target still lies in a loop; from there all keys passed are the loop's
+    looped = state.select(F.col("key").alias("to"), F.col("least").alias("of_loop"))
+    return state.join(looped, "to", "left").select(
+        F.col("key").alias(old),
+        F.coalesce("of_loop", "to").alias("final"),
+        F.when(F.col("of_loop").isNull(), F.col("steps")).alias("steps"),
+    )
+
+
 def apply_aliases(df: DataFrame, key: str, aliases: DataFrame, old: str, new: str, out: str) -> DataFrame:
-    """Add the key a URL lives under now; keys without an alias stay."""
-    one = aliases.groupBy(F.col(old).alias(key)).agg(F.min(new).alias("_new"))
-    return df.join(one, key, "left").withColumn(out, F.coalesce("_new", key)).drop("_new")
+    """Add the key a URL lives under now, through chains of aliases (:func:`resolved_aliases`); keys without an alias stay."""
+    final = resolved_aliases(aliases, old, new).select(F.col(old).alias(key), F.col("final").alias("_new"))
+    return df.join(final, key, "left").withColumn(out, F.coalesce("_new", key)).drop("_new")
 
 
 def scan_from(

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.schedules import is_due
 from tidemark.functions.urls import surt_key, url_host
-from tidemark.operators.prefixes import not_covered
+from tidemark.operators.ordered import running_total
+from tidemark.operators.prefixes import covered, not_covered
+from tidemark.operators.suffixes import suffixes_of
 from tidemark.session import use_checkpoints
 
 # Document review states by code.
@@ -86,8 +88,6 @@ def launches(
 
 def feed_violations(feed: DataFrame, never_crawl: DataFrame, key: str, prefix: str) -> DataFrame:
     """Feed rows that the never-crawl list covers; there should be none."""
-    from tidemark.operators.prefixes import covered
-
     return covered(feed, key, never_crawl, prefix)
 
 
@@ -135,16 +135,16 @@ def taxonomy_ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
 URL_SYNTAX = r"^https?://[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)+(:[0-9]+)?([/?#].*)?$"
 
 
-def quality_problems(targets: DataFrame, url: str, record_id: str, known_suffixes: DataFrame, suffix: str) -> DataFrame:
+def quality_problems(targets: DataFrame, url: str, record_id: str, suffix_rules: DataFrame, rule: str) -> DataFrame:
     """(record_id, rule): ``bad_url``, ``unknown_suffix``, ``duplicate_url``, ``no_start_date``.
 
-    Suffixes and duplicates are looked up by join; a URL that many records share is counted first.
+    A suffix is known if a public-suffix rule matches the host. Suffixes and duplicates are looked up by join; a URL that
+    many records share is counted first.
     """
-    host = url_host(url)
-    keyed = targets.withColumn("_key", surt_key(url)).withColumn("_suffix", F.substring_index(host, ".", -1))
+    keyed = targets.withColumns({"_key": surt_key(url), "_host": F.coalesce(url_host(url), F.lit(""))})
     repeated = keyed.groupBy("_key").agg((F.count(F.lit(1)) > 1).alias("_repeated"))
-    known = known_suffixes.select(F.col(suffix).alias("_suffix"), F.lit(True).alias("_known")).distinct()
-    checked = keyed.join(repeated, "_key", "left").join(known, "_suffix", "left")
+    known = suffixes_of(keyed, "_host", suffix_rules, rule).where("listed").select("_host", F.lit(True).alias("_known"))
+    checked = keyed.join(repeated, "_key", "left").join(known, "_host", "left")
     valid = F.coalesce(F.col(url).rlike(URL_SYNTAX), F.lit(False))
     rules = F.array(
         F.when(~valid, F.lit("bad_url")),
@@ -165,8 +165,6 @@ def collection_pages(members: DataFrame, collection: str, order: str, columns: S
     Pages are cut by id range blocks first, so a collection of any size never meets in one task: page
     number = rank of the member by id, computed as a running total over id blocks.
     """
-    from tidemark.operators.ordered import running_total
-
     at = members.withColumn("_t", F.timestamp_seconds(F.col(order)).cast("timestamp_ntz"))
     ranked = running_total(at, [collection], ["_t"], F.lit(1), "_no", bucket_seconds=100_000).drop("_t")
     return (

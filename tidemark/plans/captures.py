@@ -178,6 +178,30 @@ def url_aliases(t: Tables):
     return out.select("event_id", "urlkey", "current_key")
 
 
+# Chains: host h of 0 to 8 moved on to the next one; h10, h11 and h12 form a loop, and h13 leads into it.
+_MOVED = """(SELECT DISTINCT urlkey AS old_key, replace(urlkey, concat('h', h, ')'), concat('h', CASE WHEN h = 12 THEN 10 WHEN h = 13 THEN 11 ELSE h + 1 END, ')')) AS new_key
+    FROM (SELECT urlkey, CAST(regexp_extract(urlkey, 'h([0-9]+)[)]', 1) AS INT) AS h FROM {captures}) k WHERE h <= 13 AND h <> 9)"""
+
+
+@query(
+    "url_alias_chains",
+    "J12 P26",
+    f"""
+    WITH RECURSIVE moved AS (SELECT * FROM {_MOVED.format(captures='captures')}),
+    walk AS (SELECT old_key, new_key, 1 AS steps, [new_key] AS path FROM moved
+      UNION ALL SELECT w.old_key, m.new_key, w.steps + 1, list_append(w.path, m.new_key) FROM walk w JOIN moved m ON m.old_key = w.new_key
+      WHERE NOT list_contains(w.path, m.new_key)),
+    far AS (SELECT *, row_number() OVER (PARTITION BY old_key ORDER BY steps DESC) AS rn FROM walk),
+    ends AS (SELECT f.old_key, f.path, f.new_key, f.steps, m.new_key AS back FROM far f LEFT JOIN moved m ON m.old_key = f.new_key WHERE rn = 1)
+    SELECT old_key, CASE WHEN back IS NULL THEN new_key ELSE list_min(list_slice(path, list_position(path, back), len(path))) END AS final,
+      CASE WHEN back IS NULL THEN CAST(steps AS BIGINT) END AS steps FROM ends
+    """,
+)
+def url_alias_chains(t: Tables):
+    moved = t.spark.sql("SELECT * FROM " + _MOVED, captures=t.captures)
+    return ops.resolved_aliases(moved, "old_key", "new_key")
+
+
 @query(
     "unique_urls",
     "A15 T8",

@@ -266,19 +266,18 @@ def taxonomy_ancestors(t: Tables):
 
 
 _QA = f"""
-    WITH c AS (SELECT *, {surt('url')} AS k, list_last(string_split(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '.')) AS suffix,
+    WITH c AS (SELECT *, {surt('url')} AS k, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS h,
       regexp_matches(url, '^https?://[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+(:[0-9]+)?([/?#].*)?$') AS valid FROM curated),
     d AS (SELECT k FROM c GROUP BY k HAVING count(*) > 1),
     problems AS (SELECT target_id, 'bad_url' AS rule FROM c WHERE NOT valid
-      UNION ALL SELECT target_id, 'unknown_suffix' FROM c WHERE valid AND suffix NOT IN ('uk', 'com', 'org', 'net')
+      UNION ALL SELECT target_id, 'unknown_suffix' FROM c WHERE valid AND NOT EXISTS (SELECT 1 FROM suffix_rules r WHERE h = ltrim(rule, '!') OR ends_with(h, '.' || ltrim(rule, '!*.')))
       UNION ALL SELECT target_id, 'duplicate_url' FROM c WHERE k IN (SELECT k FROM d)
       UNION ALL SELECT target_id, 'no_start_date' FROM c WHERE start_date IS NULL)
 """
 
 
 def _problems(t: Tables):
-    suffixes = t.spark.createDataFrame([("uk",), ("com",), ("org",), ("net",)], "suffix string")
-    return curation.quality_problems(t.curated, "url", "target_id", suffixes, "suffix")
+    return curation.quality_problems(t.curated, "url", "target_id", t.suffix_rules, "rule")
 
 
 @query("quality_problems", "F25 B10", _QA + "SELECT target_id, rule FROM problems")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
-from tidemark.operators import documents, prefixes, scope
+from tidemark.operators import bloom, documents, prefixes, scope
+from tidemark.operators.filters import http_responses
 from tidemark.plans.curated import _FOUND, _watched
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
@@ -118,6 +119,30 @@ def stream_first_seen(t: Tables):
     return t.spark.read.parquet(out)
 
 
+# Of the filter that stands for the crawl's: keys it is made for, and the rate at which it may miss a new one.
+SEEN_CAPACITY, SEEN_RATE = 1_000_000, 1e-9
+
+
+@query("stream_first_seen_bounded", "T8 A15", "SELECT DISTINCT urlkey FROM captures")
+def stream_first_seen_bounded(t: Tables):
+    """The keys of A15 from a stream whose state is a filter of fixed size."""
+    out, checkpoint = _folders(t, "first-seen-bounded", "out", "checkpoint")
+    gates.use_rocksdb(t.spark)
+    keyed = http_responses(_stream(t, "crawl_log")).select(urls.surt_key("url").alias("urlkey"))
+    seen = gates.first_seen_bounded(keyed, "urlkey", bloom.Shape.of(SEEN_CAPACITY, SEEN_RATE), shards=8)
+    intake.append_to(seen, out, checkpoint, available_now=True).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("unseen_urls", "A15 T8", "SELECT DISTINCT urlkey FROM captures EXCEPT SELECT urlkey FROM captures WHERE event_id % 3 = 0 OR status_code = 404")
+def unseen_urls(t: Tables):
+    """Two crawls' filters, merged; the keys that neither has seen."""
+    shape = bloom.Shape.of(SEEN_CAPACITY, SEEN_RATE)
+    one = bloom.build_filter(t.captures.where("event_id % 3 = 0"), "urlkey", shape)
+    other = bloom.build_filter(t.captures.where("status_code = 404"), "urlkey", shape)
+    return bloom.not_in_filter(t.captures, "urlkey", bloom.merge_filters(one, other), shape)
+
+
 @query(
     "stream_scope_split",
     "T9 T10",
@@ -182,6 +207,30 @@ def stream_activity_alerts(t: Tables):
     return feeds.activity_alerts(hourly, "ts", "n", first, last)
 
 
+@query(
+    "stream_silence_alerts",
+    "T12 W3",
+    """
+    WITH e AS (SELECT event_type AS series, time_bucket(INTERVAL '1 hour', ts) AS step_at FROM events WHERE event_type IN ('error', 'signup')),
+    s AS (SELECT series, unnest(range(min(step_at), (SELECT max(ts) - INTERVAL '2 hours' FROM events) + INTERVAL '1 microsecond', INTERVAL '1 hour')) AS step_at FROM e GROUP BY series),
+    f AS (SELECT s.series, s.step_at, count(e.step_at) AS n FROM s LEFT JOIN e ON e.series = s.series AND e.step_at = s.step_at GROUP BY 1, 2),
+    i AS (SELECT *, sum(n) OVER (PARTITION BY series ORDER BY step_at ROWS 3 PRECEDING) < 10 AS low FROM f),
+    g AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY step_at) AS run, max(step_at) OVER (PARTITION BY series) AS final FROM i),
+    r AS (SELECT series, min(step_at) AS since, max(step_at) AS until, count(*) AS samples, any_value(final) AS final FROM g WHERE low GROUP BY series, run)
+    SELECT series, 'firing' AS state, since, since + INTERVAL '1 hour' AS reached, CAST(2 AS BIGINT) AS samples FROM r WHERE until - since >= INTERVAL '1 hour'
+    UNION ALL SELECT series, 'resolved', since, until, samples FROM r WHERE until - since >= INTERVAL '1 hour' AND until < final
+    """,
+)
+def stream_silence_alerts(t: Tables):
+    """Alerts as the running query gives them out, for two kinds of event."""
+    out, checkpoint = _folders(t, "silence-alerts", "out", "checkpoint")
+    gates.use_rocksdb(t.spark)
+    alerts = gates.silence_alerts(_stream(t), "ts", F.col("event_type"), F.col("event_type").isin("error", "signup"), "1 hour")
+    intake.append_to(alerts, out, checkpoint, available_now=True).awaitTermination()
+    found = t.spark.read.parquet(out)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("since", "reached")})
+
+
 @query(
     "recent_days_kept",
     "T13",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import bucket_start, to_ts14
 from tidemark.functions.urls import host_key, surt_key, url_host
 from tidemark.operators.filters import http_responses
-from tidemark.plans.views import SHARED_TEXT
+from tidemark.plans.views import SHARED_TEXT, SUFFIX_RULES
 from tidemark.session import use_utc
 
 TABLE_NAMES = (
@@ -57,6 +57,10 @@ class Tables:
         )
         return accept.unionByName(reject).distinct()
 
+    @property
+    def suffix_rules(self) -> DataFrame:
+        return self.spark.createDataFrame([(rule,) for rule in SUFFIX_RULES], "rule string")
+
     @property
     def scope_accept(self) -> DataFrame:
         return self.events.where("user_id % 20 < 15").selectExpr(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import content, urls
-from tidemark.operators import filters, textindex
+from tidemark.operators import filters, suffixes, textindex
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
 from tidemark.plans.views import host, page_text, text_literal
@@ -73,6 +74,10 @@ _LINKED = """(SELECT page_id, url, html || '<a class="x" href="http://Other' ||
     """,
 )
 def outlink_hosts(t: Tables):
+    return _linked_hosts(t).withColumn("domain", urls.registered_domain("host"))
+
+
+def _linked_hosts(t: Tables) -> DataFrame:
     pages = t.pages.withColumn(
         "html",
         F.expr(
@@ -80,8 +85,39 @@ def outlink_hosts(t: Tables):
             " \"<a href='//cdn.example.org/y'>y</a>\", '<a href=\"mailto:a@b.example\">m</a>')"
         ),
     )
-    linked = pages.select("page_id", F.explode(content.outlink_hosts("html", "url")).alias("host"))
-    return linked.withColumn("domain", urls.registered_domain("host"))
+    return pages.select("page_id", F.explode(content.outlink_hosts("html", "url")).alias("host"))
+
+
+_SUFFIXED = """(SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN 'a.b' WHEN 1 THEN 'www' WHEN 2 THEN 'shop' ELSE 'x.shop' END,
+      CASE page_id % 7 WHEN 0 THEN '.ck' WHEN 1 THEN '.example.net' WHEN 2 THEN '.Site.co.uk' WHEN 3 THEN '.unlisted.zz' WHEN 4 THEN '' WHEN 5 THEN '.uk' ELSE '.net' END) AS host FROM {pages}
+    UNION ALL SELECT page_id, host FROM {linked})"""
+_DOMAINS = """
+    h AS (SELECT DISTINCT host, string_split(lower(host), '.') AS l FROM hosts),
+    t AS (SELECT host, l, unnest(range(1, len(l) + 1)) AS n FROM h),
+    m AS (SELECT t.host, t.n, r.rule FROM t JOIN suffix_rules r ON r.rule = array_to_string(list_slice(l, len(l) - n + 1, len(l)), '.')
+      OR (n > 1 AND r.rule = '*.' || array_to_string(list_slice(l, len(l) - n + 2, len(l)), '.')) OR r.rule = '!' || array_to_string(list_slice(l, len(l) - n + 1, len(l)), '.')),
+    b AS (SELECT host, CASE WHEN starts_with(rule, '!') THEN n - 1 ELSE n END AS take FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY starts_with(rule, '!') DESC, n DESC) AS rn FROM m) WHERE rn = 1),
+    d AS (SELECT h.host, array_to_string(list_slice(l, len(l) - coalesce(take, 1) + 1, len(l)), '.') AS suffix,
+      CASE WHEN len(l) > coalesce(take, 1) THEN array_to_string(list_slice(l, len(l) - coalesce(take, 1), len(l)), '.') END AS domain, take IS NOT NULL AS listed FROM h LEFT JOIN b ON b.host = h.host)
+"""
+
+
+@query(
+    "outlink_domains",
+    "F19",
+    f"""
+    WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, {text_literal(content.HREF)}, 1)) AS link FROM {_LINKED}),
+    linked AS (SELECT DISTINCT page_id, CASE WHEN starts_with(link, 'http') THEN {host('link')} WHEN starts_with(link, '//') THEN split_part(link, '/', 3) ELSE {host('url')} END AS host
+      FROM l WHERE NOT starts_with(link, 'mailto:')),
+    hosts AS (SELECT * FROM {_SUFFIXED.format(pages='pages', linked='linked')}),
+    """
+    + _DOMAINS
+    + "SELECT hosts.page_id, hosts.host, suffix, domain, listed FROM hosts LEFT JOIN d ON d.host = hosts.host",
+)
+def outlink_domains(t: Tables):
+    """Linked hosts, and some that meet each kind of rule, with their registered domains."""
+    hosts = t.spark.sql("SELECT * FROM " + _SUFFIXED, pages=t.pages, linked=_linked_hosts(t))
+    return suffixes.with_domains(hosts, "host", t.suffix_rules, "rule").select("page_id", "host", "suffix", "domain", "listed")
 
 
 @query("first_bytes", "F20", "SELECT page_id, lower(left(hex(encode(html)), 64)) AS first_bytes FROM pages")

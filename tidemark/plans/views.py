@@ -83,6 +83,10 @@ def text_literal(value: str) -> str:
 _q = text_literal
 
 
+# Suffix rules of every kind; a real list is a table of the same form.
+SUFFIX_RULES = ("uk", "co.uk", "org.uk", "com", "org", "net", "example", "*.ck", "!www.ck", "*.example.net", "!shop.example.net")
+
+
 # --- expression builders for the check SQL ---------------------------------------------------
 
 
@@ -177,6 +181,7 @@ def too_deep(url: str) -> str:
 
 VIEWS: dict[str, str] = {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in SHARED_TEXT.items()}
 VIEWS |= {
+    "suffix_rules": f"SELECT unnest([{', '.join(map(text_literal, SUFFIX_RULES))}]) AS rule",
     "captures": f"SELECT *, {surt('url')} AS urlkey, {ts14('ts')} AS ts14 FROM crawl_log WHERE status_code BETWEEN 1 AND 600",
     "page_record": f"""SELECT page_id, url, html, {surt('url')} AS urlkey, {host('url')} AS host,
         CASE page_id % 10 WHEN 0 THEN 301 WHEN 1 THEN 404 ELSE 200 END AS status_code,

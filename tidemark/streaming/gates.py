@@ -1,4 +1,4 @@
-"""Stateful gates: recrawl gate and download quota.
+"""Stateful gates: recrawl gate, already-seen filter, alerts on silence, download quota.
 
 The recrawl gate decides each event from the last one it let through, which no aggregate can express; its state
 is one time per URL (RocksDB state store). The rows of a URL in a micro-batch are put in time order first, so verdicts do not
@@ -13,10 +13,11 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tidemark.operators import bloom
 from tidemark.operators.quota import running_quota, success_bytes
 from tidemark.operators.scope import bypasses_quota
 from tidemark.streaming.intake import each_batch, write_batch
@@ -84,6 +85,143 @@ def recrawl_gate(events: DataFrame, interval_seconds: int) -> DataFrame:
     )
 
 
+class SeenFilter(StatefulProcessor):
+    """Lets each key through once; what it remembers is a Bloom filter of fixed size, one state entry per touched block."""
+
+    def __init__(self, shape: bloom.Shape, key: str):
+        self.shape, self.key_column = shape, key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.blocks = handle.getMapState("blocks", "block bigint", "bits binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            chunk = chunk.drop_duplicates(self.key_column)
+            new = np.zeros(len(chunk), dtype=bool)
+            found = bloom.places(chunk["a"].to_numpy(), chunk["b"].to_numpy(), self.shape.hashes)
+            block_of = chunk["block"].to_numpy()
+            for block in np.unique(block_of).tolist():
+                mine = np.flatnonzero(block_of == block)
+                bits = bloom.unpacked(bytes(self.blocks.getValue((block,))[0]) if self.blocks.containsKey((block,)) else None)
+                new[mine] = bloom.add_to(bits, found[mine])
+                if new[mine].any():
+                    self.blocks.updateValue((block,), (bloom.packed(bits),))
+            yield chunk.loc[new, [self.key_column]]
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen_bounded(stream: DataFrame, key: str, shape: bloom.Shape, shards: int = 64) -> DataFrame:
+    """The stream's keys, each once, with a memory of fixed size: ``shape.bytes`` at most, however long the stream runs.
+
+    No key comes twice; a new key is missed at the shape's rate at most. Rows are dealt by hash range into ``shards``, each of which
+    keeps the blocks of its range and changes only those a batch touches. Null keys are left out.
+    """
+    shards = min(shards, shape.blocks)
+    block = shape.block(key)
+    rows = stream.where(F.col(key).isNotNull()).select(key, block.alias("block"), bloom.marks(key).alias("m"))
+    rows = rows.select(key, "block", "m.*", F.floor(F.col("block") * shards / shape.blocks).alias("shard"))
+    kind = stream.schema[key].dataType.simpleString()
+    return rows.groupBy("shard").transformWithStateInPandas(
+        SeenFilter(shape, key), outputStructType=f"`{key}` {kind}", outputMode="append", timeMode="None"
+    )
+
+
+class SilenceAlerts(StatefulProcessor):
+    """Alerts per series on a trailing sum that stays under a bound; closed steps without a row count as 0.
+
+    Steps are closed by the watermark. A timer stands at the end of the next step, so that steps pass and alerts
+    fire also while a series has no rows at all.
+    """
+
+    def __init__(self, step: int, window_steps: int, below: int, hold: int):
+        self.step, self.window_steps, self.below, self.hold = step, window_steps, below, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "at bigint", "n bigint")
+        self.place = handle.getValueState("place", "next bigint, since bigint, samples bigint, fired boolean")
+
+    def _advance(self, key: tuple, counts: dict[int, int], closed: int) -> list[tuple]:
+        """Go through the steps that end at ``closed`` or before; rows (series, state, since, reached, samples)."""
+        state = self.place.get()
+        at, since, samples, fired = state if state is not None else (min(counts), None, 0, False)
+        out = []
+        last = closed // self.step * self.step - self.step  # start of the last closed step
+        while at <= last:
+            trailing = sum(counts.get(at - i * self.step, 0) for i in range(self.window_steps))
+            run = 1
+            if not trailing and fired:
+                # nothing changes until the next step with a row
+                ahead = min((c for c in counts if c > at), default=last + self.step)
+                run = (min(ahead, last + self.step) - at) // self.step
+            if trailing < self.below:
+                since = at if since is None else since
+                samples += run
+                if not fired and at - since >= self.hold:
+                    fired = True
+                    out.append((*key, "firing", since, at, samples))
+            else:
+                if fired:
+                    out.append((*key, "resolved", since, at - self.step, samples))
+                since, samples, fired = None, 0, False
+            at += run * self.step
+        for old in [c for c in counts if c <= at - self.window_steps * self.step]:
+            self.counts.removeKey((old,))
+        self.place.update((at, since, samples, fired))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((at + self.step) * 1000)
+        return out
+
+    def _rows(self, found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=["series", "state", "since", "reached", "samples"])
+        return out.assign(since=pd.to_datetime(out["since"], unit="s"), reached=pd.to_datetime(out["reached"], unit="s"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            for at, n in zip(chunk["at"].tolist(), chunk["n"].tolist(), strict=True):
+                known = self.counts.getValue((at,))[0] if self.counts.containsKey((at,)) else 0
+                self.counts.updateValue((at,), (known + n,))
+        yield self._rows(self._pass(key, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._rows(self._pass(key, timerValues))
+
+    def _pass(self, key, timerValues) -> list[tuple]:
+        counts = {k[0]: v[0] for k, v in self.counts.iterator()}
+        return self._advance(key, counts, timerValues.getCurrentWatermarkInMs() // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def silence_alerts(
+    events: DataFrame, ts: str, series: Column, watched: Column, delay: str, step_seconds: int = 3600, window_steps: int = 4,
+    below: int = 10, hold_seconds: int = 3600,
+) -> DataFrame:
+    """(series, state, since, reached, samples): alerts while the stream runs, from counts per step of the rows that are ``watched``.
+
+    A series is low at a step if it has fewer than ``below`` rows in that step and the ``window_steps - 1`` before it, the first row of
+    the series being its begin. ``firing`` comes as soon as it has been low for ``hold_seconds`` (``reached``: that step), ``resolved`` after
+    the last low step (``reached``: that step). Time is that of all events, watched or not: the watermark closes steps. A null series counts
+    as an empty name.
+    """
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    window = F.window(ts, f"{step_seconds} seconds")
+    # unwatched rows go as far as the counts: a filter would be pushed below the watermark, and time would stand still with a silent series
+    named = F.when(watched, F.coalesce(series.cast("string"), F.lit("")))
+    counts = timed.groupBy(window.alias("w"), named.alias("series")).agg(F.count_if(watched).alias("n")).where("n > 0")
+    steps = counts.select("series", F.window_time("w").alias("closed"), F.unix_timestamp("w.start").alias("at"), "n")
+    return steps.groupBy("series").transformWithStateInPandas(
+        SilenceAlerts(step_seconds, window_steps, below, hold_seconds),
+        outputStructType="series string, state string, since timestamp, reached timestamp, samples bigint",
+        outputMode="append",
+        timeMode="EventTime",
+    )
+
+
 def quota_gate(
     stream: DataFrame, max_kb: int, output: str, state: str, checkpoint: str, available_now: bool = False,
     bucket_seconds: int = 3600,
