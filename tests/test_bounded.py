@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bloom, captures, suffixes
+from tidemark.operators import bloom, captures, network, scope, suffixes
 from tidemark.streaming import gates, intake
 
 BASE = datetime(2024, 1, 1)
@@ -128,3 +128,45 @@ def test_alias_chains_and_loops(spark):
     moved = captures.apply_aliases(urls, "k", spark.createDataFrame(pairs, "old string, new string"), "old", "new", "now").collect()
     assert {r["k"]: r["now"] for r in moved} == {"c3": "c9", "lead": "x", "other": "other", None: None}
     assert captures.resolved_aliases(spark.createDataFrame([], "old string, new string"), "old", "new").collect() == []
+
+
+def test_lookups_see_only_rows_they_can_change(spark):
+    rows = [  # url, hop path, key
+        (1, "http://a.example/x", "P", "decided by its hops"), (2, "http://a.example/x", "E", "accepted by its hops"),
+        (3, "http://a.example/x", "L" * 21, "too far"), (4, "http://a.example/x", "L", "open"), (5, "http://b.example/x", "L", "open too"),
+        (6, "http://b.example/x.css", "L", "a helper"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, url string, hop_path string")
+    asked = {}
+
+    def lookup(name, decision, ids):
+        def find(part):
+            asked[name] = sorted(r["id"] for r in part.select("id").collect())
+            return part.withColumn("_applies", F.col("id").isin(*ids))
+
+        return scope.Lookup(name, find, decision)
+
+    chain = scope.staged_rules(
+        "url", "hop_path", lookup("seed_prefix", "ACCEPT", [4]), lookup("on_domain", "ACCEPT", [4, 5]), lookup("in_country", "ACCEPT", [-1]),
+        lookup("url_shortener", "ACCEPT", [-1]), lookup("excluded_prefix", "REJECT", [5]), lookup("seen_recently", "REJECT", [6]),
+    )
+    got = {r["id"]: (r["decision"], r["rule"]) for r in scope.decide_in_stages(df, chain).collect()}
+    assert got == {
+        1: ("ACCEPT", "prerequisite"), 2: ("ACCEPT", "embed_or_redirect"), 3: ("REJECT", "too_many_hops"), 4: ("ACCEPT", "seed_prefix"),
+        5: ("REJECT", "excluded_prefix"), 6: ("REJECT", "seen_recently"),
+    }
+    assert asked == {
+        "seed_prefix": [4, 5], "on_domain": [5], "in_country": [], "url_shortener": [], "excluded_prefix": [2, 4, 5, 6], "seen_recently": [2, 4, 6],
+    }
+
+
+def test_staged_lookups_with_awkward_rows(spark):
+    rows = [(1, None, None, None, None), (2, "", "L", "", None), (3, "http://x.co.uk/a", None, "x.co.uk", "999.1.1.1"), (3, "http://x.co.uk/a", None, "x.co.uk", "192.0.2.9")]
+    df = spark.createDataFrame(rows, "id int, url string, hop_path string, host string, ip string")
+    rules = spark.createDataFrame([("co.uk",)], "rule string")
+    nets = network.cidr_ranges(spark.createDataFrame([("GB", "192.0.2.0/24")], "country string, nets string"), "nets", ["country"])
+    seeds = spark.createDataFrame([("www.x.co.uk",), (None,)], "seed string")
+    chain = [scope.country_lookup("in_country", "ip", nets, ["GB"]), scope.domain_lookup("on_domain", "host", seeds, "seed", rules, "rule")]
+    got = sorted(tuple(r) for r in scope.decide_in_stages(df, chain).select("id", "decision", "rule").collect())
+    assert got == [(1, "REJECT", "start"), (2, "REJECT", "start"), (3, "ACCEPT", "in_country"), (3, "ACCEPT", "on_domain")]
+    assert scope.decide_in_stages(df.limit(0), chain).collect() == []

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import let, path_segments
+from tidemark.operators.captures import YEAR_SECONDS, recently_seen
+from tidemark.operators.network import lookup_ranges
+from tidemark.operators.prefixes import flag_covered
+from tidemark.operators.suffixes import suffixes_of
+from tidemark.session import use_checkpoints
 
 ACCEPT, REJECT = "ACCEPT", "REJECT"
 
@@ -142,6 +147,118 @@ def decide(rules: Sequence[Rule], start: str = REJECT) -> Column:
     return F.coalesce(*[F.when(r.applies, verdict(r.decision, r.name)) for r in reversed(rules)], verdict(start, "start"))
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """A rule that needs a join. ``find`` gets the rows that are asked about and returns them with a boolean column ``_applies``."""
+
+    name: str
+    find: Callable[[DataFrame], DataFrame]
+    decision: str
+
+
+def decide_in_stages(df: DataFrame, chain: Sequence[Rule | Lookup], start: str = REJECT) -> DataFrame:
+    """``df`` with ``decision`` and ``rule``; the last rule that applies wins, and lookups are made only where they matter.
+
+    Rules without a join are worked out for all rows at once. A lookup then sees a row only if no later such rule decides it
+    anyway and if the verdict so far is not the lookup's own decision; a lookup that would repeat the verdict leaves the earlier rule's
+    name. Rows asked and rows passed by are put together again before the next lookup, each time from a checkpoint, so that nothing is
+    worked out twice.
+    """
+    use_checkpoints(df.sparkSession)
+    runs: list[list[tuple[int, Rule]]] = [[]]
+    lookups: list[tuple[int, Lookup]] = []
+    for place, step in enumerate(chain):
+        if isinstance(step, Lookup):
+            lookups.append((place, step))
+            runs.append([])
+        else:
+            runs[-1].append((place, step))
+
+    def verdict(place: int, decision: str, rule: str) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.lit(decision).alias("decision"), F.lit(rule).alias("rule"))
+
+    none = F.lit(None).cast("struct<place:int,decision:string,rule:string>")
+
+    def last_of(run: list[tuple[int, Rule]]) -> Column:
+        found = [F.when(rule.applies, verdict(place, rule.decision, rule.name)) for place, rule in reversed(run)]
+        return F.coalesce(*found, none)
+
+    own = df.columns
+    rows = df.withColumns({f"_run{i}": last_of(run) for i, run in enumerate(runs)})
+    rows = rows.withColumn("_verdict", F.coalesce("_run0", verdict(-1, start, "start"))).drop("_run0")
+    for i, (place, lookup) in enumerate(lookups):
+        later = [f"_run{j}" for j in range(i + 1, len(runs))]
+        rows = rows.checkpoint()
+        open_ = F.col("_verdict.decision") != lookup.decision
+        for name in later:
+            open_ = open_ & F.col(name).isNull()
+        kept = rows.columns
+        asked = lookup.find(rows.where(open_))
+        changed = F.when(F.col("_applies"), verdict(place, lookup.decision, lookup.name)).otherwise(F.col("_verdict"))
+        asked = asked.withColumn("_verdict", changed).select(*kept)
+        rows = rows.where(~open_).unionByName(asked)
+        rows = rows.withColumn("_verdict", F.coalesce(f"_run{i + 1}", "_verdict")).drop(f"_run{i + 1}")
+    return rows.select(*own, F.col("_verdict.decision").alias("decision"), F.col("_verdict.rule").alias("rule"))
+
+
+def prefix_lookup(name: str, key: str, listed: DataFrame, prefix: str, decision: str) -> Lookup:
+    """Applies to keys that some listed prefix covers."""
+    return Lookup(name, lambda rows: flag_covered(rows, key, listed, prefix, "_applies"), decision)
+
+
+def country_lookup(name: str, ip: str, ranges: DataFrame, countries: Sequence[str], decision: str = ACCEPT) -> Lookup:
+    """Applies to addresses in one of the countries. ``ranges`` has (lo, hi, country)."""
+
+    def find(rows: DataFrame) -> DataFrame:
+        located = lookup_ranges(rows, ip, ranges.withColumnRenamed("country", "_country"), ["_country"])
+        return located.withColumn("_applies", F.coalesce(F.col("_country").isin(*countries), F.lit(False)))
+
+    return Lookup(name, find, decision)
+
+
+def domain_lookup(name: str, host: str, seed_hosts: DataFrame, seed_host: str, suffix_rules: DataFrame, rule: str, decision: str = ACCEPT) -> Lookup:
+    """Applies to hosts whose registered domain is that of a seed."""
+    seeds = suffixes_of(seed_hosts, seed_host, suffix_rules, rule).where("domain is not null").select("domain").distinct()
+
+    def find(rows: DataFrame) -> DataFrame:
+        known = suffixes_of(rows, host, suffix_rules, rule).join(seeds, "domain", "left_semi").select(host, F.lit(True).alias("_applies"))
+        return rows.join(known, host, "left").withColumn("_applies", F.coalesce("_applies", F.lit(False)))
+
+    return Lookup(name, find, decision)
+
+
+def seen_lookup(
+    name: str, key: str, now: str, captures: DataFrame, captured_at: str, interval_seconds: int = YEAR_SECONDS, launch: str | None = None
+) -> Lookup:
+    """Rejects keys that were captured less than ``interval_seconds`` before ``now`` (and not before their ``launch``)."""
+
+    def find(rows: DataFrame) -> DataFrame:
+        return recently_seen(rows, captures, key, now, captured_at, interval_seconds, launch, "_applies")
+
+    return Lookup(name, find, REJECT)
+
+
+def staged_rules(
+    url: str,
+    hop_path: str,
+    in_scope: Lookup,
+    on_domain: Lookup,
+    in_country: Lookup,
+    shortener: Lookup,
+    excluded_prefix: Lookup,
+    seen_recently: Lookup,
+    exclude_patterns: Sequence[str] = EXCLUDE_PATTERNS,
+    max_hops: int = MAX_HOPS,
+) -> list[Rule | Lookup]:
+    """The default chain in its order, with its joins as lookups."""
+    filled = {
+        "seed_prefix": in_scope, "on_domain": on_domain, "in_country": in_country, "url_shortener": shortener,
+        "excluded_prefix": excluded_prefix, "seen_recently": seen_recently,
+    }
+    plain = standard_rules(url, hop_path, F.lit(False), F.lit(False), exclude_patterns=exclude_patterns, max_hops=max_hops)
+    return [filled.get(rule.name, rule) for rule in plain]
+
+
 def standard_rules(
     url: str,
     hop_path: str,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
@@ -187,6 +188,56 @@ def scope_rule_totals(t: Tables):
     return scope_decisions_of(t).groupBy("decision", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+_COUNTRY_NETS = (("GB", "192.0.2.0/26"), ("FR", "192.0.2.64/26"), ("GB", "192.0.2.192/28"))
+_STAGED = f"""
+    WITH keyed AS (SELECT *, {surt('url')} AS urlkey, {host('url')} AS host FROM scope_case),
+    seen AS (SELECT urlkey, max(ts) AS captured_at FROM keyed WHERE event_id % 10 = 3 GROUP BY urlkey),
+    flagged AS (SELECT k.*, EXISTS (SELECT 1 FROM scope_accept a WHERE {covers('a.surt_prefix', 'k.urlkey')}) AS in_scope,
+      EXISTS (SELECT 1 FROM scope_exclude x WHERE {covers('x.surt_prefix', 'k.urlkey')}) AS shut,
+      regexp_matches(host, '(^|[.])site[0-4][.]org[.]uk$') AS on_domain, event_id % 256 < 64 OR event_id % 256 BETWEEN 192 AND 207 AS in_country,
+      regexp_matches(k.urlkey, '^example,short[0-2][)]') AS shortener,
+      coalesce(TIMESTAMP '2024-02-01' - s.captured_at < INTERVAL '10 days', FALSE) AS seen FROM keyed k LEFT JOIN seen s ON s.urlkey = k.urlkey),
+    early AS (SELECT *, CASE WHEN right(hop_path, 1) IN ('E', 'R') THEN 'embed_or_redirect'
+      WHEN regexp_matches(url, {text_literal(rf"^https?://[^/]+/.+(?i:[.](?:{scope.ASSET_EXTENSIONS}))\b.*$")}) THEN 'helper_asset'
+      WHEN in_scope THEN 'seed_prefix' WHEN on_domain THEN 'on_domain' WHEN in_country THEN 'in_country' WHEN shortener THEN 'url_shortener' ELSE 'start' END AS accepted FROM flagged),
+    cut AS (SELECT *, CASE WHEN {too_deep('url')} THEN 'path_too_deep' WHEN {repeated('url')} THEN 'repeated_segment' WHEN {excluded('url')} THEN 'excluded_pattern'
+      WHEN right(hop_path, 5) = 'RRRRR' THEN 'five_redirects' WHEN length(hop_path) > 20 THEN 'too_many_hops' END AS cut FROM early),
+    decided AS (SELECT event_id, CASE WHEN right(hop_path, 1) = 'P' THEN 'prerequisite' WHEN cut IS NOT NULL THEN cut WHEN accepted = 'start' THEN 'start'
+      WHEN shut THEN 'excluded_prefix' WHEN seen THEN 'seen_recently' ELSE accepted END AS rule FROM cut)
+    SELECT event_id, CASE WHEN rule IN ('prerequisite', 'embed_or_redirect', 'helper_asset', 'seed_prefix', 'on_domain', 'in_country', 'url_shortener') THEN 'ACCEPT' ELSE 'REJECT' END AS decision, rule FROM decided
+"""
+
+
+def staged_chain(t: Tables, rows: DataFrame) -> list:
+    """The whole chain over ``rows`` (url, hop_path, urlkey, host, ip, now) with its lists, ranges and captures."""
+    seeds = t.events.selectExpr("concat('www.site', event_id % 5, '.org.uk') AS seed_host").distinct()
+    short = t.events.selectExpr("concat('example,short', event_id % 3, ')') AS surt_prefix").distinct()
+    nets = t.spark.createDataFrame(list(_COUNTRY_NETS), "country string, nets string")
+    captured = rows.where("event_id % 10 = 3").select("urlkey", F.col("ts").alias("captured_at"))
+    return scope.staged_rules(
+        "url",
+        "hop_path",
+        in_scope=scope.prefix_lookup("seed_prefix", "urlkey", t.scope_accept, "surt_prefix", scope.ACCEPT),
+        on_domain=scope.domain_lookup("on_domain", "host", seeds, "seed_host", t.suffix_rules, "rule"),
+        in_country=scope.country_lookup("in_country", "ip", network.cidr_ranges(nets, "nets", ["country"]), ["GB"]),
+        shortener=scope.prefix_lookup("url_shortener", "urlkey", short, "surt_prefix", scope.ACCEPT),
+        excluded_prefix=scope.prefix_lookup("excluded_prefix", "urlkey", t.scope_exclude, "surt_prefix", scope.REJECT),
+        seen_recently=scope.seen_lookup("seen_recently", "urlkey", "now", captured, "captured_at", 10 * 86_400),
+    )
+
+
+def scope_cases(t: Tables) -> DataFrame:
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    return t.scope_case.withColumns({"urlkey": urls.surt_key("url"), "host": urls.url_host("url"), "now": now})
+
+
+@query("scope_staged", "P17 P21 J7 J11", _STAGED)
+def scope_staged(t: Tables):
+    """Every rule of the chain with its join; a join sees only the rows whose verdict it can change."""
+    rows = scope_cases(t)
+    return scope.decide_in_stages(rows, staged_chain(t, rows)).select("event_id", "decision", "rule")
+
+
 @query(
     "longest_prefix",
     "J3",

@@ -53,6 +53,15 @@ SELECT event_id, ts, concat(CASE event_id % 3 WHEN 0 THEN 'http://www.' WHEN 1 T
 FROM {events}
 """
 
+# Candidates for every rule of the scope chain: other domains, addresses, shorteners, copies of pages seen before.
+SCOPE_CASE = f"""
+SELECT event_id, ts, hop_path, concat('192.0.2.', event_id % 256) AS ip,
+ CASE event_id % 6 WHEN 0 THEN replace(url, '.example.co.uk', concat('.site', event_id % 9, '.org.uk'))
+  WHEN 1 THEN replace(url, '.example.co.uk', '.elsewhere.com') WHEN 2 THEN concat('http://short', event_id % 4, '.example/', event_id % 30)
+  WHEN 3 THEN concat('http://h', event_id % 20, '.example.co.uk/page/', event_id % 40) ELSE url END AS url
+FROM ({URL_CASE}) u
+"""
+
 CURATED_TARGET = """
 SELECT c_custkey AS target_id, c_name AS title, c_nationkey AS collection_id,
  CASE WHEN c_custkey % 97 = 0 THEN concat('htp:/bad host',c_custkey)
@@ -72,6 +81,7 @@ SHARED_TEXT = {
     "document": DOCUMENT,
     "tracked_file": TRACKED_FILE,
     "url_case": URL_CASE,
+    "scope_case": SCOPE_CASE,
     "curated_base": CURATED_TARGET,
 }
 
