@@ -9,8 +9,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import bucket_start, epoch_seconds, from_epoch_seconds
+from tidemark.operators.ordered import nearest_value
 from tidemark.session import use_checkpoints
 
+# Longest gap, in buckets, that is filled with zeros where no bound is asked for; buckets that one row of a filled gap holds.
+MAX_GAP, STRETCH = 1_000_000, 10_000
+
+
+def _filled_buckets(counts: DataFrame, seconds: int, start: datetime | None, end: datetime | None) -> DataFrame:
+    """(bucket): every bucket of the range, spread over tasks.
+
+    Where a bound is not asked for, gaps of more than ``MAX_GAP`` buckets between neighbouring times stay empty: one stray
+    time far away adds its own bucket, not millions of zeros.
+    """
+    spark = counts.sparkSession
+    lower, upper = (F.lit(bound).cast("timestamp_ntz") for bound in (start, end))
+    low, high = counts.select(
+        epoch_seconds(bucket_start(lower, seconds) if start else F.min("bucket")),
+        epoch_seconds(bucket_start(upper, seconds) if end else F.max("bucket")),
+    ).first()
+    if low is None or high is None or low > high:
+        return spark.range(0).select(from_epoch_seconds(F.col("id")).alias("bucket"))
+    if (start and end) or (high - low) // seconds <= MAX_GAP:
+        return spark.range(low, high + 1, seconds).select(from_epoch_seconds(F.col("id")).alias("bucket"))
+    asked = spark.createDataFrame([(low,), (high,)], "at bigint").select(from_epoch_seconds(F.col("at")).alias("bucket"))
+    between = F.col("bucket").between(from_epoch_seconds(F.lit(low)), from_epoch_seconds(F.lit(high)))
+    marks = counts.select("bucket").where(between).union(asked).distinct().withColumn("_all", F.lit(0))
+    after = nearest_value(marks, ["_all"], ["bucket"], F.col("bucket"), after="_next", bucket_seconds=seconds * STRETCH)
+    steps = F.floor((epoch_seconds("_next") - epoch_seconds("bucket")) / seconds).cast("bigint")
+    held = after.select(epoch_seconds("bucket").alias("at"), F.when(steps <= MAX_GAP, steps).otherwise(F.lit(1)).alias("n"))
+    held = held.select("at", F.coalesce("n", F.lit(1)).alias("n"))
+    # a long gap is cut into stretches, so that no row holds it as a list
+    cut = held.select("n", "at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(STRETCH).cast("bigint"))).alias("first"))
+    inside = F.sequence(F.col("first"), F.least(F.col("first") + STRETCH, F.col("n")) - 1)
+    return cut.select("at", F.explode(inside).alias("i")).select(from_epoch_seconds(F.col("at") + F.col("i") * seconds).alias("bucket"))
+
 
 def counts_over_time(
     df: DataFrame,
@@ -24,8 +57,8 @@ def counts_over_time(
 ) -> DataFrame:
     """Rows per time bucket (and term), with a zero row for every empty bucket of every term.
 
-    Without ``start``/``end`` the spine runs over the data's own first and last bucket. ``counted``
-    counts only rows where that column is not null.
+    Rows outside ``start`` to ``end`` and rows without a time are left out. Without a bound the data's own first or last bucket
+    holds, and gaps of more than ``MAX_GAP`` buckets are not filled. ``counted`` counts only rows where that column is not null.
     """
     use_checkpoints(df.sparkSession)
     terms = list(terms)
@@ -35,13 +68,9 @@ def counts_over_time(
         .agg(F.count(F.col(counted) if counted else F.lit(1)).alias(out))
         .checkpoint()
     )
-    lower = F.lit(start).cast("timestamp_ntz") if start else counts.select(F.min("bucket")).scalar()
-    upper = F.lit(end).cast("timestamp_ntz") if end else counts.select(F.max("bucket")).scalar()
-    steps = F.sequence(
-        epoch_seconds(bucket_start(lower, seconds)), epoch_seconds(bucket_start(upper, seconds)), F.lit(seconds).cast("bigint")
-    )
-    named = counts.select(*terms).distinct() if terms else df.sparkSession.range(1).select()
-    spine = named.withColumn("_at", F.explode(steps)).withColumn("bucket", from_epoch_seconds(F.col("_at"))).drop("_at")
+    spine = _filled_buckets(counts, seconds, start, end)
+    if terms:
+        spine = counts.select(*terms).distinct().crossJoin(spine)  # the result has a row for each of these
     on = F.lit(True)
     right = counts.where(F.col("bucket").isNotNull()).select(*[F.col(c).alias(f"_c_{c}") for c in [*terms, "bucket"]], out)
     for c in [*terms, "bucket"]:

@@ -190,9 +190,8 @@ def text_fingerprints(t: Tables):
     "near_copy_groups",
     "F17",
     _PRINTS.replace("WITH w AS", "WITH RECURSIVE w AS")
-    + f""", least AS (SELECT band, value, min(doc_id) AS x FROM prints GROUP BY 1, 2),
-    star AS (SELECT DISTINCT x, doc_id AS y FROM prints JOIN least USING (band, value)),
-    links AS (SELECT x, y FROM star JOIN m p ON p.doc_id = x JOIN m q ON q.doc_id = y WHERE {_EQUAL} >= 8),
+    + f""", shared AS (SELECT DISTINCT p.doc_id AS x, q.doc_id AS y FROM prints p JOIN prints q ON p.band = q.band AND p.value = q.value AND p.doc_id < q.doc_id),
+    links AS (SELECT x, y FROM shared JOIN m p ON p.doc_id = x JOIN m q ON q.doc_id = y WHERE {_EQUAL} >= 8),
     pairs AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
     reach AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
     SELECT m.doc_id, least(m.doc_id, coalesce(min(y), m.doc_id)) AS "group" FROM m LEFT JOIN reach ON x = m.doc_id GROUP BY 1""",
