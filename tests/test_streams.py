@@ -4,7 +4,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators import quota, textindex
-from tidemark.streaming import feeds, gates, intake
+from tidemark.streaming import feeds, gates, intake, versions
 
 BASE = datetime(2024, 1, 1)
 
@@ -119,3 +119,49 @@ def test_hash_minima_estimate_jaccard(spark):
     pairs = [(x.split("-"), y.split("-")) for x, y in (r["v"] for r in values)]
     equal = sum(p == q for x, y in pairs for p, q in zip(x, y)) / 16
     assert abs(equal - jaccard) < 0.3
+
+
+def test_late_rows_and_launches_get_the_verdict_of_their_time(spark, tmp_path):
+    gates.use_rocksdb(spark)
+    rows = []
+    for i in range(120):
+        rows.append((i, f"h{i % 3}", BASE + timedelta(minutes=7 * i), 200 if i % 5 else None, 700, "P" if i % 11 == 0 else "L", i in (0, 1, 2, 43, 80)))
+    arrival = sorted(rows, key=lambda r: r[0] + (9 if r[0] % 7 == 0 else 0))  # some come an hour late, launches among them
+    schema = "event_id bigint, host string, ts timestamp_ntz, status_code int, size bigint, hop_path string, launched boolean"
+    stream = files(spark, str(tmp_path), arrival, schema, 6)
+    out, state = f"{tmp_path}/out", f"{tmp_path}/state"
+    gates.quota_gate(stream, 4, out, state, f"{tmp_path}/cp", available_now=True, delay="90 minutes").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("event_id", "used_bytes", "capped").collect())
+    batch = quota.running_quota(
+        spark.createDataFrame(rows, schema), "host", "ts", "event_id", "status_code", "size", "hop_path", "launched", max_kb=4
+    )
+    closed = rows[-1][2] - timedelta(minutes=90)
+    closed = closed.replace(minute=0)
+    want = sorted(tuple(r) for r in batch.where(F.col("ts") < F.lit(closed)).select("event_id", "used_bytes", "capped").collect())
+    assert got == want and len(want) > 90 and any(r[2] for r in got)
+
+
+def test_state_writes_touched_keys_only(spark, tmp_path):
+    state = versions.KeyedState(str(tmp_path), ["host"], gates.QUOTA_STATE, whole_every=3)
+    known = {}
+    for b in range(11):
+        touched = {f"h{b % 4}": b * 10, "h9": b} if b != 5 else {}
+        known |= touched
+        state.write(spark.createDataFrame(list(touched.items()), gates.QUOTA_STATE), b)
+        assert spark.read.parquet(f"{tmp_path}/changes/batch={b}").count() == len(touched)
+        for again in (b, b + 1):  # also for a batch that is repeated
+            assert state.read(spark, again).count() <= len(known)
+        assert {r["host"]: r["used"] for r in state.read(spark, b + 1).collect()} == known
+    assert len(list(tmp_path.glob("changes/*"))) <= 8 and len(list(tmp_path.glob("whole/*"))) <= 2
+
+
+def test_summary_writes_its_batch_and_removes_what_is_behind(spark, tmp_path):
+    rows = [(i, f"h{i % 3}", BASE + timedelta(minutes=10 * i), 10) for i in range(90)]
+    stream = files(spark, str(tmp_path), rows, "event_id bigint, host string, ts timestamp_ntz, size bigint", 6)
+    partials = f"{tmp_path}/p"
+    feeds.rolling_summary(stream, "ts", ["host"], "size", 7200, partials, f"{tmp_path}/s", f"{tmp_path}/cp", available_now=True).awaitTermination()
+    got = {(r["dimension"], r["value"]): (r["n"], r["bytes"]) for r in feeds.read_summary(f"{tmp_path}/s", spark).collect()}
+    assert got == {("total", None): (12, 120), ("host", "h0"): (4, 40), ("host", "h1"): (4, 40), ("host", "h2"): (4, 40)}
+    left = spark.read.parquet(partials)
+    assert left.select("pane").distinct().count() <= 3 and left.where("dimension = 'total'").count() <= 18
+    assert len(list(tmp_path.glob("s/version=*"))) <= 2

@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.times import bucket_start, from_epoch_seconds, epoch_seconds
+from tidemark.functions.times import bucket_start, epoch_seconds, from_epoch_seconds
 from tidemark.operators.counters import held_alerts
 from tidemark.operators.documents import NEW
 from tidemark.operators.ordered import trailing_sum
 from tidemark.streaming.intake import each_batch, write_batch
+from tidemark.streaming.versions import Panes, remove_folder
+
+PANE_SECONDS = 3600
+# What a pane keeps: totals per minute and value; the pane and the batch that wrote them are folders.
+PARTIAL = T.StructType(
+    [
+        T.StructField("minute", T.TimestampNTZType()), T.StructField("dimension", T.StringType()), T.StructField("value", T.StringType()),
+        T.StructField("n", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("pane", T.LongType()), T.StructField("batch", T.LongType()),
+    ]
+)
 
 
 def split_by_scope(
@@ -80,36 +91,33 @@ def rolling_summary(
 ) -> StreamingQuery:
     """Keep a small table of totals per dimension value over the last window.
 
-    Raw events are read once: a batch adds its rows per minute and value to the minutes the batch before it left, and
-    leaves those inside the window, one version per batch. The window ends at the newest event seen.
+    Raw events are read once: a batch adds its rows per minute and value to the panes (hours) they fall in and writes nothing
+    else of them; panes behind the window are removed. The summary of the window is written per batch as one version, and versions
+    before the last one are removed. The window ends at the newest event seen.
     """
+    panes = Panes(partials, PARTIAL)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(bucket_start(ts, 60).alias("minute"), size, *[F.col(d).cast("string").alias(d) for d in dimensions])
-        long = rows.select(
-            "minute",
-            size,
-            F.explode(
-                F.array(
-                    F.struct(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value")),
-                    *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions],
-                )
-            ).alias("_d"),
-        ).select("minute", size, "_d.*")
-        part = long.groupBy("minute", "dimension", "value").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")
-        )
-        if batch_id > 0:
-            part = part.unionByName(spark.read.parquet(f"{partials}/version={batch_id - 1}"))
-        known = part.groupBy("minute", "dimension", "value").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-        newest = part.select(F.max("minute")).scalar()
-        kept = known.where(F.col("minute") > from_epoch_seconds(epoch_seconds(newest) - window_seconds))
-        kept.write.mode("overwrite").parquet(f"{partials}/version={batch_id}")
-        totals = spark.read.parquet(f"{partials}/version={batch_id}").groupBy("dimension", "value").agg(
-            F.sum("n").alias("n"), F.sum("bytes").alias("bytes")
+        rows = batch.where(F.col(ts).isNotNull()).select(
+            bucket_start(ts, 60).alias("minute"), size, *[F.col(d).cast("string").alias(d) for d in dimensions]
         )
+        total = F.struct(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value"))
+        kinds = F.array(total, *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions])
+        long = rows.select("minute", F.col(size).cast("bigint").alias("_size"), F.explode(kinds).alias("_d")).select("minute", "_size", "_d.*")
+        part = long.groupBy("minute", "dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes"))
+        panes.add(part.withColumn("pane", F.floor(epoch_seconds("minute") / PANE_SECONDS)), "pane", batch_id)
+        known = panes.read(spark).where(F.col("batch") <= batch_id)
+        newest = known.select(F.max(epoch_seconds("minute"))).first()[0]
+        if newest is None:
+            return
+        first_pane = (newest - window_seconds) // PANE_SECONDS
+        inside = known.where((F.col("pane") >= first_pane) & (epoch_seconds("minute") > newest - window_seconds))
+        totals = inside.groupBy("dimension", "value").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
         totals.write.mode("overwrite").parquet(f"{summary}/version={batch_id}")
+        panes.remove_before(spark, "pane", first_pane)
+        for old in range(max(0, batch_id - 8), batch_id - 1):
+            remove_folder(spark, f"{summary}/version={old}")
 
     return each_batch(stream, work, checkpoint, available_now)
 

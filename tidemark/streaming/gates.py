@@ -15,13 +15,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.operators import bloom
 from tidemark.operators.quota import running_quota, success_bytes
 from tidemark.operators.scope import bypasses_quota
 from tidemark.streaming.intake import each_batch, write_batch
+from tidemark.streaming.versions import KeyedState
 
+# Rows of a held bucket that are given out as one frame.
+HELD_AT_ONCE = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -222,26 +226,86 @@ def silence_alerts(
     )
 
 
+class HeldBuckets(StatefulProcessor):
+    """Keeps the rows of a (key, time bucket) until the watermark has passed the bucket, then gives them out together."""
+
+    def __init__(self, columns: list[str], whole: list[str], schema: str, bucket_seconds: int):
+        self.columns, self.whole, self.schema, self.bucket_seconds = columns, whole, schema, bucket_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            # whole numbers beside nulls arrive as floats
+            plain = chunk[self.columns].astype(dict.fromkeys(self.whole, "Int64")).astype(object)
+            plain = plain.where(plain.notna(), None)
+            self.rows.appendList([tuple(row) for row in plain.itertuples(index=False, name=None)])
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer((key[1] + 1) * self.bucket_seconds * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = []
+        for row in self.rows.get():
+            held.append(row)
+            if len(held) == HELD_AT_ONCE:
+                yield self._frame(held)
+                held = []
+        if held:
+            yield self._frame(held)
+        self.rows.clear()
+
+    def _frame(self, held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(held, columns=self.columns).astype(dict.fromkeys(self.whole, "Int64"))
+
+    def close(self) -> None:
+        pass
+
+
+def held_until_closed(stream: DataFrame, key: str, ts: str, delay: str, bucket_seconds: int) -> DataFrame:
+    """The stream's rows, each given out when its (key, time bucket) is closed: rows up to ``delay`` late are with the others of their time.
+
+    Later rows are dropped. All buckets of a key come in order over the batches. ``ts`` becomes a zoned time; a busy key is spread over its
+    buckets. Null keys and times are left out.
+    """
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    # times travel as microseconds, so that state hangs on no time zone; names that begin with an underscore would be lost on the way
+    columns = [c for c in timed.columns if c != ts] + ["held_micros"]
+    bucket = F.floor(F.unix_micros(ts) / (bucket_seconds * 1_000_000))
+    rows = timed.withWatermark(ts, delay).withColumns({"held_micros": F.unix_micros(ts), "held_bucket": bucket})
+    held = rows.select(*columns).schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held)
+    whole = [c for c in columns if isinstance(held[c].dataType, T.IntegralType)]
+    given = rows.groupBy(key, "held_bucket").transformWithStateInPandas(
+        HeldBuckets(columns, whole, schema, bucket_seconds), outputStructType=schema, outputMode="append", timeMode="EventTime"
+    )
+    return given.withColumn(ts, F.timestamp_micros("held_micros").cast("timestamp_ntz")).drop("held_micros").select(*stream.columns)
+
+
+QUOTA_STATE = T.StructType([T.StructField("host", T.StringType()), T.StructField("used", T.LongType())])
+
+
 def quota_gate(
     stream: DataFrame, max_kb: int, output: str, state: str, checkpoint: str, available_now: bool = False,
-    bucket_seconds: int = 3600,
+    bucket_seconds: int = 3600, delay: str | None = None,
 ) -> StreamingQuery:
     """Running quota over a stream with ``event_id``, ``host``, ``ts``, ``status_code``, ``size``, ``hop_path``, ``launched``.
 
-    A batch is worked off with the batch operator, which splits a busy server by time bucket; the bytes each
-    server has used since its last launch are carried from batch to batch in a small table, one version
-    per batch, so repeating a batch gives the same result. Expects a server's events in time order over batches.
+    A batch is worked off with the batch operator, which splits a busy server by time bucket; the bytes a server has used since its last
+    launch are carried from batch to batch, and a batch writes those of the servers it has rows of. With ``delay`` rows are held
+    until their time bucket is closed, so rows that are late by less get the verdict of their place in time, and so do the rows after
+    them. Without it a server's events must come in time order over batches. Repeating a batch gives the same result.
     """
+    carried_state = KeyedState(state, ["host"], QUOTA_STATE)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = running_quota(
             batch, "host", "ts", "event_id", "status_code", "size", "hop_path", "launched", max_kb=-1,
             bucket_seconds=bucket_seconds,
         ).persist()
-        carried = spark.createDataFrame([], "host string, used bigint")
-        if batch_id > 0:
-            carried = spark.read.parquet(f"{state}/version={batch_id - 1}")
+        carried = carried_state.read(batch.sparkSession, batch_id)
         # only rows before the batch's first launch of a server go on from the carried bytes
         total = F.when(F.col("launch_no") == 0, F.coalesce("used", F.lit(0))).otherwise(F.lit(0)) + F.col("used_bytes")
         judged = rows.join(carried, "host", "left").withColumn("used_bytes", total)
@@ -253,14 +317,10 @@ def quota_gate(
         )
         per_launch = rows.groupBy("host", "launch_no").agg(F.sum(success_bytes("status_code", "size")).alias("_sum"))
         newest = per_launch.groupBy("host").agg(F.max_by(F.struct("launch_no", "_sum"), F.col("launch_no")).alias("_l"))
-        after = newest.join(carried, "host", "full_outer").select(
-            "host",
-            (
-                F.coalesce(F.col("_l")["_sum"], F.lit(0))
-                + F.when(F.coalesce(F.col("_l")["launch_no"], F.lit(0)) == 0, F.coalesce("used", F.lit(0))).otherwise(F.lit(0))
-            ).alias("used"),
-        )
-        after.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        before = F.when(F.col("_l")["launch_no"] == 0, F.coalesce("used", F.lit(0))).otherwise(F.lit(0))
+        after = newest.join(carried, "host", "left").select("host", (F.col("_l")["_sum"] + before).alias("used"))
+        carried_state.write(after, batch_id)
         rows.unpersist()
 
-    return each_batch(stream, work, checkpoint, available_now)
+    held = held_until_closed(stream, "host", "ts", delay, bucket_seconds) if delay else stream
+    return each_batch(held, work, checkpoint, available_now)
