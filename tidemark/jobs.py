@@ -12,6 +12,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import content, storage_paths
 from tidemark.functions.crawl_fields import mime_type
@@ -19,7 +20,8 @@ from tidemark.functions.times import to_ts14
 from tidemark.functions.urls import surt_key
 from tidemark.operators import captures as capture_ops
 from tidemark.operators import counters, curation, documents, filters, histograms, merge, prefixes, tracking
-from tidemark.sinks import exports, publish
+from tidemark.session import use_checkpoints
+from tidemark.sinks import committed, exports, publish
 from tidemark.sources.listings import parse_listing
 
 
@@ -121,6 +123,43 @@ def analyse_logs(events: DataFrame, feed: DataFrame, day: date, job: str, earlie
     return found if earlier is None else found.join(earlier.select("document_url").distinct(), "document_url", "left_anti")
 
 
+DOCUMENT_ROW = T.StructType(
+    [
+        *[T.StructField(c, T.StringType()) for c in ("document_url", "filename", "landing_page_url", "source", "wayback_timestamp", "job_name")],
+        T.StructField("size", T.LongType()), T.StructField("status", T.StringType()), T.StructField("target_id", T.LongType()),
+    ]
+)
+LOG_MARK = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("marked_for", T.StringType())])
+METRIC_ROW = T.StructType([T.StructField("metric", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("value", T.LongType())])
+
+
+def analyse_waiting_logs(files: DataFrame, events: DataFrame, feed: DataFrame, job: str, root: str, batch_size: int) -> str:
+    """Find documents in the newest log files without a mark; findings, marks and metrics become visible together or not at all.
+
+    ``files`` has (file_path, modified_at), ``events`` a ``file_path`` beside the log's own columns. Documents that an earlier run found are not
+    found again; rows that break the table's constraints are kept apart as ``invalid``. A run that fails leaves its logs waiting.
+    """
+    spark = files.sparkSession
+    marks = committed.read_committed(spark, root, "marks", LOG_MARK)
+    earlier = committed.read_committed(spark, root, "findings", DOCUMENT_ROW)
+    use_checkpoints(spark)
+    batch = tracking.next_batch(tracking.unprocessed(files, marks, "file_path"), "modified_at", "file_path", batch_size).checkpoint()
+    rows = events.join(batch.select("file_path"), "file_path", "left_semi")
+    found = documents.find_documents(rows, feed, "surt_prefix", "target_id", job)
+    new = found.join(earlier.select("document_url").distinct(), "document_url", "left_anti")
+    new = new.select(*[F.col(f.name).cast(f.dataType) for f in DOCUMENT_ROW]).checkpoint()
+    broken = documents.invalid_documents(new)
+    whole = documents.valid_documents(new)
+    metrics = counters.record_count_metrics({"findings": whole, "invalid": broken, "logs": batch})
+    outputs = {
+        "findings": whole,
+        "invalid": broken,
+        "marks": batch.select("file_path", F.lit(job).alias("marked_for")),
+        "metrics": metrics.select(*[F.col(f.name).cast(f.dataType) for f in METRIC_ROW]),
+    }
+    return committed.commit_run(outputs, root)
+
+
 def process_documents(
     found: DataFrame, index: DataFrame, batch_size: int, base_url: str, accept: Column
 ) -> DataFrame:

@@ -63,13 +63,21 @@ def find_documents(
     return assign_targets(rows, "_landing_key", feed, prefix, target_id).drop("_landing_key", "matched_prefix")
 
 
-def invalid_documents(documents: DataFrame) -> DataFrame:
-    """Rows that break the table's constraints: a required column is null."""
+def _breaks_constraints(documents: DataFrame) -> Column:
     broken = F.lit(False)
     for column in NOT_NULL_COLUMNS:
         if column in documents.columns:
             broken = broken | F.col(column).isNull()
-    return documents.where(broken)
+    return broken
+
+
+def invalid_documents(documents: DataFrame) -> DataFrame:
+    """Rows that break the table's constraints: a required column is null."""
+    return documents.where(_breaks_constraints(documents))
+
+
+def valid_documents(documents: DataFrame) -> DataFrame:
+    return documents.where(~_breaks_constraints(documents))
 
 
 def present_in_index(documents: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.storage_paths import checkpoint_number, path_parts
 from tidemark.operators.ordered import nearest_value, running_total
+from tidemark.session import use_checkpoints
 
 
 def parse_paths(df: DataFrame, path: str = "file_path") -> DataFrame:
@@ -41,6 +42,28 @@ def compare_stores(source: DataFrame, target: DataFrame, path: str, checksum: st
     return both.select(path, result.alias("result"))
 
 
+IDENTITY = ("file_path", "size", "modified_at")
+
+
+def with_known_sums(listing: DataFrame, known: DataFrame, checksum: str = "checksum") -> DataFrame:
+    """``listing`` with the checksum that an earlier run made of the same path, size and time; null where there is none."""
+    sums = known.where(F.col(checksum).isNotNull()).groupBy(*IDENTITY).agg(F.max(checksum).alias(checksum))
+    return listing.drop(checksum).join(sums, list(IDENTITY), "left")
+
+
+def refreshed_sums(listing: DataFrame, known: DataFrame, hashed: Callable[[DataFrame], DataFrame], checksum: str = "checksum") -> DataFrame:
+    """(path, size, time, checksum, fresh) for every listed file; only files that are new or changed go through ``hashed``.
+
+    ``hashed`` gets (path, size, time) rows and returns them with a checksum, null where a file could not be read: such a file is tried
+    again in the next run. The result, stored, is the next run's ``known``. Files no longer listed drop out of it.
+    """
+    use_checkpoints(listing.sparkSession)
+    met = with_known_sums(listing.select(*IDENTITY).distinct(), known, checksum).checkpoint()
+    old = met.where(F.col(checksum).isNotNull()).withColumn("fresh", F.lit(False))
+    new = hashed(met.where(F.col(checksum).isNull()).select(*IDENTITY)).withColumn("fresh", F.lit(True))
+    return old.unionByName(new.select(*IDENTITY, checksum, "fresh"))
+
+
 def reconcile(stores: dict[str, DataFrame], name: str) -> DataFrame:
     """(name, one copy count per store, copies, stores holding it) over the union of all listings."""
     listed = None

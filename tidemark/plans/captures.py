@@ -13,6 +13,8 @@ from tidemark.operators import filters, merge
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
 from tidemark.plans.views import covers, surt, ts14
+from tidemark.session import shared_dir
+from tidemark.sinks import blocks
 
 
 @query(
@@ -286,6 +288,31 @@ def upserted_events(t: Tables):
     return merge.upsert(once, updates, ["id", "ts", "url"], ["v"], ["status_code", "thread"])
 
 
+@query(
+    "index_block_lookup",
+    "P10 P27 J10",
+    """
+    SELECT 'prefix' AS match_type, event_id, urlkey, ts14 FROM captures WHERE starts_with(urlkey, 'uk,co,example,h3)/p/1')
+    UNION ALL SELECT 'host', event_id, urlkey, ts14 FROM captures WHERE starts_with(urlkey, 'uk,co,example,h5)')
+    UNION ALL SELECT 'domain', event_id, urlkey, ts14 FROM captures WHERE starts_with(urlkey, 'uk,co,example,h1)') OR starts_with(urlkey, 'uk,co,example,h1,')
+    UNION ALL SELECT 'exact', event_id, urlkey, ts14 FROM captures WHERE urlkey = 'uk,co,example,h2)/p/7'
+    """,
+)
+def index_block_lookup(t: Tables):
+    """An index written, added to and merged in key order; each lookup reads the files of its stretch of keys."""
+    folder = shared_dir(t.spark, "index-blocks")
+    rows = t.captures.select("event_id", "urlkey", "ts14")
+    blocks.write_index(rows.where("event_id % 3 = 0"), "urlkey", "ts14", folder, 8)
+    blocks.append_index(rows.where("event_id % 3 = 1"), "urlkey", "ts14", folder, 8)
+    blocks.merge_index(t.spark, "urlkey", "ts14", folder, 16)
+    blocks.append_index(rows.where("event_id % 3 = 2"), "urlkey", "ts14", folder, 8)
+    out = None
+    for kind, value in (("prefix", "uk,co,example,h3)/p/1"), ("host", "uk,co,example,h5"), ("domain", "uk,co,example,h1"), ("exact", "uk,co,example,h2)/p/7")):
+        one = blocks.lookup(t.spark, folder, "urlkey", value, kind).select(F.lit(kind).alias("match_type"), "event_id", "urlkey", "ts14")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _SCAN_PREFIXES = "(VALUES ('uk,co,example,h3)/p/1'), ('uk,co,example,h4)'), ('uk,co,example,h5)/p/77')) s(surt_prefix)"
 
 

@@ -14,7 +14,7 @@ from tidemark.plans.tables import Tables
 from tidemark.plans.views import covers, host, page_text, surt, text_literal, ts14
 from tidemark.functions import content
 from tidemark.session import shared_dir
-from tidemark.sinks import publish
+from tidemark.sinks import committed, publish
 
 
 @query(
@@ -127,6 +127,54 @@ def log_analysis_days(t: Tables):
     return t.spark.read.parquet(folder).select("document_url", "target_id", "wayback_timestamp", "day")
 
 
+_WAITING = """
+    WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM crawl_log), ranked AS (SELECT d.day, count(l.day) // 6 AS batch FROM days d LEFT JOIN days l ON l.day > d.day GROUP BY d.day),
+"""
+_WAITING_FOUND = (
+    _FOUND.replace("WITH k AS (SELECT *,", "k AS (SELECT c.*, r.batch,", 1)
+    .replace("FROM crawl_log WHERE", "FROM crawl_log c JOIN ranked r ON r.day = CAST(c.ts AS DATE) WHERE r.batch < 2 AND", 1)
+    .replace("OVER (PARTITION BY k.url ORDER BY", "OVER (PARTITION BY k.url ORDER BY k.batch,", 1)
+)
+
+
+@query(
+    "waiting_logs_findings",
+    "B4 K13 J5",
+    _WAITING + _WAITING_FOUND.replace("list_last(string_split(url, '/')) AS filename", "list_last(string_split(url, '/')) AS filename, batch")
+    + " SELECT document_url, target_id, wayback_timestamp, size, status, CAST(batch AS INTEGER) AS batch FROM found",
+)
+def waiting_logs_findings(t: Tables):
+    """Two runs over the newest logs without a mark, six at a time, each run's findings and marks visible at once."""
+    root, runs = _waiting_runs(t)
+    found = committed.read_committed(t.spark, root, "findings", jobs.DOCUMENT_ROW)
+    number = F.when(F.col("run") == runs[0], 0).when(F.col("run") == runs[1], 1)
+    return found.select("document_url", "target_id", "wayback_timestamp", "size", "status", number.alias("batch"))
+
+
+@query(
+    "waiting_logs_metrics",
+    "B4 K9",
+    _WAITING + _WAITING_FOUND.replace("list_last(string_split(url, '/')) AS filename", "list_last(string_split(url, '/')) AS filename, batch")
+    + """ SELECT CAST(batch AS INTEGER) AS batch, 'findings' AS kind, count(*) AS value FROM found GROUP BY batch
+    UNION ALL SELECT CAST(batch AS INTEGER), 'logs', count(*) FROM ranked WHERE batch < 2 GROUP BY batch
+    UNION ALL SELECT CAST(b AS INTEGER), 'invalid', (SELECT count(*) FROM found WHERE landing_page_url IS NULL AND batch = b) FROM range(2) r(b)""",
+)
+def waiting_logs_metrics(t: Tables):
+    root, runs = _waiting_runs(t)
+    rows = committed.read_committed(t.spark, root, "metrics", jobs.METRIC_ROW)
+    return rows.select(F.when(F.col("run") == runs[0], 0).when(F.col("run") == runs[1], 1).alias("batch"), "kind", "value")
+
+
+def _waiting_runs(t: Tables) -> tuple[str, list[str]]:
+    root = shared_dir(t.spark, "waiting-logs")
+    path = F.concat(F.lit("/heritrix/output/frequent-npld/logs/crawl.log.cp"), F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd"))
+    events = t.crawl_log.withColumns(
+        {"landing_page_url": F.expr("concat('http://', host, '/p/', event_id % 7)"), "source": F.col("hop_path"), "file_path": path}
+    )
+    files = events.groupBy("file_path").agg(F.max("ts").alias("modified_at"))
+    return root, [jobs.analyse_waiting_logs(files, events, _watched(t), "frequent-npld", root, 6) for _ in range(2)]
+
+
 @query(
     "process_documents",
     "B5 L3 J4 F12 T14",

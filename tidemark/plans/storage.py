@@ -160,6 +160,29 @@ def files_to_move(t: Tables):
     return checked.where("result = 'match'").select("file_path")
 
 
+@query(
+    "changed_file_sums",
+    "J6 B8",
+    """
+    WITH l AS (SELECT DISTINCT file_path, size, modified_at, l_orderkey % 7 = 0 AS changed, l_orderkey % 11 = 0 AS is_new FROM tracked_file),
+    n AS (SELECT DISTINCT file_path, CASE WHEN changed THEN size + 1 ELSE size END AS size, modified_at, changed OR is_new AS fresh FROM l)
+    SELECT file_path, size, modified_at, md5(file_path || ':' || size) AS checksum, bool_and(fresh) AS fresh FROM n GROUP BY ALL
+    """,
+)
+def changed_file_sums(t: Tables):
+    """The second run over a listing: files that are new or of another size are hashed, the rest is known."""
+    files = t.tracked_file
+    first = files.where("l_orderkey % 11 <> 0").select("file_path", "size", "modified_at")
+    second = files.select("file_path", F.expr("CASE WHEN l_orderkey % 7 = 0 THEN size + 1 ELSE size END").alias("size"), "modified_at")
+
+    def hashed(rows):
+        return rows.withColumn("checksum", F.md5(F.concat_ws(":", "file_path", "size").cast("binary")))
+
+    nothing = first.limit(0).withColumn("checksum", F.lit(None).cast("string"))
+    known = tracking.refreshed_sums(first, nothing, hashed).drop("fresh")
+    return tracking.refreshed_sums(second, known, hashed)
+
+
 @query(
     "storage_reconciliation",
     "J14",
