@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 from tidemark.functions import content, storage_paths
 from tidemark.functions.crawl_fields import mime_type
 from tidemark.functions.times import to_ts14
-from tidemark.functions.urls import surt_key
+from tidemark.functions.urls import prefix_line_key, reversed_host, surt_key
 from tidemark.operators import captures as capture_ops
 from tidemark.operators import counters, curation, documents, filters, histograms, merge, prefixes, tracking
+from tidemark.operators.ordered import nearest_value
 from tidemark.session import use_checkpoints
 from tidemark.sinks import committed, exports, publish
 from tidemark.sources.listings import parse_listing
@@ -170,6 +171,19 @@ def process_documents(
     return documents.with_access_url(judged, base_url)
 
 
+def locate_documents(found: DataFrame, headers: DataFrame, feed: DataFrame) -> DataFrame:
+    """Found documents with their landing page and target: the page that the response's ``rel=up`` link names, else the page found before.
+
+    ``headers`` has (document_url, wayback_timestamp, link), one or more rows per capture. The target is that of the longest prefix over the landing page.
+    """
+    link = F.min(F.when(documents.landing_page("link", F.lit("")) != "", F.col("link"))).alias("_link")
+    named = headers.groupBy("document_url", "wayback_timestamp").agg(link)
+    rows = found.drop("target_id").join(named, ["document_url", "wayback_timestamp"], "left")
+    rows = rows.withColumn("landing_page_url", documents.landing_page("_link", "landing_page_url")).drop("_link")
+    keyed = rows.withColumn("_landing_key", surt_key("landing_page_url"))
+    return documents.assign_targets(keyed, "_landing_key", feed, "surt_prefix", "target_id").drop("_landing_key", "matched_prefix")
+
+
 # --- curated export --------------------------------------------------------------------------
 
 
@@ -252,8 +266,6 @@ def complaint_follow_up(events: DataFrame, path_pattern: str, start: datetime, e
     later = events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).groupBy("host").agg(
         F.count(F.lit(1)).alias("fetches_since")
     )
-    from tidemark.functions.urls import reversed_host
-
     return hosts.join(later, "host", "left").select(
         "host",
         "hits",
@@ -262,6 +274,14 @@ def complaint_follow_up(events: DataFrame, path_pattern: str, start: datetime, e
     )
 
 
+def apply_exclusions(events: DataFrame, lines: DataFrame, line: str, since: datetime) -> DataFrame:
+    """(host, fetches, still_in_scope) from a time on: what of each host's fetches the exclusion lines leave in scope."""
+    shut = lines.select(prefix_line_key(F.col(line)).alias("surt_prefix"))
+    later = events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).withColumn("_key", surt_key("url"))
+    judged = prefixes.flag_covered(later, "_key", shut, "surt_prefix", "_shut")
+    return judged.groupBy("host").agg(F.count(F.lit(1)).alias("fetches"), F.count_if(~F.col("_shut")).alias("still_in_scope"))
+
+
 # --- crawler tidy-up -------------------------------------------------------------------------
 
 
@@ -273,8 +293,6 @@ def archive_moves(files: DataFrame, launches: DataFrame, path: str, job: str, ou
     ``launches`` has ``launch_id`` (14 digits). The file's time comes from its name; launches are few and files
     many, so both are laid on one time line and each file takes the last launch before it.
     """
-    from tidemark.operators.ordered import nearest_value
-
     name = storage_paths.file_name(path)
     named = files.select(F.col(path), storage_paths.archive_ts17(name).alias("_ts17"))
     started = F.try_to_timestamp(F.left("_ts17", F.lit(14)), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")

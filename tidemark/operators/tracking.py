@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.storage_paths import checkpoint_number, path_parts
-from tidemark.operators.ordered import nearest_value, running_total
+from tidemark.operators.ordered import nearest_value, rank_by_range
 from tidemark.session import use_checkpoints
 
 
@@ -84,14 +84,11 @@ def unprocessed(files: DataFrame, marks: DataFrame, path: str) -> DataFrame:
     return files.join(marks.select(path).distinct(), path, "left_anti")
 
 
-def newest_batches(
-    df: DataFrame, groups: Sequence[str], modified: str, tie_break: str, batch_size: int, bucket_seconds: int = 86_400
-) -> DataFrame:
-    """Add ``batch``: newest-first batch number within a group; numbering is split by time bucket."""
+def newest_batches(df: DataFrame, groups: Sequence[str], modified: str, tie_break: str, batch_size: int) -> DataFrame:
+    """Add ``batch``: newest-first batch number within a group. Rows are ranked over sorted ranges, so a day or a group of any size is spread."""
     flipped = df.withColumn("_age", F.expr(f"timestamp_ntz'9999-01-01 00:00:00' - {modified}"))
-    flipped = flipped.withColumn("_age", F.expr("timestamp_ntz'1970-01-01 00:00:00' + _age"))
-    numbered = running_total(flipped, groups, ["_age", tie_break], F.lit(1), "_no", bucket_seconds=bucket_seconds)
-    return numbered.withColumn("batch", F.floor(F.col("_no") / batch_size).cast("bigint")).drop("_age", "_no")
+    numbered = rank_by_range(flipped, groups, ["_age", tie_break], "_no")
+    return numbered.withColumn("batch", F.floor((F.col("_no") - 1) / batch_size).cast("bigint")).drop("_age", "_no")
 
 
 def next_batch(df: DataFrame, modified: str, tie_break: str, batch_size: int) -> DataFrame:

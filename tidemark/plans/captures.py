@@ -271,7 +271,7 @@ def merged_updates(t: Tables):
     "upserted_events",
     "K5 W1",
     """
-    WITH u AS (SELECT event_id AS id, ts, url, status_code, thread, 0 AS v FROM crawl_log WHERE event_id % 2 = 0
+    WITH u AS (SELECT event_id AS id, ts, url, status_code, thread, 0 AS v FROM crawl_log WHERE event_id % 2 = 0 OR event_id % 3 <> 0
       UNION ALL SELECT event_id, ts, url, NULL, 'patched', 1 FROM crawl_log WHERE event_id % 3 = 0)
     SELECT id, ts, url, max_by(status_code, v) FILTER (status_code IS NOT NULL) AS status_code,
       max_by(thread, v) FILTER (thread IS NOT NULL) AS thread, max(v) AS v FROM u GROUP BY id, ts, url
@@ -279,7 +279,7 @@ def merged_updates(t: Tables):
 )
 def upserted_events(t: Tables):
     log = t.crawl_log.withColumnRenamed("event_id", "id")
-    existing = log.where("id % 2 = 0").select("id", "ts", "url", "status_code", "thread", F.lit(0).alias("v"))
+    existing = log.where("id % 2 = 0 OR id % 3 <> 0").select("id", "ts", "url", "status_code", "thread", F.lit(0).alias("v"))
     updates = log.where("id % 3 = 0").select(
         "id", "ts", "url", F.lit(None).cast("int").alias("status_code"), F.lit("patched").alias("thread"), F.lit(1).alias("v")
     )

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from tidemark import jobs
-from tidemark.plans.curated import _FOUND, _index, _INDEXED, _found, _watched
+from tidemark.plans.curated import _FOUND, _found, _index, _INDEXED, _watched, _WATCHED
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
 
@@ -21,31 +21,31 @@ from tidemark.sinks import committed, publish
     "track_files",
     "B1 S5 W1 K5",
     f"""
-    WITH l AS (SELECT file_path, size, modified_at, l_returnflag, l_linenumber, l_orderkey FROM tracked_file WHERE service = 'h3'),
-    old AS (SELECT file_path, max(size) AS size, max(modified_at) AS modified_at FROM l WHERE l_orderkey % 2 = 0 GROUP BY 1),
-    new AS (SELECT DISTINCT file_path, size + 1 AS size, modified_at FROM l WHERE l_orderkey % 3 = 0 AND starts_with(file_path, '/heritrix/output/frequent'))
-    SELECT coalesce(n.file_path, o.file_path) AS file_path, 'h3' AS service, CAST(CASE WHEN n.file_path IS NULL THEN 0 ELSE 1 END AS INTEGER) AS version,
+    WITH l AS (SELECT file_path, service, size, modified_at, l_returnflag, l_linenumber, l_orderkey FROM tracked_file),
+    old AS (SELECT file_path, service, max(size) AS size, max(modified_at) AS modified_at FROM l WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
+    new AS (SELECT DISTINCT file_path, service, size + 1 AS size, modified_at FROM l WHERE l_orderkey % 3 = 0 AND starts_with(file_path, '/heritrix/output/frequent'))
+    SELECT coalesce(n.file_path, o.file_path) AS file_path, coalesce(n.service, o.service) AS service, CAST(CASE WHEN n.file_path IS NULL THEN 0 ELSE 1 END AS INTEGER) AS version,
       max(coalesce(n.size, o.size)) AS size, max(coalesce(n.modified_at, o.modified_at)) AS modified_at
-    FROM old o FULL JOIN new n ON n.file_path = o.file_path GROUP BY 1, 2, 3
+    FROM old o FULL JOIN new n ON n.file_path = o.file_path AND n.service = o.service GROUP BY 1, 2, 3
     """,
 )
 def track_files(t: Tables):
-    h3 = t.tracked_file.where("service = 'h3'")
-    old = h3.where("l_orderkey % 2 = 0").groupBy("file_path", "service").agg(
+    """The listings of both services, each merged twice; the second time changes nothing."""
+    merged = t.tracked_file.where("l_orderkey % 2 = 0").groupBy("file_path", "service").agg(
         F.max("size").alias("size"), F.max("modified_at").alias("modified_at")
     ).select(
         "file_path", "service", F.lit("warcs").alias("kind"), F.lit("x").alias("stream"), "size", "modified_at", F.lit(0).alias("seen_at")
     )
-    lines = h3.where("l_orderkey % 3 = 0").select(
-        F.concat(
-            F.lit("-rw-r--r-- 3 a b "), (F.col("size") + 1).cast("string"), F.lit(" "),
-            F.date_format(F.col("modified_at").cast("timestamp"), "yyyy-MM-dd HH:mm"), F.lit(" "), "file_path",
-        ).alias("value")
-    )
-    merged = jobs.track_files(lines, old, "h3", F.lit(1), under="/heritrix/output/frequent")
-    # the same run again changes nothing
-    again = jobs.track_files(lines, merged, "h3", F.lit(1), under="/heritrix/output/frequent")
-    return again.select("file_path", "service", F.col("seen_at").alias("version"), "size", "modified_at")
+    for service in ("h020", "h3"):
+        lines = t.tracked_file.where((F.col("service") == service) & (F.col("l_orderkey") % 3 == 0)).select(
+            F.concat(
+                F.lit("-rw-r--r-- 3 a b "), (F.col("size") + 1).cast("string"), F.lit(" "),
+                F.date_format(F.col("modified_at").cast("timestamp"), "yyyy-MM-dd HH:mm"), F.lit(" "), "file_path",
+            ).alias("value")
+        )
+        for _ in range(2):
+            merged = jobs.track_files(lines, merged, service, F.lit(1), under="/heritrix/output/frequent")
+    return merged.select("file_path", "service", F.col("seen_at").alias("version"), "size", "modified_at")
 
 
 _INDEX_BATCH = """
@@ -191,6 +191,31 @@ def process_documents(t: Tables):
     return out.select("document_url", "wayback_timestamp", "target_id", "status", "access_url")
 
 
+@query(
+    "curated_export_lines",
+    "B6 K1 K2 K3 K7 P23",
+    f"""
+    WITH c AS (SELECT *, {surt('url')} AS k,
+      '{{"id":' || target_id || ',"title":"' || title || '","seeds":["' || url || '"],"frequency":"' || frequency || '","scope":"' || scope || '","depth":"' || depth || '","basis":"' || basis || '"}}' AS entry FROM curated),
+    live AS (SELECT * FROM c WHERE frequency <> 'NEVERCRAWL' AND (end_date IS NULL OR end_date >= TIMESTAMP '2024-01-10'))
+    SELECT 'feed_' || basis AS output, entry AS value FROM live
+    UNION ALL SELECT DISTINCT 'never_crawl', k FROM c WHERE frequency = 'NEVERCRAWL'
+    UNION ALL SELECT DISTINCT 'allows', k || ' - {{"access":"allow","url":"' || k || '"}}' FROM c WHERE open_access
+    UNION ALL SELECT DISTINCT 'blocks', k || ' - {{"access":"block","url":"' || k || '"}}' FROM c WHERE frequency = 'NEVERCRAWL'
+    UNION ALL SELECT DISTINCT 'annotations', '{{"surt_prefix":"' || k || '","collection_id":' || collection_id || '}}' FROM c
+    """,
+)
+def curated_export_lines(t: Tables):
+    """Every published line but those of the collections, whose content ``collection_export`` checks."""
+    root = shared_dir(t.spark, "curated-export")
+    jobs.export_curated(t.curated, datetime(2024, 1, 10), root)
+    out = None
+    for name in ("feed_npld", "feed_bypm", "never_crawl", "allows", "blocks", "annotations"):
+        one = publish.read_published(t.spark, root, name).select(F.lit(name).alias("output"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "curated_export_counts",
     "B6 K7 K9 A8 K1 K2 K3 K11 P23",
@@ -273,6 +298,45 @@ def complaint_follow_up(t: Tables):
     )
 
 
+@query(
+    "complaint_applied",
+    "B12 P17",
+    """
+    WITH h AS (SELECT DISTINCT host FROM crawl_log WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' AND regexp_matches(url, '/p/4[0-9]$'))
+    SELECT l.host, count(*) AS fetches, count(*) FILTER (h.host IS NULL) AS still_in_scope FROM crawl_log l LEFT JOIN h ON h.host = l.host
+    WHERE l.ts >= TIMESTAMP '2024-01-06' GROUP BY l.host
+    """,
+)
+def complaint_applied(t: Tables):
+    """The exclusion lines of a complaint, added to the list and applied to what was fetched later."""
+    found = jobs.complaint_follow_up(t.crawl_log, "/p/4[0-9]$", datetime(2024, 1, 5), datetime(2024, 1, 6), datetime(2024, 1, 6))
+    return jobs.apply_exclusions(t.crawl_log, found, "exclusion", datetime(2024, 1, 6))
+
+
+@query(
+    "documents_located",
+    "B5 P20 J18",
+    f"""
+    WITH hdr AS (SELECT url AS document_url, {ts14('ts')} AS wayback_timestamp, min(CASE WHEN event_id % 3 = 0 THEN 'http://h' || (event_id % 20) || '.example.co.uk/p/up' END) AS up FROM crawl_log GROUP BY 1, 2),
+    """
+    + _FOUND.replace("WITH k AS", "k AS", 1).rstrip()
+    + f""",
+    p AS (SELECT f.document_url, f.wayback_timestamp, coalesce(hdr.up, f.landing_page_url) AS landing_page_url FROM found f LEFT JOIN hdr ON hdr.document_url = f.document_url AND hdr.wayback_timestamp = f.wayback_timestamp),
+    q AS (SELECT p.*, {surt('landing_page_url')} AS lk FROM p),
+    t AS (SELECT q.document_url, w.target_id, row_number() OVER (PARTITION BY q.document_url ORDER BY length(w.surt_prefix) DESC, w.target_id) AS rn FROM q JOIN {_WATCHED} w ON {covers('w.surt_prefix', 'q.lk')})
+    SELECT q.document_url, q.wayback_timestamp, q.landing_page_url, t.target_id FROM q LEFT JOIN t ON t.document_url = q.document_url AND t.rn = 1
+    """,
+)
+def documents_located(t: Tables):
+    """Found documents with the landing page their response names, and the target that covers it."""
+    headers = t.crawl_log.selectExpr(
+        "url AS document_url", "date_format(CAST(ts AS TIMESTAMP), 'yyyyMMddHHmmss') AS wayback_timestamp",
+        "CASE WHEN event_id % 3 = 0 THEN concat('<http://h', event_id % 20, '.example.co.uk/p/up>; rel=\"up\"') WHEN event_id % 3 = 1 THEN '<http://x.example/>; rel=next' END AS link",
+    )
+    located = jobs.locate_documents(_found(t), headers, _watched(t))
+    return located.select("document_url", "wayback_timestamp", "landing_page_url", "target_id")
+
+
 @query(
     "archive_moves",
     "B13 F9 F10",

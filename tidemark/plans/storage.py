@@ -10,6 +10,8 @@ from tidemark.functions import storage_paths as sp
 from tidemark.operators import curation, filters, histograms, tracking
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
+from tidemark.session import shared_dir
+from tidemark.sinks.exports import write_jsonl
 
 _STREAM = "CASE WHEN file_path LIKE '/heritrix/output/dc%' THEN 'domain' ELSE 'frequent' END"
 
@@ -324,9 +326,6 @@ def stream_union(t: Tables):
     "SELECT count(*) AS lines, count(DISTINCT file_path) AS paths, CAST(sum(size) AS BIGINT) AS bytes FROM tracked_file",
 )
 def listing_round_trip(t: Tables):
-    from tidemark.session import shared_dir
-    from tidemark.sinks.exports import write_jsonl
-
     folder = shared_dir(t.spark, "listing")
     write_jsonl(t.tracked_file.select("file_path", "service", "size", "modified_at"), folder)
     back = t.spark.read.schema("file_path string, service string, size bigint, modified_at timestamp_ntz").json(folder)
@@ -335,6 +334,14 @@ def listing_round_trip(t: Tables):
     )
 
 
+@query("listing_lines_back", "S14 K1", "SELECT file_path, service, size, modified_at FROM tracked_file")
+def listing_lines_back(t: Tables):
+    """Every row of a listing, written as JSON lines and read again."""
+    folder = shared_dir(t.spark, "listing")
+    write_jsonl(t.tracked_file.select("file_path", "service", "size", "modified_at"), folder)
+    return t.spark.read.schema("file_path string, service string, size bigint, modified_at timestamp_ntz").json(folder)
+
+
 @query(
     "feed_union",
     "U3",

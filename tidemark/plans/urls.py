@@ -20,6 +20,7 @@ from tidemark.plans.views import (
     text_literal,
     too_deep,
 )
+from tidemark.session import shared_dir
 from tidemark.sinks import exports
 from tidemark.sources.tables import clean_url_lines
 
@@ -317,10 +318,10 @@ def effective_access(t: Tables):
 @query(
     "licence_allows",
     "P24 K2",
-    f"SELECT DISTINCT {surt('url')} AS value FROM curated_base WHERE open_access AND starts_with(url, 'https')",
+    f"SELECT DISTINCT {surt('url')} AS value FROM curated_base WHERE open_access",
 )
 def licence_allows(t: Tables):
-    open_targets = t.curated_base.where("open_access AND startswith(url, 'https')")
+    open_targets = t.curated_base.where("open_access")
     return exports.prefix_lines(open_targets.withColumn("surt", urls.surt_key("url")), "surt")
 
 
@@ -337,11 +338,28 @@ def access_list_lines(t: Tables):
     return exports.access_lines(rules, "surt_prefix", "access")
 
 
+@query(
+    "access_list_order",
+    "K3",
+    """
+    WITH v AS (SELECT DISTINCT surt_prefix || ' - {"access":"' || CASE decision WHEN 'accept' THEN 'allow' ELSE 'block' END
+      || '","url":"' || surt_prefix || '"}' AS value FROM surt_prefixes)
+    SELECT row_number() OVER (ORDER BY value DESC) AS line_no, value FROM v
+    """,
+)
+def access_list_order(t: Tables):
+    """The written list, line by line as it lies in its files."""
+    folder = shared_dir(t.spark, "access-list")
+    rules = t.surt_prefixes.withColumn("access", F.expr("CASE decision WHEN 'accept' THEN 'allow' ELSE 'block' END"))
+    exports.write_access_list(rules, "surt_prefix", "access", folder)
+    return exports.read_lines(t.spark, folder, "line_no")
+
+
 @query(
     "assembled_seeds",
     "U6",
     f"""
-    WITH u AS (SELECT url, 'curated' AS source, 0 AS r FROM curated_base WHERE starts_with(url, 'https')
+    WITH u AS (SELECT url, 'curated' AS source, 0 AS r FROM curated_base
       UNION ALL SELECT 'http://site' || c_custkey || '.example.co.uk/', 'registry', 1 FROM customer
       UNION ALL SELECT url, 'pages', 2 FROM pages),
     k AS (SELECT *, {surt('url')} AS urlkey FROM u)
@@ -351,7 +369,7 @@ def access_list_lines(t: Tables):
 def assembled_seeds(t: Tables):
     registry = t.customer.selectExpr("concat('http://site', c_custkey, '.example.co.uk/') AS url")
     return curation.assemble_seeds(
-        [("curated", t.curated_base.where("startswith(url, 'https')")), ("registry", registry), ("pages", t.pages)], "url"
+        [("curated", t.curated_base), ("registry", registry), ("pages", t.pages)], "url"
     )
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import upsert_days
+from tidemark.operators.ordered import rank_by_range
 from tidemark.sources.topics import TIME_FORMATS
 
 
@@ -35,6 +36,13 @@ def write_access_list(rules: DataFrame, prefix: str, access: str, folder: str) -
     access_lines(rules, prefix, access).orderBy(F.col("value").desc()).write.mode("overwrite").text(folder)
 
 
+def read_lines(spark: SparkSession, folder: str, line_no: str = "line_no") -> DataFrame:
+    """(line_no, value): the lines of a folder of text files in their order over all files, numbered from 1."""
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.read.text(folder).select("value", *place, F.monotonically_increasing_id().alias("_at")).withColumn("_all", F.lit(0))
+    return rank_by_range(lines, ["_all"], ["_file", "_start", "_at"], line_no).select(line_no, "value")
+
+
 def write_days(df: DataFrame, ts: str, folder: str) -> None:
     """Parquet by day. Rebalancing splits a busy day over as many tasks as its size asks for and joins small days."""
     days = df.withColumn("day", F.to_date(ts))
