@@ -8,7 +8,7 @@ Learning counts, over all rows with a known role, how often each role makes each
 counts, of fixed size, reach the driver. How a marker tells its role is given (``MARKER_TELLS``), as labelled rows need not have any.
 
 Decoding is Viterbi's, in three steps so that a conversation of any length is never one task's work: a conversation is
-cut into chunks of ``CHUNK`` turns; each chunk is reduced to the best score between every entry and exit role; these small
+cut into chunks of ``CHUNK`` rows by their rank; each chunk is reduced to the best score between every entry and exit role; these small
 matrices, one per chunk, give the roles at the chunks' borders; and each chunk is decoded between its borders.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import stored
+from tidemark.operators.ordered import rank_by_range
 
 ROLES = ("system", "user", "assistant")
 # Names that stand for a role, in markers and in role columns.
@@ -166,8 +167,9 @@ def known_role(role: Column) -> Column:
 def _chunks(rows: DataFrame, conv_id: str, turn: str, text: str, role: str) -> DataFrame:
     """One row per chunk: its rows in order as structs (turn, text hash, codes, role)."""
     keyed = rows.select(*_keys(conv_id, turn, text), observed(F.col(text)).alias("codes"), known_role(F.col(role)).alias("role"))
-    once = keyed.dropDuplicates(["conv", "at", "th"])
-    return once.groupBy("conv", F.floor(F.col("at") / CHUNK).alias("chunk")).agg(
+    # chunks are cut by position, so that turns without a number, or with one number, do not meet in one chunk
+    placed = rank_by_range(keyed.dropDuplicates(["conv", "at", "th"]), ["conv"], ["at", "th"], "place")
+    return placed.groupBy("conv", F.floor((F.col("place") - 1) / CHUNK).alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("at", "th", "codes", "role"))).alias("rows")
     )
 
