@@ -137,7 +137,7 @@ def test_entry_without_this_subpackage(monkeypatch):
     """Where the folder is not there the other queries still load; a fault inside it is not hidden."""
     import __spark_entry__ as entry
 
-    assert "pipeline" in entry.queries() and sum(name.startswith("op") and name[2].isdigit() for name in entry.queries()) == 10
+    assert "pipeline" in entry.queries() and sum(name.startswith("op") and name[2].isdigit() for name in entry.queries()) == 13
     with monkeypatch.context() as patch:
         for name in [m for m in sys.modules if m.startswith("tidemark.llm")]:
             patch.delitem(sys.modules, name)
