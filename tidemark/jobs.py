@@ -19,7 +19,7 @@ from tidemark.functions.crawl_fields import mime_type
 from tidemark.functions.times import to_ts14
 from tidemark.functions.urls import prefix_line_key, reversed_host, surt_key
 from tidemark.operators import captures as capture_ops
-from tidemark.operators import counters, curation, documents, filters, histograms, merge, prefixes, tracking
+from tidemark.operators import counters, curation, documents, filters, histograms, merge, prefixes, suffixes, textindex, tracking
 from tidemark.operators.ordered import nearest_value
 from tidemark.session import use_checkpoints
 from tidemark.sinks import committed, exports, publish
@@ -88,11 +88,14 @@ def capture_index(
 # --- full-text index -------------------------------------------------------------------------
 
 
-def fulltext_index(records: DataFrame, scopes: DataFrame, allowed: DataFrame, collection: str) -> DataFrame:
+def fulltext_index(
+    records: DataFrame, scopes: DataFrame, allowed: DataFrame, collection: str, suffix_rules: DataFrame | None = None, rule: str = "rule"
+) -> DataFrame:
     """One index row per response page: text, digest, elements, links, labels of its collections, access terms.
 
     Pages are filtered before their text is touched, and text is extracted before any join, so only short
-    columns and the extracted text are moved.
+    columns and the extracted text are moved. With ``suffix_rules`` a row also has ``link_domains``, the registered domains of the
+    linked hosts, and ``text_print``, the banded fingerprint of its text (null for a page without words).
     """
     used = filters.index_records(records)
     rows = used.select(
@@ -108,9 +111,22 @@ def fulltext_index(records: DataFrame, scopes: DataFrame, allowed: DataFrame, co
     )
     labelled = prefixes.annotate(rows, "urlkey", scopes, "surt_prefix", ["collection", "subject"])
     flagged = prefixes.flag_covered(labelled, "urlkey", allowed, "surt_prefix", "open_access")
-    return flagged.withColumn("access_terms", F.when(F.col("open_access"), "open").otherwise("reading room")).withColumn(
+    out = flagged.withColumn("access_terms", F.when(F.col("open_access"), "open").otherwise("reading room")).withColumn(
         "index_collection", F.lit(collection)
     ).drop("open_access")
+    return out if suffix_rules is None else _with_links_and_print(out, suffix_rules, rule)
+
+
+def _with_links_and_print(rows: DataFrame, suffix_rules: DataFrame, rule: str) -> DataFrame:
+    hosts = rows.select("page_id", F.explode(F.split("link_hosts", ",")).alias("_host")).where("_host <> ''")
+    domains = suffixes.with_domains(hosts, "_host", suffix_rules, rule).groupBy("page_id").agg(
+        F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("link_domains")
+    )
+    bands = textindex.fingerprints(rows, "page_id", "text").groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("band", "value"))), lambda b: b["value"]), " ").alias("text_print")
+    )
+    linked = rows.join(domains, "page_id", "left").withColumn("link_domains", F.coalesce("link_domains", F.lit("")))
+    return linked.join(bands, "page_id", "left")
 
 
 # --- documents -------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from tidemark import jobs
 from tidemark.plans.curated import _FOUND, _found, _index, _INDEXED, _watched, _WATCHED
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
+from tidemark.plans.texts import _DOMAINS, _PRINTS
 
 from tidemark.plans.views import covers, host, page_text, surt, text_literal, ts14
 from tidemark.functions import content
@@ -98,6 +99,30 @@ def fulltext_index(t: Tables):
     return rows.select("page_id", F.md5(F.encode("text", "utf-8")).alias("text_md5"), "digest", "elements", "link_hosts", "collection", "access_terms")
 
 
+_PAGE_PRINTS = _PRINTS.replace("FROM documents", "FROM ptext", 1)
+
+
+@query(
+    "fulltext_links",
+    "B3 F17 F19",
+    f"""
+    WITH p AS (SELECT * FROM page_record WHERE record_type = 'response' AND status_code = 200),
+    ptext AS (SELECT page_id AS doc_id, {page_text('html')} AS text FROM p),
+    pr AS ({_PAGE_PRINTS} SELECT doc_id, band, value FROM prints),
+    o AS (SELECT page_id, {host('url')} AS host FROM p), hosts AS (SELECT DISTINCT host FROM o),
+    """
+    + _DOMAINS
+    + """, f AS (SELECT doc_id, string_agg(value, ' ' ORDER BY band) AS text_print FROM pr GROUP BY doc_id)
+    SELECT o.page_id, coalesce(d.domain, '') AS link_domains, f.text_print FROM o LEFT JOIN d ON d.host = o.host LEFT JOIN f ON f.doc_id = o.page_id""",
+)
+def fulltext_links(t: Tables):
+    """Linked domains and text fingerprint of the full-text index rows."""
+    listed = t.surt_prefixes
+    scopes = listed.select("surt_prefix", F.col("decision").alias("collection"), F.lit("s").alias("subject"))
+    rows = jobs.fulltext_index(t.page_record, scopes, listed.where("decision = 'accept'"), "pages-2024", t.suffix_rules)
+    return rows.select("page_id", "link_domains", "text_print")
+
+
 _DAILY_FOUND = _FOUND.replace("row_number() OVER (PARTITION BY k.url ORDER", "row_number() OVER (PARTITION BY CAST(k.ts AS DATE), k.url ORDER").replace(
     "{ts14('ts')}", ts14("ts")
 )
