@@ -4,11 +4,11 @@ Lines are compared lower-cased and trimmed; a line of blanks is never compared n
 from the first step on. Two lines are linked if the Jaccard similarity of their sets of 5-character shingles is 0.8
 or more (a shorter line is one shingle).
 
-Signature: the least value, under each of 24 hash orders, among all of the line's 5-character shingles, the same ones that the
-exact check compares. Each order is the shingle's hash, xor a fixed number; the numbers' first bits are spread evenly. The 24 rows
-are dealt into bands of 4 in three ways, 18 bands in all: of lines that are 0.8 similar 19 rows agree on average, and then some
-band agrees with probability over 0.99. Five bits of each row make a sketch; two lines of a band whose sketches agree in fewer than
-12 of 24 places (a similarity of about 0.5) are not compared further, which costs under 0.1 % of the pairs that are 0.8 similar.
+Signature: the least value, under each of 44 hash orders, among all of the line's 5-character shingles, the same ones that the
+exact check compares. Each order is the shingle's 32-bit hash times a fixed odd number. The 44 rows make 11 bands of 4: of lines
+that are 0.8 similar some band agrees with probability 0.997. Five bits of each of the first 24 rows make a sketch; two lines of a band whose
+sketches agree in fewer than 12 places (a similarity of about 0.5) are not compared further, which costs under 0.1 % of
+the pairs that are 0.8 similar.
 
 The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
 compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
@@ -16,14 +16,19 @@ link to a copy is possible at all; a line whose score was not computed excludes
 size of the band: its rows are dealt into tiles, and a task joins two tiles, never a whole band. A pair whose sketches are
 not alike leaves no row.
 
-DataFrame functions only; texts are shuffled for candidates alone.
+Signing and scoring, a line or a pair at a time, are numpy in Arrow batches: Spark has no function that hashes all shingles of
+a line cheaply, and the form without Python took several times the processor time and disk. Bands, links,
+components and decisions are DataFrame functions; texts are shuffled for candidates alone.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +36,13 @@ from tidemark.llm.common import broadcast_if_small, components, fresh, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-ROWS, BAND_ROWS, DEALS = 24, 4, 3
+ROWS, BAND_ROWS = 44, 4
 SEED = 7
+# Characters that a worker hashes at a time (a longer line alone), and line hashes that it remembers so as to sign a repeated line once.
+HASHED_CHARS, REMEMBERED = 250_000, 500_000
 # Rows of a tile, on average: bands that hold more after their copies are linked are dealt into several tiles.
 PAIRED_ROWS = 512
-SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 5, 12, 12
+SKETCH_ROWS, SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 24, 5, 12, 12
 
 
 def compared(line: Column) -> Column:
@@ -49,41 +56,82 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     )
 
 
-def _cut(line: Column | str) -> Column:
-    """All shingles of a line, repeats kept; a shorter line is one shingle."""
-    line = F.col(line) if isinstance(line, str) else line
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
+def _portions(lengths: list[int]) -> Iterator[slice]:
+    """Runs of consecutive lines that hold ``HASHED_CHARS`` characters at most, or one line."""
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i > start and held + n > HASHED_CHARS:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if lengths:
+        yield slice(start, len(lengths))
+
+
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines, and where those of each line begin and end."""
+    codes = np.frombuffer("".join(x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter((max(SHINGLE, len(x)) for x in lines), np.int64, len(lines))
+    stops = np.cumsum(lengths)
+    for i, x in enumerate(lines):
+        if len(x) < SHINGLE:
+            codes[stops[i] - SHINGLE + len(x) : stops[i]] = 0x110000  # no character: padding equals no text
+    turn, mix = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+    n = len(codes) - SHINGLE + 1
+    hashes = codes[:n].copy()
+    for k in range(1, SHINGLE):
+        hashes = hashes * turn + codes[k : n + k]
+    for _ in range(2):
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * mix
+    return hashes ^ (hashes >> np.uint64(32)), stops - lengths, stops - SHINGLE + 1
+
+
+def _orders() -> list[np.uint32]:
+    """Odd numbers that 32-bit hashes are multiplied by."""
+    draw = random.Random(SEED)
+    return [np.uint32(draw.getrandbits(32) | 1) for _ in range(ROWS)]
 
 
-def _orders() -> list[int]:
-    """Numbers that hashes are xored with; number i lies in the i-th of ``ROWS`` equal parts of all 32-bit numbers."""
-    draw = random.Random(SEED)
-    return [((i << 32) + draw.getrandbits(32)) // ROWS - (1 << 31) for i in range(ROWS)]
+def _minima(lines: list[str]) -> np.ndarray:
+    """A row of ``ROWS`` least values for each line."""
+    hashes, begin, end = _hashed(lines)
+    short = hashes.astype(np.uint32)
+    # positions between two lines belong to shingles that span both; reduceat gives them segments of their own, which go
+    cuts = np.stack([begin, end], 1).reshape(-1)[:-1]
+    return np.stack([np.minimum.reduceat(short * order, cuts)[::2] for order in _orders()], 1).view(np.int32)
+
+
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: set[int] = set()
+    for batch in batches:
+        batch = batch.drop_duplicates("h")
+        batch = batch[[h not in seen for h in batch["h"].tolist()]]
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        seen.update(batch["h"].tolist())
+        lines = batch["line"].tolist()
+        for part in _portions([len(x) for x in lines]):
+            minima = pd.DataFrame(_minima(lines[part]), columns=[f"m{i}" for i in range(ROWS)])
+            minima.insert(0, "h", batch["h"].to_numpy()[part])
+            yield minima
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(h, m0, m1, ...): the signature of each distinct line."""
-    hashed = lines.select("h", F.explode(_cut("line")).alias("s")).select("h", F.hash(F.xxhash64("s")).alias("x"))
-    orders = _orders()
-    return hashed.groupBy("h").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(orders)])
+    """(h, m0, m1, ...): signatures of all lines; a line that several tasks hold is there several times."""
+    return lines.select("h", "line").mapInPandas(_signed, "h long, " + ", ".join(f"m{i} int" for i in range(ROWS)))
 
 
 def _band_keys() -> Column:
-    """Keys of all bands of a signature: its rows dealt into bands in ``DEALS`` ways."""
-    draw = random.Random(SEED + 1)
-    keys = []
-    for _ in range(DEALS):
-        order = draw.sample(range(ROWS), ROWS)
-        for at in range(0, ROWS, BAND_ROWS):
-            keys.append(F.xxhash64(F.lit(len(keys)), *[f"m{i}" for i in sorted(order[at : at + BAND_ROWS])]))
-    return F.array(*keys)
+    """Keys of all bands of a signature."""
+    return F.array(
+        *[F.xxhash64(F.lit(at), *[f"m{i}" for i in range(at, at + BAND_ROWS)]) for at in range(0, ROWS, BAND_ROWS)]
+    )
 
 
 def _sketch() -> Column:
-    """The low bits of all rows of a signature, packed into long numbers."""
+    """The low bits of the first rows of a signature, packed into long numbers."""
     words = []
-    for first in range(0, ROWS, SKETCH_PLACES):
+    for first in range(0, SKETCH_ROWS, SKETCH_PLACES):
         places = [
             F.shiftleft(F.col(f"m{first + i}").bitwiseAND((1 << SKETCH_BITS) - 1).cast("long"), SKETCH_BITS * i)
             for i in range(SKETCH_PLACES)
@@ -96,15 +144,30 @@ def _alike(a: str, b: str) -> Column:
     """Whether enough places of two sketches are equal."""
     lowest = F.lit(sum(1 << (SKETCH_BITS * i) for i in range(SKETCH_PLACES))).cast("long")
     unequal = []
-    for word in range(ROWS // SKETCH_PLACES):
+    for word in range(SKETCH_ROWS // SKETCH_PLACES):
         differ = F.col(f"{a}.k{word}").bitwiseXOR(F.col(f"{b}.k{word}"))
         folded = reduce(Column.bitwiseOR, [F.shiftrightunsigned(differ, i) for i in range(1, SKETCH_BITS)], differ)
         unequal.append(F.bit_count(folded.bitwiseAND(lowest)))
-    return reduce(Column.__add__, unequal) <= ROWS - SKETCH_AGREES
-
-
-def _shingles(line: Column) -> Column:
-    return F.array_distinct(F.transform(_cut(line), lambda s: F.xxhash64(s)))
+    return reduce(Column.__add__, unequal) <= SKETCH_ROWS - SKETCH_AGREES
+
+
+def _jaccard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        pairs = list(zip(batch["line_a"], batch["line_b"]))
+        scores = []
+        for part in _portions([len(a) + len(b) for a, b in pairs]):
+            number: dict[str, int] = {}
+            for pair in pairs[part]:
+                for line in pair:
+                    number.setdefault(line, len(number))
+            hashes, begin, end = _hashed(list(number))
+            sets = [np.unique(hashes[i:j]) for i, j in zip(begin, end)]
+            for a, b in pairs[part]:
+                one, other = sets[number[a]], sets[number[b]]
+                either = np.sort(np.concatenate([one, other]))
+                both = int(np.count_nonzero(either[1:] == either[:-1]))
+                scores.append(both / (len(either) - both))
+        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "score": np.array(scores, float)})
 
 
 def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -112,17 +175,16 @@ def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sides = pairs.select("a", "b").distinct()
     for end in ("a", "b"):
         sides = sides.join(texts.select(F.col("h").alias(end), F.col("line").alias(f"line_{end}")), end)
-    sets = sides.select("a", "b", _shingles(F.col("line_a")).alias("sa"), _shingles(F.col("line_b")).alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return stored(sets.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("score")), "scores")
+    return stored(sides.select("a", "b", "line_a", "line_b").mapInPandas(_jaccard, "a long, b long, score double"), "scores")
 
 
 def linked_lines(lines: DataFrame) -> DataFrame:
     """(a, b): links that connect all similar lines. ``lines`` has (h, line), one or more rows per distinct line."""
-    signed = stored(_signatures(lines), "signatures")
-    rows = signed.select(F.explode(_band_keys()).alias("key"), "h", _sketch())
-    shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-bands")
-    members = stored(rows.join(broadcast_if_small(shared), "key"), "members")
+    signed = stored(_signatures(lines).select("h", _band_keys().alias("keys"), _sketch()), "signatures")
+    rows = signed.select(F.explode("keys").alias("key"), "h", "sketch")
+    ends = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+    shared = stored(ends.where("least < most").select("key"), "shared-bands")
+    members = stored(rows.join(broadcast_if_small(shared), "key").distinct(), "members")
     wanted = broadcast_if_small(stored(members.select("h").distinct(), "candidates"))
     texts = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
     centre = members.groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("c"))
