@@ -6,10 +6,13 @@ or more (a shorter line is one shingle).
 
 Signature: the least value, under each of 44 hash orders, among all of the line's 5-character shingles, the same ones that the
 exact check compares. Each order is the shingle's 32-bit hash times a fixed odd number. The 44 rows make 11 bands of 4: of lines
-that are 0.8 similar some band agrees with probability 0.997. Five bits of each of the first 24 rows make a sketch; two lines of a band whose
-sketches agree in fewer than 12 places (a similarity of about 0.5) are not compared further, which costs under 0.1 % of
+that are 0.8 similar some band agrees with probability 0.997. Two bits of each of the first 32 rows make a sketch; two lines of a band whose
+sketches agree in fewer than 20 places (a similarity of about 0.5) are not compared further, which costs under 0.1 % of
 the pairs that are 0.8 similar.
 
+Rows of all bands are shuffled once, and a window finds each band's least line. Bands that hold over about a thousandth of all lines
+are found in a sample of lines; their rows skip the window: their least line is a minimum that every task prepares, and no task holds such a band.
+
 The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
 compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
 link to a copy is possible at all; a line whose score was not computed excludes nothing. All pairs of what is left are met, whatever the
@@ -29,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import broadcast_if_small, components, fresh, stored
@@ -42,7 +45,9 @@ SEED = 7
 HASHED_CHARS, REMEMBERED = 250_000, 500_000
 # Rows of a tile, on average: bands that hold more after their copies are linked are dealt into several tiles.
 PAIRED_ROWS = 512
-SKETCH_ROWS, SKETCH_BITS, SKETCH_PLACES, SKETCH_AGREES = 24, 5, 12, 12
+SKETCH_ROWS, SKETCH_BITS, SKETCH_AGREES = 32, 2, 20
+# Lines of the sample that finds large bands, and the sampled lines that make a band large. The sample routes rows, it drops none.
+SAMPLE_LINES, LARGE_BAND = 50_000, 50
 
 
 def compared(line: Column) -> Column:
@@ -129,26 +134,19 @@ def _band_keys() -> Column:
 
 
 def _sketch() -> Column:
-    """The low bits of the first rows of a signature, packed into long numbers."""
-    words = []
-    for first in range(0, SKETCH_ROWS, SKETCH_PLACES):
-        places = [
-            F.shiftleft(F.col(f"m{first + i}").bitwiseAND((1 << SKETCH_BITS) - 1).cast("long"), SKETCH_BITS * i)
-            for i in range(SKETCH_PLACES)
-        ]
-        words.append(reduce(Column.bitwiseOR, places).alias(f"k{first // SKETCH_PLACES}"))
-    return F.struct(*words).alias("sketch")
+    """The low bits of the first rows of a signature, packed into a long number."""
+    places = [
+        F.shiftleft(F.col(f"m{i}").bitwiseAND((1 << SKETCH_BITS) - 1).cast("long"), SKETCH_BITS * i) for i in range(SKETCH_ROWS)
+    ]
+    return reduce(Column.bitwiseOR, places).alias("sketch")
 
 
 def _alike(a: str, b: str) -> Column:
     """Whether enough places of two sketches are equal."""
-    lowest = F.lit(sum(1 << (SKETCH_BITS * i) for i in range(SKETCH_PLACES))).cast("long")
-    unequal = []
-    for word in range(SKETCH_ROWS // SKETCH_PLACES):
-        differ = F.col(f"{a}.k{word}").bitwiseXOR(F.col(f"{b}.k{word}"))
-        folded = reduce(Column.bitwiseOR, [F.shiftrightunsigned(differ, i) for i in range(1, SKETCH_BITS)], differ)
-        unequal.append(F.bit_count(folded.bitwiseAND(lowest)))
-    return reduce(Column.__add__, unequal) <= SKETCH_ROWS - SKETCH_AGREES
+    differ = F.col(a).bitwiseXOR(F.col(b))
+    folded = reduce(Column.bitwiseOR, [F.shiftrightunsigned(differ, i) for i in range(1, SKETCH_BITS)], differ)
+    lowest = F.lit(sum(1 << (SKETCH_BITS * i) for i in range(SKETCH_ROWS))).cast("long")
+    return F.bit_count(folded.bitwiseAND(lowest)) <= SKETCH_ROWS - SKETCH_AGREES
 
 
 def _jaccard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,31 +168,46 @@ def _jaccard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "score": np.array(scores, float)})
 
 
-def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``score``, the exact Jaccard similarity of the two lines by 64-bit hashes of all shingles; stored."""
-    sides = pairs.select("a", "b").distinct()
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    wanted = broadcast_if_small(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "candidates"))
+    texts = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
+    sides = pairs
     for end in ("a", "b"):
         sides = sides.join(texts.select(F.col("h").alias(end), F.col("line").alias(f"line_{end}")), end)
     return stored(sides.select("a", "b", "line_a", "line_b").mapInPandas(_jaccard, "a long, b long, score double"), "scores")
 
 
-def linked_lines(lines: DataFrame) -> DataFrame:
-    """(a, b): links that connect all similar lines. ``lines`` has (h, line), one or more rows per distinct line."""
-    signed = stored(_signatures(lines).select("h", _band_keys().alias("keys"), _sketch()), "signatures")
-    rows = signed.select(F.explode("keys").alias("key"), "h", "sketch")
-    ends = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
-    shared = stored(ends.where("least < most").select("key"), "shared-bands")
-    members = stored(rows.join(broadcast_if_small(shared), "key").distinct(), "members")
-    wanted = broadcast_if_small(stored(members.select("h").distinct(), "candidates"))
-    texts = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
-    centre = members.groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("c"))
-    spokes = stored(
-        members.join(centre, "key").where("h <> c.h").select(
-            "key", F.col("c.h").alias("a"), F.col("h").alias("b"), "sketch", F.col("c.sketch").alias("sketch_a")
-        ),
-        "spokes",
-    )
-    scores = _scored(spokes.where(_alike("sketch", "sketch_a")), texts)
+def _band_rows(lines: DataFrame) -> DataFrame:
+    """(key, h, sketch): each line once or more in every band of its signature."""
+    signed = _signatures(lines).select("h", _band_keys().alias("keys"), _sketch())
+    return signed.select(F.explode("keys").alias("key"), "h", "sketch")
+
+
+def _spokes(lines: DataFrame, n_lines: int) -> DataFrame:
+    """(key, a, b, sketch, sketch_a): every line b of a band but the band's least line a, with a; stored."""
+    part = F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(max(n_lines, 1)))
+    sampled = _band_rows(lines.where(part < SAMPLE_LINES)).distinct()
+    large = stored(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LARGE_BAND}").select("key"), "large-bands")
+    columns = ["key", F.col("c.h").alias("a"), F.col("h").alias("b"), "sketch", F.col("c.sketch").alias("sketch_a")]
+    large = F.broadcast(large)  # at most SAMPLE_LINES * bands / LARGE_BAND rows, give or take the sample's chance
+    rows = _band_rows(lines)
+    least = F.first(F.struct("h", "sketch")).over(Window.partitionBy("key").orderBy("h"))
+    spokes = [
+        rows.join(large, "key", "left_anti").withColumn("c", least).where("h <> c.h").select(*columns).dropDuplicates(["key", "b"])
+    ]
+    if not large.isEmpty():
+        held = stored(rows.join(large, "key"), "large-band-rows")
+        centre = held.groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("c"))
+        spokes.append(held.join(F.broadcast(centre), "key").where("h <> c.h").select(*columns).distinct())
+    return stored(reduce(DataFrame.unionByName, spokes), "spokes")
+
+
+def linked_lines(lines: DataFrame, n_lines: int) -> DataFrame:
+    """(a, b): links that connect all similar lines. ``lines`` has (h, line), ``n_lines`` rows, one or more per distinct line."""
+    spokes = _spokes(lines, n_lines)
+    scores = _scored(spokes.where(_alike("sketch", "sketch_a")), lines)
     linked = F.col("score") >= SIMILARITY
     to_centre = scores.where(linked).select("a", "b")
     met = spokes.join(scores, ["a", "b"], "left").select(
@@ -214,7 +227,7 @@ def linked_lines(lines: DataFrame) -> DataFrame:
     )
     right = dealt.select("key", F.col("h").alias("b"), "sketch", F.col("open").alias("other_open"), F.col("tile").alias("tile_b"), F.explode(every).alias("tile_a"))
     pairs = left.join(right, ["key", "tile_a", "tile_b"]).where("a < b or (a > b and not other_open)")
-    scores = _scored(pairs.where(_alike("sketch", "sketch_a")), texts)
+    scores = _scored(pairs.where(_alike("sketch", "sketch_a")), lines)
     return to_centre.unionByName(scores.where(linked).select("a", "b"))
 
 
@@ -227,8 +240,8 @@ def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     lines = line_rows(docs, doc_id, text).select("doc_id", "line_no", compared(F.col("line")).alias("line")).where("line <> ''")
     keyed = lines.withColumn("h", F.xxhash64("line"))
-    found = stored(components(linked_lines(keyed.select("h", "line")), "a", "b"), "line-components")
     placed = stored(keyed.select("doc_id", "line_no", "h"), "lines")
+    found = stored(components(linked_lines(keyed.select("h", "line"), placed.count()), "a", "b"), "line-components")
     least = placed.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     grouped = stored(
         least.join(found, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("component", "h").alias("component")),
