@@ -110,7 +110,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: set[int] = set()
     for batch in batches:
         batch = batch.drop_duplicates("h")
-        batch = batch[[h not in seen for h in batch["h"].tolist()]]
+        batch = batch[np.fromiter((h not in seen for h in batch["h"].tolist()), bool, len(batch))]
         if len(seen) > REMEMBERED:
             seen.clear()
         seen.update(batch["h"].tolist())
