@@ -251,6 +251,21 @@ def storage_report(stores: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def storage_holdings(stores: dict[str, DataFrame]) -> DataFrame:
+    """Files and bytes by the stores that hold them and by upper folder (two levels), with totals; names are compared normalised.
+
+    ``level`` 0 has one row per (held_by, folder), 1 per held_by, 2 all. A file whose listings disagree on its size
+    counts once, with its largest size, and in ``size_differs`` too.
+    """
+    held = tracking.holders(stores, "file_path", "size").withColumn("folder", F.substring_index("name", "/", 2))
+    return held.rollup("held_by", "folder").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("size").alias("bytes"),
+        F.count_if("size_differs").alias("size_differs"),
+        (F.grouping("held_by") + F.grouping("folder")).cast("int").alias("level"),
+    )
+
+
 # --- take-down and complaints ----------------------------------------------------------------
 
 

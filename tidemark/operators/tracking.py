@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.storage_paths import checkpoint_number, path_parts
@@ -79,6 +80,35 @@ def reconcile(stores: dict[str, DataFrame], name: str) -> DataFrame:
     )
 
 
+def store_name(path: Column) -> Column:
+    """The name that listings of different stores share: no scheme, authority or bucket, no leading slash, single slashes."""
+    bare = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    return F.regexp_replace(F.regexp_replace(bare, "/+", "/"), "^/", "")
+
+
+def holders(stores: dict[str, DataFrame], path: str, size: str) -> DataFrame:
+    """(name, size, size_differs, held_by) over all listings, one row per normalised name.
+
+    ``held_by`` lists the stores in order of their names, joined by ``+``; ``size`` is the largest one listed, null if none lists any,
+    and ``size_differs`` tells that listings disagree. Names that are null or empty have no row; a name listed twice is one.
+    """
+    listed = [
+        df.select(store_name(F.col(path)).alias("name"), F.col(size).cast("long").alias("size"), F.lit(s).alias("store"))
+        for s, df in stores.items()
+    ]
+    least, most = F.min("size"), F.max("size")
+    return (
+        reduce(DataFrame.unionByName, listed)
+        .where("name <> ''")
+        .groupBy("name")
+        .agg(
+            most.alias("size"),
+            F.coalesce(least < most, F.lit(False)).alias("size_differs"),
+            F.array_join(F.sort_array(F.collect_set("store")), "+").alias("held_by"),
+        )
+    )
+
+
 def unprocessed(files: DataFrame, marks: DataFrame, path: str) -> DataFrame:
     """Files without a processed mark."""
     return files.join(marks.select(path).distinct(), path, "left_anti")

@@ -293,6 +293,29 @@ def storage_report(t: Tables):
     )
 
 
+@query(
+    "storage_holdings",
+    "B9 J14 A9",
+    """
+    WITH l AS (SELECT file_path, size, service AS store FROM tracked_file UNION ALL SELECT file_path, size, 'cloud' FROM tracked_file WHERE size % 10 <> 0),
+    c AS (SELECT substr(file_path, 2) AS name, max(size) AS size, min(size) < max(size) AS size_differs, array_to_string(list_sort(list(DISTINCT store)), '+') AS held_by
+      FROM l GROUP BY 1),
+    f AS (SELECT *, split_part(name, '/', 1) || CASE WHEN contains(name, '/') THEN '/' || split_part(name, '/', 2) ELSE '' END AS folder FROM c)
+    SELECT held_by, folder, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (size_differs) AS size_differs,
+      CAST(grouping(held_by) + grouping(folder) AS INTEGER) AS level FROM f GROUP BY ROLLUP (held_by, folder)
+    """,
+)
+def storage_holdings(t: Tables):
+    """Listings as the stores write them: with a scheme and server, with doubled slashes, and cloud keys without a leading slash."""
+    files = t.tracked_file
+    listings = {
+        "h020": files.where("service = 'h020'").withColumn("file_path", F.concat(F.lit("hdfs://h020:54310"), "file_path")),
+        "h3": files.where("service = 'h3'").withColumn("file_path", F.regexp_replace("file_path", "/", "//")),
+        "cloud": files.where("size % 10 <> 0").withColumn("file_path", F.concat(F.lit("s3://archive"), "file_path")),
+    }
+    return jobs.storage_holdings(listings)
+
+
 @query(
     "take_down",
     "B11 J13 A16",
