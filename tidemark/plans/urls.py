@@ -459,3 +459,24 @@ def authority_partitions(t: Tables):
     )
 
 
+_KEY = reverse_host(host("url"))
+
+
+@query(
+    "published_partitions",
+    "T15 K4",
+    f"""
+    WITH m AS (SELECT {_KEY} AS key, event_id FROM crawl_log)
+    SELECT key, CAST(CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 16 AS INTEGER) AS partition, count(*) AS messages,
+      CAST(sum(event_id) AS BIGINT) AS event_ids FROM m GROUP BY 1
+    """,
+)
+def published_partitions(t: Tables):
+    """Key and partition number of every message as published, with what its messages say."""
+    from tidemark.sources.topics import placed_messages
+
+    sent = placed_messages(t.crawl_log, "url", ["event_id", "url"])
+    event_id = F.get_json_object("value", "$.event_id").cast("long")
+    return sent.groupBy("key", "partition").agg(F.count(F.lit(1)).alias("messages"), F.sum(event_id).alias("event_ids"))
+
+

@@ -79,3 +79,17 @@ def authority_messages(df: DataFrame, url: str, columns: list[str]) -> DataFrame
 def partition_by_authority(df: DataFrame, url: str, partitions: int = PARTITIONS) -> DataFrame:
     """Rows placed as a topic with that many partitions would place them: one partition per authority."""
     return df.withColumn("message_key", surt_authority(url)).repartition(partitions, "message_key")
+
+
+def partition_number(key: Column, partitions: int = PARTITIONS) -> Column:
+    """Partition of a key: the first 32 bits of its md5, modulo the number of partitions. A null key counts as an empty one."""
+    head = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8)
+    return (F.conv(head, 16, 10).cast("long") % partitions).cast("int")
+
+
+def placed_messages(df: DataFrame, url: str, columns: list[str], partitions: int = PARTITIONS) -> DataFrame:
+    """``key``, ``value`` and the ``partition`` that a topic writer puts the message in; nothing is shuffled.
+
+    The number is a function of the authority alone, so runs and streams agree on it whatever their own partitions are.
+    """
+    return authority_messages(df, url, columns).withColumn("partition", partition_number(F.col("key"), partitions))
