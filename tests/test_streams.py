@@ -1,6 +1,7 @@
 import re
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import quota, textindex
@@ -165,3 +166,58 @@ def test_summary_writes_its_batch_and_removes_what_is_behind(spark, tmp_path):
     left = spark.read.parquet(partials)
     assert left.select("pane").distinct().count() <= 3 and left.where("dimension = 'total'").count() <= 18
     assert len(list(tmp_path.glob("s/version=*"))) <= 2
+
+
+def test_held_rows_are_one_state_value_per_chunk():
+    class Handle:
+        values, timers = [], []
+
+        def getListState(self, name, schema):
+            return self
+
+        def appendValue(self, value):
+            self.values.append(value)
+
+        def get(self):
+            return iter(self.values)
+
+        def clear(self):
+            self.values.clear()
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    held, handle = gates.HeldBuckets(["id", "name", "done"], ["id"], 3600), Handle()
+    held.init(handle)
+    chunks = [
+        pd.DataFrame({"id": [1.0, None, 3.0], "name": ["a", None, "c"], "done": [True, None, False]}),
+        pd.DataFrame({"id": range(10, 10 + gates.HELD_AT_ONCE), "name": "x", "done": None}),
+    ]
+    assert list(held.handleInputRows(("h", 2), iter(chunks), None)) == []
+    assert len(handle.values) == 2 and handle.timers == [3 * 3600 * 1000]
+    given = list(held.handleExpiredTimer(("h", 2), None, None))
+    assert [len(g) for g in given] == [gates.HELD_AT_ONCE, 3] and not handle.values
+    rows = [tuple(None if pd.isna(v) else v for v in r) for g in given for r in g.itertuples(index=False, name=None)]
+    assert rows[:3] == [(1, "a", True), (None, None, None), (3, "c", False)]
+    assert rows[3:] == [(10 + i, "x", None) for i in range(gates.HELD_AT_ONCE)]
+
+
+def test_held_rows_leave_state_once_per_batch(spark, tmp_path, monkeypatch):
+    gates.use_rocksdb(spark)
+    kept = []
+
+    def watched(batch, *args, **options):
+        kept.append(batch.is_cached)
+        return quota.running_quota(batch, *args, **options)
+
+    monkeypatch.setattr(gates, "running_quota", watched)
+    rows = [(i, "h", BASE + timedelta(minutes=40 * i), 200, 700, "L", i == 0) for i in range(12)]
+    schema = "event_id bigint, host string, ts timestamp_ntz, status_code int, size bigint, hop_path string, launched boolean"
+    stream = files(spark, str(tmp_path), rows, schema, 1)
+    folders = [f"{tmp_path}/{name}" for name in ("out", "state", "cp")]
+    gates.quota_gate(stream, 4, *folders, available_now=True, delay="1 hour").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(folders[0]).select("event_id", "used_bytes").collect())
+    assert got == [(i, 700 * i) for i in range(len(got))] and len(got) > 5 and kept and all(kept)

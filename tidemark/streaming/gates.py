@@ -8,6 +8,7 @@ through, is a recent repeat.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -227,35 +228,38 @@ def silence_alerts(
 
 
 class HeldBuckets(StatefulProcessor):
-    """Keeps the rows of a (key, time bucket) until the watermark has passed the bucket, then gives them out together."""
+    """Keeps the rows of a (key, time bucket) until the watermark has passed the bucket, then gives them out together.
 
-    def __init__(self, columns: list[str], whole: list[str], schema: str, bucket_seconds: int):
-        self.columns, self.whole, self.schema, self.bucket_seconds = columns, whole, schema, bucket_seconds
+    The rows of a chunk are one state value, column by column: a value per row would pass the state store's socket one by one.
+    """
+
+    def __init__(self, columns: list[str], whole: list[str], bucket_seconds: int):
+        self.columns, self.whole, self.bucket_seconds = columns, whole, bucket_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.schema)
+        self.chunks = handle.getListState("chunks", "held binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
             # whole numbers beside nulls arrive as floats
             plain = chunk[self.columns].astype(dict.fromkeys(self.whole, "Int64")).astype(object)
             plain = plain.where(plain.notna(), None)
-            self.rows.appendList([tuple(row) for row in plain.itertuples(index=False, name=None)])
+            self.chunks.appendValue((pickle.dumps([plain[c].tolist() for c in self.columns], protocol=5),))
         if not list(self.handle.listTimers()):
             self.handle.registerTimer((key[1] + 1) * self.bucket_seconds * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = []
-        for row in self.rows.get():
-            held.append(row)
-            if len(held) == HELD_AT_ONCE:
-                yield self._frame(held)
-                held = []
+        for (chunk,) in self.chunks.get():
+            held.extend(zip(*pickle.loads(bytes(chunk)), strict=True))
+            while len(held) >= HELD_AT_ONCE:
+                yield self._frame(held[:HELD_AT_ONCE])
+                held = held[HELD_AT_ONCE:]
         if held:
             yield self._frame(held)
-        self.rows.clear()
+        self.chunks.clear()
 
     def _frame(self, held: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(held, columns=self.columns).astype(dict.fromkeys(self.whole, "Int64"))
@@ -279,7 +283,7 @@ def held_until_closed(stream: DataFrame, key: str, ts: str, delay: str, bucket_s
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held)
     whole = [c for c in columns if isinstance(held[c].dataType, T.IntegralType)]
     given = rows.groupBy(key, "held_bucket").transformWithStateInPandas(
-        HeldBuckets(columns, whole, schema, bucket_seconds), outputStructType=schema, outputMode="append", timeMode="EventTime"
+        HeldBuckets(columns, whole, bucket_seconds), outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
     return given.withColumn(ts, F.timestamp_micros("held_micros").cast("timestamp_ntz")).drop("held_micros").select(*stream.columns)
 
@@ -301,6 +305,8 @@ def quota_gate(
     carried_state = KeyedState(state, ["host"], QUOTA_STATE)
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        # the running quota reads its rows twice; rows out of held state are made once
+        batch = batch.persist() if delay else batch
         rows = running_quota(
             batch, "host", "ts", "event_id", "status_code", "size", "hop_path", "launched", max_kb=-1,
             bucket_seconds=bucket_seconds,
@@ -321,6 +327,8 @@ def quota_gate(
         after = newest.join(carried, "host", "left").select("host", (F.col("_l")["_sum"] + before).alias("used"))
         carried_state.write(after, batch_id)
         rows.unpersist()
+        if delay:
+            batch.unpersist()
 
     held = held_until_closed(stream, "host", "ts", delay, bucket_seconds) if delay else stream
     return each_batch(held, work, checkpoint, available_now)
