@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators import histograms, textindex
+from tidemark.functions import storage_paths
+from tidemark.operators import histograms, textindex, tracking
 
 PLACES = textindex.BANDS * textindex.ROWS_PER_BAND
 
@@ -89,3 +91,36 @@ def test_long_gaps_are_filled_in_stretches(spark, monkeypatch):
     df = spark.createDataFrame([(base + timedelta(minutes=m),) for m in at], "ts timestamp_ntz")
     got = sorted((r["bucket"] - base) // timedelta(minutes=1) for r in histograms.counts_over_time(df, "ts", 60).collect())
     assert got == [*range(91), 141, 200]
+
+
+def test_output_paths_by_one_pattern(spark):
+    """Output folder, job, launch of 14 digits, known folder and a name, whatever else the path holds."""
+    good = "20230101000000"
+    launches = [good, good + "\n", good + "\r\n", good + " ", good + "0", good[:-1], "x" + good, good + " ", ""]
+    paths = [f"{head}output/{job}/{launch}/{folder}/{name}" for head in ("", "/", "/a/", "/output/", "x", "a/output/b/")
+        for job in ("", "dc2023", "output", "frequent-npld") for launch in launches for folder in ("warcs", "logs", "log", "logs2", "")
+        for name in ("", "x", "\n", "crawl.log.cp1", "a/b")]
+    paths += ["", "/", "output", "/output/", f"output/{good}/logs/x", f"/output/{good}/logs/x", f"/output/j/{good}/logs"]
+
+    def known(path):
+        parts = path.split("/")
+        if "/output/" not in path or len(parts) < 5 or parts[-5] != "output" or parts[-2] not in storage_paths.OUTPUT_FOLDERS:
+            return None
+        return parts[-4] if re.search("^[0-9]{14}(\r\n|[\n\r ])?\\Z", parts[-3]) and parts[-1] else None
+
+    rows = spark.createDataFrame([(p,) for p in paths] + [(None,)], "p string")
+    got = rows.select("p", storage_paths.path_parts("p")["job"].alias("job"), storage_paths.path_parts("p")["kind"].alias("kind")).collect()
+    assert {r["p"]: r["job"] for r in got} == {p: known(p) for p in paths} | {None: None}
+    assert all((r["kind"] == "other") <= (known(r["p"]) is None or "/warcs/" in r["p"]) for r in got if r["p"] is not None)
+
+
+def test_files_that_are_no_logs_are_not_parsed(spark):
+    files = spark.range(9).selectExpr("concat('/output/dc2023/20230101000000/logs/crawl.log.cp', id) AS p", "id AS size", "id AS at")
+    grown = tracking.log_growth(files, spark.createDataFrame([("dc2023",)], "job string"), "p", "size", "at")
+    for df in (grown, tracking.checkpoint_gaps(files, "p")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        tests = [x for x in plan.splitlines() if "Filter" in x and "concat(" in x]
+        assert tests and all("Contains(" in x or "contains(" in x.lower() for x in tests)
+        # the computed path is put in for every place that names it
+        assert all(x.count("concat(") <= 6 for x in tests), tests
+    assert grown.select("logs").collect() == [(9,)]

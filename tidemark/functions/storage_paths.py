@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Layout of crawl output paths (.../output/<job>/<launch>/<folder>/<file>) and of archive file names.
 OUTPUT_FOLDERS = ("warcs", "viral", "logs")
-LAUNCH_ID = r"^[0-9]{14}$"
+# The end of an output path; a line end may follow the launch's 14 digits.
+OUTPUT_PATH = rf"(?:^|/)output/[^/]*/[0-9]{{14}}(?:\r\n|[\n\r\u0085\u2028\u2029])?/(?:{'|'.join(OUTPUT_FOLDERS)})/[^/]+\z"
 DOMAIN_JOB = r"^dc[0-9]{4}"
 ARCHIVE_NAME = r"^(.+?)-([0-9]{17})-([0-9]+)-([0-9]+)~([^~]+)~([0-9]+)\.warc\.gz$"
+CHECKPOINT_START = "crawl.log.cp"
 CHECKPOINT_LOG = r"crawl\.log\.cp([0-9]+)"
 
 
@@ -35,10 +37,8 @@ def path_parts(path: Column | str) -> Column:
     """
     path = _col(path)
     name, folder_, launch, job = (_segment(path, i) for i in (1, 2, 3, 4))
-    is_output = (
-        path.contains("/output/") & (_segment(path, 5) == "output") & folder_.isin(*OUTPUT_FOLDERS)
-        & launch.rlike(LAUNCH_ID) & (name != "")
-    )
+    # one pattern: a computed path is put in anew, and evaluated, for each place that names it
+    is_output = path.contains("/output/") & path.rlike(OUTPUT_PATH)
     is_domain = job.rlike(DOMAIN_JOB)
     kind = (
         F.when(~is_output, F.lit("other"))

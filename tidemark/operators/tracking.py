@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.storage_paths import checkpoint_number, path_parts
+from tidemark.functions.storage_paths import CHECKPOINT_START, checkpoint_number, path_parts
 from tidemark.operators.ordered import nearest_value, rank_by_range
 from tidemark.session import use_checkpoints
 
@@ -132,7 +132,8 @@ def checkpoint_gaps(files: DataFrame, path: str, block: int = 10_000) -> DataFra
     Each distinct checkpoint number takes the next one of its launch, found in blocks of numbers.
     """
     logs = (
-        files.select(path_parts(path).alias("_parts"), checkpoint_number(path).alias("cp"))
+        files.where(F.col(path).contains(CHECKPOINT_START))
+        .select(path_parts(path).alias("_parts"), checkpoint_number(path).alias("cp"))
         .where("cp is not null")
         .select("_parts.job", "_parts.launch_id", "cp")
         .distinct()
@@ -150,7 +151,8 @@ def checkpoint_gaps(files: DataFrame, path: str, block: int = 10_000) -> DataFra
 
 def log_growth(files: DataFrame, expected: DataFrame, path: str, size: str, modified: str) -> DataFrame:
     """Size and last touch per expected job; jobs without any log have nulls and ``present`` false."""
-    parsed = files.select(path_parts(path).alias("_parts"), size, modified)
+    # a cheap test that every log passes spares the other files the parsing
+    parsed = files.where(F.col(path).contains("/logs/")).select(path_parts(path).alias("_parts"), size, modified)
     logs = parsed.where(F.col("_parts.folder") == "logs").groupBy(F.col("_parts.job").alias("job")).agg(
         F.max(size).alias("log_size_bytes"), F.max(modified).alias("log_touched"), F.count(F.lit(1)).alias("logs")
     )
