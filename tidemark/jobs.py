@@ -321,24 +321,28 @@ def archive_moves(files: DataFrame, launches: DataFrame, path: str, job: str, ou
 
     A file without a target (no time in its name, or older than every launch) has a null path and the reason.
 
-    ``launches`` has ``launch_id`` (14 digits). The file's time comes from its name; launches are few and files
-    many, so both are laid on one time line and each file takes the last launch before it.
+    ``launches`` has ``launch_id`` (14 digits). The file's time comes from its name. Launches are few and files many, so
+    only the days of the files are laid on one time line with the launches: a day has the last launch before it and its own
+    launches, and each file takes the last one up to its time. Files are neither sorted nor shuffled; the days, which the calendar bounds, are broadcast.
     """
     name = storage_paths.file_name(path)
     named = files.select(F.col(path), storage_paths.archive_ts17(name).alias("_ts17"))
     started = F.try_to_timestamp(F.left("_ts17", F.lit(14)), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
-    line = named.select(
-        F.lit(job).alias("_job"), started.alias("_at"), F.lit(1).alias("_kind"), F.col(path), F.lit(None).cast("string").alias("launch_id")
-    ).unionByName(
-        launches.select(
-            F.lit(job).alias("_job"),
-            F.try_to_timestamp("launch_id", F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz").alias("_at"),
-            F.lit(0).alias("_kind"),
-            F.lit(None).cast("string").alias(path),
-            "launch_id",
-        )
-    )
-    placed = nearest_value(line, ["_job"], ["_at", "_kind", path], F.col("launch_id"), "_launch").where("_kind = 1")
+    timed = named.select(F.col(path), started.alias("_at")).withColumn("_day", F.to_date("_at"))
+    launched = launches.where("launch_id is not null").select(
+        "launch_id", F.try_to_timestamp("launch_id", F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz").alias("_at")
+    ).distinct()
+    # no test for a null day here: it would be pushed below the files' own shuffles, which could then not be shared by both readers
+    days = timed.select("_day").distinct()
+    line = days.select(
+        F.lit(job).alias("_job"), F.col("_day").cast("timestamp_ntz").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("launch_id")
+    ).unionByName(launched.select(F.lit(job).alias("_job"), "_at", F.lit(1).alias("_kind"), "launch_id"))
+    before = nearest_value(line, ["_job"], ["_at", "_kind", "launch_id"], F.col("launch_id"), "_before", bucket_seconds=86_400)
+    of_day = launched.groupBy(F.to_date("_at").alias("_day")).agg(F.collect_list(F.struct("_at", "launch_id")).alias("_launches"))
+    known = before.where("_kind = 0").select(F.to_date("_at").alias("_day"), "_before").join(of_day, "_day", "left")
+    placed = timed.join(F.broadcast(known), "_day", "left")
+    reached = F.array_max(F.filter("_launches", lambda launch: launch["_at"] <= F.col("_at")))["launch_id"]
+    placed = placed.select(path, "_at", F.coalesce(reached, F.col("_before")).alias("_launch"))
     target = F.concat(F.lit(f"{output_root}/{job}/"), "_launch", F.lit("/warcs/"), storage_paths.file_name(path))
     return placed.select(
         path,

@@ -398,12 +398,16 @@ def documents_located(t: Tables):
     """,
 )
 def archive_moves(t: Tables):
-    files = t.lineitem.select(
+    # Hardly a row comes twice, so nothing is gained by making rows distinct before the shuffle, where a task would hold a whole
+    # split of paths; and as rows compress well, partitions merged by their bytes would hold millions. The number given keeps them apart.
+    lines = t.lineitem.select(
         F.concat(
             F.lit("/loose/ARC-"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyyMMdd"), F.lit("101010123-"), "l_orderkey", F.lit("-"), "l_linenumber",
             F.lit("~w~8443.warc.gz"),
         ).alias("file_path")
-    ).distinct().unionByName(t.region.select(F.concat(F.lit("/loose/"), "r_name", F.lit(".warc.gz")).alias("file_path")))
+    )
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), 16 * t.lineitem.rdd.getNumPartitions())
+    files = lines.repartition(tasks, "file_path").distinct().unionByName(t.region.select(F.concat(F.lit("/loose/"), "r_name", F.lit(".warc.gz")).alias("file_path")))
     launches = t.orders.select(
         F.concat(F.date_format(F.date_trunc("month", F.col("o_orderdate")), "yyyyMMdd"), F.lit("120000")).alias("launch_id")
     ).distinct()
