@@ -56,3 +56,18 @@ def test_repeated_lines_of_a_task_are_signed_once():
     batch = pd.DataFrame({"h": [1, 2, 1, 3], "line": ["one line", "two", "one line", "three lines"]})
     got = [h for out in line_dedup._signed(iter([batch, batch, batch.iloc[:0]])) for h in out["h"]]
     assert got == [1, 2, 3]
+
+
+def test_links_of_a_task_are_a_forest():
+    """A group of n similar lines leaves n - 1 links, not all pairs, and connects what all pairs connect."""
+    base = "abcdefghijklmnopqrstuvwxyz" * 8
+    lines = [base + str(i) for i in range(30)] + [base.upper() + str(i) for i in range(20)] + ["alone", "alone too, but not the same"]
+    pairs = [(a, b) for b in range(len(lines)) for a in range(b)]
+    rows = pd.DataFrame(pairs, columns=["a", "b"])
+    rows["line_a"], rows["line_b"] = ([lines[i] for i in rows[side]] for side in ("a", "b"))
+    links = [link for out in line_dedup._joining(iter([rows[:500], rows[500:], rows[:0]])) for link in out.itertuples(index=False, name=None)]
+    assert len(links) == 29 + 19 and all(jaccard(lines[a], lines[b]) >= 0.8 for a, b in links)
+    group = list(range(len(lines)))
+    for a, b in links:
+        group = [group[a] if g == group[b] else g for g in group]
+    assert len(set(group[:30])) == len(set(group[30:50])) == 1 and len(set(group)) == 4

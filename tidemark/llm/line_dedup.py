@@ -168,15 +168,45 @@ def _jaccard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "score": np.array(scores, float)})
 
 
-def _scored(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``score``, the exact Jaccard similarity of the two lines by 64-bit hashes of all shingles; stored."""
+def _joining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) of a task's pairs that join lines not joined before in that task; pairs of lines already joined are not scored."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for batch in batches:
+        for part in _portions([len(a) + len(b) for a, b in zip(batch["line_a"], batch["line_b"])]):
+            rows = batch.iloc[part]
+            rows = rows[np.fromiter((root(a) != root(b) for a, b in zip(rows["a"].tolist(), rows["b"].tolist())), bool, len(rows))]
+            (scores,) = _jaccard(iter([rows]))
+            scores = scores[scores["score"].to_numpy() >= SIMILARITY]
+            joins = np.zeros(len(scores), bool)
+            for i, (a, b) in enumerate(zip(scores["a"].tolist(), scores["b"].tolist())):
+                one, other = root(a), root(b)
+                joins[i] = one != other
+                above[other] = one
+            yield scores.loc[joins, ["a", "b"]]
+        if len(above) > REMEMBERED:
+            above.clear()  # links may come again
+
+
+def _sides(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Distinct ``pairs`` (a, b) with the two lines."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     wanted = broadcast_if_small(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "candidates"))
     texts = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
     sides = pairs
     for end in ("a", "b"):
         sides = sides.join(texts.select(F.col("h").alias(end), F.col("line").alias(f"line_{end}")), end)
-    return stored(sides.select("a", "b", "line_a", "line_b").mapInPandas(_jaccard, "a long, b long, score double"), "scores")
+    return sides.select("a", "b", "line_a", "line_b")
+
+
+def _scored(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``score``, the exact Jaccard similarity of the two lines by 64-bit hashes of all shingles; stored."""
+    return stored(_sides(pairs, lines).mapInPandas(_jaccard, "a long, b long, score double"), "scores")
 
 
 def _band_rows(lines: DataFrame) -> DataFrame:
@@ -227,8 +257,9 @@ def linked_lines(lines: DataFrame, n_lines: int) -> DataFrame:
     )
     right = dealt.select("key", F.col("h").alias("b"), "sketch", F.col("open").alias("other_open"), F.col("tile").alias("tile_b"), F.explode(every).alias("tile_a"))
     pairs = left.join(right, ["key", "tile_a", "tile_b"]).where("a < b or (a > b and not other_open)")
-    scores = _scored(pairs.where(_alike("sketch", "sketch_a")), lines)
-    return to_centre.unionByName(scores.where(linked).select("a", "b"))
+    # of the links among a group's lines each task gives a forest: it connects what all of them connect
+    joined = stored(_sides(pairs.where(_alike("sketch", "sketch_a")), lines).mapInPandas(_joining, "a long, b long"), "joined")
+    return to_centre.unionByName(joined)
 
 
 def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
