@@ -36,24 +36,37 @@ from tidemark.llm.common import fields
 LENGTH = 50
 MINIMIZER = 10
 SPAN = LENGTH - MINIMIZER + 1
-BYTES_AT_ONCE = 2 << 20
-PACKED_AT_ONCE = 64 << 20
+BYTES_AT_ONCE = 1 << 19
+# Bytes of pieces that are packed together, and of packed pieces that are sent together.
+PACKED_AT_ONCE, SENT_AT_ONCE = 64 << 20, 4 << 20
 PACKING_LEVEL = 6
-# Buckets per shuffle partition: a task works on one bucket after the other.
-BUCKETS_PER_TASK = 4
+# Buckets and tasks per shuffle partition. Buckets are dealt evenly, and a task works on one after the other: what it
+# is sent, which may lie in one Arrow batch, is the pieces of two.
+BUCKETS_PER_PARTITION, TASKS_PER_PARTITION = 4, 2
 SORTED_AT_ONCE = 250_000
 _PLACE_BITS = np.uint64(24)
 _FACTOR = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
+def _joined(left: np.ndarray, right: np.ndarray, at: int, size: int | None = None) -> np.ndarray:
+    """Hashes of the bytes that ``left`` has hashes of, followed by ``size`` bytes (``at`` if not given) hashed in ``right``, ``at`` bytes on."""
+    n = len(right) - at
+    out = left[:n] * _U(_FACTOR ** (size or at) % 2**64)
+    out += right[at:]
+    return out
+
+
 def _hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the ``MINIMIZER`` bytes from each position on."""
-    one = (data.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
-    two = one[:-1] * _U(_FACTOR) + one[1:]
-    four = two[:-2] * _U(_FACTOR**2 % 2**64) + two[2:]
-    eight = four[:-4] * _U(_FACTOR**4 % 2**64) + four[4:]
-    ten = eight[:-2] * _U(_FACTOR**2 % 2**64) + two[8:]
+    done = data.astype(_U)
+    done += _U(1)
+    done *= _U(0xD6E8FEB86659FD93)
+    two = done = _joined(done, done, 1)
+    done = _joined(done, done, 2)
+    done = _joined(done, done, 4)
+    ten = _joined(done, two, 8, 2)
+    del done, two
     ten ^= ten >> _U(31)
     ten *= _U(0x94D049BB133111EB)
     return ten ^ (ten >> _U(29))
@@ -146,36 +159,42 @@ def _steps(values: np.ndarray) -> np.ndarray:
 
 
 class _Packer:
-    """Collects the pieces of some texts per bucket and packs them when enough are held."""
+    """Collects some texts and where their pieces are, and packs the pieces per bucket when enough are held."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
-        self.held: dict[int, list] = {}
-        self.size = 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.read = self.texts = self.size = 0
 
     def add(self, texts: list[bytes], ids: list[int], tags: list[int], offsets: list[int]) -> None:
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        stops = np.cumsum([len(t) for t in texts])
+        lengths = np.array([len(t) for t in texts])
+        stops = np.cumsum(lengths)
         starts, sizes, place, hashes = _pieces(data, stops)
-        bucket = (hashes % _U(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        starts, sizes, place, bucket = starts[order], sizes[order], place[order], bucket[order]
         owner = np.searchsorted(stops, starts, side="right")
-        at = starts - (stops - np.diff(np.r_[0, stops]))[owner] + np.array(offsets)[owner]
-        ids_of, tags_of = np.array(ids, dtype="<i8"), np.array(tags, dtype="<i4")
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
+        at = starts - (stops - lengths)[owner] + np.array(offsets)[owner]
+        # the pieces are three to four times the text, so they are cut out when they are packed
+        self.held.append((
+            data, np.array(ids, dtype="<i8"), np.array(tags, dtype="<i4"), (hashes % _U(self.buckets)).astype("<i4"),
+            (starts + self.read).astype("<i4"), sizes.astype("u1"), place.astype("u1"),
+            (owner + self.texts).astype("<i4"), at.astype("<i4"),
+        ))
+        self.read += len(data)
+        self.texts += len(texts)
+        self.size += int(sizes.sum())
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        data, ids_of, tags_of, *of_pieces = (np.concatenate(columns) for columns in zip(*self.held, strict=True))
+        self.held, self.read, self.texts, self.size = [], 0, 0, 0
+        buckets, all_starts, all_sizes, all_places, all_owners, all_at = of_pieces
+        by_bucket = np.argsort(buckets, kind="stable")
+        edges = np.r_[np.flatnonzero(np.diff(buckets[by_bucket], prepend=-1)), len(by_bucket)]
+        out, packed = [], 0
         for low, high in zip(edges[:-1], edges[1:], strict=True):
-            part = slice(low, high)
-            content = data[_ragged(starts[part], sizes[part])]
-            which = owner[part]
-            row = (content, sizes[part], place[part].astype("u1"), ids_of[which], tags_of[which], at[part])
-            self.held.setdefault(int(bucket[low]), []).append(row)
-            self.size += len(content)
-
-    def rows(self) -> pd.DataFrame:
-        out = []
-        for bucket, parts in self.held.items():
-            content, sizes, place, ids, tags, at = (np.concatenate(columns) for columns in zip(*parts, strict=True))
+            part = by_bucket[low:high]
+            sizes, owner = all_sizes[part].astype(np.int64), all_owners[part]
+            place, ids, tags, at = all_places[part], ids_of[owner], tags_of[owner], all_at[part]
+            content = data[_ragged(all_starts[part].astype(np.int64), sizes)]
             one, number = _same(content, sizes)
             # different pieces in the order in which they first occur, so that steps are small
             order = np.argsort(one)
@@ -190,9 +209,13 @@ class _Packer:
                 content[_ragged(starts[one], sizes[one])], sizes[one].astype("u1"), place[one],
                 ids[docs], tags[docs], _steps(number), _steps(np.cumsum(doc)), _steps(at),
             )
-            out.append((bucket, blob))
-        self.held, self.size = {}, 0
-        return pd.DataFrame(out, columns=["bucket", "pieces"])
+            out.append((int(buckets[part[0]]), blob))
+            packed += len(blob)
+            if packed >= SENT_AT_ONCE:
+                yield pd.DataFrame(out, columns=["bucket", "pieces"])
+                out, packed = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["bucket", "pieces"])
 
 
 def _packer(buckets: int):
@@ -217,10 +240,10 @@ def _packer(buckets: int):
                     if held >= BYTES_AT_ONCE:
                         take()
                         if packer.size >= PACKED_AT_ONCE:
-                            yield packer.rows()
+                            yield from packer.rows()
         take()
         if packer.held:
-            yield packer.rows()
+            yield from packer.rows()
 
     return pack
 
@@ -347,14 +370,14 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tag, start, stop): ranges of bytes to remove; they overlap. ``tag`` is a hash of the text the range is of."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = tasks * BUCKETS_PER_TASK
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, tasks = partitions * BUCKETS_PER_PARTITION, partitions * TASKS_PER_PARTITION
     read = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("tag"), F.col(text).alias("text")
     )
     packed = read.mapInPandas(_packer(buckets), "bucket long, pieces binary")
     return (
-        packed.repartition(tasks, "bucket")
+        packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int"))
         .sortWithinPartitions("bucket")
         .mapInPandas(_marks, "doc_id long, tag long, start long, stop long")
     )
