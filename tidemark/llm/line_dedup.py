@@ -15,7 +15,9 @@ are found in a sample of lines; their rows skip the window: their least line is
 
 The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
 compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
-link to a copy is possible at all; a line whose score was not computed excludes nothing. All pairs of what is left are met, whatever the
+link to a copy is possible at all; a line whose score was not computed excludes nothing. Lines that links of any band have joined need no
+further link among themselves. So the rest meet the band's middle line, the one nearest to what most sketches of the band hold, and
+then all pairs that are in different groups still are met, whatever the
 size of the band: its rows are dealt into tiles, and a task joins two tiles, never a whole band. A pair whose sketches are
 not alike leaves no row.
 
@@ -234,8 +236,61 @@ def _spokes(lines: DataFrame, n_lines: int) -> DataFrame:
     return stored(reduce(DataFrame.unionByName, spokes), "spokes")
 
 
+def _middle_spokes(met: DataFrame) -> DataFrame:
+    """(a, b): the rows of a band that are alike to its middle row and in another group, with it.
+
+    The middle row agrees best with the bits that most of the band's sketches have: variants of one line are nearest to the least changed one.
+    """
+    bits = [F.col("sketch").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(SKETCH_ROWS * SKETCH_BITS)]
+    most = [F.when(2 * F.count_if(bit != 0) > F.count(F.lit(1)), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(0) for i, bit in enumerate(bits)]
+    common = met.groupBy("key").agg(reduce(Column.bitwiseOR, most).alias("common"))
+    rows = met.join(common, "key")
+    off = F.bit_count(F.col("sketch").bitwiseXOR(F.col("common")))
+    middle = rows.groupBy("key").agg(F.min(F.struct(off.alias("off"), "h", "sketch", "group")).alias("c"))
+    spokes = met.join(middle, "key").where("group <> c.group").select(F.col("c.h").alias("a"), F.col("h").alias("b"), F.col("c.sketch").alias("sketch_a"), "sketch")
+    return spokes.where(_alike("sketch", "sketch_a")).select("a", "b")
+
+
+def _tiled(met: DataFrame) -> DataFrame:
+    """(a, b): all alike pairs of a band's rows in different groups, one of them open; a task joins two tiles of a band."""
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    tiles = F.ceil(F.col("n") / PAIRED_ROWS).cast("int")
+    dealt = met.join(sizes, "key").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("key", "h"), tiles).cast("int")})
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    left = dealt.where("open").select(
+        "key", F.col("h").alias("a"), F.col("sketch").alias("sketch_a"), F.col("group").alias("group_a"), F.col("tile").alias("tile_a"), F.explode(every).alias("tile_b")
+    )
+    right = dealt.select(
+        "key", F.col("h").alias("b"), "sketch", "group", F.col("open").alias("other_open"), F.col("tile").alias("tile_b"), F.explode(every).alias("tile_a")
+    )
+    pairs = left.join(right, ["key", "tile_a", "tile_b"]).where("group_a <> group and (a < b or (a > b and not other_open))")
+    return pairs.where(_alike("sketch", "sketch_a")).select("a", "b")
+
+
+def _forest(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b): links among ``pairs`` that connect what all of them connect, a forest per task; stored."""
+    return stored(_sides(pairs, lines).mapInPandas(_joining, "a long, b long"), "joined")
+
+
+def _regrouped(met: DataFrame, links: DataFrame) -> DataFrame:
+    """``met`` with ``group`` after ``links`` have joined groups, without bands of which no open row may still find another group; stored."""
+    of = met.select("h", "group").distinct()
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(of.select(F.col("h").alias(end), F.col("group").alias(f"group_{end}")), end)
+    now = components(ends, "group_a", "group_b")
+    met = met.join(now, F.col("group") == F.col("node"), "left").withColumn("group", F.coalesce("component", "group"))
+    return _unsettled(met.drop("node", "component"))
+
+
+def _unsettled(met: DataFrame) -> DataFrame:
+    """Bands with rows of several groups, one of them open; stored."""
+    bands = met.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.bool_or("open").alias("any"))
+    return stored(met.join(bands.where("any and least <> most").select("key"), "key"), "met")
+
+
 def linked_lines(lines: DataFrame, n_lines: int) -> DataFrame:
-    """(a, b): links that connect all similar lines. ``lines`` has (h, line), ``n_lines`` rows, one or more per distinct line."""
+    """(a, b): pairs that connect all lines that links connect, and no others. ``lines`` has (h, line), ``n_lines`` rows, one or more per distinct line."""
     spokes = _spokes(lines, n_lines)
     scores = _scored(spokes.where(_alike("sketch", "sketch_a")), lines)
     linked = F.col("score") >= SIMILARITY
@@ -247,19 +302,14 @@ def linked_lines(lines: DataFrame, n_lines: int) -> DataFrame:
     # triangle inequality their scores with the centre differ by 0.2 at most. A score that was not computed may be any.
     still = met.where("open").groupBy("key").agg(F.max(F.coalesce("score", F.lit(1.0))).alias("best"))
     met = met.join(still, "key").where(F.col("open") | (F.col("score") <= F.col("best") + (1 - SIMILARITY) + 1e-9))
-    met = stored(met.drop("score", "best"), "met")
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / PAIRED_ROWS).cast("int")
-    dealt = met.join(sizes, "key").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("key", "h"), tiles).cast("int")})
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    left = dealt.where("open").select(
-        "key", F.col("h").alias("a"), F.col("sketch").alias("sketch_a"), F.col("tile").alias("tile_a"), F.explode(every).alias("tile_b")
-    )
-    right = dealt.select("key", F.col("h").alias("b"), "sketch", F.col("open").alias("other_open"), F.col("tile").alias("tile_b"), F.explode(every).alias("tile_a"))
-    pairs = left.join(right, ["key", "tile_a", "tile_b"]).where("a < b or (a > b and not other_open)")
-    # of the links among a group's lines each task gives a forest: it connects what all of them connect
-    joined = stored(_sides(pairs.where(_alike("sketch", "sketch_a")), lines).mapInPandas(_joining, "a long, b long"), "joined")
-    return to_centre.unionByName(joined)
+    # Lines that other bands have joined already need no link here.
+    groups = components(to_centre, "a", "b")
+    of = groups.select(F.col("node").alias("h"), F.col("component").alias("group"))
+    met = _unsettled(met.drop("score", "best").join(of, "h", "left").withColumn("group", F.coalesce("group", "h")))
+    # The middle row joins many of a band's groups; of the groups that stay apart all alike pairs are then met.
+    near = _forest(_middle_spokes(met), lines)
+    rest = _forest(_tiled(_regrouped(met, near)), lines)
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(near).unionByName(rest)
 
 
 def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
