@@ -16,10 +16,11 @@ are found in a sample of lines; their rows skip the window: their least line is
 The lines of a band are compared with the band's least line first. Where all are copies of it, that is all. The rest are
 compared among themselves, and with the copies only if, by the triangle inequality of the Jaccard distance, a
 link to a copy is possible at all; a line whose score was not computed excludes nothing. Lines that links of any band have joined need no
-further link among themselves. So the rest meet the band's middle line, the one nearest to what most sketches of the band hold, and
+further link among themselves, and a line whose sketch is alike to none of another group in its band goes. So the rest meet the band's middle line, the one nearest to what most sketches of the band hold, and
 then all pairs that are in different groups still are met, whatever the
 size of the band: its rows are dealt into tiles, and a task joins two tiles, never a whole band. A pair whose sketches are
-not alike leaves no row.
+not alike leaves no row, nor does a pair that the parities of its shingles exclude: each distinct shingle flips one of 1,024 bits, so
+the bits in which two lines differ are at most the shingles that only one of them has. This is a bound, no estimate: it excludes no link.
 
 Signing and scoring, a line or a pair at a time, are numpy in Arrow batches: Spark has no function that hashes all shingles of
 a line cheaply, and the form without Python took several times the processor time and disk. Bands, links,
@@ -48,6 +49,8 @@ HASHED_CHARS, REMEMBERED = 250_000, 500_000
 # Rows of a tile, on average: bands that hold more after their copies are linked are dealt into several tiles.
 PAIRED_ROWS = 512
 SKETCH_ROWS, SKETCH_BITS, SKETCH_AGREES = 32, 2, 20
+# 64-bit words of the parities of a line's shingles, and the rows of a band from which on parities are compared; the pairs of a smaller band are few.
+PARITY_WORDS, PARITY_BAND = 16, 64
 # Lines of the sample that finds large bands, and the sampled lines that make a band large. The sample routes rows, it drops none.
 SAMPLE_LINES, LARGE_BAND = 50_000, 50
 
@@ -195,20 +198,41 @@ def _joining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             above.clear()  # links may come again
 
 
-def _sides(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h, line): the lines whose hashes ``wanted`` (h) has, each once; stored."""
+    wanted = broadcast_if_small(stored(wanted.distinct(), "candidates"))
+    return stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
+
+
+def _sides(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct ``pairs`` (a, b) with the two lines."""
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    wanted = broadcast_if_small(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "candidates"))
-    texts = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "candidate-texts")
-    sides = pairs
+    sides = pairs.select("a", "b").distinct()
     for end in ("a", "b"):
         sides = sides.join(texts.select(F.col("h").alias(end), F.col("line").alias(f"line_{end}")), end)
     return sides.select("a", "b", "line_a", "line_b")
 
 
-def _scored(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``score``, the exact Jaccard similarity of the two lines by 64-bit hashes of all shingles; stored."""
-    return stored(_sides(pairs, lines).mapInPandas(_jaccard, "a long, b long, score double"), "scores")
+    return stored(_sides(pairs, texts).mapInPandas(_jaccard, "a long, b long, score double"), "scores")
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """(h, n, p0, p1, ...): how many distinct shingles a line has, and the bits that an odd number of them hash to."""
+    chars = texts.select("h", F.split("line", "").alias("chars"))
+    shingle = lambda i: F.xxhash64(*[F.get("chars", i + k) for k in range(SHINGLE)])  # noqa: E731  past the end: null, which changes no hash
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("chars") - SHINGLE, F.lit(0))), shingle))
+    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
+    word = F.shiftrightunsigned("x", 6).bitwiseAND(PARITY_WORDS - 1)
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITY_WORDS)]
+    flips = chars.select("h", F.explode(hashes).alias("x")).select("h", bit.alias("bit"), word.alias("word"))
+    return flips.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *words)
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether two lines, structs of ``_parities``, may be similar enough: then the shingles of one line alone are (1 - s) / (1 + s) of both lines' at most."""
+    differ = [F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY_WORDS)]
+    return reduce(Column.__add__, differ) * (1 + SIMILARITY) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (1 - SIMILARITY) + 1e-6
 
 
 def _band_rows(lines: DataFrame) -> DataFrame:
@@ -251,25 +275,54 @@ def _middle_spokes(met: DataFrame) -> DataFrame:
     return spokes.where(_alike("sketch", "sketch_a")).select("a", "b")
 
 
-def _tiled(met: DataFrame) -> DataFrame:
-    """(a, b): all alike pairs of a band's rows in different groups, one of them open; a task joins two tiles of a band."""
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    tiles = F.ceil(F.col("n") / PAIRED_ROWS).cast("int")
+def _tiles(met: DataFrame, own: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of bands, dealt into tiles, as the two sides of a join by ``key``, ``tile_a`` and ``tile_b``; columns of the left side end in ``_a``."""
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    tiles = F.ceil(F.col("rows") / PAIRED_ROWS).cast("int")
     dealt = met.join(sizes, "key").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("key", "h"), tiles).cast("int")})
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    left = dealt.where("open").select(
-        "key", F.col("h").alias("a"), F.col("sketch").alias("sketch_a"), F.col("group").alias("group_a"), F.col("tile").alias("tile_a"), F.explode(every).alias("tile_b")
-    )
-    right = dealt.select(
-        "key", F.col("h").alias("b"), "sketch", "group", F.col("open").alias("other_open"), F.col("tile").alias("tile_b"), F.explode(every).alias("tile_a")
-    )
-    pairs = left.join(right, ["key", "tile_a", "tile_b"]).where("group_a <> group and (a < b or (a > b and not other_open))")
-    return pairs.where(_alike("sketch", "sketch_a")).select("a", "b")
+    left = dealt.select("key", *[F.col(c).alias(f"{c}_a") for c in own], F.col("tile").alias("tile_a"), F.explode(every).alias("tile_b"))
+    right = dealt.select("key", *own, F.col("tile").alias("tile_b"), F.explode(every).alias("tile_a"))
+    return left, right
+
 
+def _mates(met: DataFrame) -> DataFrame:
+    """The rows of ``met`` that have an alike row of another group in their band, one of the two open; stored."""
+    left, right = _tiles(met, ["h", "sketch", "open", "group"])
+    mate = (F.col("group_a") != F.col("group")) & (F.col("open_a") | F.col("open")) & _alike("sketch", "sketch_a")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "tile_a", "tile_b")]
+    found = left.alias("l").join(right.alias("r"), [*same, mate], "left_semi")
+    return stored(found.select("key", F.col("h_a").alias("h"), F.col("sketch_a").alias("sketch"), F.col("open_a").alias("open"), F.col("group_a").alias("group")).distinct(), "mates")
 
-def _forest(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+
+def _tiled(met: DataFrame, parities: DataFrame | None = None) -> DataFrame:
+    """(a, b): all alike pairs of a band's rows in different groups, one of them open; a task joins two tiles of a band.
+
+    With ``parities``, pairs that these exclude are left out.
+    """
+    own = ["h", "sketch", "open", "group"]
+    if parities is not None:
+        met = met.join(parities.select("h", F.struct(*parities.drop("h").columns).alias("parity")), "h")
+        own.append("parity")
+    left, right = _tiles(met, own)
+    pairs = left.where("open_a").join(right, ["key", "tile_a", "tile_b"]).where("group_a <> group and (h_a < h or (h_a > h and not open))")
+    pairs = pairs.where(_alike("sketch", "sketch_a"))
+    if parities is not None:
+        pairs = pairs.where(_may_link("parity", "parity_a"))
+    return pairs.select(F.col("h_a").alias("a"), F.col("h").alias("b"))
+
+
+def _met_pairs(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of ``_tiled`` that may be links; those of large bands are told by parities."""
+    large = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(f"rows > {PARITY_BAND}").select("key"), "paired-bands")
+    many = stored(met.join(large, "key"), "paired-rows")
+    parities = stored(_parities(texts.join(many.select("h").distinct(), "h")), "parities")
+    return _tiled(met.join(large, "key", "left_anti")).unionByName(_tiled(many, parities))
+
+
+def _forest(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links among ``pairs`` that connect what all of them connect, a forest per task; stored."""
-    return stored(_sides(pairs, lines).mapInPandas(_joining, "a long, b long"), "joined")
+    return stored(_sides(pairs, texts).mapInPandas(_joining, "a long, b long"), "joined")
 
 
 def _regrouped(met: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,7 +345,8 @@ def _unsettled(met: DataFrame) -> DataFrame:
 def linked_lines(lines: DataFrame, n_lines: int) -> DataFrame:
     """(a, b): pairs that connect all lines that links connect, and no others. ``lines`` has (h, line), ``n_lines`` rows, one or more per distinct line."""
     spokes = _spokes(lines, n_lines)
-    scores = _scored(spokes.where(_alike("sketch", "sketch_a")), lines)
+    alike = stored(spokes.where(_alike("sketch", "sketch_a")).select("a", "b").distinct(), "pairs")
+    scores = _scored(alike, _texts(alike.select(F.explode(F.array("a", "b")).alias("h")), lines))
     linked = F.col("score") >= SIMILARITY
     to_centre = scores.where(linked).select("a", "b")
     met = spokes.join(scores, ["a", "b"], "left").select(
@@ -307,8 +361,10 @@ def linked_lines(lines: DataFrame, n_lines: int) -> DataFrame:
     of = groups.select(F.col("node").alias("h"), F.col("component").alias("group"))
     met = _unsettled(met.drop("score", "best").join(of, "h", "left").withColumn("group", F.coalesce("group", "h")))
     # The middle row joins many of a band's groups; of the groups that stay apart all alike pairs are then met.
-    near = _forest(_middle_spokes(met), lines)
-    rest = _forest(_tiled(_regrouped(met, near)), lines)
+    met = _mates(met)
+    texts = _texts(met.select("h"), lines)
+    near = _forest(_middle_spokes(met), texts)
+    rest = _forest(_met_pairs(_regrouped(met, near), texts), texts)
     return groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(near).unionByName(rest)
 
 
