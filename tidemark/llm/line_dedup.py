@@ -217,16 +217,26 @@ def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(_sides(pairs, texts).mapInPandas(_jaccard, "a long, b long, score double"), "scores")
 
 
+def _flipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        lines = batch["line"].tolist()
+        for part in _portions([len(x) for x in lines]):
+            hashes, begin, end = _hashed(lines[part])
+            flips = np.zeros((len(begin), 64 * PARITY_WORDS), np.uint8)
+            n = np.zeros(len(begin), np.int64)
+            for i, (start, stop) in enumerate(zip(begin, end)):
+                own = np.unique(hashes[start:stop])
+                n[i] = len(own)
+                flips[i] = np.bincount((own % np.uint64(flips.shape[1])).astype(np.int64), minlength=flips.shape[1]) & 1
+            words = pd.DataFrame(np.packbits(flips, 1).view(np.int64), columns=[f"p{i}" for i in range(PARITY_WORDS)])
+            words.insert(0, "h", batch["h"].to_numpy()[part])
+            words.insert(1, "n", n)
+            yield words
+
+
 def _parities(texts: DataFrame) -> DataFrame:
     """(h, n, p0, p1, ...): how many distinct shingles a line has, and the bits that an odd number of them hash to."""
-    chars = texts.select("h", F.split("line", "").alias("chars"))
-    shingle = lambda i: F.xxhash64(*[F.get("chars", i + k) for k in range(SHINGLE)])  # noqa: E731  past the end: null, which changes no hash
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("chars") - SHINGLE, F.lit(0))), shingle))
-    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
-    word = F.shiftrightunsigned("x", 6).bitwiseAND(PARITY_WORDS - 1)
-    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITY_WORDS)]
-    flips = chars.select("h", F.explode(hashes).alias("x")).select("h", bit.alias("bit"), word.alias("word"))
-    return flips.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *words)
+    return texts.select("h", "line").mapInPandas(_flipped, "h long, n long, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -345,13 +355,14 @@ def _unsettled(met: DataFrame) -> DataFrame:
 def linked_lines(lines: DataFrame, n_lines: int) -> DataFrame:
     """(a, b): pairs that connect all lines that links connect, and no others. ``lines`` has (h, line), ``n_lines`` rows, one or more per distinct line."""
     spokes = _spokes(lines, n_lines)
-    alike = stored(spokes.where(_alike("sketch", "sketch_a")).select("a", "b").distinct(), "pairs")
+    near = spokes.where(_alike("sketch", "sketch_a"))
+    alike = stored(near.select("a", "b").distinct(), "pairs")
     scores = _scored(alike, _texts(alike.select(F.explode(F.array("a", "b")).alias("h")), lines))
     linked = F.col("score") >= SIMILARITY
     to_centre = scores.where(linked).select("a", "b")
-    met = spokes.join(scores, ["a", "b"], "left").select(
-        "key", F.col("b").alias("h"), "sketch", (~F.coalesce(linked, F.lit(False))).alias("open"), "score"
-    )
+    columns = ["key", F.col("b").alias("h"), "sketch"]
+    unscored = spokes.where(~_alike("sketch", "sketch_a")).select(*columns, F.lit(True).alias("open"), F.lit(None).cast("double").alias("score"))
+    met = near.join(scores, ["a", "b"]).select(*columns, (~linked).alias("open"), "score").unionByName(unscored)
     # Open lines are not linked to the centre. A line that is linked matters only to open lines it can still reach: by the
     # triangle inequality their scores with the centre differ by 0.2 at most. A score that was not computed may be any.
     still = met.where("open").groupBy("key").agg(F.max(F.coalesce("score", F.lit(1.0))).alias("best"))
@@ -359,7 +370,8 @@ def linked_lines(lines: DataFrame, n_lines: int) -> DataFrame:
     # Lines that other bands have joined already need no link here.
     groups = components(to_centre, "a", "b")
     of = groups.select(F.col("node").alias("h"), F.col("component").alias("group"))
-    met = _unsettled(met.drop("score", "best").join(of, "h", "left").withColumn("group", F.coalesce("group", "h")))
+    met = met.drop("score", "best").join(of, "h", "left").withColumn("group", F.coalesce("group", "h"))
+    met = _unsettled(stored(met, "grouped"))
     # The middle row joins many of a band's groups; of the groups that stay apart all alike pairs are then met.
     met = _mates(met)
     texts = _texts(met.select("h"), lines)
